@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from talkgrid.llm import decontaminate, mixing
+from talkgrid.llm import decontaminate, language, mixing, simhash, toxicity
 
 QUERIES = {
+    "op1_language": language.op1,
+    "op3_simhash": simhash.op3,
     "op7_decontaminate": decontaminate.op7,
     "op8_mixing": mixing.op8,
+    "op10_toxicity": toxicity.op10,
 }
 
 ORACLE_SQL = {
