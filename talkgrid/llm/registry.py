@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from talkgrid.llm import decontaminate, language, mixing, simhash, toxicity
+from talkgrid.llm import decontaminate, language, linededup, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_language": language.op1,
     "op3_simhash": simhash.op3,
     "op7_decontaminate": decontaminate.op7,
     "op8_mixing": mixing.op8,
+    "op9_line_dedup": linededup.op9,
     "op10_toxicity": toxicity.op10,
 }
 
 ORACLE_SQL = {
     "op7_decontaminate": decontaminate.SQL,
     "op8_mixing": mixing.SQL,
+    "op9_line_dedup": linededup.SQL,
 }
