@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from talkgrid.llm import decontaminate, language, linededup, mixing, simhash, substrings, toxicity
+from talkgrid.llm import decontaminate, language, linededup, mixing, simhash, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_language": language.op1,
     "op3_simhash": simhash.op3,
     "op5_substrings": substrings.op5,
+    "op6_vectors": vectors.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_mixing": mixing.op8,
     "op9_line_dedup": linededup.op9,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_substrings": substrings.SQL,
+    "op6_vectors": vectors.SQL,
     "op7_decontaminate": decontaminate.SQL,
     "op8_mixing": mixing.SQL,
     "op9_line_dedup": linededup.SQL,
