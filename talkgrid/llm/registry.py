@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from talkgrid.llm import decontaminate, language, linededup, mixing, simhash, substrings, toxicity, vectors
+from talkgrid.llm import decontaminate, language, linededup, mixing, quality, simhash, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_language": language.op1,
     "op3_simhash": simhash.op3,
+    "op4_quality": quality.op4,
     "op5_substrings": substrings.op5,
     "op6_vectors": vectors.op6,
     "op7_decontaminate": decontaminate.op7,
