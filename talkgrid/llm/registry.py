@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from talkgrid.llm import decontaminate, language, linededup, mixing, quality, simhash, substrings, toxicity, vectors
+from talkgrid.llm import decontaminate, language, linededup, mixing, pii, quality, simhash, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_language": language.op1,
+    "op2_personal_data": pii.op2,
     "op3_simhash": simhash.op3,
     "op4_quality": quality.op4,
     "op5_substrings": substrings.op5,
