@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkgrid.llm.components import components, unite
 from talkgrid.llm.tables import cut, table
@@ -64,13 +65,21 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprinted(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """docs with a column fp; one of that name is replaced."""
+    docs = docs.drop("fp")
+    names = docs.columns
+
     def job(batches):
         for piece in pieces(batches):
             prints = fingerprints_of(piece.column("text"), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[piece.column(n) for n in names], pa.array(prints)], names=[*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(job, "doc_id long, fp long")
+    return docs.mapInArrow(job, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    return fingerprinted(docs.select("doc_id", "text"), shingle).drop("text")
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -142,6 +151,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of every group of near-duplicates, that of its smallest doc_id. Texts move once, by their own
+    doc_id, so a group of any size is spread."""
+    key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    found = near_duplicates(docs, shingle, radius)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key"), F.col("fp").alias("_fp")).distinct()
+    rows = fingerprinted(docs, shingle).withColumn("_key", key).withColumnRenamed("fp", "_fp")
+    return rows.join(cut(stay), ["_key", "_fp"], "left_semi").dropDuplicates(["_key", "_fp"]).select(*docs.columns)
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
