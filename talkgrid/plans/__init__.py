@@ -1,4 +1,7 @@
 """Named queries over the driver's tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from talkgrid.plans import timeline
+
+_PLANS = (timeline,)
+QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL: dict = {name: text for plan in _PLANS for name, text in plan.ORACLE_SQL.items()}
