@@ -94,17 +94,29 @@ def continues_word(text: Column | str) -> Column:
     return F.regexp_extract(_c(text), r"\p{L}", 0).rlike(r"\p{Ll}")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def without_overlap(previous: Column | str, candidate: Column | str, most: int = 40) -> Column:
     """The candidate without the longest run of words at its start that repeats the end of the previous text."""
-    before, after = words(previous), words(candidate)
-    a, b = F.transform(before, bare), F.transform(after, bare)
-    limit = F.least(F.lit(most), F.size(a), F.size(b))
-    lengths = F.when(limit >= 1, F.sequence(limit, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    found = F.get(F.filter(lengths, lambda n: F.slice(a, -n, n) == F.slice(b, F.lit(1), n)), F.lit(0))
-    rest = F.slice(after, found + 1, F.size(after))
-    first = F.array_position(F.transform(rest, lambda w: bare(w) != ""), True).cast("int")
-    kept = F.when(first > 0, F.slice(rest, first, F.size(rest))).otherwise(F.array().cast("array<string>"))
-    return F.when(found.isNull(), _c(candidate)).otherwise(F.array_join(kept, " "))
+
+    def trimmed(s: Column) -> Column:
+        after, a, b = s.getField("after"), s.getField("a"), s.getField("b")
+        limit = F.least(F.lit(most), F.size(a), F.size(b))
+        lengths = F.when(limit >= 1, F.sequence(limit, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        found = F.get(F.filter(lengths, lambda n: F.slice(a, -n, n) == F.slice(b, F.lit(1), n)), F.lit(0))
+
+        def rest(n: Column) -> Column:
+            first = F.array_position(F.transform(F.slice(b, n + 1, F.size(b)), lambda w: w != ""), True).cast("int")
+            return F.when(first > 0, F.array_join(F.slice(after, n + first, F.size(after)), " ")).otherwise("")
+
+        return let(found, lambda n: F.when(n.isNull(), s.getField("text")).otherwise(rest(n)))
+
+    split = F.struct(words(previous).alias("before"), words(candidate).alias("after"), _c(candidate).alias("text"))
+    folded = let(split, lambda s: F.struct(s.getField("after").alias("after"), s.getField("text").alias("text"), F.transform(s.getField("before"), bare).alias("a"), F.transform(s.getField("after"), bare).alias("b")))
+    return let(folded, trimmed)
 
 
 def sentences(text: Column | str) -> Column:
@@ -143,6 +155,13 @@ def cue_time(seconds: Column | str) -> Column:
 
 def word_distance(left: Column, right: Column) -> Column:
     """The edit distance of two arrays of words: each distinct word becomes one character."""
-    known = F.array_distinct(F.concat(left, right))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4DFF), 4, "0")), "UTF-16BE")
-    return F.levenshtein(F.array_join(F.transform(left, code), ""), F.array_join(F.transform(right, code), ""))
+
+    def written(words_: Column, known: Column) -> Column:
+        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4DFF), 4, "0")), "UTF-16BE")
+        return F.array_join(F.transform(words_, code), "")
+
+    def distance(s: Column) -> Column:
+        return F.levenshtein(written(s.getField("l"), s.getField("k")), written(s.getField("r"), s.getField("k")))
+
+    both = let(F.struct(left.alias("l"), right.alias("r")), lambda s: s.withField("k", F.array_distinct(F.concat(s.getField("l"), s.getField("r")))))
+    return let(both, distance)
