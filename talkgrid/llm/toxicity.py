@@ -112,7 +112,8 @@ def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, max_posi
     prior = min(0.9, max(1e-3, n["pos"] / n["all"]))
     here = docs.count()
     share = lambda most, of: F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(1, of)))
-    positive = docs.join(known.where("toxic = 1").where(share(max_positive, n["pos"])).select("doc_id"), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
+    ids = known.where("toxic = 1").where(share(max_positive, n["pos"])).select("doc_id")  # about max_positive at most, so small enough to broadcast
+    positive = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
     unlabelled = docs.where(share(max_unlabelled, here)).select(F.lit(False).alias("positive"), "text")
     both = positive.unionByName(unlabelled)
     counts = both.mapInArrow(_counter, "bucket long, pos long, unl long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
