@@ -42,7 +42,7 @@ def unformatted(t: str) -> str:
 def union(source: str, name: str, keys: str = "recording_id") -> str:
     """Common table expressions that unite the intervals of a source; the last has the given name."""
     return f"""{name}_r AS (SELECT *, max(end_s) OVER (PARTITION BY {keys} ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
-{name}_i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS island FROM {name}_r),
+{name}_i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY start_s, end_s) AS island FROM {name}_r),
 {name} AS (SELECT {keys}, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n FROM {name}_i GROUP BY {keys}, island)"""
 
 
