@@ -26,9 +26,9 @@ from talkgrid.llm.tables import split_of, table
 from talkgrid.llm.textbytes import LOWER, SPACE_WORDS, Words, mix, pieces, span_hashes
 
 BUCKETS = 1 << 14
-DIMENSIONS = 64
-NONZERO = 4
-REACH = 2
+DIMENSIONS = 32
+NONZERO = 2
+REACH = 1
 HIDDEN = 32
 MAX_LABELLED = 20_000
 STEPS = 400
@@ -66,39 +66,40 @@ def tokens(words: Words) -> np.ndarray:
     return (np.stack([letters, shapes, repeats], axis=1) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def index_vectors() -> np.ndarray:
-    """The index vector of each bucket."""
-    out = np.zeros((BUCKETS, DIMENSIONS), np.int32)
+def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of each bucket's index vector, a row for each non-zero entry."""
+    places, signs = [], []
     h = mix(np.arange(1, BUCKETS + 1, dtype=np.uint64))
     for _ in range(NONZERO):
-        place = (h >> np.uint64(1)) % np.uint64(DIMENSIONS)
-        np.add.at(out, (np.arange(BUCKETS), place.astype(np.int64)), np.where(h & np.uint64(1), 1, -1))
+        places.append(((h >> np.uint64(1)) % np.uint64(DIMENSIONS)).astype(np.int64))
+        signs.append(np.where(h & np.uint64(1), 1.0, -1.0))
         h = mix(h)
-    return out
+    return np.array(places), np.array(signs)
 
 
 def _context(batches):
     """Texts to blocks of the table: for each bucket the sum of the index vectors around it, and its count."""
-    index = index_vectors().astype(np.float32)
-    total = np.zeros((BUCKETS, DIMENSIONS + 1), np.int64)
+    places, signs = index_vectors()
+    total, many = np.zeros(BUCKETS * DIMENSIONS), np.zeros(BUCKETS, np.int64)
     for piece in pieces(batches):
         words = Words(piece.column("text"), SPACE_WORDS)
-        n = len(words.starts)
-        if not n:
+        if not len(words.starts):
             continue
         own = tokens(words)
-        both = sum(index[column] for column in own.T)
-        around = np.zeros_like(both)
+        base = [column * DIMENSIONS for column in own.T]
+        around = [(place[column], sign[column]) for column in own.T for place, sign in zip(places, signs)]
         for d in range(1, REACH + 1):
-            same = (words.doc[d:] == words.doc[:-d])[:, None]
-            around[d:] += both[:-d] * same
-            around[:-d] += both[d:] * same
+            same = np.flatnonzero(words.doc[d:] == words.doc[:-d])
+            for here, there in ((same, same + d), (same + d, same)):
+                at = [b[here] for b in base]
+                for place, sign in around:
+                    p, w = place[there], sign[there]
+                    for b in at:
+                        total += np.bincount(b + p, w, len(total))
         for column in own.T:
-            order = np.argsort(column)
-            heads = np.flatnonzero(np.append(True, column[order][1:] != column[order][:-1]))
-            total[column[order][heads], :-1] += np.add.reduceat(around[order], heads, axis=0).astype(np.int64)
-            total[:, -1] += np.bincount(column, minlength=BUCKETS)
-    blocks = total.reshape(-1, _ROWS * (DIMENSIONS + 1))
+            many += np.bincount(column, minlength=BUCKETS)
+    table = np.hstack([total.reshape(BUCKETS, DIMENSIONS).astype(np.int64), many[:, None]])
+    blocks = table.reshape(-1, _ROWS * (DIMENSIONS + 1))
     used = np.flatnonzero(blocks.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([blocks[b].tobytes() for b in used], pa.binary())], names=["block", "sums"])
 
@@ -127,11 +128,10 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     words = Words(column, SPACE_WORDS)
     n = len(words.first) - 1
     total = np.zeros((n, vectors.shape[1]))
-    if len(words.starts):
-        own = tokens(words)
-        has = np.flatnonzero(words.counts())
-        each = sum(vectors[column] for column in own.T)
-        total[has] = np.add.reduceat(each.astype(np.float64), words.first[has], axis=0) / words.counts()[has, None]
+    own = tokens(words)
+    for d in np.flatnonzero(words.counts()).tolist():
+        part = own[words.first[d] : words.first[d + 1]]
+        total[d] = vectors.take(part.reshape(-1), axis=0).sum(axis=0) / len(part)
     return total
 
 
@@ -198,7 +198,8 @@ def learn(docs: DataFrame, labels: DataFrame, shared, max_labelled: int = MAX_LA
     n = known.count()
     draw = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20))
     known = known.where(draw(SEED) < int((1 << 20) * min(1.0, max_labelled / max(1, n))))
-    rows = docs.join(known, "doc_id").select("text", F.col("y").cast("double").alias("y"), (draw(SEED + 1) < (1 << 20) // 5).alias("keep"))
+    # About max_labelled rows at most, so small enough to broadcast.
+    rows = docs.join(F.broadcast(known), "doc_id").select("text", F.col("y").cast("double").alias("y"), (draw(SEED + 1) < (1 << 20) // 5).alias("keep"))
     rows = rows.mapInArrow(_vectors(shared), "y double, keep boolean, x array<double>").toArrow()
     y, keep = rows.column("y").to_numpy(), rows.column("keep").to_numpy()
     if not len(y) or y[~keep].min(initial=1) == y[~keep].max(initial=0):
