@@ -9,7 +9,8 @@ a bucket above BUCKET_ROWS is dealt in blocks, each pair of blocks a group of it
 forest, never all pairs.
 
 Edges: null, empty and wordless texts have fingerprint zero and link like any other; fewer than 3
-words make one shingle; repeated rows share a class; an empty table gives no rows; further columns
+words make one shingle; repeated rows share a class; rows without doc_id link with equal fingerprints
+only, and have no component unless one of these has an id; an empty table gives no rows; further columns
 are not looked at.
 """
 
@@ -93,6 +94,7 @@ def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
 def linked(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Forest edges among rows sorted by key: rows of one key within the radius are joined."""
     n = len(key)
+    fp = fp.view(np.uint64)  # of signed numbers, the bits of the absolute value would be counted
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
     end = np.repeat(np.append(np.flatnonzero(new)[1:], n), np.diff(np.append(np.flatnonzero(new), n)))
@@ -146,7 +148,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """For each row of docs: doc_id, fp (signed) and component_id."""
     prints = cut(fingerprints(docs, shingle))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(link_edges(classes, radius))
+    found = components(link_edges(classes.where("node IS NOT NULL"), radius))
     named = cut(classes.join(found, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id")))
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
