@@ -66,17 +66,17 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprinted(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs with a column fp; one of that name is replaced."""
-    docs = docs.drop("fp")
+def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
+    """docs with the fingerprint in a column of the given name; one of that name is replaced."""
+    docs = docs.drop(name)
     names = docs.columns
 
     def job(batches):
         for piece in pieces(batches):
             prints = fingerprints_of(piece.column("text"), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[piece.column(n) for n in names], pa.array(prints)], names=[*names, "fp"])
+            yield pa.RecordBatch.from_arrays([*[piece.column(n) for n in names], pa.array(prints)], names=[*names, name])
 
-    return docs.mapInArrow(job, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(job, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -159,7 +159,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     found = near_duplicates(docs, shingle, radius)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key"), F.col("fp").alias("_fp")).distinct()
-    rows = fingerprinted(docs, shingle).withColumn("_key", key).withColumnRenamed("fp", "_fp")
+    rows = fingerprinted(docs, shingle, "_fp").withColumn("_key", key)
     return rows.join(cut(stay), ["_key", "_fp"], "left_semi").dropDuplicates(["_key", "_fp"]).select(*docs.columns)
 
 
