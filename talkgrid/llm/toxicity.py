@@ -1,9 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Positives are confirmed toxic documents, the unlabelled are documents whatever their label. Features
-are a document's distinct lower-cased words and word beginnings of PREFIXES bytes, hashed into
-BUCKETS. Counts over both sets choose the FEATURES buckets that tell them best apart; a logistic
-model on these minimises the class-prior-corrected risk
+are a document's lower-cased words and word beginnings of PREFIXES bytes, hashed into BUCKETS: whether
+one is there, and its rate, RATE_WORDS times its share of the words, 1 at most. Counts of documents that
+have it, and that have it at a rate of a half or more, choose for both sets the FEATURES buckets that
+tell them best apart; a logistic model on these minimises the class-prior-corrected risk
     prior * P[l(f)] + max(0, U[l(-f)] - prior * P[l(-f)]),
 with l the logistic loss, so unlabelled toxic documents don't count as clean ones. Learning takes
 about MAX_POSITIVE and MAX_UNLABELLED documents at most, chosen by a hash of doc_id; scoring takes all.
@@ -25,7 +26,8 @@ from talkgrid.llm.textbytes import ALNUM_WORDS, Words, mix, pieces, span_hashes
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
-FEATURES = 1024
+FEATURES = 768
+RATE_WORDS = 40.0
 MAX_POSITIVE = 6000
 MAX_UNLABELLED = 18000
 THRESHOLD = 0.7
@@ -34,8 +36,8 @@ RATE = 0.05
 DECAY = 1e-4
 
 
-def feature_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Documents (row numbers) and buckets of all features of a text column, repeats included."""
+def feature_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents (row numbers) and buckets of all features of a text column, repeats included, and each text's number of words."""
     words = Words(column, ALNUM_WORDS, lower=True)
     size = words.ends - words.starts
     docs, found = [words.doc], [words.hashes()]
@@ -43,38 +45,41 @@ def feature_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         long = size > n
         docs.append(words.doc[long])
         found.append(mix(span_hashes(words.buf, words.starts[long], words.starts[long] + n) + np.uint64(n)))
-    return np.concatenate(docs), (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return np.concatenate(docs), (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64), words.counts()
 
 
-def _distinct(docs: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.unique(docs * BUCKETS + buckets)
-    return key // BUCKETS, key % BUCKETS
+def _values(docs: np.ndarray, buckets: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct buckets of each document, and the rate of each."""
+    key, many = np.unique(docs * BUCKETS + buckets, return_counts=True)
+    docs = key // BUCKETS
+    return docs, key % BUCKETS, np.minimum(1.0, many * RATE_WORDS / np.maximum(1, n_words[docs]))
 
 
 def _counter(batches):
-    """Rows (positive, text) to how many documents of either kind have each bucket, in blocks of buckets."""
-    total = np.zeros((2, BUCKETS), np.int64)
+    """Rows (positive, text) to how many documents of either kind have each feature, in blocks of buckets."""
+    total = np.zeros((2, 2 * BUCKETS), np.int64)
     for piece in pieces(batches):
-        docs, buckets = _distinct(*feature_rows(piece.column("text")))
+        docs, buckets, rate = _values(*feature_rows(piece.column("text")))
         kind = piece.column("positive").to_numpy(zero_copy_only=False).astype(np.int64)
-        total += np.bincount(kind[docs] * BUCKETS + buckets, minlength=2 * BUCKETS).reshape(2, BUCKETS)
+        for d, b in ((docs, buckets), (docs[rate >= 0.5], buckets[rate >= 0.5] + BUCKETS)):
+            total += np.bincount(kind[d] * 2 * BUCKETS + b, minlength=4 * BUCKETS).reshape(2, 2 * BUCKETS)
     used = np.flatnonzero(total.sum(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[1, used]), pa.array(total[0, used])], names=["bucket", "pos", "unl"])
 
 
 def _chosen(features: np.ndarray):
-    """Rows (positive, text) to (positive, the numbers of the chosen features that the text has)."""
+    """Rows (positive, text) to (positive, the numbers of the chosen buckets that the text has, their rates)."""
 
     def job(batches):
         number = np.full(BUCKETS, -1, np.int32)
         number[features] = np.arange(len(features))
         for piece in pieces(batches):
-            docs, buckets = feature_rows(piece.column("text"))
+            docs, buckets, n_words = feature_rows(piece.column("text"))
             keep = number[buckets] >= 0
-            docs, buckets = _distinct(docs[keep], buckets[keep])
-            cuts = np.searchsorted(docs, np.arange(piece.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(number[buckets]))
-            yield pa.RecordBatch.from_arrays([piece.column("positive"), lists], names=["positive", "features"])
+            docs, buckets, rate = _values(docs[keep], buckets[keep], n_words)
+            cuts = pa.array(np.searchsorted(docs, np.arange(piece.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (number[buckets], rate.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([piece.column("positive"), *lists], names=["positive", "features", "rates"])
 
     return job
 
@@ -104,7 +109,7 @@ def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS,
 
 
 def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray, float] | None:
-    """The weight of every bucket and the intercept. docs (doc_id, text) and labels (doc_id, toxic) must be training rows only."""
+    """The weights of every bucket (of its presence, and of its rate) and the intercept. docs (doc_id, text) and labels (doc_id, toxic) must be training rows only."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.agg(F.count("*").alias("all"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     if not n["pos"]:
@@ -124,14 +129,16 @@ def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, max_posi
     p, u = (F.col("pos") + 0.5) / (n_pos + 1), (F.col("unl") + 0.5) / (n_unl + 1)
     apart = (p - u) * (p - u) / (u * (1.0001 - u))
     best = counts.where("pos + unl >= 3").orderBy(apart.desc(), "bucket").limit(features).select("bucket").collect()
-    chosen = np.sort(np.array([r["bucket"] for r in best], np.int64))
-    rows = both.mapInArrow(_chosen(chosen), "positive boolean, features array<int>").toArrow()
-    x = np.zeros((rows.num_rows, len(chosen)), np.float32)
+    chosen = np.unique(np.array([r["bucket"] for r in best], np.int64) % BUCKETS)
+    rows = both.mapInArrow(_chosen(chosen), "positive boolean, features array<int>, rates array<float>").toArrow()
+    x = np.zeros((rows.num_rows, 2 * len(chosen)), np.float32)
     lists = rows.column("features").combine_chunks()
-    x[np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
+    row, feature = np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    x[row, feature] = 1
+    x[row, feature + len(chosen)] = rows.column("rates").combine_chunks().flatten().to_numpy()
     w, bias = nnpu(x, rows.column("positive").to_numpy(), prior)
-    weights = np.zeros(BUCKETS)
-    weights[chosen] = w
+    weights = np.zeros((2, BUCKETS))
+    weights[:, chosen] = w.reshape(2, -1)
     return weights, bias
 
 
@@ -146,10 +153,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
     def job(batches):
         weights, bias = shared.value
         for piece in pieces(batches):
-            docs_of, buckets = feature_rows(piece.column("text"))
-            keep = weights[buckets] != 0
-            d, b = _distinct(docs_of[keep], buckets[keep])
-            f = np.bincount(d, weights[b], piece.num_rows) + bias
+            docs_of, buckets, n_words = feature_rows(piece.column("text"))
+            keep = (weights[:, buckets] != 0).any(axis=0)
+            d, b, rate = _values(docs_of[keep], buckets[keep], n_words)
+            f = np.bincount(d, weights[0, b] + weights[1, b] * rate, piece.num_rows) + bias
             yield pa.RecordBatch.from_arrays([*[piece.column(n) for n in names], pa.array(1 / (1 + np.exp(-np.clip(f, -40, 40))))], names=[*names, "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
