@@ -22,6 +22,11 @@ def ordered_fold(df: DataFrame, by: list[str], fold: Callable[[pd.DataFrame], pd
     return df.groupBy(key).applyInPandas(lambda rows: fold(rows.sort_values(by, kind="stable").reset_index(drop=True)), schema)
 
 
+def filled(side: pd.DataFrame, *columns: str) -> pd.DataFrame:
+    """A cogrouped side; one without rows may come without columns too."""
+    return side if len(side) else side.reindex(columns=list(columns))
+
+
 def leading_overlap(tail: list[str], head: list[str], most: int = 40) -> int:
     """How many words of the head repeat the end of the tail."""
     for n in range(min(most, len(tail), len(head)), 0, -1):
@@ -298,13 +303,13 @@ def place_tokens(frames: DataFrame, tokens: DataFrame, blank_token: int = 0) ->
 
     def place(key, grid: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         columns = ["recording_id", "token_ix", "first_frame", "last_frame", "score"]
-        wanted = wanted.sort_values("token_ix")
+        wanted = filled(wanted, "token_ix", "token").sort_values("token_ix")
         found = align_tokens(np.array(grid.sort_values("frame")["logp"].tolist()), wanted["token"].tolist(), blank_token) if len(grid) and len(wanted) else None
         rows = [(key[0], i, *f) for i, f in zip(wanted["token_ix"], found)] if found else []
         return pd.DataFrame(rows, columns=columns)
 
     schema = "recording_id bigint, token_ix int, first_frame int, last_frame int, score double"
-    return frames.groupBy("recording_id").cogroup(tokens.groupBy("recording_id")).applyInPandas(place, schema)
+    return frames.groupBy("recording_id").cogroup(tokens.select(F.col("recording_id").alias("recording_id"), "token_ix", "token").groupBy("recording_id")).applyInPandas(place, schema)
 
 
 def read_back(frames: DataFrame, blank_token: int = 0) -> DataFrame:
@@ -324,7 +329,7 @@ def place_heard(segments: DataFrame, heard: DataFrame, margin: float = 3.0, leas
     their times, the others lie between; a segment under half matched gives no rows."""
 
     def place(key, segs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        words = words.sort_values(["at_s", "word_ix"])
+        segs, words = filled(segs, "seq"), filled(words, "word_ix", "text", "at_s").sort_values(["at_s", "word_ix"])
         folded = [bare(w) for w in words["text"]]
         times = words["at_s"].to_numpy()
         rows = []
@@ -342,7 +347,7 @@ def place_heard(segments: DataFrame, heard: DataFrame, margin: float = 3.0, leas
 
     schema = "recording_id bigint, seq bigint, word_ix int, text string, start_s double, end_s double"
     left = segments.select("recording_id", "seq", "text", "start_s", "end_s").groupBy("recording_id")
-    return left.cogroup(heard.select("recording_id", "word_ix", "text", "at_s").groupBy("recording_id")).applyInPandas(place, schema)
+    return left.cogroup(heard.select(F.col("recording_id").alias("recording_id"), "word_ix", "text", "at_s").groupBy("recording_id")).applyInPandas(place, schema)
 
 
 def rename(segments: DataFrame, rules: DataFrame) -> DataFrame:

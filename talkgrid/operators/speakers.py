@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgrid.operators import frames
-from talkgrid.operators.folds import _finishes, ordered_fold
+from talkgrid.operators.folds import _finishes, filled, ordered_fold
 from talkgrid.operators.intervals import islands
 
 
@@ -52,7 +52,9 @@ def merge_to_count(turns: DataFrame, prints: DataFrame, wanted: int) -> DataFram
     speaker with the nearest print (recording_id, speaker, embedding), or the nearest in time without one."""
 
     def merge(key, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn_ix", kind="stable").reset_index(drop=True)
+        known = filled(known, "speaker", "embedding")
+        columns = ["recording_id", "turn_ix", "speaker", "start_s", "end_s"]
+        rows = filled(rows, *columns).sort_values("turn_ix", kind="stable").reset_index(drop=True)
         owner = rows["speaker"].to_numpy().copy()
         start, end = rows["start_s"].to_numpy(), rows["end_s"].to_numpy()
         held = rows.assign(n=end - start).groupby("speaker", sort=False)["n"].sum().to_dict()
@@ -73,11 +75,11 @@ def merge_to_count(turns: DataFrame, prints: DataFrame, wanted: int) -> DataFram
         rows["speaker"] = owner
         rows = rows.sort_values("start_s", kind="stable")
         rows["speaker"] = pd.factorize(rows["speaker"])[0].astype("int32")
-        return rows.sort_values(["start_s", "speaker"], kind="stable")[["recording_id", "turn_ix", "speaker", "start_s", "end_s"]]
+        return rows.sort_values(["start_s", "speaker"], kind="stable")[columns]
 
     left = turns.select("recording_id", "turn_ix", "speaker", "start_s", "end_s").groupBy("recording_id")
     schema = "recording_id bigint, turn_ix int, speaker int, start_s double, end_s double"
-    return left.cogroup(prints.select("recording_id", "speaker", "embedding").groupBy("recording_id")).applyInPandas(merge, schema)
+    return left.cogroup(prints.select(F.col("recording_id").alias("recording_id"), "speaker", "embedding").groupBy("recording_id")).applyInPandas(merge, schema)
 
 
 def _hardest_first(n: int, near: list[set[int]]) -> list[int]:
@@ -99,7 +101,7 @@ def group_tracks(voices: DataFrame, conflicts: DataFrame, wanted: int, threshold
     possible: those with most conflicts first, each to the nearest person allowed, or to a new one if that is far."""
 
     def group(key, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("track").reset_index(drop=True)
+        rows, pairs = filled(rows, "recording_id", "track", "embedding").sort_values("track").reset_index(drop=True), filled(pairs, "a", "b")
         near, x = _graph(rows, pairs), [np.array(e, float) for e in rows["embedding"]]
         people, members = [-1] * len(rows), [[] for _ in range(wanted)]
         for t in _hardest_first(len(rows), near):
@@ -118,7 +120,7 @@ def group_tracks(voices: DataFrame, conflicts: DataFrame, wanted: int, threshold
         return rows[["recording_id", "track"]].assign(person=[order.index(p) for p in people])
 
     left = voices.select("recording_id", "track", "embedding").groupBy("recording_id")
-    return left.cogroup(conflicts.select("recording_id", "a", "b").groupBy("recording_id")).applyInPandas(group, "recording_id bigint, track int, person int")
+    return left.cogroup(conflicts.select(F.col("recording_id").alias("recording_id"), "a", "b").groupBy("recording_id")).applyInPandas(group, "recording_id bigint, track int, person int")
 
 
 def people_at_least(conflicts: DataFrame) -> DataFrame:

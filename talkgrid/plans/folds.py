@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from talkgrid.functions import ordered
 from talkgrid.functions import text as t
-from talkgrid.operators import folds
+from talkgrid.operators import folds, frames, speakers
+from talkgrid.operators.intervals import interval_join
 from talkgrid.plans import sql
 from talkgrid.sources.tables import segments, texts, turns, voices
 from talkgrid.streaming.live import replay
@@ -137,7 +138,53 @@ def live_commit(spark, sf_dir):
     return found.select("recording_id", "pass_ix", "text", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
 
 
-QUERIES = {f.__name__: f for f in (stitch_windows, trim_across, loop_tail, loop_ratio, word_changes, spelled_words, steady_words, voice_pieces, cluster_voices, link_tracks, ctc_place, read_back, place_heard, rename_by_rule, corrections, live_commit)}
+def distinct_spans(spark, sf_dir):
+    found = speakers.distinct_spans(turns(spark, sf_dir).select("recording_id", F.col("turn_ix").alias("span_ix"), "start_s", "end_s"))
+    return found.select("recording_id", "span_ix")
+
+
+def pair_speakers(spark, sf_dir):
+    """One side's labels matched to the other's by the frames that they share."""
+    t = turns(spark, sf_dir)
+    a, b = (frames.votes(t.where(F.col("turn_ix") % 2 == k), 6.0).select("recording_id", "frame", F.col("speaker").alias(n)) for k, n in ((0, "a"), (1, "b")))
+    return speakers.pair_speakers(a.join(b, ["recording_id", "frame"]).groupBy("recording_id", "a", "b").agg(F.count("*").alias("frames")))
+
+
+def voted_turns(spark, sf_dir):
+    return speakers.voted_turns(turns(spark, sf_dir), 6.0)
+
+
+def _conflicts(spark, sf_dir):
+    """Tracks, here numbered speakers, that talk at once."""
+    t = turns(spark, sf_dir).withColumn("track", F.dense_rank().over(Window.partitionBy("recording_id").orderBy("speaker")))
+    return t, interval_join(t, t, bucket=24.0).where("track < r_track").select("recording_id", F.col("track").alias("a"), F.col("r_track").alias("b")).distinct()
+
+
+def people_at_least(spark, sf_dir):
+    return speakers.people_at_least(_conflicts(spark, sf_dir)[1])
+
+
+def group_tracks(spark, sf_dir):
+    """Tracks with made-up voices, grouped to three people."""
+    t, conflicts = _conflicts(spark, sf_dir)
+    angle = F.col("track") * 1.3 + F.col("recording_id")
+    found = t.select("recording_id", "track", F.array(F.cos(angle), F.sin(angle)).alias("embedding")).distinct()
+    return speakers.group_tracks(found, conflicts, 3)
+
+
+def merge_to_count(spark, sf_dir):
+    t, _ = _conflicts(spark, sf_dir)
+    t = t.select("recording_id", "turn_ix", F.col("track").alias("speaker"), "start_s", "end_s")
+    found = speakers.merge_to_count(t, t.select("recording_id", "speaker").where("speaker < 0").withColumn("embedding", F.array(F.lit(0.0))), 2)
+    return found.select("recording_id", "turn_ix", "speaker")
+
+
+def finish_sentences(spark, sf_dir):
+    words = _words(spark, sf_dir).join(segments(spark, sf_dir).select("recording_id", "seq", "speaker"), ["recording_id", "seq"])
+    return speakers.finish_sentences(words.withColumn("text", F.when(F.col("word_ix") < 2, F.lower("text")).otherwise(F.col("text")))).select("recording_id", "seq", "word_ix", "text", "speaker")
+
+
+QUERIES = {f.__name__: f for f in (distinct_spans, pair_speakers, voted_turns, people_at_least, group_tracks, merge_to_count, finish_sentences, stitch_windows, trim_across, loop_tail, loop_ratio, word_changes, spelled_words, steady_words, voice_pieces, cluster_voices, link_tracks, ctc_place, read_back, place_heard, rename_by_rule, corrections, live_commit)}
 
 _GRID = rf"""WITH {sql.SEGMENTS}, c AS (SELECT recording_id, list_filter(string_split(lower(regexp_replace(text, '\P{{L}}', '', 'g')), ''), lambda x: x >= 'a' AND x <= 'z')[1:40] AS l FROM v_segments WHERE seq = 0),
 g AS (SELECT recording_id, i AS token_ix, ascii(l[i + 1]) - 96 AS token FROM (SELECT *, unnest(range(len(l))) AS i FROM c))"""
