@@ -7,10 +7,10 @@ an equal or similar token set; lines are judged on the input, not on what is lef
 
 Tokens are ordered by rarity: by the count of their bucket in a table of BUCKETS counts over the whole
 corpus (a fixed size, so it can be broadcast), then by hash; any total order keeps the join exact.
-A set of n tokens needs its first n - ceil(0.8 n) + 1 tokens as keys. A key whose bucket counts above
-HOT is paired with every other token of the prefix made one longer, of which similar sets share two.
-Within a key, sets meet if length, position and a 128-bit parity sketch of the tokens allow it; these
-are verified on their whole token sets at their smallest common key. Groups above GROUP are put off,
+A set of n tokens needs its first n - ceil(0.8 n) + 1 tokens as keys. A token whose bucket counts above
+HOT is a key only together with each other token of the prefix made one longer, of which similar sets share two.
+Within a key, sets meet if length, position and a 128-bit parity sketch of the tokens allow it, unless they have
+the same first key, where they meet anyway; these are verified on their whole token sets at their smallest common key. Groups above GROUP are put off,
 dealt in blocks, and compared block by block. No pair is ever written: groups emit marks and counts.
 
 Edges: null texts have no lines; blank lines are no duplicates and stay; lines of few words match
@@ -26,15 +26,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgrid.llm.tables import cut, table
+from talkgrid.llm.bittable import bit_table, holds
+from talkgrid.llm.tables import cut, stored, table
 from talkgrid.llm.textbytes import SPACE_WORDS, Words, mix, pieces
 
 #: Similarity as a fraction, 4/5.
 SIMILARITY = (4, 5)
 BUCKETS = 1 << 20
-HOT = 400
+#: Counts of one packed block.
+COUNTS = 1 << 12
+#: Sets of up to so many tokens have a sketch of one word, larger ones of two.
+SMALL = 64
+HOT = 100_000
 #: Sets of one key that are compared in one group.
 GROUP = 1000
+#: log2 of the bits of the table of classes with candidates.
+TABLE_BITS = 26
+#: Rows of a key from which sets are compared by a matrix product.
+DENSE = 64
+#: Pairs that are compared at once.
+PAIRS = 50_000
 #: Classes that a task remembers, so as not to send their copies again.
 SEEN = 1 << 20
 NO_PLACE = (1 << 31) - 1
@@ -75,9 +86,12 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+LINE = "doc_id long, row long, line int, cls long, block int, counts binary"
+
+
 def _scan(buckets: int):
-    """(doc_id, row, text) to a row of every line with words, and at the end the counts of token buckets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
+    """(doc_id, row, text) to a row of every line with words, and at the end the counts of token buckets in packed blocks."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def job(batches):
         total = np.zeros(buckets, np.int64)
@@ -85,16 +99,34 @@ def _scan(buckets: int):
             lines = Lines(piece.column("text"))
             total += np.bincount((lines.tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
             use = np.flatnonzero(lines.size)
-            at = pa.array(lines.doc[use])
-            none = pa.nulls(len(use))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(at), piece.column("row").take(at), pa.array(lines.number[use].astype(np.int32)), pa.array(lines.cls[use]), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
-        used = np.flatnonzero(total)
+            at, none = pa.array(lines.doc[use]), pa.nulls(len(use))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(at), piece.column("row").take(at), pa.array(lines.number[use].astype(np.int32)), pa.array(lines.cls[use]), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+        blocks = np.minimum(total, NO_PLACE).astype(np.int32).reshape(-1, COUNTS)
+        used = np.flatnonzero(blocks.any(axis=1))
         none = pa.nulls(len(used))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(used.astype(np.int32)), pa.array(total[used])], schema=schema)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(used.astype(np.int32)), pa.array([blocks[k].tobytes() for k in used], pa.binary())], schema=schema)
 
     return job
 
 
+def _summed(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts")):
+            own = np.frombuffer(counts.as_buffer(), np.int32).astype(np.int64)
+            total[block] = total[block] + own if block in total else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, NO_PLACE).astype(np.int32).tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
+
+
+def token_counts(scanned: DataFrame, buckets: int) -> np.ndarray:
+    """The counts of all buckets: a table of fixed size."""
+    rows = scanned.where("block is not null").select("block", "counts").repartition("block").mapInArrow(_summed, "block int, counts binary").toArrow()
+    out = np.zeros((buckets // COUNTS, COUNTS), np.int32)
+    for block, counts in zip(rows.column("block").to_pylist(), rows.column("counts").to_pylist()):
+        out[block] = np.frombuffer(counts, np.int32)
+    return out.reshape(-1)
+
+
 def _per_line(values: np.ndarray, first: np.ndarray, how) -> np.ndarray:
     return how.reduceat(values, first) if len(first) else values[:0]
 
@@ -115,7 +147,9 @@ def prefix_rows(lines: Lines, use: np.ndarray, counts: np.ndarray, similarity: t
     first = np.cumsum(size) - size
     bit = np.uint64(1) << (token & np.uint64(63))
     high = (token >> np.uint64(6)) & np.uint64(1) == 1
-    sketch = [_per_line(np.where(high == k, bit, np.uint64(0)), first, np.bitwise_xor).view(np.int64) for k in (False, True)]
+    low, high = (_per_line(np.where(high == k, bit, np.uint64(0)), first, np.bitwise_xor) for k in (False, True))
+    small = size <= SMALL
+    sketch = [np.where(small, low ^ high, low).view(np.int64), np.where(small, np.uint64(0), high).view(np.int64)]
     prefix = size - (num * size + den - 1) // den + 1
     place = np.arange(n) - first[own]
     cold = np.flatnonzero((place < prefix[own]) & ~common)
@@ -127,14 +161,15 @@ def prefix_rows(lines: Lines, use: np.ndarray, counts: np.ndarray, similarity: t
     u = first[own[t]] + np.arange(len(t)) - np.repeat(np.cumsum(many) - many, many)
     keep = (t != u) & ~(common[u] & (place[u] < prefix[own[u]]) & (u < t))  # two common tokens meet once
     t, u = t[keep], u[keep]
-    second = np.minimum(first + 1, first + size - 1)
-    lead = np.where(common[first], pair(token[first], token[second]), token[first]) if len(use) else np.zeros(0, np.uint64)
-    lead = np.where((size == 1) & common[first], lines.cls[use].view(np.uint64), lead) if len(use) else lead
     who = np.concatenate([own[cold], own[t]])
+    key = np.concatenate([token[cold], pair(token[t], token[u])]).view(np.int64)
+    # The key at place 0 leads; a set whose first token is too common has none in common with others.
+    lead = lines.cls[use].copy()
+    lead[own[cold[place[cold] == 0]]] = token[cold[place[cold] == 0]].view(np.int64)
     return {
-        "key": np.concatenate([token[cold], pair(token[t], token[u])]).view(np.int64),
+        "key": key,
         "cls": lines.cls[use][who],
-        "lead": lead.view(np.int64)[who],
+        "lead": lead[who],
         "b0": sketch[0][who],
         "b1": sketch[1][who],
         "meta": (size[who] << 32) | np.concatenate([place[cold], np.full(len(t), NO_PLACE)]),
@@ -204,19 +239,20 @@ def neighbours(rows: dict[str, np.ndarray], num: int, den: int):
         d += 1
 
 
-def _candidates(similarity: tuple[int, int], put_off: bool):
+def _candidates(similarity: tuple[int, int], put_off: bool, group: int = GROUP):
     """Key groups to marks: kind 0, a class that has a partner under a key; kind 1, rows of groups put off."""
     num, den = similarity
     names = ("key", "cls", "lead", "b0", "b1", "meta")
 
     def job(batches):
-        for rows, large in grouped(batches, names if put_off else (*names, "of"), GROUP if put_off else 1 << 40):
+        for rows, large in grouped(batches, names if put_off else (*names, "of"), group if put_off else 1 << 40):
             if large:
                 yield _batch(kind=np.ones(len(rows["key"]), np.int32), **{c: rows[c] for c in names})
                 continue
             rows["size"], rows["place"] = rows["meta"] >> 32, rows["meta"] & NO_PLACE
             alive = np.zeros(len(rows["key"]), bool)
-            bits = [rows[b].view(np.uint64) for b in ("b0", "b1")]
+            b0, b1 = rows["b0"].view(np.uint64), rows["b1"].view(np.uint64)
+            small, fold = rows["size"] <= SMALL, b0 ^ b1
             # In a block pair, "of" is the key that the rows have in common.
             key = rows["key"] if put_off else rows["of"]
             for i, j in neighbours(rows, num, den):
@@ -224,7 +260,8 @@ def _candidates(similarity: tuple[int, int], put_off: bool):
                 i, j = i[ok], j[ok]
                 si, sj, pi, pj = rows["size"][i], rows["size"][j], rows["place"][i], rows["place"][j]
                 need = -(-num * (si + sj) // (num + den))
-                apart = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
+                one = np.bitwise_count(np.where(small[i] | small[j], fold[i] ^ fold[j], b0[i] ^ b0[j])).astype(np.int64)
+                apart = one + np.where(small[i] | small[j], 0, np.bitwise_count(b1[i] ^ b1[j]))
                 best = np.minimum(pi, pj) + np.minimum(si - pi, sj - pj)
                 ok = (si + sj - apart >= 2 * need) & ((pi == NO_PLACE) | (pj == NO_PLACE) | (best >= need))
                 alive[i[ok]] = alive[j[ok]] = True
@@ -238,9 +275,9 @@ def _candidates(similarity: tuple[int, int], put_off: bool):
 MARK = "kind int, key long, cls long, lead long, b0 long, b1 long, meta long"
 
 
-def dealt(rows: DataFrame, by: str) -> DataFrame:
+def dealt(rows: DataFrame, by: str, group: int = GROUP) -> DataFrame:
     """Rows of large key groups in blocks: of is their key, key one pair of blocks, mine and cross (two blocks) tell which pairs count."""
-    counts = cut(rows.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))).withColumnRenamed("key", "of")
+    counts = cut(rows.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))).withColumnRenamed("key", "of")
     rows = rows.withColumnRenamed("key", "of").join(counts, "of")
     own = F.pmod(F.xxhash64(by, "of"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.xxhash64("of", F.least(own, j), F.greatest(own, j)).alias("key"), (own != j).alias("cross")))
@@ -248,21 +285,22 @@ def dealt(rows: DataFrame, by: str) -> DataFrame:
     return rows.select("*", "pair.key", "pair.cross").drop("pair", "blocks")
 
 
-def _sets(batches):
-    """(text, wanted: line, cls, keys) to the token sets of the wanted lines, a row for each key."""
-    for piece in pieces(batches):
-        lines = Lines(piece.column("text"))
-        base = np.searchsorted(lines.doc, np.arange(piece.num_rows))
-        out: dict[str, list] = {"key": [], "cls": [], "keys": [], "tokens": []}
-        for d, wanted in enumerate(piece.column("wanted").to_pylist()):
-            for w in wanted:
-                k = base[d] + w["line"]
-                if k < len(lines.doc) and lines.doc[k] == d and lines.cls[k] == w["cls"]:
-                    tokens = np.sort(lines.tokens[lines.first[k] : lines.first[k + 1]].view(np.int64))
-                    for key in w["keys"]:
-                        for name, v in zip(out, (key, w["cls"], w["keys"], tokens)):
-                            out[name].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["cls"], pa.int64()), pa.array(out["keys"], pa.list_(pa.int64())), pa.array(out["tokens"], pa.list_(pa.int64()))], names=list(out))
+def _sets(shared):
+    """Texts to the token sets of lines whose class is in the table, a class once a task or a few times."""
+
+    def job(batches):
+        seen = np.zeros(0, np.int64)
+        for piece in pieces(batches):
+            lines = Lines(piece.column("text"))
+            use = np.flatnonzero(lines.size > 0)
+            use = use[holds(shared.value, lines.cls[use])]
+            use = use[np.unique(lines.cls[use], return_index=True)[1]]
+            use = use[~np.isin(lines.cls[use], seen)]
+            seen = np.concatenate([seen, lines.cls[use]]) if len(seen) < SEEN else lines.cls[use]
+            tokens = [np.sort(lines.tokens[lines.first[k] : lines.first[k + 1]].view(np.int64)) for k in use.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lines.cls[use]), pa.array(tokens, pa.list_(pa.int64()))], names=["cls", "tokens"])
+
+    return job
 
 
 def _overlap(sets: list[np.ndarray]) -> np.ndarray:
@@ -276,19 +314,51 @@ def _overlap(sets: list[np.ndarray]) -> np.ndarray:
     return x
 
 
-def _verify(similarity: tuple[int, int], put_off: bool):
+class _Members:
+    """Rows of distinct values, for counting what pairs of rows have in common."""
+
+    def __init__(self, rows: np.ndarray):
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.first = np.append(0, np.cumsum(self.size))
+        self.values = np.concatenate([*rows, np.zeros(0, np.int64)])
+        self.numbers = np.unique(self.values, return_inverse=True)[1]
+        self.width = max(1, int(self.numbers.max(initial=0)) + 1)
+        self.sorted = np.sort(np.repeat(np.arange(len(rows)), self.size) * self.width + self.numbers)
+
+    def common(self, i: np.ndarray, j: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
+        """How many values rows i and j share, of those below a limit where it is given."""
+        n = self.size[i]
+        pair = np.repeat(np.arange(len(i)), n)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + self.first[i][pair]
+        if below is not None:
+            keep = self.values[at] < below[pair]
+            pair, at = pair[keep], at[keep]
+        wanted = j[pair] * self.width + self.numbers[at]
+        place = np.minimum(np.searchsorted(self.sorted, wanted), max(0, len(self.sorted) - 1))
+        hit = self.sorted[place] == wanted if len(self.sorted) else np.zeros(len(wanted), bool)
+        return np.bincount(pair[hit], minlength=len(i))
+
+
+def _verify(similarity: tuple[int, int], put_off: bool, group: int = GROUP):
     """Groups of whole sets to links counted once for each pair: (kind 0, cls, n, doc, line of the earliest partner)
     or, kind 1, rows of groups put off."""
     num, den = similarity
     names = ("key", "cls", "keys", "tokens", "doc", "line")
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("cls", pa.int64()), ("keys", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int64())])
 
-    def links(rows: dict[str, np.ndarray]):
-        n = len(rows["key"])
+    def linked(rows: dict[str, np.ndarray], ok: np.ndarray):
+        """Links of rows that a matrix allows."""
+        who = np.flatnonzero(ok.any(axis=1))
+        place = np.lexsort((rows["line"], rows["doc"]))
+        rank = np.empty(len(place), np.int64)
+        rank[place] = np.arange(len(place))
+        best = place[np.where(ok[who], rank[None, :], len(place)).min(axis=1)] if len(who) else who
+        return rows["cls"][who], rows["doc"][best], rows["line"][best], ok[who].sum(axis=1)
+
+    def dense(rows: dict[str, np.ndarray]):
         tokens = _overlap(list(rows["tokens"]))
-        common = tokens @ tokens.T
         size = np.array([len(t) for t in rows["tokens"]])
-        ok = common * (num + den) >= num * (size[:, None] + size[None, :])
+        ok = (tokens @ tokens.T) * (num + den) >= num * (size[:, None] + size[None, :])
         ok &= rows["cls"][:, None] != rows["cls"][None, :]
         if not put_off:
             ok &= (rows["mine"][:, None] != rows["mine"][None, :]) == rows["cross"][:, None]
@@ -296,27 +366,57 @@ def _verify(similarity: tuple[int, int], put_off: bool):
             own = rows["key"] if put_off else rows["of"]
             lower = _overlap([k[k < o] for k, o in zip(rows["keys"], own)])
             ok &= (lower @ lower.T) == 0
-        who = np.flatnonzero(ok.any(axis=1))
+        return linked(rows, ok)
+
+    def sparse(rows: dict[str, np.ndarray]):
+        """The same for many keys of few rows each."""
+        n = len(rows["key"])
+        tokens, keys = _Members(rows["tokens"]), _Members(rows["keys"])
+        size = tokens.size
         place = np.lexsort((rows["line"], rows["doc"]))
         rank = np.empty(n, np.int64)
         rank[place] = np.arange(n)
-        best = place[np.where(ok[who], rank[None, :], n).min(axis=1)] if len(who) else who
-        return rows["cls"][who], rows["doc"][best], rows["line"][best], ok[who].sum(axis=1)
+        many, best = np.zeros(n, np.int64), np.full(n, n)
+        begins = np.append(True, rows["key"][1:] != rows["key"][:-1])
+        stop = np.repeat(np.append(np.flatnonzero(begins)[1:], n), np.diff(np.append(np.flatnonzero(begins), n)))
+        left, d = np.arange(n), 1
+        while True:
+            left = left[left + d < stop[left]]
+            if not len(left):
+                break
+            for i in np.split(left, range(PAIRS, len(left), PAIRS)):
+                j = i + d
+                ok = (num * size[i] <= den * size[j]) & (num * size[j] <= den * size[i])
+                if not put_off:
+                    ok &= (rows["mine"][i] != rows["mine"][j]) == rows["cross"][i]
+                i, j = i[ok], j[ok]
+                ok = keys.common(i, j, below=(rows["key"] if put_off else rows["of"])[i]) == 0
+                i, j = i[ok], j[ok]
+                ok = (tokens.common(i, j) * (num + den) >= num * (size[i] + size[j])) & (rows["cls"][i] != rows["cls"][j])
+                for a, b in ((i[ok], j[ok]), (j[ok], i[ok])):
+                    np.add.at(many, a, 1)
+                    np.minimum.at(best, a, rank[b])
+            d += 1
+        who = np.flatnonzero(many)
+        at = place[best[who]]
+        return rows["cls"][who], rows["doc"][at], rows["line"][at], many[who]
 
     def job(batches):
-        for rows, large in grouped(batches, names if put_off else (*names, "of", "mine", "cross"), GROUP if put_off else 1 << 40):
+        for rows, large in grouped(batches, names if put_off else (*names, "of", "mine", "cross"), group if put_off else 1 << 40):
             m = len(rows["key"])
             if large:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(rows["key"]), pa.array(rows["cls"]), pa.array(list(rows["keys"]), schema.field("keys").type), pa.array(list(rows["tokens"]), schema.field("tokens").type), pa.array(rows["doc"]), pa.array(rows["line"].astype(np.int32)), pa.array(np.zeros(m, np.int64))], schema=schema)
                 continue
+            once = np.ones(m, bool)  # a class may have come from several tasks
+            order = np.lexsort((rows["cls"], rows["key"]))
+            once[order[1:]] = (rows["key"][order][1:] != rows["key"][order][:-1]) | (rows["cls"][order][1:] != rows["cls"][order][:-1])
+            rows = {c: v[once] for c, v in rows.items()}
             begins = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
-            ends = np.append(begins[1:], m)
-            found = []
-            for a, b in zip(begins.tolist(), ends.tolist()):
-                part = {c: v[a:b] for c, v in rows.items()}
-                once = np.unique(part["cls"], return_index=True)[1]
-                if len(once) > 1:
-                    found.append(links({c: v[once] for c, v in part.items()}))
+            ends = np.append(begins[1:], len(rows["key"]))
+            large = ends - begins > DENSE
+            found = [dense({c: v[a:b] for c, v in rows.items()}) for a, b in zip(begins[large].tolist(), ends[large].tolist())]
+            small = np.repeat(~large & (ends - begins > 1), ends - begins)
+            found.append(sparse({c: v[small] for c, v in rows.items()}))
             cls, doc, line, n = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
             k = len(cls)
             lists = pa.nulls(k).cast(pa.list_(pa.int64()))
@@ -332,48 +432,47 @@ def _row() -> F.Column:
     return F.xxhash64("text")
 
 
-def join_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, buckets: int = BUCKETS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def join_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, buckets: int = BUCKETS, hot: int = HOT, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, row, line, cls), and classes (cls, doc, line of the first, links, other_doc, other_line of the earliest partner)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", _row().alias("row"), "text")
-    scanned = cut(docs.mapInArrow(_scan(buckets), "doc_id long, row long, line int, cls long, bucket int, n long"))
-    lines = scanned.where("bucket is null").drop("bucket", "n").withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
-    summed = scanned.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(buckets, np.int64)
-    counts[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+    scanned = stored(docs.mapInArrow(_scan(buckets), LINE))
+    lines = scanned.where("block is null").drop("block", "counts").withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
+    shared = spark.sparkContext.broadcast(token_counts(scanned, buckets))
     first = F.min(F.struct(F.col("doc_id").alias("doc"), "line", "row")).alias("at")
-    classes = cut(lines.groupBy("cls").agg(first).select("cls", "at.doc", "at.line", "at.row"))
+    classes = stored(lines.groupBy("cls").agg(first).select("cls", "at.doc", "at.line", "at.row"))
 
     rows = docs.select("text").mapInArrow(_keys(shared, similarity, hot), "key long, cls long, lead long, b0 long, b1 long, meta long")
-    marks = cut(rows.repartition("key").sortWithinPartitions("key", "meta").mapInArrow(_candidates(similarity, True), MARK))
-    late = dealt(marks.where("kind = 1").drop("kind").distinct(), "cls").repartition("key").sortWithinPartitions("key", "meta")
+    marks = stored(rows.repartition("key").sortWithinPartitions("key", "meta").mapInArrow(_candidates(similarity, True, group), MARK))
+    late = dealt(marks.where("kind = 1").drop("kind").distinct(), "cls", group).repartition("key").sortWithinPartitions("key", "meta")
     late = late.select("key", "cls", "lead", "b0", "b1", "meta", "of").mapInArrow(_candidates(similarity, False), MARK)
     alive = marks.where("kind = 0").select("cls", "key").unionByName(late.select("cls", "key"))
     alive = alive.groupBy("cls").agg(F.collect_set("key").alias("keys"))
-    alive = cut(alive.join(classes, "cls"))
-    wanted = alive.groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("line", "cls", "keys")).alias("wanted"))
-    texts = docs.join(wanted, (F.coalesce("doc_id", F.lit(_LAST)) == F.col("_doc")) & (F.col("row") == F.col("_row")))
-    sets = texts.select("text", "wanted").mapInArrow(_sets, "key long, cls long, keys array<long>, tokens array<long>")
-    sets = sets.join(alive.select("cls", "doc", "line"), "cls").repartition("key").sortWithinPartitions("key")
-    found = cut(sets.select("key", "cls", "keys", "tokens", "doc", "line").mapInArrow(_verify(similarity, True), FOUND))
-    late = dealt(found.where("kind = 1").drop("kind", "n").dropDuplicates(["key", "cls"]), "cls").repartition("key").sortWithinPartitions("key")
+    alive = stored(alive.join(classes.drop("row"), "cls"))
+    chosen = spark.sparkContext.broadcast(bit_table(alive.select("cls"), TABLE_BITS))
+    sets = docs.select("text").mapInArrow(_sets(chosen), "cls long, tokens array<long>").dropDuplicates(["cls"])
+    sets = stored(alive.select("cls", "keys", "doc", "line").join(sets, "cls"))
+    sets = sets.select(F.explode("keys").alias("key"), "cls", F.array_sort("keys").alias("keys"), "tokens", "doc", "line").repartition("key").sortWithinPartitions("key")
+    found = stored(sets.mapInArrow(_verify(similarity, True, group), FOUND))
+    late = dealt(found.where("kind = 1").drop("kind", "n").dropDuplicates(["key", "cls"]), "cls", group).repartition("key").sortWithinPartitions("key")
     late = late.select("key", "cls", "keys", "tokens", "doc", "line", "of", "mine", "cross").mapInArrow(_verify(similarity, False), FOUND)
     links = found.where("kind = 0").select("cls", "n", "doc", "line").unionByName(late.select("cls", "n", "doc", "line"))
     links = links.groupBy("cls").agg(F.sum("n").alias("links"), F.min(F.struct("doc", "line")).alias("other"))
-    return lines, classes.select("cls", "doc", F.col("line").alias("at")).join(links, "cls", "left")
+    # Stored, so that joins with the lines stand on plain shuffles and a class of very many copies can be split.
+    return lines, stored(classes.select("cls", "doc", F.col("line").alias("at")).join(links, "cls", "left"))
 
 
-def judged(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def judged(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, **limits: int) -> DataFrame:
     """For each (doc, row): n_lines with words, n_links (other token sets that its lines match), and the numbers of lines that go."""
-    lines, classes = join_lines(docs, similarity)
+    lines, classes = join_lines(docs, similarity, **limits)
     each = lines.join(classes, "cls")
     here = F.struct(F.col("doc_id").alias("doc"), "line")
     earlier = (F.struct("doc", F.col("at").alias("line")) < here) | F.coalesce(F.col("other") < here, F.lit(False))
-    each = each.select("doc_id", "row", "line", F.coalesce("links", F.lit(0)).alias("links"), earlier.alias("goes")).dropDuplicates(["doc_id", "row", "line"])
-    return each.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(
-        F.count("*").alias("n_lines"), F.sum("links").alias("n_links"), F.count_if("goes").alias("n_removed"), F.collect_list(F.when(F.col("goes"), F.col("line"))).alias("_gone")
-    )
+    each = each.select("doc_id", "row", F.struct("line", F.coalesce("links", F.lit(0)).alias("links"), earlier.alias("goes")).alias("x"))
+    each = each.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("x").alias("x"))  # a set, as rows may repeat
+    links = F.aggregate("x", F.lit(0).cast("long"), lambda n, x: n + x.getField("links"))
+    gone = F.transform(F.filter("x", lambda x: x.getField("goes")), lambda x: x.getField("line"))
+    return each.select("_doc", "_row", F.size("x").alias("n_lines"), links.alias("n_links"), F.size(gone).alias("n_removed"), gone.alias("_gone"))
 
 
 def _cutter(names: list[str]):
@@ -391,11 +490,12 @@ def _cutter(names: list[str]):
     return job
 
 
-def dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """docs with later matches cut out of text, and n_lines, n_links and n_removed (which replace columns of those names)."""
+def dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, **limits: int) -> DataFrame:
+    """docs with later matches cut out of text, and n_lines, n_links and n_removed (which replace columns of those names).
+    limits: buckets, hot and group of join_lines; they change the work, not the result."""
     results = ("n_lines", "n_links", "n_removed")
     docs = docs.drop(*results)
-    found = judged(docs.select("doc_id", "text"), similarity)
+    found = judged(docs.select("doc_id", "text"), similarity, **limits)
     out = docs.join(found, (F.coalesce("doc_id", F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left")
     out = out.select(*docs.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in results], "_gone")
     schema = T.StructType(out.schema.fields[:-1])

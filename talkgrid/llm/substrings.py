@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkgrid.llm.bittable import bit_table, holds
 from talkgrid.llm.linededup import grouped
 from talkgrid.llm.simhash import spaced
 from talkgrid.llm.tables import stored, table
@@ -40,7 +41,6 @@ TABLE_BITS = 26
 GROUP = 2000
 SEEN = 1 << 19
 _LAST = (1 << 63) - 1
-_BLOCK = 16  # log2 of the bits of one block of the table
 
 
 class Runs:
@@ -90,42 +90,15 @@ def _anchors(window: int, seed: int):
     return job
 
 
-def _table_blocks(batches):
-    """Sorted slots of the bit table to blocks of it."""
-    bits, now = None, None
-    for batch in batches:
-        slots = batch.column("slot").to_numpy()
-        for block in np.unique(slots >> _BLOCK).tolist():
-            if block != now:
-                if bits is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-                bits, now = np.zeros(1 << _BLOCK, bool), block
-            bits[slots[slots >> _BLOCK == block] & ((1 << _BLOCK) - 1)] = True
-    if bits is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-
-
-def repeated_table(anchors: DataFrame, table_bits: int) -> np.ndarray:
-    """A packed table of 2^table_bits bits (so of fixed size) that has the bits of all repeated anchors."""
-    slots = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select(F.pmod("anchor", F.lit(1 << table_bits)).alias("slot"), F.pmod(F.shiftright("anchor", _BLOCK), F.lit(1 << (table_bits - _BLOCK))).alias("block"))
-    blocks = slots.repartition("block").sortWithinPartitions("slot").select("slot").mapInArrow(_table_blocks, "block long, bits binary").toArrow()
-    out = np.zeros((1 << (table_bits - _BLOCK), 1 << (_BLOCK - 3)), np.uint8)
-    for block, bits in zip(blocks.column("block").to_pylist(), blocks.column("bits").to_pylist()):
-        out[block] = np.frombuffer(bits, np.uint8)
-    return out.reshape(-1)
-
-
-def _occurrences(shared, window: int, seed: int, table_bits: int):
+def _occurrences(shared, window: int, seed: int):
     """Runs of anchors that the table has; a task gives the window hashes of a class once."""
 
     def job(batches):
         seen = np.zeros(0, np.uint64)
-        mask = np.uint64((1 << table_bits) - 1)
         for piece in pieces(batches):
             words = Words(piece.column("text"), SPACE_WORDS)
             runs = Runs(words, window, seed)
-            slot = (runs.anchor & mask).astype(np.int64)
-            use = np.flatnonzero((shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            use = np.flatnonzero(holds(shared.value, runs.anchor))
             for name in ("anchor", "n", "word", "doc", "begin"):
                 setattr(runs, name, getattr(runs, name)[use])
             cls = runs.classes()
@@ -144,47 +117,53 @@ def _occurrences(shared, window: int, seed: int, table_bits: int):
     return job
 
 
-def _earliest(batches):
+def _earliest(group: int):
     """Classes sorted by anchor to (kind 0, cls, gone: a bit for each window that starts earlier elsewhere), or kind 1: classes of groups put off."""
-    schema = pa.schema([("kind", pa.int32()), ("cls", pa.int64()), ("gone", pa.int32()), ("anchor", pa.int64()), ("doc", pa.int64()), ("begin", pa.int32()), ("windows", pa.list_(pa.int64()))])
-    for rows, large in grouped(batches, ("key", "cls", "doc", "begin", "windows"), GROUP):
-        m = len(rows["key"])
-        if large:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(rows["cls"]), pa.array(np.zeros(m, np.int32)), pa.array(rows["key"]), pa.array(rows["doc"]), pa.array(rows["begin"]), pa.array(list(rows["windows"]), schema.field("windows").type)], schema=schema)
-            continue
-        n = np.array([len(w) for w in rows["windows"]])
-        own = np.repeat(np.arange(m), n)
-        place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        hashed = np.concatenate(list(rows["windows"])).view(np.uint64)
-        key = mix(hashed ^ mix(rows["key"].view(np.uint64))[own])
-        doc, start = rows["doc"][own], rows["begin"][own] + place
-        order = np.lexsort((start, doc, key))
-        head = np.append(True, key[order][1:] != key[order][:-1])
-        first = order[head][np.cumsum(head) - 1]
-        gone = np.zeros(len(own), bool)
-        gone[order] = (doc[order] != doc[first]) | (start[order] != start[first])
-        bits = np.bincount(own, gone * (1 << place), m).astype(np.int32)
-        none = pa.nulls(m)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(rows["cls"]), pa.array(bits), *[none.cast(schema.field(c).type) for c in ("anchor", "doc", "begin", "windows")]], schema=schema)
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, table_bits: int = TABLE_BITS) -> DataFrame:
+
+    def job(batches):
+        schema = pa.schema([("kind", pa.int32()), ("cls", pa.int64()), ("gone", pa.int32()), ("anchor", pa.int64()), ("doc", pa.int64()), ("begin", pa.int32()), ("windows", pa.list_(pa.int64()))])
+        for rows, large in grouped(batches, ("key", "cls", "doc", "begin", "windows"), group):
+            m = len(rows["key"])
+            if large:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(rows["cls"]), pa.array(np.zeros(m, np.int32)), pa.array(rows["key"]), pa.array(rows["doc"]), pa.array(rows["begin"]), pa.array(list(rows["windows"]), schema.field("windows").type)], schema=schema)
+                continue
+            n = np.array([len(w) for w in rows["windows"]])
+            own = np.repeat(np.arange(m), n)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            hashed = np.concatenate(list(rows["windows"])).view(np.uint64)
+            key = mix(hashed ^ mix(rows["key"].view(np.uint64))[own])
+            doc, start = rows["doc"][own], rows["begin"][own] + place
+            order = np.lexsort((start, doc, key))
+            head = np.append(True, key[order][1:] != key[order][:-1])
+            first = order[head][np.cumsum(head) - 1]
+            gone = np.zeros(len(own), bool)
+            gone[order] = (doc[order] != doc[first]) | (start[order] != start[first])
+            bits = np.bincount(own, gone * (1 << place), m).astype(np.int32)
+            none = pa.nulls(m)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(rows["cls"]), pa.array(bits), *[none.cast(schema.field(c).type) for c in ("anchor", "doc", "begin", "windows")]], schema=schema)
+
+    return job
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, table_bits: int = TABLE_BITS, group: int = GROUP) -> DataFrame:
     """For each (doc, row) with repeats, spans: runs of windows that go, as (begin, n, gone bits)."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("row"), "text")
     anchors = docs.select("text").mapInArrow(_anchors(window, seed), "anchor long, n long")
-    shared = spark.sparkContext.broadcast(repeated_table(anchors, table_bits))
-    found = stored(docs.mapInArrow(_occurrences(shared, window, seed, table_bits), "doc long, row long, begin int, n int, anchor long, cls long, windows array<long>"))
+    repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    shared = spark.sparkContext.broadcast(bit_table(repeated, table_bits))
+    found = stored(docs.mapInArrow(_occurrences(shared, window, seed), "doc long, row long, begin int, n int, anchor long, cls long, windows array<long>"))
     classes = found.groupBy("cls").agg(F.min("anchor").alias("key"), F.min(F.struct("doc", "begin")).alias("at"), F.first("windows", ignorenulls=True).alias("windows"))
     classes = stored(classes.select("cls", "key", "at.doc", "at.begin", "windows"))
-    compared = stored(classes.repartition("key").sortWithinPartitions("key").mapInArrow(_earliest, "kind int, cls long, gone int, anchor long, doc long, begin int, windows array<long>"))
+    compared = stored(classes.repartition("key").sortWithinPartitions("key").mapInArrow(_earliest(group), "kind int, cls long, gone int, anchor long, doc long, begin int, windows array<long>"))
     late = compared.where("kind = 1").select("cls", "anchor", "doc", "begin", F.posexplode("windows").alias("place", "w"))
     late = late.withColumn("start", F.col("begin") + F.col("place"))
     first = late.groupBy("anchor", "w").agg(F.min(F.struct("doc", "start")).alias("first"))
     late = late.join(first, ["anchor", "w"]).withColumn("bit", F.when(F.struct("doc", "start") == F.col("first"), 0).otherwise(F.call_function("shiftleft", F.lit(1), F.col("place"))))
     late = late.groupBy("cls").agg(F.bit_or("bit").alias("gone"))
     gone = compared.where("kind = 0").select("cls", "gone").unionByName(late)
-    gone = gone.join(classes.select("cls", F.col("doc").alias("_doc"), F.col("begin").alias("_begin")), "cls")
+    # Stored, so that the join below stands on plain shuffles and a class of very many copies can be split.
+    gone = stored(gone.join(classes.select("cls", F.col("doc").alias("_doc"), F.col("begin").alias("_begin")), "cls"))
     every = F.call_function("shiftleft", F.lit(1), F.col("n")) - 1
     rows = found.select("doc", "row", "begin", "n", "cls").join(gone, "cls")
     bits = F.when((F.col("doc") == F.col("_doc")) & (F.col("begin") == F.col("_begin")), F.col("gone")).otherwise(every)
@@ -238,11 +217,11 @@ def _offsets(lists: pa.ListArray) -> np.ndarray:
     return np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, **limits: int) -> DataFrame:
     """docs with repeats cut out of text (kept words joined by single spaces where any went), n_words, n_removed and
-    kept_sha256, which replace columns of those names."""
+    kept_sha256, which replace columns of those names. limits: table_bits and group of repeats(); they change the work, not the result."""
     docs = docs.drop(*RESULT.names)
-    found = repeats(docs, window).withColumnsRenamed({"doc": "_doc", "row": "_row", "spans": "_spans"})
+    found = repeats(docs, window, **limits).withColumnsRenamed({"doc": "_doc", "row": "_row", "spans": "_spans"})
     out = docs.join(found, (F.coalesce("doc_id", F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_doc", "_row")
     schema = T.StructType([f for f in docs.schema.fields if keep_text or f.name != "text"] + RESULT.fields)
     return out.mapInArrow(_cutter(schema.names, window), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +39,16 @@ def split_of(column: str, parts: int) -> F.Column:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows read back from Parquet files in the shared folder; they go when the driver's Python ends."""
+    """The same rows read back from Parquet files in the shared folder; they go when the driver's Python ends.
+
+    Spark removes the shuffle files of a finished job once the driver's collector has found its plan
+    unused, which by itself may take long: a call of the collector keeps the disk that a chain of steps takes low.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
