@@ -114,7 +114,25 @@ class Phrases:
         return np.concatenate(starts), np.concatenate(lengths), items
 
 
-def _finder(phrases, schema: pa.Schema, names: list[str], again: bool):
+def _without(texts: pa.Array, n_hit: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts with the spans of words cut out."""
+    hit = np.flatnonzero(pc.greater(n_hit, 0).to_numpy(zero_copy_only=False))
+    if not len(hit):
+        return texts
+    words = Words(texts.take(pa.array(hit)), ALNUM_WORDS, lower=True)
+    new = texts.to_pylist()
+    for k, (d, cuts) in enumerate(zip(hit.tolist(), spans.take(pa.array(hit)).to_pylist())):
+        at, left = int(words.off[k]), []
+        for s in cuts:
+            a, b = (int(words.starts[words.first[k] + s["start"]]), int(words.ends[words.first[k] + s["end"] - 1]))
+            left.append(words.raw[at:a].tobytes())
+            at = b
+        left.append(words.raw[at : words.off[k + 1]].tobytes())
+        new[d] = b"".join(left).decode("utf-8")
+    return pa.array(new, texts.type)
+
+
+def _finder(phrases, schema: pa.Schema, names: list[str], again: bool, cut: bool):
     def shard(batches):
         for piece in pieces(batches, limit=SHARD_BYTES):
             own: Phrases = phrases.value
@@ -147,13 +165,16 @@ def _finder(phrases, schema: pa.Schema, names: list[str], again: bool):
                 "items": pa.array([sorted(had[d]) if d in had else [] for d in range(piece.num_rows)], schema.field("items").type),
                 "spans": pa.array([spans.get(d, []) for d in range(piece.num_rows)], schema.field("spans").type),
             }
+            if cut:
+                made["text"] = _without(piece.column("text"), made["n_hit"], made["spans"])
             yield pa.RecordBatch.from_arrays([made[n] if n in made else piece.column(n) for n in names], names=names)
 
     return shard
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs (with text) and for each row n_words, n_hit, items (ids as strings, sorted) and spans of hit words."""
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, cut: bool = False) -> DataFrame:
+    """docs (with text) and for each row n_words, n_hit, items (ids as strings, sorted) and spans of hit words; with cut
+    the spans are cut out of text in the same pass."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -165,7 +186,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_byte
     for i in range(chunks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == i).collect()
         shared = spark.sparkContext.broadcast(Phrases([r[0] for r in rows], [r[1] for r in rows], window))
-        out = out.mapInArrow(_finder(shared, arrow, names, again=i > 0), schema)
+        out = out.mapInArrow(_finder(shared, arrow, names, again=i > 0, cut=cut and i == chunks - 1), schema)
     return out
 
 
@@ -182,21 +203,7 @@ def remove_spans(found: DataFrame) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column("text")
-            hit = np.flatnonzero(pc.greater(batch.column("n_hit"), 0).to_numpy(zero_copy_only=False))
-            if len(hit):
-                words = Words(texts.take(pa.array(hit)), ALNUM_WORDS, lower=True)
-                new = texts.to_pylist()
-                spans = batch.column("spans").take(pa.array(hit)).to_pylist()
-                for k, d in enumerate(hit.tolist()):
-                    at, left = int(words.off[k]), []
-                    for s in spans[k]:
-                        a, b = (int(words.starts[words.first[k] + s["start"]]), int(words.ends[words.first[k] + s["end"] - 1]))
-                        left.append(words.raw[at:a].tobytes())
-                        at = b
-                    left.append(words.raw[at : words.off[k + 1]].tobytes())
-                    new[d] = b"".join(left).decode("utf-8")
-                texts = pa.array(new, texts.type)
+            texts = _without(batch.column("text"), batch.column("n_hit"), batch.column("spans"))
             yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names=names)
 
     return found.mapInArrow(cut, schema)

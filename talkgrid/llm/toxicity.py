@@ -27,6 +27,8 @@ from talkgrid.llm.textbytes import ALNUM_WORDS, Words, mix, pieces, span_hashes
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
 FEATURES = 768
+#: Bytes of text handled at once; every word gives several features.
+PIECE = 1 << 19
 RATE_WORDS = 40.0
 MAX_POSITIVE = 6000
 MAX_UNLABELLED = 18000
@@ -58,7 +60,7 @@ def _values(docs: np.ndarray, buckets: np.ndarray, n_words: np.ndarray) -> tuple
 def _counter(batches):
     """Rows (positive, text) to how many documents of either kind have each feature, in blocks of buckets."""
     total = np.zeros((2, 2 * BUCKETS), np.int64)
-    for piece in pieces(batches):
+    for piece in pieces(batches, limit=PIECE):
         docs, buckets, rate = _values(*feature_rows(piece.column("text")))
         kind = piece.column("positive").to_numpy(zero_copy_only=False).astype(np.int64)
         for d, b in ((docs, buckets), (docs[rate >= 0.5], buckets[rate >= 0.5] + BUCKETS)):
@@ -73,7 +75,7 @@ def _chosen(features: np.ndarray):
     def job(batches):
         number = np.full(BUCKETS, -1, np.int32)
         number[features] = np.arange(len(features))
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=PIECE):
             docs, buckets, n_words = feature_rows(piece.column("text"))
             keep = number[buckets] >= 0
             docs, buckets, rate = _values(docs[keep], buckets[keep], n_words)
@@ -152,7 +154,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
 
     def job(batches):
         weights, bias = shared.value
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=PIECE):
             docs_of, buckets, n_words = feature_rows(piece.column("text"))
             keep = (weights[:, buckets] != 0).any(axis=0)
             d, b, rate = _values(docs_of[keep], buckets[keep], n_words)
