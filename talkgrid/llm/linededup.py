@@ -68,7 +68,7 @@ class Lines:
         self.end[last] = words.off[1:][self.doc[last]]
         self.number = np.arange(len(self.doc)) - np.searchsorted(self.doc, np.arange(n))[self.doc]
         self.words = words
-        line = np.searchsorted(self.start, words.starts, "right") - 1
+        line = np.repeat(np.arange(len(self.start)), np.diff(np.append(np.searchsorted(words.starts, self.start), len(words.starts))))
         self.hashes = words.hashes()
         order = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (self.hashes >> np.uint64(24)))
         line, token = line[order], self.hashes[order]
@@ -249,6 +249,8 @@ def _candidates(similarity: tuple[int, int], put_off: bool, group: int = GROUP):
             if large:
                 yield _batch(kind=np.ones(len(rows["key"]), np.int32), **{c: rows[c] for c in names})
                 continue
+            order = np.lexsort((rows["meta"], rows["key"]))  # by size within a key; Spark sorts fastest by one column
+            rows = {c: v[order] for c, v in rows.items()}
             rows["size"], rows["place"] = rows["meta"] >> 32, rows["meta"] & NO_PLACE
             alive = np.zeros(len(rows["key"]), bool)
             b0, b1 = rows["b0"].view(np.uint64), rows["b1"].view(np.uint64)
@@ -443,8 +445,8 @@ def join_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, bucket
     classes = stored(lines.groupBy("cls").agg(first).select("cls", "at.doc", "at.line", "at.row"))
 
     rows = docs.select("text").mapInArrow(_keys(shared, similarity, hot), "key long, cls long, lead long, b0 long, b1 long, meta long")
-    marks = stored(rows.repartition("key").sortWithinPartitions("key", "meta").mapInArrow(_candidates(similarity, True, group), MARK))
-    late = dealt(marks.where("kind = 1").drop("kind").distinct(), "cls", group).repartition("key").sortWithinPartitions("key", "meta")
+    marks = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(similarity, True, group), MARK))
+    late = dealt(marks.where("kind = 1").drop("kind").distinct(), "cls", group).repartition("key").sortWithinPartitions("key")
     late = late.select("key", "cls", "lead", "b0", "b1", "meta", "of").mapInArrow(_candidates(similarity, False), MARK)
     alive = marks.where("kind = 0").select("cls", "key").unionByName(late.select("cls", "key"))
     alive = alive.groupBy("cls").agg(F.collect_set("key").alias("keys"))
