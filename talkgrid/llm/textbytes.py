@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer document is still handled whole.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 SPACE_WORDS = np.ones(256, bool)
 SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = False
