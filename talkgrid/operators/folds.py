@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from collections.abc import Callable
 
 import numpy as np
@@ -289,7 +291,7 @@ def align_tokens(grid: np.ndarray, tokens: list[int], blank_token: int = 0) -> l
     path = np.empty(frames, int)
     for t in range(frames - 1, -1, -1):
         path[t] = s
-        s -= came[t, s]
+        s -= int(came[t, s])
     out = []
     for i, token in enumerate(tokens):
         at = np.flatnonzero(path == 2 * i + 1)
@@ -297,31 +299,31 @@ def align_tokens(grid: np.ndarray, tokens: list[int], blank_token: int = 0) -> l
     return out
 
 
-def place_tokens(frames: DataFrame, tokens: DataFrame, blank_token: int = 0) -> DataFrame:
+def place_tokens(frames: DataFrame, tokens: DataFrame, blank_token: int = 0, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
     """Where tokens (recording_id, token_ix, token) lie in frames (recording_id, frame, logp): first_frame, last_frame, score.
-    A recording whose tokens don't fit gives no rows."""
+    A recording whose tokens don't fit gives no rows. With further keys, such as seq, each group of them is aligned on its own."""
 
     def place(key, grid: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        columns = ["recording_id", "token_ix", "first_frame", "last_frame", "score"]
+        columns = [*keys, "token_ix", "first_frame", "last_frame", "score"]
         wanted = filled(wanted, "token_ix", "token").sort_values("token_ix")
         found = align_tokens(np.array(grid.sort_values("frame")["logp"].tolist()), wanted["token"].tolist(), blank_token) if len(grid) and len(wanted) else None
-        rows = [(key[0], i, *f) for i, f in zip(wanted["token_ix"], found)] if found else []
+        rows = [(*key, i, *f) for i, f in zip(wanted["token_ix"], found)] if found else []
         return pd.DataFrame(rows, columns=columns)
 
-    schema = "recording_id bigint, token_ix int, first_frame int, last_frame int, score double"
-    return frames.groupBy("recording_id").cogroup(tokens.select(F.col("recording_id").alias("recording_id"), "token_ix", "token").groupBy("recording_id")).applyInPandas(place, schema)
+    schema = ", ".join(f"{k} bigint" for k in keys) + ", token_ix int, first_frame int, last_frame int, score double"
+    return frames.groupBy(*keys).cogroup(tokens.select(*[F.col(k).alias(k) for k in keys], "token_ix", "token").groupBy(*keys)).applyInPandas(place, schema)
 
 
-def read_back(frames: DataFrame, blank_token: int = 0) -> DataFrame:
+def read_back(frames: DataFrame, blank_token: int = 0, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
     """The greedy reading of frames (recording_id, frame, logp): the likeliest tokens, repeats collapsed, blanks left out."""
     from pyspark.sql import Window
 
     token = F.array_position("logp", F.array_max("logp")).cast("int") - 1
-    rows = frames.select("recording_id", "frame", token.alias("token"))
-    before = F.lag("token").over(Window.partitionBy("recording_id").orderBy("frame"))
+    rows = frames.select(*keys, "frame", token.alias("token"))
+    before = F.lag("token").over(Window.partitionBy(*keys).orderBy("frame"))
     rows = rows.withColumn("_before", before).where((F.col("token") != blank_token) & (F.col("_before").isNull() | (F.col("_before") != F.col("token"))))
     ordered = F.array_sort(F.collect_list(F.struct("frame", "token")))
-    return rows.groupBy("recording_id").agg(F.transform(ordered, lambda x: x.getField("token")).alias("tokens"))
+    return rows.groupBy(*keys).agg(F.transform(ordered, lambda x: x.getField("token")).alias("tokens"))
 
 
 def place_heard(segments: DataFrame, heard: DataFrame, margin: float = 3.0, least: float = 0.5, longest: float = 1.5) -> DataFrame:

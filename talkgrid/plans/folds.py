@@ -104,6 +104,26 @@ def read_back(spark, sf_dir):
     return found.select("recording_id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"))
 
 
+def _whole_grid(spark, sf_dir):
+    """Score grids as above for all letters of all segments. Texts are dealt by segment before they become grids, which then don't move."""
+    s = segments(spark, sf_dir).select("recording_id", "seq", "text").repartition("recording_id", "seq")
+    letters = F.filter(F.split(t.letters("text"), ""), lambda c: (c >= "a") & (c <= "z"))
+    tokens = s.select("recording_id", "seq", F.posexplode(letters).alias("token_ix", "c")).select("recording_id", "seq", "token_ix", (F.ascii("c") - 96).alias("token"))
+    frames = tokens.select("recording_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "token_ix", "token")
+    score = lambda i: F.when((F.col("k") == 1) & (i == F.col("token")), 0.0).when((F.col("k") != 1) & (i == 0), 0.0).otherwise(-12.0)
+    return frames.select("recording_id", "seq", (F.col("token_ix") * 3 + F.col("k")).alias("frame"), F.transform(F.sequence(F.lit(0), F.lit(26)), score).alias("logp")), tokens
+
+
+def ctc_place_all(spark, sf_dir):
+    found = folds.place_tokens(*_whole_grid(spark, sf_dir), keys=("recording_id", "seq"))
+    return found.select("recording_id", "seq", "token_ix", "first_frame", "last_frame", F.round("score", 6).alias("score"))
+
+
+def read_back_all(spark, sf_dir):
+    found = folds.read_back(_whole_grid(spark, sf_dir)[0], keys=("recording_id", "seq"))
+    return found.select("recording_id", "seq", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"))
+
+
 def place_heard(spark, sf_dir):
     heard = _words(spark, sf_dir).where("word_ix % 3 <> 1")
     heard = heard.select("recording_id", (F.col("seq") * 10000 + F.col("word_ix")).alias("word_ix"), "text", (F.col("start_s") + 0.1).alias("at_s"))
@@ -184,14 +204,19 @@ def finish_sentences(spark, sf_dir):
     return speakers.finish_sentences(words.withColumn("text", F.when(F.col("word_ix") < 2, F.lower("text")).otherwise(F.col("text")))).select("recording_id", "seq", "word_ix", "text", "speaker")
 
 
-QUERIES = {f.__name__: f for f in (distinct_spans, pair_speakers, voted_turns, people_at_least, group_tracks, merge_to_count, finish_sentences, stitch_windows, trim_across, loop_tail, loop_ratio, word_changes, spelled_words, steady_words, voice_pieces, cluster_voices, link_tracks, ctc_place, read_back, place_heard, rename_by_rule, corrections, live_commit)}
+QUERIES = {f.__name__: f for f in (distinct_spans, pair_speakers, voted_turns, people_at_least, group_tracks, merge_to_count, finish_sentences, stitch_windows, trim_across, loop_tail, loop_ratio, word_changes, spelled_words, steady_words, voice_pieces, cluster_voices, link_tracks, ctc_place, read_back, ctc_place_all, read_back_all, place_heard, rename_by_rule, corrections, live_commit)}
 
 _GRID = rf"""WITH {sql.SEGMENTS}, c AS (SELECT recording_id, list_filter(string_split(lower(regexp_replace(text, '\P{{L}}', '', 'g')), ''), lambda x: x >= 'a' AND x <= 'z')[1:40] AS l FROM v_segments WHERE seq = 0),
 g AS (SELECT recording_id, i AS token_ix, ascii(l[i + 1]) - 96 AS token FROM (SELECT *, unnest(range(len(l))) AS i FROM c))"""
 
+_WHOLE_GRID = rf"""WITH {sql.SEGMENTS}, c AS (SELECT recording_id, seq, list_filter(string_split(lower(regexp_replace(text, '\P{{L}}', '', 'g')), ''), lambda x: x >= 'a' AND x <= 'z') AS l FROM v_segments),
+g AS (SELECT recording_id, seq, i AS token_ix, ascii(l[i + 1]) - 96 AS token FROM (SELECT *, unnest(range(len(l))) AS i FROM c))"""
+
 ORACLE_SQL = {
     "rename_by_rule": f"WITH {sql.SEGMENTS} SELECT recording_id, seq, CASE WHEN (start_s + end_s) / 2 BETWEEN 5.0 AND 30.0 THEN 'Ben' WHEN speaker = 'user' THEN 'Ann' ELSE speaker END AS speaker FROM v_segments",
     # Every letter has its own favoured frame, with blanks around: it lies there and nowhere else.
     "ctc_place": f"{_GRID} SELECT recording_id, CAST(token_ix AS INTEGER) AS token_ix, CAST(token_ix * 3 + 1 AS INTEGER) AS first_frame, CAST(token_ix * 3 + 1 AS INTEGER) AS last_frame, 0.0::DOUBLE AS score FROM g",
     "read_back": f"{_GRID} SELECT recording_id, string_agg(CAST(token AS VARCHAR), ' ' ORDER BY token_ix) AS tokens FROM g GROUP BY recording_id",
+    "ctc_place_all": f"{_WHOLE_GRID} SELECT recording_id, seq, CAST(token_ix AS INTEGER) AS token_ix, CAST(token_ix * 3 + 1 AS INTEGER) AS first_frame, CAST(token_ix * 3 + 1 AS INTEGER) AS last_frame, 0.0::DOUBLE AS score FROM g",
+    "read_back_all": f"{_WHOLE_GRID} SELECT recording_id, seq, string_agg(CAST(token AS VARCHAR), ' ' ORDER BY token_ix) AS tokens FROM g GROUP BY recording_id, seq",
 }
