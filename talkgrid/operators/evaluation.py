@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +91,14 @@ def voice_pairs(voices: DataFrame, group: Column) -> DataFrame:
 
 def best_threshold(pairs: DataFrame, first: float = 0.05, last: float = 1.5, step: float = 0.01) -> DataFrame:
     """For each threshold the balanced error of calling pairs below it the same; the least error, the first of equals, wins."""
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(round((last - first) / step))), lambda k: F.round(F.lit(first) + k * step, 6)))
     # Counts by distance bin come first, so the grid meets a few hundred rows and not all pairs.
     bins = pairs.groupBy((F.ceil((F.col("distance") - first) / step)).alias("bin"), "same").agg(F.count("*").alias("n"))
+    return threshold_of(bins, first, last, step)
+
+
+def threshold_of(bins: DataFrame, first: float = 0.05, last: float = 1.5, step: float = 0.01) -> DataFrame:
+    """As best_threshold, from counts n of pairs by distance bin and same."""
+    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(round((last - first) / step))), lambda k: F.round(F.lit(first) + k * step, 6)))
     rows = bins.withColumn("threshold", grid).withColumn("k", F.round((F.col("threshold") - first) / step).cast("long"))
     called = F.col("bin") <= F.col("k")
     rates = rows.groupBy("threshold").agg(
@@ -100,6 +109,52 @@ def best_threshold(pairs: DataFrame, first: float = 0.05, last: float = 1.5, ste
     return rates.withColumn("error", error).orderBy("error", "threshold").limit(1)
 
 
+def pair_bins(voices: DataFrame, first: float = 0.05, step: float = 0.01, block_rows: int = 8192) -> DataFrame:
+    """Counts n of all pairs of labelled voices by distance bin and same. Rows are dealt in blocks and each pair of blocks is a group
+    of its own, which sends out counts only; the work is that of all pairs."""
+    v = voices.where("label IS NOT NULL").select("vec_id", "label", unit(F.col("embedding")).alias("_u"))
+    blocks = max(1, -(-v.count() // block_rows))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    v = v.withColumn("_own", own).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    v = v.select(F.least("_own", "_j").alias("_a"), F.greatest("_own", "_j").alias("_b"), "_own", "label", "_u")
+
+    def count(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        i, j = key[0].as_py(), key[1].as_py()
+        u, own, label = rows.column("_u").combine_chunks(), rows.column("_own").to_numpy(), rows.column("label").to_numpy()
+        size = pc.list_value_length(u).to_numpy()
+        flat = np.zeros((len(size), int(size.max(initial=0))))  # of vectors of different lengths the shorter counts
+        flat[np.arange(flat.shape[1]) < size[:, None]] = u.flatten().to_numpy()
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found: Counter = Counter()
+        for at in range(0, len(x), 256):
+            part = x[at : at + 256]
+            bins = np.nan_to_num(np.ceil((1 - flat[part] @ flat[y].T - first) / step), nan=1000).clip(-1000, 1000).astype(np.int64)
+            same = label[part][:, None] == label[y]
+            once = part[:, None] < y if i == j else np.ones(same.shape, bool)
+            counts = np.bincount(((bins + 1000) * 2 + same)[once])
+            for k in np.flatnonzero(counts):
+                found[int(k) // 2 - 1000, bool(k % 2)] += int(counts[k])
+        keys = list(found)
+        return pa.table({"bin": pa.array([k for k, _ in keys], pa.int64()), "same": pa.array([s for _, s in keys], pa.bool_()), "n": pa.array([found[k] for k in keys], pa.int64())})
+
+    counted = v.groupBy("_a", "_b").applyInArrow(count, "bin long, same boolean, n long")
+    return counted.groupBy("bin", "same").agg(F.sum("n").alias("n"))
+
+
+def mean_gap(voices: DataFrame) -> DataFrame:
+    """The mean distances (same, different) of all pairs of labelled voices, exactly, from sums of unit vectors: the products of
+    all pairs of a set add up to half of its sum's square less its own squares."""
+    v = voices.where("label IS NOT NULL").select("label", unit(F.col("embedding")).alias("_u"))
+    sums = v.select("label", F.posexplode("_u").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("own"))
+    whole = sums.groupBy("i").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("all_products"))
+    inside = sums.agg(F.sum(F.col("x") * F.col("x")).alias("products"), F.sum("own").alias("own"))
+    counts = v.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("square"), F.sum("n").cast("double").alias("n"))
+    one = whole.crossJoin(inside).crossJoin(counts)
+    same = 1 - F.try_divide(F.col("products") - F.col("own"), F.col("square") - F.col("n"))
+    different = 1 - F.try_divide(F.col("all_products") - F.col("products"), F.col("n") * F.col("n") - F.col("square"))
+    return one.select(same.alias("same"), different.alias("different"))
+
+
 def mean_vectors(voices: DataFrame, keys: Sequence[str], order: Sequence, most: int = 8) -> DataFrame:
     """The mean of each group's first voices by order, at length one."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -67,6 +67,16 @@ def best_threshold(spark, sf_dir):
     return evaluation.best_threshold(pairs).select(F.round("threshold", 6).alias("threshold"), F.round("error", 6).alias("error"))
 
 
+def same_diff_gap_all(spark, sf_dir):
+    found = evaluation.mean_gap(voices(spark, sf_dir))
+    return found.select(F.round("same", 5).alias("same"), F.round("different", 5).alias("different"), F.round(F.col("different") - F.col("same"), 5).alias("gap"))
+
+
+def best_threshold_all(spark, sf_dir):
+    found = evaluation.threshold_of(evaluation.pair_bins(voices(spark, sf_dir)))
+    return found.select(F.round("threshold", 6).alias("threshold"), F.round("error", 6).alias("error"))
+
+
 def mean_voices(spark, sf_dir):
     means = evaluation.mean_vectors(voices(spark, sf_dir), ["label"], ["vec_id"])
     return means.select("label", F.posexplode("embedding").alias("i", "x")).select("label", "i", F.round("x", 5).alias("x"))
@@ -113,6 +123,7 @@ p AS (SELECT *, stop - greatest(0, length) AS ns FROM e), u AS (SELECT *, lead(n
 m AS (SELECT recording_id, turn_ix AS seq, start_s, end_s, ns, CASE WHEN nx IS NULL THEN stop ELSE greatest(ns, least(stop, nx)) END AS ne FROM u)"""
 _U = f"WITH {sql.VOICES}, n AS (SELECT vec_id, label, vec_id % 50 AS g, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y * y)))) AS u FROM v_voices)"
 _PAIRS = f"{_U}, pairs AS (SELECT a.g AS recording_id, a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, 1 - list_inner_product(a.u, b.u) AS distance FROM n a JOIN n b ON a.g = b.g AND a.vec_id < b.vec_id)"
+_ALL_PAIRS = f"{_U}, pairs AS (SELECT a.label = b.label AS same, 1 - list_inner_product(a.u, b.u) AS distance FROM n a JOIN n b ON a.vec_id < b.vec_id)"
 _MEANS = f"""{_U}, f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM n),
 x AS (SELECT label, i, avg(u[i + 1]) AS x FROM (SELECT label, u, unnest(range(len(u))) AS i FROM f WHERE k <= 8) GROUP BY label, i),
 w AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM x)"""
@@ -120,7 +131,7 @@ w AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM
 QUERIES = {
     f.__name__: f
     for f in (
-        upper_median, index_percentiles, share_within, drift_by_fifth, crowding_report, top_movers, cosine_pairs, same_diff_gap, best_threshold, mean_voices, nearest_voice, chunk_windows, waveform_peaks,
+        upper_median, index_percentiles, share_within, drift_by_fifth, crowding_report, top_movers, cosine_pairs, same_diff_gap, best_threshold, same_diff_gap_all, best_threshold_all, mean_voices, nearest_voice, chunk_windows, waveform_peaks,
         count_distinct_speakers, session_activity,
     )
 }
@@ -137,6 +148,10 @@ SELECT recording_id, CAST(sum(ob) AS BIGINT) AS overlaps_before, CAST(sum(oa) AS
     "same_diff_gap": f"{_PAIRS} SELECT round(avg(distance) FILTER (same), 5) AS same, round(avg(distance) FILTER (NOT same), 5) AS different, round(avg(distance) FILTER (NOT same) - avg(distance) FILTER (same), 5) AS gap FROM pairs",
     "best_threshold": f"""{_PAIRS}, t AS (SELECT k, round(0.05::DOUBLE + k * 0.01::DOUBLE, 6) AS threshold FROM (SELECT unnest(range(146)) AS k)),
 e AS (SELECT threshold, coalesce(count(*) FILTER (same AND NOT ceil((distance - 0.05::DOUBLE) / 0.01::DOUBLE) <= k) / nullif(count(*) FILTER (same), 0), 0) AS missed, coalesce(count(*) FILTER (NOT same AND ceil((distance - 0.05::DOUBLE) / 0.01::DOUBLE) <= k) / nullif(count(*) FILTER (NOT same), 0), 0) AS wrong FROM pairs, t GROUP BY threshold)
+SELECT round(threshold, 6) AS threshold, round((missed + wrong) / 2, 6) AS error FROM e ORDER BY (missed + wrong) / 2, threshold LIMIT 1""",
+    "same_diff_gap_all": f"{_ALL_PAIRS} SELECT round(avg(distance) FILTER (same), 5) AS same, round(avg(distance) FILTER (NOT same), 5) AS different, round(avg(distance) FILTER (NOT same) - avg(distance) FILTER (same), 5) AS gap FROM pairs",
+    "best_threshold_all": f"""{_ALL_PAIRS}, t AS (SELECT k, round(0.05::DOUBLE + k * 0.01::DOUBLE, 6) AS threshold FROM (SELECT unnest(range(146)) AS k)),
+e AS (SELECT threshold, coalesce(count(*) FILTER (same AND NOT ceil((distance - 0.05::DOUBLE) / 0.01::DOUBLE) <= k) / nullif(count(*) FILTER (same), 0), 0) AS missed, coalesce(count(*) FILTER (NOT same AND ceil((distance - 0.05::DOUBLE) / 0.01::DOUBLE) <= k) / nullif(count(*) FILTER (NOT same), 0), 0) AS wrong FROM pairs, t GROUP BY threshold)
 SELECT round(threshold, 6) AS threshold, round((missed + wrong) / 2, 6) AS error FROM e ORDER BY (missed + wrong) / 2, threshold LIMIT 1""",
     "mean_voices": f"{_MEANS} SELECT label, CAST(i AS INTEGER) AS i, round(x, 5) AS x FROM w",
     "nearest_voice": f"{_MEANS}, v AS (SELECT label, list(x ORDER BY i) AS m FROM w GROUP BY label), d AS (SELECT vec_id, v.label AS voice, 1 - list_inner_product(u, m) AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY 1 - list_inner_product(u, m), v.label) AS k FROM n, v) SELECT vec_id, voice, round(distance, 5) AS distance FROM d WHERE k = 1",
