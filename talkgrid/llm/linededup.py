@@ -1,11 +1,11 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's tokens are its distinct words (cut at ASCII white space, A-Z lower-cased). Lines with equal
-token sets are one class; between classes the join finds every pair of Jaccard similarity SIMILARITY
+A line's tokens are its distinct words (cut at ASCII white space, A-Z lower-cased), each known by a 64-bit hash. Lines with equal
+token sets, by two hashes of 64 bits over different hashes of the words, are one class; between classes the join finds every pair of Jaccard similarity SIMILARITY
 or more. A line goes if an earlier line (smaller doc_id, or same document, smaller line number) has
 an equal or similar token set; lines are judged on the input, not on what is left.
 
-Tokens are ordered by rarity: by the count of their bucket in a table of BUCKETS counts over the whole
+Tokens are ordered by rarity: by the count (to about an eighth) of their bucket in a table of BUCKETS counts over the whole
 corpus (a fixed size, so it can be broadcast), then by hash; any total order keeps the join exact.
 A set of n tokens needs its first n - ceil(0.8 n) + 1 tokens as keys. A token whose bucket counts above
 HOT is a key only together with each other token of the prefix made one longer, of which similar sets share two.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgrid.llm.bittable import bit_table, holds
-from talkgrid.llm.tables import cut, stored, table
-from talkgrid.llm.textbytes import SPACE_WORDS, Words, mix, pieces
+from talkgrid.llm.tables import cut, partitions, stored, table
+from talkgrid.llm.textbytes import SPACE_WORDS, Words, mix, pieces, word_hashes
 
 #: Similarity as a fraction, 4/5.
 SIMILARITY = (4, 5)
@@ -46,52 +46,58 @@ TABLE_BITS = 26
 DENSE = 64
 #: Pairs that are compared at once.
 PAIRS = 50_000
-#: Classes that a task remembers, so as not to send their copies again.
+#: Classes that a task remembers, so as not to send their copies again; a power of two.
 SEEN = 1 << 20
 NO_PLACE = (1 << 31) - 1
 _LAST = (1 << 63) - 1
 
 
 class Lines:
-    """The lines of some texts: doc and number of each, and its distinct tokens (first, tokens)."""
+    """The lines of some texts: doc and number of each, its distinct tokens (first, tokens), and its token set's two hashes (cls, also).
+    With chosen, a function of rows and line numbers, only the lines that it picks have tokens and hashes."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, chosen=None):
         words = Words(column, SPACE_WORDS, lower=True)
         n = len(words.off) - 1
-        breaks = np.flatnonzero(words.buf == 0x0A)
+        breaks = np.flatnonzero(words.raw == 0x0A)
         start = np.concatenate([words.off[:-1], breaks + 1])
         doc = np.concatenate([np.arange(n), np.searchsorted(words.off, breaks, "right") - 1])
         order = np.lexsort((start, doc))
         self.start, self.doc = start[order], doc[order]
-        self.end = np.append(self.start[1:] - 1, len(words.buf))
-        last = np.append(self.doc[1:] != self.doc[:-1], True) if len(self.doc) else np.zeros(0, bool)
-        self.end[last] = words.off[1:][self.doc[last]]
         self.number = np.arange(len(self.doc)) - np.searchsorted(self.doc, np.arange(n))[self.doc]
-        self.words = words
-        line = np.repeat(np.arange(len(self.start)), np.diff(np.append(np.searchsorted(words.starts, self.start), len(words.starts))))
-        self.hashes = words.hashes()
-        order = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (self.hashes >> np.uint64(24)))
-        line, token = line[order], self.hashes[order]
+        many = np.diff(np.append(np.searchsorted(words.starts, self.start), len(words.starts)))
+        line, starts, ends = np.repeat(np.arange(len(self.start)), many), words.starts, words.ends
+        if chosen is not None:
+            use = np.repeat(chosen(self.doc, self.number), many)
+            line, starts, ends = line[use], starts[use], ends[use]
+        hashes = word_hashes(words.buf, starts, ends)
+        order = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+        line, token = line[order], hashes[order]
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
         self.line, self.tokens = line[new], token[new]
         self.first = np.searchsorted(self.line, np.arange(len(self.doc) + 1))
         self.size = np.diff(self.first)
-        total = np.zeros(len(self.tokens) + 1, np.uint64)
-        np.cumsum(mix(self.tokens), out=total[1:])
-        self.cls = mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64)).view(np.int64)
+        self.cls = self._summed(mix(self.tokens))
+        at = order[new]
+        self.also = self._summed(word_hashes(words.buf, starts[at], ends[at], second=True))
+
+    def _summed(self, values: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values, out=total[1:])
+        return mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64)).view(np.int64)
 
 
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
-LINE = "doc_id long, row long, line int, cls long, block int, counts binary"
+LINE = "doc_id long, row long, line int, cls long, also long, block int, counts binary"
 
 
 def _scan(buckets: int):
     """(doc_id, row, text) to a row of every line with words, and at the end the counts of token buckets in packed blocks."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("cls", pa.int64()), ("also", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def job(batches):
         total = np.zeros(buckets, np.int64)
@@ -100,11 +106,11 @@ def _scan(buckets: int):
             total += np.bincount((lines.tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
             use = np.flatnonzero(lines.size)
             at, none = pa.array(lines.doc[use]), pa.nulls(len(use))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(at), piece.column("row").take(at), pa.array(lines.number[use].astype(np.int32)), pa.array(lines.cls[use]), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(at), piece.column("row").take(at), pa.array(lines.number[use].astype(np.int32)), pa.array(lines.cls[use]), pa.array(lines.also[use]), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         blocks = np.minimum(total, NO_PLACE).astype(np.int32).reshape(-1, COUNTS)
         used = np.flatnonzero(blocks.any(axis=1))
         none = pa.nulls(len(used))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(used.astype(np.int32)), pa.array([blocks[k].tobytes() for k in used], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(used.astype(np.int32)), pa.array([blocks[k].tobytes() for k in used], pa.binary())], schema=schema)
 
     return job
 
@@ -138,12 +144,13 @@ def prefix_rows(lines: Lines, use: np.ndarray, counts: np.ndarray, similarity: t
     n = int(size.sum())
     at = np.repeat(lines.first[use] - (np.cumsum(size) - size), size) + np.arange(n)
     own, token = np.repeat(np.arange(len(use)), size), lines.tokens[at]
-    distinct, inverse = np.unique(token, return_inverse=True)
-    seen = counts[(distinct & np.uint64(len(counts) - 1)).astype(np.int64)]
-    rank = np.empty(len(distinct), np.int64)
-    rank[np.lexsort((distinct, seen))] = np.arange(len(distinct))
-    order = np.argsort((own << 32) | rank[inverse])
-    token, common = token[order], (seen > hot)[inverse[order]]
+    seen = counts[(token & np.uint64(len(counts) - 1)).astype(np.int64)]
+    rank = (seen.astype(np.float32).view(np.int32) >> 20).astype(np.int64)  # counts to about an eighth
+    joined = (own << 44) | (rank << 32) | (token >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(joined)
+    if len(use) >= 1 << 19 or (joined[order][1:] == joined[order][:-1]).any():
+        order = np.lexsort((token, rank, own))
+    token, common = token[order], seen[order] > hot
     first = np.cumsum(size) - size
     bit = np.uint64(1) << (token & np.uint64(63))
     high = (token >> np.uint64(6)) & np.uint64(1) == 1
@@ -176,18 +183,31 @@ def prefix_rows(lines: Lines, use: np.ndarray, counts: np.ndarray, similarity: t
     }
 
 
+class Recent:
+    """The last values seen, in a table of fixed size: one value a slot."""
+
+    def __init__(self, slots: int = SEEN):
+        self.values = ~np.arange(slots)
+
+    def fresh(self, values: np.ndarray) -> np.ndarray:
+        """Which of the distinct values are not in the table; they are from now on."""
+        slot = values & (len(self.values) - 1)
+        new = self.values[slot] != values
+        self.values[slot[new]] = values[new]
+        return new
+
+
 def _keys(shared, similarity: tuple[int, int], hot: int):
     num, den = similarity
     least = -(-num // (den - num))  # smaller sets match equal ones only
 
     def job(batches):
-        seen = np.zeros(0, np.int64)
+        seen = Recent()
         for piece in pieces(batches):
             lines = Lines(piece.column("text"))
             use = np.flatnonzero(lines.size >= least)
             use = use[np.unique(lines.cls[use], return_index=True)[1]]
-            use = use[~np.isin(lines.cls[use], seen)]
-            seen = np.concatenate([seen, lines.cls[use]]) if len(seen) < SEEN else lines.cls[use]
+            use = use[seen.fresh(lines.cls[use])]
             yield _batch(**prefix_rows(lines, use, shared.value, similarity, hot))
 
     return job
@@ -249,23 +269,28 @@ def _candidates(similarity: tuple[int, int], put_off: bool, group: int = GROUP):
             if large:
                 yield _batch(kind=np.ones(len(rows["key"]), np.int32), **{c: rows[c] for c in names})
                 continue
-            order = np.lexsort((rows["meta"], rows["key"]))  # by size within a key; Spark sorts fastest by one column
+            size = rows["meta"] >> 32
+            number = np.cumsum(np.append(False, rows["key"][1:] != rows["key"][:-1]))
+            order = np.argsort((number << 31) | size)  # by size within a key; Spark sorts fastest by one column
             rows = {c: v[order] for c, v in rows.items()}
-            rows["size"], rows["place"] = rows["meta"] >> 32, rows["meta"] & NO_PLACE
+            rows["size"], rows["place"] = size[order].astype(np.int32), (rows["meta"] & NO_PLACE).astype(np.int32)
             alive = np.zeros(len(rows["key"]), bool)
             b0, b1 = rows["b0"].view(np.uint64), rows["b1"].view(np.uint64)
             small, fold = rows["size"] <= SMALL, b0 ^ b1
+            need = lambda both: -(-num * both // (num + den))  # noqa: E731, tokens that sets of two sizes together must share
+            room = lambda both: both - 2 * need(both)  # noqa: E731, tokens that only one of them may have
             # In a block pair, "of" is the key that the rows have in common.
             key = rows["key"] if put_off else rows["of"]
             for i, j in neighbours(rows, num, den):
+                both = rows["size"][i] + rows["size"][j]
+                ok = np.bitwise_count(fold[i] ^ fold[j]) <= room(both)
+                i, j, both = i[ok], j[ok], both[ok]
                 ok = (rows["cls"][i] != rows["cls"][j]) & ((rows["lead"][i] != rows["lead"][j]) | (rows["lead"][i] == key[i]))
-                i, j = i[ok], j[ok]
+                ok &= small[i] | small[j] | (np.bitwise_count(b0[i] ^ b0[j]).astype(np.int32) + np.bitwise_count(b1[i] ^ b1[j]) <= room(both))
+                i, j, both = i[ok], j[ok], both[ok]
                 si, sj, pi, pj = rows["size"][i], rows["size"][j], rows["place"][i], rows["place"][j]
-                need = -(-num * (si + sj) // (num + den))
-                one = np.bitwise_count(np.where(small[i] | small[j], fold[i] ^ fold[j], b0[i] ^ b0[j])).astype(np.int64)
-                apart = one + np.where(small[i] | small[j], 0, np.bitwise_count(b1[i] ^ b1[j]))
                 best = np.minimum(pi, pj) + np.minimum(si - pi, sj - pj)
-                ok = (si + sj - apart >= 2 * need) & ((pi == NO_PLACE) | (pj == NO_PLACE) | (best >= need))
+                ok = (pi == NO_PLACE) | (pj == NO_PLACE) | (best >= need(both))
                 alive[i[ok]] = alive[j[ok]] = True
             marks = np.unique(np.stack([key[alive], rows["cls"][alive]]), axis=1) if alive.any() else np.zeros((2, 0), np.int64)
             none = np.zeros(marks.shape[1], np.int64)
@@ -287,20 +312,26 @@ def dealt(rows: DataFrame, by: str, group: int = GROUP) -> DataFrame:
     return rows.select("*", "pair.key", "pair.cross").drop("pair", "blocks")
 
 
+def places(doc: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A number for each place of a line."""
+    return mix(mix(doc.view(np.uint64)) + mix(row.view(np.uint64) + line.astype(np.uint64))).view(np.int64)
+
+
+def _places(batches):
+    for batch in batches:
+        yield _batch(place=places(*[batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row", "line")]))
+
+
 def _sets(shared):
-    """Texts to the token sets of lines whose class is in the table, a class once a task or a few times."""
+    """(doc, row, text) to the token sets of the lines whose place is in the table; no other lines are cut into words."""
 
     def job(batches):
-        seen = np.zeros(0, np.int64)
         for piece in pieces(batches):
-            lines = Lines(piece.column("text"))
+            doc, row = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row"))
+            lines = Lines(piece.column("text"), lambda d, number: holds(shared.value, places(doc[d], row[d], number)))
             use = np.flatnonzero(lines.size > 0)
-            use = use[holds(shared.value, lines.cls[use])]
-            use = use[np.unique(lines.cls[use], return_index=True)[1]]
-            use = use[~np.isin(lines.cls[use], seen)]
-            seen = np.concatenate([seen, lines.cls[use]]) if len(seen) < SEEN else lines.cls[use]
             tokens = [np.sort(lines.tokens[lines.first[k] : lines.first[k + 1]].view(np.int64)) for k in use.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.cls[use]), pa.array(tokens, pa.list_(pa.int64()))], names=["cls", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.cls[use]), pa.array(lines.also[use]), pa.array(tokens, pa.list_(pa.int64()))], names=["cls", "also", "tokens"])
 
     return job
 
@@ -345,8 +376,8 @@ def _verify(similarity: tuple[int, int], put_off: bool, group: int = GROUP):
     """Groups of whole sets to links counted once for each pair: (kind 0, cls, n, doc, line of the earliest partner)
     or, kind 1, rows of groups put off."""
     num, den = similarity
-    names = ("key", "cls", "keys", "tokens", "doc", "line")
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("cls", pa.int64()), ("keys", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int64())])
+    names = ("key", "cls", "also", "keys", "tokens", "doc", "line")
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("cls", pa.int64()), ("also", pa.int64()), ("keys", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int64())])
 
     def linked(rows: dict[str, np.ndarray], ok: np.ndarray):
         """Links of rows that a matrix allows."""
@@ -355,13 +386,13 @@ def _verify(similarity: tuple[int, int], put_off: bool, group: int = GROUP):
         rank = np.empty(len(place), np.int64)
         rank[place] = np.arange(len(place))
         best = place[np.where(ok[who], rank[None, :], len(place)).min(axis=1)] if len(who) else who
-        return rows["cls"][who], rows["doc"][best], rows["line"][best], ok[who].sum(axis=1)
+        return rows["cls"][who], rows["also"][who], rows["doc"][best], rows["line"][best], ok[who].sum(axis=1)
 
     def dense(rows: dict[str, np.ndarray]):
         tokens = _overlap(list(rows["tokens"]))
         size = np.array([len(t) for t in rows["tokens"]])
         ok = (tokens @ tokens.T) * (num + den) >= num * (size[:, None] + size[None, :])
-        ok &= rows["cls"][:, None] != rows["cls"][None, :]
+        ok &= (rows["cls"][:, None] != rows["cls"][None, :]) | (rows["also"][:, None] != rows["also"][None, :])
         if not put_off:
             ok &= (rows["mine"][:, None] != rows["mine"][None, :]) == rows["cross"][:, None]
         if ok.any():  # a pair belongs to its smallest common key
@@ -394,24 +425,24 @@ def _verify(similarity: tuple[int, int], put_off: bool, group: int = GROUP):
                 i, j = i[ok], j[ok]
                 ok = keys.common(i, j, below=(rows["key"] if put_off else rows["of"])[i]) == 0
                 i, j = i[ok], j[ok]
-                ok = (tokens.common(i, j) * (num + den) >= num * (size[i] + size[j])) & (rows["cls"][i] != rows["cls"][j])
+                ok = (tokens.common(i, j) * (num + den) >= num * (size[i] + size[j])) & ((rows["cls"][i] != rows["cls"][j]) | (rows["also"][i] != rows["also"][j]))
                 for a, b in ((i[ok], j[ok]), (j[ok], i[ok])):
                     np.add.at(many, a, 1)
                     np.minimum.at(best, a, rank[b])
             d += 1
         who = np.flatnonzero(many)
         at = place[best[who]]
-        return rows["cls"][who], rows["doc"][at], rows["line"][at], many[who]
+        return rows["cls"][who], rows["also"][who], rows["doc"][at], rows["line"][at], many[who]
 
     def job(batches):
         for rows, large in grouped(batches, names if put_off else (*names, "of", "mine", "cross"), group if put_off else 1 << 40):
             m = len(rows["key"])
             if large:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(rows["key"]), pa.array(rows["cls"]), pa.array(list(rows["keys"]), schema.field("keys").type), pa.array(list(rows["tokens"]), schema.field("tokens").type), pa.array(rows["doc"]), pa.array(rows["line"].astype(np.int32)), pa.array(np.zeros(m, np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(rows["key"]), pa.array(rows["cls"]), pa.array(rows["also"]), pa.array(list(rows["keys"]), schema.field("keys").type), pa.array(list(rows["tokens"]), schema.field("tokens").type), pa.array(rows["doc"]), pa.array(rows["line"].astype(np.int32)), pa.array(np.zeros(m, np.int64))], schema=schema)
                 continue
             once = np.ones(m, bool)  # a class may have come from several tasks
-            order = np.lexsort((rows["cls"], rows["key"]))
-            once[order[1:]] = (rows["key"][order][1:] != rows["key"][order][:-1]) | (rows["cls"][order][1:] != rows["cls"][order][:-1])
+            order = np.lexsort((rows["also"], rows["cls"], rows["key"]))
+            once[order[1:]] = np.any([rows[c][order][1:] != rows[c][order][:-1] for c in ("key", "cls", "also")], axis=0)
             rows = {c: v[once] for c, v in rows.items()}
             begins = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
             ends = np.append(begins[1:], len(rows["key"]))
@@ -419,55 +450,65 @@ def _verify(similarity: tuple[int, int], put_off: bool, group: int = GROUP):
             found = [dense({c: v[a:b] for c, v in rows.items()}) for a, b in zip(begins[large].tolist(), ends[large].tolist())]
             small = np.repeat(~large & (ends - begins > 1), ends - begins)
             found.append(sparse({c: v[small] for c, v in rows.items()}))
-            cls, doc, line, n = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
+            cls, also, doc, line, n = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(5))
             k = len(cls)
             lists = pa.nulls(k).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.nulls(k).cast(pa.int64()), pa.array(cls), lists, lists, pa.array(doc), pa.array(line.astype(np.int32)), pa.array(n)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.nulls(k).cast(pa.int64()), pa.array(cls), pa.array(also), lists, lists, pa.array(doc), pa.array(line.astype(np.int32)), pa.array(n)], schema=schema)
 
     return job
 
 
-FOUND = "kind int, key long, cls long, keys array<long>, tokens array<long>, doc long, line int, n long"
+FOUND = "kind int, key long, cls long, also long, keys array<long>, tokens array<long>, doc long, line int, n long"
+#: Rows that one task sorts and compares, at the most on average.
+TASK_ROWS = 1 << 20
 
 
 def _row() -> F.Column:
     return F.xxhash64("text")
 
 
+def spread(rows: DataFrame, parts: int) -> DataFrame:
+    """rows with those of one key together and sorted, dealt over parts tasks at least."""
+    rows = rows.repartition(parts, "key") if parts > partitions(rows.sparkSession) else rows.repartition("key")
+    return rows.sortWithinPartitions("key")
+
+
 def join_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, buckets: int = BUCKETS, hot: int = HOT, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """Lines (doc_id, row, line, cls), and classes (cls, doc, line of the first, links, other_doc, other_line of the earliest partner)."""
+    """Lines (doc_id, row, line, cls, also), and classes (cls, also, doc, line of the first, links, other_doc, other_line of the earliest partner)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", _row().alias("row"), "text")
     scanned = stored(docs.mapInArrow(_scan(buckets), LINE))
     lines = scanned.where("block is null").drop("block", "counts").withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
-    shared = spark.sparkContext.broadcast(token_counts(scanned, buckets))
+    counts = token_counts(scanned, buckets)
+    shared = spark.sparkContext.broadcast(counts)
+    parts = -(-int(counts.sum(dtype=np.int64)) // (4 * TASK_ROWS))  # a fourth of the tokens at most are in prefixes
     first = F.min(F.struct(F.col("doc_id").alias("doc"), "line", "row")).alias("at")
-    classes = stored(lines.groupBy("cls").agg(first).select("cls", "at.doc", "at.line", "at.row"))
+    classes = stored(lines.groupBy("cls", "also").agg(first).select("cls", "also", "at.doc", "at.line", "at.row"))
 
     rows = docs.select("text").mapInArrow(_keys(shared, similarity, hot), "key long, cls long, lead long, b0 long, b1 long, meta long")
-    marks = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(similarity, True, group), MARK))
-    late = dealt(marks.where("kind = 1").drop("kind").distinct(), "cls", group).repartition("key").sortWithinPartitions("key")
+    marks = stored(spread(rows, parts).mapInArrow(_candidates(similarity, True, group), MARK))
+    late = spread(dealt(marks.where("kind = 1").drop("kind").distinct(), "cls", group), parts)
     late = late.select("key", "cls", "lead", "b0", "b1", "meta", "of").mapInArrow(_candidates(similarity, False), MARK)
     alive = marks.where("kind = 0").select("cls", "key").unionByName(late.select("cls", "key"))
     alive = alive.groupBy("cls").agg(F.collect_set("key").alias("keys"))
-    alive = stored(alive.join(classes.drop("row"), "cls"))
-    chosen = spark.sparkContext.broadcast(bit_table(alive.select("cls"), TABLE_BITS))
-    sets = docs.select("text").mapInArrow(_sets(chosen), "cls long, tokens array<long>").dropDuplicates(["cls"])
-    sets = stored(alive.select("cls", "keys", "doc", "line").join(sets, "cls"))
-    sets = sets.select(F.explode("keys").alias("key"), "cls", F.array_sort("keys").alias("keys"), "tokens", "doc", "line").repartition("key").sortWithinPartitions("key")
+    alive = stored(alive.join(classes, "cls"))
+    chosen = spark.sparkContext.broadcast(bit_table(alive.select("doc", "row", "line").mapInArrow(_places, "place long"), TABLE_BITS))
+    sets = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "row", "text").mapInArrow(_sets(chosen), "cls long, also long, tokens array<long>").dropDuplicates(["cls", "also"])
+    sets = stored(alive.drop("row").join(sets, ["cls", "also"]))
+    sets = spread(sets.select(F.explode("keys").alias("key"), "cls", "also", F.array_sort("keys").alias("keys"), "tokens", "doc", "line"), parts)
     found = stored(sets.mapInArrow(_verify(similarity, True, group), FOUND))
-    late = dealt(found.where("kind = 1").drop("kind", "n").dropDuplicates(["key", "cls"]), "cls", group).repartition("key").sortWithinPartitions("key")
-    late = late.select("key", "cls", "keys", "tokens", "doc", "line", "of", "mine", "cross").mapInArrow(_verify(similarity, False), FOUND)
-    links = found.where("kind = 0").select("cls", "n", "doc", "line").unionByName(late.select("cls", "n", "doc", "line"))
-    links = links.groupBy("cls").agg(F.sum("n").alias("links"), F.min(F.struct("doc", "line")).alias("other"))
+    late = spread(dealt(found.where("kind = 1").drop("kind", "n").dropDuplicates(["key", "cls", "also"]), "cls", group), parts)
+    late = late.select("key", "cls", "also", "keys", "tokens", "doc", "line", "of", "mine", "cross").mapInArrow(_verify(similarity, False), FOUND)
+    links = found.where("kind = 0").select("cls", "also", "n", "doc", "line").unionByName(late.select("cls", "also", "n", "doc", "line"))
+    links = links.groupBy("cls", "also").agg(F.sum("n").alias("links"), F.min(F.struct("doc", "line")).alias("other"))
     # Stored, so that joins with the lines stand on plain shuffles and a class of very many copies can be split.
-    return lines, stored(classes.select("cls", "doc", F.col("line").alias("at")).join(links, "cls", "left"))
+    return lines, stored(classes.select("cls", "also", "doc", F.col("line").alias("at")).join(links, ["cls", "also"], "left"))
 
 
 def judged(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, **limits: int) -> DataFrame:
     """For each (doc, row): n_lines with words, n_links (other token sets that its lines match), and the numbers of lines that go."""
     lines, classes = join_lines(docs, similarity, **limits)
-    each = lines.join(classes, "cls")
+    each = lines.join(classes, ["cls", "also"])
     here = F.struct(F.col("doc_id").alias("doc"), "line")
     earlier = (F.struct("doc", F.col("at").alias("line")) < here) | F.coalesce(F.col("other") < here, F.lit(False))
     each = each.select("doc_id", "row", F.struct("line", F.coalesce("links", F.lit(0)).alias("links"), earlier.alias("goes")).alias("x"))
