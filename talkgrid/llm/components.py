@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrid.llm.tables import cut
+from talkgrid.llm.tables import cut, release
 
 
 def roots(parent: np.ndarray) -> np.ndarray:
@@ -47,10 +47,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         # A node with no smaller neighbour keeps its links to the larger ones.
         large = e.withColumnsRenamed({"a": "v", "b": "u"}).join(least.withColumnRenamed("a", "u"), "u", "left")
         large = cut(large.select(F.col("v").alias("a"), F.coalesce("m", "u").alias("b")).distinct())
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        e = cut(small)
+        nearest = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(nearest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.unionByName(nearest.select("a", F.col("m").alias("b"))).distinct()
+        old, e = (e, least, large, nearest), cut(small)
+        release(*old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -1,20 +1,19 @@
 """Benchmark decontamination with one FM-index per training shard.
 
 Words are lower-cased (A-Z) runs of ASCII letters, digits and any non-ASCII characters. A window is
-10 consecutive words of a benchmark item; an item with fewer words is one window. Each task indexes
-its shard, finds all windows by backward search, locates them through sampled positions and merges
-the spans. Only runs of words that the benchmark has, at least as long as the shortest window, enter
-the index: no other words can be in an occurrence.
+10 consecutive words of a benchmark item; an item with fewer words is one window. Each task cuts its texts into words
+a piece at a time, keeps the runs of words that the benchmark has, at least as long as the shortest window (no other
+words can be in an occurrence), and indexes those of a shard together; it finds all windows by backward search, locates them through
+sampled positions and merges the spans. Spark cuts the benchmark into words; of each chunk of it, arrays of word numbers,
+windows and their items go to the driver and from there to the tasks. Two windows are one only if all their words are the same 64-bit hashes.
 
 Edges: a null or wordless text has no hits; null, empty and wordless items have no windows; repeated
-items and documents count each; an empty table of either kind gives rows without hits or no rows;
+items and documents count each; an item without an id has windows, but is not listed; an empty table of either kind gives rows without hits or no rows;
 other columns are carried through, and an input column of a result's name is replaced.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,14 +22,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgrid.llm.fm_index import FmIndex
+from talkgrid.llm.tables import cut as checkpointed
 from talkgrid.llm.tables import table
-from talkgrid.llm.textbytes import ALNUM_WORDS, Words, pieces
+from talkgrid.llm.textbytes import ALNUM_WORDS, Words, pieces, window_hashes
 
 WINDOW = 10
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in several passes.
-CHUNK_BYTES = 32 << 20
-#: Text bytes of one index.
+#: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in several passes,
+#: of which CHAIN stand in one job.
+CHUNK_BYTES = 16 << 20
+CHAIN = 2
+#: Text bytes, and words that the benchmark has, of one index.
 SHARD_BYTES = 8 << 20
+SHARD_WORDS = 1 << 19
 
 RESULT = T.StructType(
     [
@@ -43,75 +46,106 @@ RESULT = T.StructType(
 
 
 class Phrases:
-    """The windows of some benchmark items: vocab (sorted word hashes), by length the windows as
-    symbols, and for each window the items that have it."""
-
-    def __init__(self, item_ids: list, texts: list, window: int):
-        words = Words(pa.array(texts, pa.string()), ALNUM_WORDS, lower=True)
-        self.vocab, symbols = np.unique(words.hashes(), return_inverse=True)
-        symbols = symbols.astype(np.int64) + 1
-        owners: dict[tuple, set] = defaultdict(set)
-        for i, item in enumerate(item_ids):
-            own = symbols[words.first[i] : words.first[i + 1]].tolist()
-            if own:
-                for s in range(max(1, len(own) - window + 1)):
-                    owners[tuple(own[s : s + window])].add(item)
-        self.by_length: dict[int, np.ndarray] = {}
-        self.items: dict[int, list] = {}
-        for n in sorted({len(w) for w in owners}):
-            of = [w for w in owners if len(w) == n]
-            self.by_length[n] = np.array(of, np.int64)
-            self.items[n] = [sorted(str(x) for x in owners[w] if x is not None) for w in of]
-        self.shortest = min(self.by_length, default=0)
-        self.known = np.zeros(1 << 20, bool)
-        self.known[(self.vocab & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+    """The windows of some benchmark items, from the items' ids and their words' hashes: vocab (sorted word hashes), the items'
+    words as numbers in it, by length the windows' first words, and for each window the items that have it as numbers of names."""
+
+    def __init__(self, item_ids: list, hashes: np.ndarray, first: np.ndarray, window: int):
+        self.vocab, symbols = np.unique(hashes, return_inverse=True)
+        self.text = (symbols + 1).astype(np.int32)
+        self.names = sorted({str(x) for x in item_ids if x is not None})
+        number = {x: k for k, x in enumerate(self.names)}
+        item = np.array([-1 if x is None else number[str(x)] for x in item_ids], np.int32)
+        size = np.diff(first)
+        self.starts: dict[int, np.ndarray] = {}
+        self.items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(size[size > 0], window)).tolist():
+            of = np.flatnonzero((size == n) | ((size > n) & (n == window)))
+            many = size[of] - n + 1
+            at = np.repeat(first[of] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            owner = np.repeat(item[of], many)
+            placed, keys = window_hashes(hashes, first, n)
+            key = keys[np.searchsorted(placed, at)]
+            order = np.argsort(key, kind="stable")
+            at, owner, key = at[order], owner[order], key[order]
+            new = np.append(True, key[1:] != key[:-1])
+            same = at[new][np.cumsum(new) - 1]
+            for j in range(n):  # of one hash, but not of the same words: a window of its own
+                new |= self.text[at + j] != self.text[same + j]
+            self.starts[n] = at[new]
+            self.items[n] = (np.append(np.flatnonzero(new), len(at)), owner)
+        self.shortest = min(self.starts, default=0)
+        bits = max(20, int(8 * len(self.vocab)).bit_length())
+        self.known = np.zeros(1 << bits, bool)
+        self.known[(self.vocab & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of words; 0 for words that no item has."""
-        out = np.zeros(len(hashes), np.int64)
-        maybe = np.flatnonzero(self.known[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        out = np.zeros(len(hashes), np.int32)
+        maybe = np.flatnonzero(self.known[(hashes & np.uint64(len(self.known) - 1)).astype(np.int64)])
         at = np.searchsorted(self.vocab, hashes[maybe])
         at[at == len(self.vocab)] = 0
-        same = self.vocab[at] == hashes[maybe]
+        same = self.vocab[at] == hashes[maybe] if len(self.vocab) else np.zeros(0, bool)
         out[maybe[same]] = at[same] + 1
         return out
 
-    def occurrences(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """Start and length of each occurrence in words, and the items of each."""
+    def runs(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of known words that a window may be in, a 0 after each: symbols and, of each, the word it is."""
+        symbols, first = self.symbols(words.hashes()), words.first
         n = len(symbols)
-        none = np.zeros(0, np.int64)
-        if not n or not self.by_length:
-            return none, none, []
+        if not n or not self.starts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         run = np.ones(n, bool)  # a run begins
         run[1:] = (symbols[1:] == 0) | (symbols[:-1] == 0)
         run[first[:-1][first[:-1] < n]] = True
         begins = np.flatnonzero(run)
         ends = np.append(begins[1:], n)
         use = (symbols[begins] > 0) & (ends - begins >= self.shortest)
-        begins, ends = begins[use], ends[use]
-        if not len(begins):
-            return none, none, []
-        size = ends - begins
+        begins, size = begins[use], (ends - begins)[use]
         put = np.cumsum(size + 1) - size - 1
-        text = np.zeros(int(size.sum()) + len(size), np.int64)
+        text = np.zeros(int(size.sum()) + len(size), np.int32)
         origin = np.zeros(len(text), np.int64)
         at = np.repeat(put - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         origin[at] = np.repeat(begins - put, size) + at
         text[at] = symbols[origin[at]]
+        return text, origin
+
+    def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each occurrence in the runs the place and the length; and pairs (place, number of the item's name)."""
+        none = np.zeros(0, np.int64)
+        if not len(text):
+            return none, none, none, none
         index = FmIndex(text)
-        starts, lengths, items = [], [], []
-        for length, patterns in self.by_length.items():
-            sp, ep = index.search(patterns)
+        places, lengths, at, items = [none], [none], [none], [none]
+        for n, starts in self.starts.items():
+            sp, ep = index.search(self.text, starts, n)
             found = np.flatnonzero(ep > sp)
-            if len(found):
-                many = (ep - sp)[found]
-                rows = np.repeat(sp[found] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-                starts.append(origin[index.locate(rows)])
-                lengths.append(np.full(len(rows), length))
-                items += [self.items[length][w] for w in np.repeat(found, many).tolist()]
-        if not starts:
-            return none, none, []
-        return np.concatenate(starts), np.concatenate(lengths), items
+            many = (ep - sp)[found]
+            place = index.locate(np.repeat(sp[found] - (np.cumsum(many) - many), many) + np.arange(int(many.sum())))
+            places.append(place)
+            lengths.append(np.full(len(place), n))
+            bounds, owner = self.items[n]
+            window = np.repeat(found, many)
+            own = bounds[window + 1] - bounds[window]
+            at.append(np.repeat(place, own))
+            items.append(owner[np.repeat(bounds[window] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))])
+        return tuple(np.concatenate(x) for x in (places, lengths, at, items))
+
+
+def _item_words(batches):
+    """Items to their ids as strings and the hashes of their words."""
+    for piece in pieces(batches):
+        words = Words(piece.column("text"), ALNUM_WORDS, lower=True)
+        lists = pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(words.hashes().view(np.int64)))
+        yield pa.RecordBatch.from_arrays([piece.column("item_id"), lists], names=["item_id", "hashes"])
+
+
+def phrases_of(items: DataFrame, window: int) -> Phrases:
+    found = items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(_item_words, "item_id string, hashes array<long>").toArrow().combine_chunks()
+    if not found.num_rows:
+        return Phrases([], np.zeros(0, np.uint64), np.zeros(1, np.int64), window)
+    lists = found.column("hashes").combine_chunks()
+    first = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    return Phrases(found.column("item_id").to_pylist(), lists.flatten().to_numpy().view(np.uint64), first, window)
 
 
 def _without(texts: pa.Array, n_hit: pa.Array, spans: pa.Array) -> pa.Array:
@@ -132,44 +166,67 @@ def _without(texts: pa.Array, n_hit: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(new, texts.type)
 
 
+def _shards(batches, phrases: Phrases):
+    """Pieces of texts whose runs are indexed together: lists of (piece, number of words by row, runs, row and word in it of each symbol)."""
+    held, size, known = [], 0, 0
+    for piece in pieces(batches):
+        words = Words(piece.column("text"), ALNUM_WORDS, lower=True)
+        text, origin = phrases.runs(words)
+        doc = words.doc[origin] if len(origin) else origin
+        held.append((piece, words.counts(), text, doc, origin - words.first[doc]))
+        size, known = size + len(words.raw), known + len(text)
+        if size >= SHARD_BYTES or known >= SHARD_WORDS:
+            yield held
+            held, size, known = [], 0, 0
+    if held:
+        yield held
+
+
+def _lists(rows: np.ndarray, n: int, values: pa.Array, kind: pa.DataType) -> pa.Array:
+    """Values of ascending rows as a list for each of n rows."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), values).cast(kind)
+
+
 def _finder(phrases, schema: pa.Schema, names: list[str], again: bool, cut: bool):
-    def shard(batches):
-        for piece in pieces(batches, limit=SHARD_BYTES):
-            own: Phrases = phrases.value
-            words = Words(piece.column("text"), ALNUM_WORDS, lower=True)
-            starts, lengths, items = own.occurrences(own.symbols(words.hashes()), words.first)
-            change = np.zeros(len(words.starts) + 1, np.int64)
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + lengths, -1)
-            hit = np.cumsum(change[:-1]) > 0
-            had: dict[int, set] = defaultdict(set)
-            for d, found in zip(words.doc[starts].tolist() if len(starts) else [], items):
-                had[d].update(found)
-            spans: dict[int, list] = defaultdict(list)
-            if again:
-                for d, (old, old_spans) in enumerate(zip(piece.column("items").to_pylist(), piece.column("spans").to_pylist())):
-                    had[d].update(old)
-                    for s in old_spans:
-                        hit[words.first[d] + s["start"] : words.first[d] + s["end"]] = True
-            edge = np.zeros(len(hit), bool)
-            if len(hit):
-                edge[1:] = hit[1:] & hit[:-1] & (words.doc[1:] == words.doc[:-1])
-                begins = np.flatnonzero(hit & ~edge)
-                stops = np.flatnonzero(hit & ~np.append(edge[1:], False)) + 1
-                for d, s, e in zip(words.doc[begins].tolist(), begins.tolist(), stops.tolist()):
-                    spans[d].append({"start": s - int(words.first[d]), "end": e - int(words.first[d])})
-            n_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), words.first[:-1]) * (words.counts() > 0) if piece.num_rows else []
-            made = {
-                "n_words": pa.array(words.counts(), pa.int64()),
-                "n_hit": pa.array(n_hit, pa.int64()),
-                "items": pa.array([sorted(had[d]) if d in had else [] for d in range(piece.num_rows)], schema.field("items").type),
-                "spans": pa.array([spans.get(d, []) for d in range(piece.num_rows)], schema.field("spans").type),
-            }
-            if cut:
-                made["text"] = _without(piece.column("text"), made["n_hit"], made["spans"])
-            yield pa.RecordBatch.from_arrays([made[n] if n in made else piece.column(n) for n in names], names=names)
-
-    return shard
+    def job(batches):
+        own: Phrases = phrases.value
+        for shard in _shards(batches, own):
+            rows = np.cumsum([0] + [s[0].num_rows for s in shard])
+            doc = np.concatenate([s[3] + r for s, r in zip(shard, rows)])
+            word = np.concatenate([s[4] for s in shard])
+            place, length, at, item = own.occurrences(np.concatenate([s[2] for s in shard]))
+            d, w, e = doc[place], word[place], word[place] + length
+            item_of = np.unique(np.stack([doc[at][item >= 0], item[item >= 0]]), axis=1) if len(item) else np.zeros((2, 0), np.int64)
+            for k, (piece, counts, *_) in enumerate(shard):
+                n, low, high = piece.num_rows, rows[k], rows[k + 1]
+                here = (d >= low) & (d < high)
+                dd, ww, ee = d[here] - low, w[here], e[here]
+                mine = item_of[:, (item_of[0] >= low) & (item_of[0] < high)]
+                items = _lists(mine[0] - low, n, pa.array([own.names[i] for i in mine[1].tolist()], pa.string()), schema.field("items").type)
+                if again:
+                    old = piece.column("spans")
+                    flat = old.flatten()
+                    dd = np.concatenate([dd, np.repeat(np.arange(n), old.value_lengths().to_numpy(zero_copy_only=False))])
+                    ww, ee = (np.concatenate([x, flat.field(f).to_numpy(zero_copy_only=False)]) for x, f in ((ww, "start"), (ee, "end")))
+                    items = pa.array([sorted({*a, *b}) for a, b in zip(items.to_pylist(), piece.column("items").to_pylist())], items.type)
+                order = np.lexsort((ww, dd))
+                dd, ww, ee = dd[order], ww[order], ee[order]
+                upto = np.maximum.accumulate((dd << 32) + ee) if len(dd) else dd
+                new = np.ones(len(dd), bool)
+                new[1:] = ((dd << 32) + ww)[1:] > upto[:-1]
+                last = np.append(new[1:], True)[: len(new)]
+                row, start, end = dd[new], ww[new], (upto & ((1 << 32) - 1))[last]
+                made = {
+                    "n_words": pa.array(counts, pa.int64()),
+                    "n_hit": pa.array(np.bincount(row, end - start, n).astype(np.int64)),
+                    "items": items,
+                    "spans": _lists(row, n, pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["start", "end"]), schema.field("spans").type),
+                }
+                if cut:
+                    made["text"] = _without(piece.column("text"), made["n_hit"], made["spans"])
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else piece.column(c) for c in names], names=names)
+
+    return job
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, cut: bool = False) -> DataFrame:
@@ -177,15 +234,16 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_byte
     the spans are cut out of text in the same pass."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    chunks = max(1, -(-int(chars) // chunk_bytes))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    chunks = max(1, -(-int(size) // chunk_bytes))
     out = docs.drop(*[f.name for f in RESULT])
     schema = T.StructType(out.schema.fields + RESULT.fields)
     names = [f.name for f in schema]
     arrow = _arrow_schema(schema)
     for i in range(chunks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == i).collect()
-        shared = spark.sparkContext.broadcast(Phrases([r[0] for r in rows], [r[1] for r in rows], window))
+        if i and i % CHAIN == 0:
+            out = checkpointed(out)
+        shared = spark.sparkContext.broadcast(phrases_of(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == i), window))
         out = out.mapInArrow(_finder(shared, arrow, names, again=i > 0, cut=cut and i == chunks - 1), schema)
     return out
 

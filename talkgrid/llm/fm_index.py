@@ -69,13 +69,13 @@ class FmIndex:
             hi = np.where(one, self.zeros[i] + hi1, hi - hi1)
         return hi - lo
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges [sp, ep) of patterns of one length (a row each), from the last symbol backwards."""
-        sp = np.zeros(len(patterns), np.int64)
-        ep = np.full(len(patterns), self.n, np.int64)
-        live = np.arange(len(patterns))
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[live, j]
+    def search(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges [sp, ep) of the patterns text[start : start + length], from their last symbol backwards."""
+        sp = np.zeros(len(starts), np.int64)
+        ep = np.full(len(starts), self.n, np.int64)
+        live = np.arange(len(starts))
+        for j in range(length - 1, -1, -1):
+            c = text[starts[live] + j].astype(np.int64)
             fine = c < self.sigma
             c = np.where(fine, c, 0)
             base = self.before[c]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgrid.llm.bittable import bit_table, holds
-from talkgrid.llm.tables import cut, partitions, stored, table
+from talkgrid.llm.tables import cut, partitions, release, stored, table
 from talkgrid.llm.textbytes import SPACE_WORDS, Words, mix, pieces, word_hashes
 
 #: Similarity as a fraction, 4/5.
@@ -495,14 +495,16 @@ def join_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, bucket
     chosen = spark.sparkContext.broadcast(bit_table(alive.select("doc", "row", "line").mapInArrow(_places, "place long"), TABLE_BITS))
     sets = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "row", "text").mapInArrow(_sets(chosen), "cls long, also long, tokens array<long>").dropDuplicates(["cls", "also"])
     sets = stored(alive.drop("row").join(sets, ["cls", "also"]))
-    sets = spread(sets.select(F.explode("keys").alias("key"), "cls", "also", F.array_sort("keys").alias("keys"), "tokens", "doc", "line"), parts)
-    found = stored(sets.mapInArrow(_verify(similarity, True, group), FOUND))
+    by_key = spread(sets.select(F.explode("keys").alias("key"), "cls", "also", F.array_sort("keys").alias("keys"), "tokens", "doc", "line"), parts)
+    found = stored(by_key.mapInArrow(_verify(similarity, True, group), FOUND))
     late = spread(dealt(found.where("kind = 1").drop("kind", "n").dropDuplicates(["key", "cls", "also"]), "cls", group), parts)
     late = late.select("key", "cls", "also", "keys", "tokens", "doc", "line", "of", "mine", "cross").mapInArrow(_verify(similarity, False), FOUND)
     links = found.where("kind = 0").select("cls", "also", "n", "doc", "line").unionByName(late.select("cls", "also", "n", "doc", "line"))
     links = links.groupBy("cls", "also").agg(F.sum("n").alias("links"), F.min(F.struct("doc", "line")).alias("other"))
     # Stored, so that joins with the lines stand on plain shuffles and a class of very many copies can be split.
-    return lines, stored(classes.select("cls", "also", "doc", F.col("line").alias("at")).join(links, ["cls", "also"], "left"))
+    linked = stored(classes.select("cls", "also", "doc", F.col("line").alias("at")).join(links, ["cls", "also"], "left"))
+    release(classes, marks, alive, sets, found)
+    return lines, linked
 
 
 def judged(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, **limits: int) -> DataFrame:

@@ -4,14 +4,16 @@ Base spans are the leftmost non-overlapping matches of email, ip, card and phone
 checks. Patterns are written so that no place of a text is scanned more than a few times. A match's
 place is the sum of the lengths of the pieces that splitting at the pattern leaves, and of the matches, before it.
 
-Candidates for more are runs of address and key characters with a digit or an @ that overlap no base span.
-LABELERS vote for (1) or against (-1) each or abstain: patterns, gazetteers, and words around it.
-Expectation-maximisation over the counts of vote patterns (3^6 at most) estimates how reliable each labeler is; a
+Candidates for more overlap no base span and have one of five FORMS: a run of address and key characters with a digit or
+an @; a number of nine digits or more; a title with capitalised names; a house number with a street; and what follows
+"password =" or the like. LABELERS vote for (1) or against (-1) each or abstain: patterns, a checksum, gazetteers, and words around it.
+For each form expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is; a
 logistic classifier over FEATURES, fitted by Newton steps to the resulting probabilities, decides
-which candidates become spans. Only sums of fixed number go to the driver.
+which candidates become spans. All candidates are counted; labelers have two values but for one with three, so
+that there are 5 x 3 x 2^8 vote patterns and 2^13 feature patterns at most, of which those that occur, a few hundred, go to the driver with their counts.
 
 Edges: a null text is empty; an empty text has no spans; without candidates nothing is added; repeated
-rows each count; an empty table gives no rows; other columns are carried through by find().
+rows each count and each get their spans; an empty table gives no rows; other columns are carried through by find(), also those with names of inner columns.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgrid.llm.tables import cut, stored, table
+from talkgrid.llm.tables import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
-ADDED = ("secret", "number", "address")
+ADDED = ("secret", "number", "address", "name", "street")
+FORMS = ("run", "digits", "named", "house", "value")
 #: \G lets a match begin where the last ended; else matches begin at the begin of a run of characters only.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -33,7 +36,19 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-CANDIDATE = r"(?:\G|(?<![A-Za-z0-9@._%+=/:-]))(?=[A-Za-z._%+=/:-]*+[0-9@])[A-Za-z0-9@._%+=/:-]{7,}+"
+# Gazetteers, fixed values.
+TITLES = "Mrs?|Ms|Miss|Dr|Prof|Sir|Herrn?|Frau|Señora?|Sra?|Doña?|Monsieur|Madame|Mme|Mlle"
+STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Court|Square|Terrace|Way"
+WAYS = "straße|strasse|gasse|weg|platz|allee"
+PLACES = "Calle|Avenida|Plaza|Paseo|Rue|Place|Chemin"
+GIVEN = "James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Anna|Maria|Peter|Hans|Klaus|Jürgen|Wolfgang|Ursula|Monika|Sabine|José|Juan|Carlos|Luis|Carmen|Ana|Isabel|Jean|Pierre|Michel|Marie|Sophie|Camille"
+SECRETS = "password|passwd|passphrase|pwd|secret|contraseña|passwort|kennwort|mot de passe"
+_RUN = r"(?:\G|(?<![A-Za-z0-9@._%+=/:-]))(?=[A-Za-z._%+=/:-]*+[0-9@])[A-Za-z0-9@._%+=/:-]{7,}+"
+_VALUE = rf"(?<=(?i:{SECRETS}) {{0,2}}(?:[:=]|is) {{0,2}}[\"']?)(?![\"'\s])[^\s\"']{{6,64}}+"
+_NAMED = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?"
+_HOUSE = rf"(?<![\p{{L}}\p{{N}}.])[0-9]{{1,5}} (?:\p{{Lu}}\p{{L}}++ ){{1,3}}?(?:{STREETS})(?![\p{{L}}\p{{N}}])|(?<!\p{{L}})(?:\p{{L}}*+(?<=\p{{L}}(?:{WAYS}))|(?:{PLACES})(?: \p{{L}}++){{1,4}}?,?) [0-9]{{1,4}}(?![\p{{L}}\p{{N}}])"
+CANDIDATE = f"{_VALUE}|{_RUN}|{_NAMED}|{_HOUSE}"
+HINT = rf"[0-9@]|(?i:{SECRETS})|(?:{TITLES})\.? \p{{Lu}}"
 #: A text must have these to have a match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Matches whose places are summed up in one go.
@@ -99,23 +114,39 @@ def passes(kind: str, w: Column) -> Column:
     return F.lit(True)
 
 
-# Each labeler votes on a candidate c (w, before, after); the words are gazetteers, fixed values.
+def form(w: Column, before: Column) -> Column:
+    """The number of a candidate's form in FORMS."""
+    return (
+        F.when(before.rlike(rf"(?i)({SECRETS}) {{0,2}}([:=]|is) {{0,2}}[\"']?$"), 4)
+        .when(w.rlike(rf"^(?:{TITLES})\.? \p{{Lu}}"), 2)
+        .when(w.contains(" "), 3)
+        .when(w.rlike("^[0-9]{9,}$"), 1)
+        .otherwise(0)
+    )
+
+
+# Each labeler votes on a candidate c (w, before, after).
 def labelers(c: Column) -> dict[str, Column]:
     w, before, after = c.getField("w"), c.getField("before"), c.getField("after")
     vote = lambda yes, no=None: F.when(yes, 1).when(no, -1).otherwise(0) if no is not None else F.when(yes, 1).otherwise(0)
     turns = F.regexp_count(w, F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]"))
+    number = w.rlike("^[0-9]{13,19}$")
     return {
         "shape": vote(w.rlike("^[0-9a-fA-F]{32,}$") | (w.rlike("^[A-Za-z0-9_=+/-]{20,}$") & (turns > 1))),
         "plain": F.when(w.rlike(r"^[0-9]{1,8}$|^[0-9]+[.:/-][0-9]+$|^[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}"), -1).otherwise(0),
-        "issuer": vote(w.rlike(r"(?i)^(sk-|ghp_|akia|xox[bp]-|eyj|bearer)|@.*\.(com|org|net|edu|gov|io)$")),
-        "words": vote(before.rlike(r"(?i)(token|secret|password|passwd|pwd|api[_ -]?key|key|bearer|phone|tel|mobile|call|e-?mail|account|iban|card|ssn|passport|contact)[^A-Za-z0-9]{0,6}$")),
+        "issuer": vote(w.rlike(r"(?i)^(sk-|ghp_|akia|xox[bp]-|eyj|bearer)|@.*\.(com|org|net|edu|gov|io)$") | (number & w.rlike("^[3-6]"))),
+        "words": vote(before.rlike(rf"(?i)(token|api[_ -]?key|key|bearer|phone|tel|mobile|call|e-?mail|account|iban|card|ssn|passport|contact|{SECRETS})[^A-Za-z0-9]{{0,6}}$")),
         "units": F.when(after.rlike(r"(?i)^ ?(%|km|kg|mb|gb|px|pages?|usd|eur|percent)") | before.rlike(r"(?i)(page|p\.|fig|figure|chapter|section|version|no\.|isbn|[$€£]) ?$"), -1).otherwise(0),
         "turns": vote(turns >= 3, turns == 0),
+        "checked": vote(F.when(number, luhn(w)).otherwise(False)),
+        "listed": vote(w.rlike(rf"^(?:{TITLES})\.? \p{{Lu}}|[0-9] .*(?:{STREETS})$|^(?:{PLACES}) |(?:{WAYS}) [0-9]+$")),
+        "given": vote(w.rlike(rf"(?<!\p{{L}})(?:{GIVEN})(?!\p{{L}})")),
     }
 
 
 def features(c: Column) -> dict[str, Column]:
     w, before, after = c.getField("w"), c.getField("before"), c.getField("after")
+    kind = form(w, before)
     return {
         "at": w.contains("@"),
         "long": F.length(w) >= 16,
@@ -125,11 +156,13 @@ def features(c: Column) -> dict[str, Column]:
         "mixed": w.rlike("[0-9]") & w.rlike("[A-Za-z]"),
         "quoted": before.rlike("[\"']$") & after.rlike("^[\"']"),
         "assigned": before.rlike("[=:] ?[\"']?$"),
+        "number": (kind == 1) & F.length(w).between(13, 19) & F.when(w.rlike("^[0-9]{13,19}$"), luhn(w)).otherwise(False),
+        **{f: kind == k for k, f in enumerate(FORMS) if k},
     }
 
 
-LABELERS = ("shape", "plain", "issuer", "words", "units", "turns")
-FEATURES = ("at", "long", "longer", "digits", "hex", "mixed", "quoted", "assigned")
+LABELERS = ("shape", "plain", "issuer", "words", "units", "turns", "checked", "listed", "given")
+FEATURES = ("at", "long", "longer", "digits", "hex", "mixed", "quoted", "assigned", "number", *FORMS[1:])
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
@@ -137,7 +170,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     empty = F.lit(None).cast("struct<found:array<string>,pieces:array<struct<n:int,tail:string,head:string>>>")
     has = {k: text.contains(c) if c else text.rlike("[0-9]") for k, c in NEEDS.items()}
-    has["cand"] = text.rlike("[0-9@]")
+    has["cand"] = text.rlike(HINT)
     rows = docs.withColumns({f"_{k}": F.when(has[k], matches(text, p)).otherwise(empty) for k, p in {**PATTERNS, "cand": CANDIDATE}.items()}).drop("text")
     rows = rows.withColumns({f"_{k}": F.coalesce(places(F.col(f"_{k}")), F.array().cast("array<struct<begin:int,end:int,w:string,before:string,after:string>>")) for k in (*KINDS, "cand")})
 
@@ -153,59 +186,52 @@ def spans_of(docs: DataFrame) -> DataFrame:
     def described(c: Column) -> Column:
         v = F.struct(*[x.alias(n) for n, x in labelers(c).items()])
         x = F.struct(*[F.coalesce(x, F.lit(False)).cast("int").alias(n) for n, x in features(c).items()])
-        return F.struct(c.getField("begin").alias("begin"), c.getField("end").alias("end"), v.alias("v"), x.alias("x"))
+        return F.struct(c.getField("begin").alias("begin"), c.getField("end").alias("end"), form(c.getField("w"), c.getField("before")).alias("form"), v.alias("v"), x.alias("x"))
 
     return rows.withColumn("_cand", F.transform(F.filter("_cand", apart), described)).drop("_base")
 
 
-def _odds(rates: dict, prior: float) -> Column:
-    """The log odds of a candidate by its votes."""
-    out = F.lit(math.log(prior / (1 - prior)))
-    for j in LABELERS:
-        for v in (-1, 0, 1):
-            out = out + F.when(F.col(f"v.{j}") == v, math.log(rates[j, v, 1] / rates[j, v, 0])).otherwise(0.0)
-    return out
-
+def _chance(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
-def _chance(odds: Column) -> Column:
-    return 1 / (1 + F.exp(-odds))
 
-
-def learn(rows: DataFrame) -> tuple[list[float], dict] | None:
-    """Classifier weights (the intercept last), and the labelers' estimated reliabilities."""
-    seen = cut(rows.select(F.explode("_cand").alias("c")).groupBy("c.v", "c.x").agg(F.count("*").cast("double").alias("n")))
-    votes = sum(F.col(f"v.{j}") for j in LABELERS)
-    chance = _chance(1.5 * votes - 1.0)
-    rates: dict = {}
+def probabilities(votes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How likely each vote pattern (a row, n times) is personal data, by expectation-maximisation over the labelers' reliabilities."""
+    chance = _chance(1.5 * votes.sum(axis=1) - 1.0)
     for _ in range(ROUNDS):
-        q = seen.withColumn("q", chance)
-        sums = {"all": F.sum("n"), "yes": F.sum(F.col("n") * F.col("q"))}
-        for j in LABELERS:
-            for v in (-1, 0, 1):
-                hit = F.when(F.col(f"v.{j}") == v, F.col("n")).otherwise(0.0)
-                sums |= {f"{j}{v}y": F.sum(hit * F.col("q")), f"{j}{v}n": F.sum(hit * (1 - F.col("q")))}
-        got = q.agg(*[c.alias(k) for k, c in sums.items()]).first()
-        if not got["all"]:
-            return None
-        yes, no = got["yes"], got["all"] - got["yes"]
-        for j in LABELERS:
+        yes, no = (n * chance).sum(), (n * (1 - chance)).sum()
+        odds = np.full(len(n), math.log((yes + 1) / (no + 1)))
+        for j in range(votes.shape[1]):
             for v in (-1, 0, 1):
-                rates[j, v, 1] = (got[f"{j}{v}y"] + 0.1) / (yes + 0.3)
-                rates[j, v, 0] = (got[f"{j}{v}n"] + 0.1) / (no + 0.3)
-        chance = _chance(_odds(rates, (yes + 1) / (got["all"] + 2)))
-    labelled = cut(seen.select("n", chance.alias("q"), *[F.col(f"x.{f}").cast("double").alias(f) for f in FEATURES], F.lit(1.0).alias("one")))
-    names = [*FEATURES, "one"]
-    weights = np.zeros(len(names))
+                hit = votes[:, j] == v
+                odds[hit] += math.log(((n * chance)[hit].sum() + 0.1) / (yes + 0.3)) - math.log(((n * (1 - chance))[hit].sum() + 0.1) / (no + 0.3))
+        chance = _chance(odds)
+    return chance
+
+
+def classifier(x: np.ndarray, chance: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logistic weights, the intercept last, that fit the probabilities of feature patterns (a row, n times)."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    weights = np.zeros(x.shape[1])
     for _ in range(NEWTON):
-        p = _chance(sum(F.col(c) * float(w) for c, w in zip(names, weights)))
-        step = labelled.withColumn("p", p)
-        slope = [F.sum(F.col("n") * (F.col("q") - F.col("p")) * F.col(a)).alias(f"g{i}") for i, a in enumerate(names)]
-        bend = [F.sum(F.col("n") * F.col("p") * (1 - F.col("p")) * F.col(a) * F.col(b)).alias(f"h{i}_{k}") for i, a in enumerate(names) for k, b in enumerate(names) if k <= i]
-        got = step.agg(*slope, *bend).first()
-        gradient = np.array([got[f"g{i}"] for i in range(len(names))]) - weights
-        hessian = np.array([[got[f"h{max(i, k)}_{min(i, k)}"] for k in range(len(names))] for i in range(len(names))]) + np.eye(len(names))
+        p = _chance(x @ weights)
+        gradient = x.T @ (n * (chance - p)) - weights
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1])
         weights = weights + np.clip(np.linalg.solve(hessian, gradient), -4, 4)
-    return [round(float(w), 9) for w in weights], rates
+    return weights
+
+
+def learn(rows: DataFrame) -> list[float] | None:
+    """Classifier weights, the intercept last."""
+    seen = rows.select(F.explode("_cand").alias("c")).groupBy("c.form", *[f"c.v.{j}" for j in LABELERS], *[f"c.x.{f}" for f in FEATURES]).count().collect()
+    if not seen:
+        return None
+    seen = np.array(sorted(seen), float)
+    kind, votes, x, n = seen[:, 0], seen[:, 1 : 1 + len(LABELERS)], seen[:, 1 + len(LABELERS) : -1], seen[:, -1]
+    chance = np.zeros(len(seen))
+    for k in np.unique(kind):
+        chance[kind == k] = probabilities(votes[kind == k], n[kind == k])
+    return [round(float(w), 9) for w in classifier(x, chance, n)]
 
 
 def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -216,15 +242,15 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     named = lambda k: F.transform(f"_{k}", lambda s: F.struct(F.lit(k).alias("kind"), s.getField("begin").alias("begin"), s.getField("end").alias("end")))
     parts = [named(k) for k in KINDS]
     if model is not None:
-        weights, _ = model
+        weights = model
 
         def wanted(c: Column) -> Column:
             x = c.getField("x")
-            return _chance(sum((x.getField(f) * w for f, w in zip(FEATURES, weights)), F.lit(weights[-1]))) >= threshold
+            return sum((x.getField(f) * w for f, w in zip(FEATURES, weights)), F.lit(weights[-1])) >= math.log(threshold / (1 - threshold))
 
         def kind(c: Column) -> Column:
             x = c.getField("x")
-            return F.when(x.getField("at") == 1, "address").when(x.getField("digits") == 1, "number").otherwise("secret")
+            return F.when(x.getField("named") == 1, "name").when(x.getField("house") == 1, "street").when(x.getField("value") == 1, "secret").when(x.getField("at") == 1, "address").when(x.getField("digits") == 1, "number").otherwise("secret")
 
         rows = rows.withColumn("_more", F.transform(F.filter("_cand", wanted), lambda c: F.struct(kind(c).alias("kind"), c.getField("begin").alias("begin"), c.getField("end").alias("end"))))
         of = lambda k: F.filter("_more", lambda s: s.getField("kind") == k)
@@ -241,4 +267,4 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s.getField("kind").isin(*KINDS))
     count = lambda k: F.size(F.filter("spans", lambda s: s.getField("kind") == k)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(written(base), 256).alias("base_sha256"), F.size("spans").cast("long").alias("n_spans"), written(F.col("spans")).alias("spans"))

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgrid.llm.bittable import bit_table, holds
-from talkgrid.llm.linededup import grouped
+from talkgrid.llm.linededup import Recent, grouped
 from talkgrid.llm.simhash import spaced
-from talkgrid.llm.tables import stored, table
-from talkgrid.llm.textbytes import SPACE_WORDS, Words, mix, pieces, span_hashes, window_hashes
+from talkgrid.llm.tables import release, stored, table
+from talkgrid.llm.textbytes import SPACE_WORDS, Words, pieces, span_hashes, window_hashes
 
 WINDOW = 20
 SEED = 8
@@ -94,7 +94,7 @@ def _occurrences(shared, window: int, seed: int):
     """Runs of anchors that the table has; a task gives the window hashes of a class once."""
 
     def job(batches):
-        seen = np.zeros(0, np.uint64)
+        seen = Recent(SEEN)
         for piece in pieces(batches):
             words = Words(piece.column("text"), SPACE_WORDS)
             runs = Runs(words, window, seed)
@@ -103,9 +103,7 @@ def _occurrences(shared, window: int, seed: int):
                 setattr(runs, name, getattr(runs, name)[use])
             cls = runs.classes()
             known, one = np.unique(cls, return_index=True)
-            fresh = ~np.isin(known, seen)
-            seen = np.concatenate([seen, known[fresh]]) if len(seen) < SEEN else known[fresh]
-            tell = np.sort(one[fresh])
+            tell = np.sort(one[seen.fresh(known.view(np.int64))])
             row = np.full(len(cls), -1, np.int64)
             row[tell] = np.arange(len(tell))
             at = pa.array(runs.doc)
@@ -118,7 +116,7 @@ def _occurrences(shared, window: int, seed: int):
 
 
 def _earliest(group: int):
-    """Classes sorted by anchor to (kind 0, cls, gone: a bit for each window that starts earlier elsewhere), or kind 1: classes of groups put off."""
+    """Classes sorted by anchor to (kind 0, cls, anchor, gone: a bit for each window that starts earlier elsewhere), or kind 1: classes of groups put off."""
 
     def job(batches):
         schema = pa.schema([("kind", pa.int32()), ("cls", pa.int64()), ("gone", pa.int32()), ("anchor", pa.int64()), ("doc", pa.int64()), ("begin", pa.int32()), ("windows", pa.list_(pa.int64()))])
@@ -130,17 +128,17 @@ def _earliest(group: int):
             n = np.array([len(w) for w in rows["windows"]])
             own = np.repeat(np.arange(m), n)
             place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            hashed = np.concatenate(list(rows["windows"])).view(np.uint64)
-            key = mix(hashed ^ mix(rows["key"].view(np.uint64))[own])
+            hashed = np.concatenate(list(rows["windows"]))
+            anchor = rows["key"][own]
             doc, start = rows["doc"][own], rows["begin"][own] + place
-            order = np.lexsort((start, doc, key))
-            head = np.append(True, key[order][1:] != key[order][:-1])
+            order = np.lexsort((start, doc, hashed, anchor))
+            head = np.append(True, (hashed[order][1:] != hashed[order][:-1]) | (anchor[order][1:] != anchor[order][:-1]))
             first = order[head][np.cumsum(head) - 1]
             gone = np.zeros(len(own), bool)
             gone[order] = (doc[order] != doc[first]) | (start[order] != start[first])
             bits = np.bincount(own, gone * (1 << place), m).astype(np.int32)
             none = pa.nulls(m)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(rows["cls"]), pa.array(bits), *[none.cast(schema.field(c).type) for c in ("anchor", "doc", "begin", "windows")]], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(rows["cls"]), pa.array(bits), pa.array(rows["key"]), *[none.cast(schema.field(c).type) for c in ("doc", "begin", "windows")]], schema=schema)
 
     return job
 
@@ -153,19 +151,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, table_bits:
     repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     shared = spark.sparkContext.broadcast(bit_table(repeated, table_bits))
     found = stored(docs.mapInArrow(_occurrences(shared, window, seed), "doc long, row long, begin int, n int, anchor long, cls long, windows array<long>"))
-    classes = found.groupBy("cls").agg(F.min("anchor").alias("key"), F.min(F.struct("doc", "begin")).alias("at"), F.first("windows", ignorenulls=True).alias("windows"))
-    classes = stored(classes.select("cls", "key", "at.doc", "at.begin", "windows"))
+    # A class has one anchor, whose hash is of other words' hashes: together 128 bits.
+    classes = found.groupBy("cls", "anchor").agg(F.min(F.struct("doc", "begin")).alias("at"), F.first("windows", ignorenulls=True).alias("windows"))
+    classes = stored(classes.select("cls", F.col("anchor").alias("key"), "at.doc", "at.begin", "windows"))
     compared = stored(classes.repartition("key").sortWithinPartitions("key").mapInArrow(_earliest(group), "kind int, cls long, gone int, anchor long, doc long, begin int, windows array<long>"))
     late = compared.where("kind = 1").select("cls", "anchor", "doc", "begin", F.posexplode("windows").alias("place", "w"))
     late = late.withColumn("start", F.col("begin") + F.col("place"))
-    first = late.groupBy("anchor", "w").agg(F.min(F.struct("doc", "start")).alias("first"))
+    # Stored, so that the joins below stand on plain shuffles: a window, or a class, of very many copies can be split.
+    first = stored(late.groupBy("anchor", "w").agg(F.min(F.struct("doc", "start")).alias("first")))
     late = late.join(first, ["anchor", "w"]).withColumn("bit", F.when(F.struct("doc", "start") == F.col("first"), 0).otherwise(F.call_function("shiftleft", F.lit(1), F.col("place"))))
-    late = late.groupBy("cls").agg(F.bit_or("bit").alias("gone"))
-    gone = compared.where("kind = 0").select("cls", "gone").unionByName(late)
-    # Stored, so that the join below stands on plain shuffles and a class of very many copies can be split.
-    gone = stored(gone.join(classes.select("cls", F.col("doc").alias("_doc"), F.col("begin").alias("_begin")), "cls"))
+    late = late.groupBy("cls", "anchor").agg(F.bit_or("bit").alias("gone"))
+    gone = compared.where("kind = 0").select("cls", "anchor", "gone").unionByName(late)
+    gone = stored(gone.join(classes.select("cls", F.col("key").alias("anchor"), F.col("doc").alias("_doc"), F.col("begin").alias("_begin")), ["cls", "anchor"]))
+    release(classes, compared, first)
     every = F.call_function("shiftleft", F.lit(1), F.col("n")) - 1
-    rows = found.select("doc", "row", "begin", "n", "cls").join(gone, "cls")
+    rows = found.select("doc", "row", "begin", "n", "cls", "anchor").join(gone, ["cls", "anchor"])
     bits = F.when((F.col("doc") == F.col("_doc")) & (F.col("begin") == F.col("_begin")), F.col("gone")).otherwise(every)
     rows = rows.select("doc", "row", "begin", bits.alias("gone")).where("gone <> 0")
     return rows.groupBy("doc", "row").agg(F.collect_list(F.struct("begin", "gone")).alias("spans"))

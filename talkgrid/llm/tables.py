@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where it is unset, one of our own."""
-    jsc = spark.sparkContext._jsc.sc()
+    """The shared folder that the cluster names. Only where it is unset, one of our own: in the warehouse, which a cluster
+    shares, or on a single machine in its folder for temporary files."""
+    context = spark.sparkContext
+    jsc = context._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        base = tempfile.gettempdir() if context.master.startswith("local") and "cluster" not in context.master else spark.conf.get("spark.sql.warehouse.dir")
+        named = f"{base.rstrip('/')}/checkpoints/{uuid.uuid4().hex}"
+    context.setCheckpointDir(named)
     return jsc.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read back from reliable checkpoint files, so that lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    return _noted(out, file.get() if file.isDefined() else None)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -39,7 +47,7 @@ def split_of(column: str, parts: int) -> F.Column:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows read back from Parquet files in the shared folder; they go when the driver's Python ends.
+    """The same rows read back from Parquet files in the shared folder; they go by release(), or when the driver's Python ends.
 
     Spark removes the shuffle files of a finished job once the driver's collector has found its plan
     unused, which by itself may take long: a call of the collector keeps the disk that a chain of steps takes low.
@@ -49,8 +57,25 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _noted(spark.read.schema(df.schema).parquet(path), path)
+
+
+_files: dict[str, SparkSession] = {}
+
+
+def _noted(df: DataFrame, path: str | None) -> DataFrame:
+    if path:
+        df._own_files = path
+        _files[path] = df.sparkSession
+    return df
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Remove the files behind results of cut() and stored() whose last reader has run."""
+    for df in frames:
+        path = getattr(df, "_own_files", None)
+        if path in _files:
+            _drop(_files.pop(path), path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -58,3 +83,10 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    while _files:
+        path, spark = _files.popitem()
+        _drop(spark, path)

@@ -2,7 +2,7 @@
 
 Unit vectors of cosine c are sqrt(2 - 2c) apart, so cosine COSINE or more is a distance within epsilon.
 Vectors are rotated to their principal axes, which keeps distances, and sorted by the cells of a
-grid of width epsilon on the leading axes. The sorted sequence is cut into intervals of BLOCK vectors; pairs of
+grid of width epsilon on the leading axes. The sorted sequence is cut into intervals of BLOCK vectors, across partitions; pairs of
 intervals whose bounding boxes are within epsilon are joined, by halving both and skipping halves whose
 boxes are further apart. Leaves are screened by a single-precision product and decided in double
 precision on the vectors as given. Equal vectors are one class and join once.
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgrid.llm.components import components, unite
-from talkgrid.llm.tables import cut, partitions, table
+from talkgrid.llm.tables import cut, partitions, release, table
 
 COSINE = 0.95
 #: Vectors of one interval, and of a leaf of the recursion.
-BLOCK = 1024
+BLOCK = 4096
 LEAF = 256
 #: Leading axes of the grid, and of these the ones that interval pairs are looked up by.
 AXES = 8
@@ -82,36 +82,23 @@ def _cells(shared, width: int, epsilon: float):
     return job
 
 
-def _intervals(shared, width: int, block: int):
-    """Rows in grid order to rows with the interval's number; its first row has the bounding box on the leading axes."""
+def _intervals(shared, offsets, width: int, block: int):
+    """Rows in grid order to rows with the number of their interval, of block rows whatever the partitions are; the first row of a
+    batch's part of an interval has that part's bounding box on the leading axes."""
 
     def job(batches):
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-
-        def out(rows: pa.Table):
-            nonlocal number
-            x, _ = matrix(rows.column("embedding").combine_chunks(), width)
-            y = unit(x) @ shared.value[:, :AXES]
-            n = len(x)
-            box = [pa.array([b.tolist()] + [None] * (n - 1), pa.list_(pa.float64())) for b in (y.min(axis=0), y.max(axis=0))]
-            made = pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *[rows.column(c).combine_chunks() for c in ("node", "many", "embedding")], *box], names=["interval", "node", "many", "embedding", "lo", "hi"])
-            number += 1
-            return made
-
+        at = offsets.value[TaskContext.get().partitionId()]
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= block:
-                rows = pa.Table.from_batches(held)
-                while rows.num_rows >= block:
-                    yield out(rows.slice(0, block))
-                    rows = rows.slice(block)
-                held = rows.to_batches()
-        rows = pa.Table.from_batches(held) if held else None
-        if rows is not None and rows.num_rows:
-            yield out(rows)
+            a = 0
+            while a < batch.num_rows:
+                rows = batch.slice(a, block - at % block)
+                n = rows.num_rows
+                y = unit(matrix(rows.column("embedding"), width)[0]) @ shared.value[:, :AXES]
+                box = [pa.array([b.tolist()] + [None] * (n - 1), pa.list_(pa.float64())) for b in (y.min(axis=0), y.max(axis=0))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at // block)), *[rows.column(c) for c in ("node", "many", "embedding")], *box], names=["interval", "node", "many", "embedding", "lo", "hi"])
+                a, at = a + n, at + n
 
     return job
 
@@ -197,10 +184,16 @@ def links(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Dat
     shared = spark.sparkContext.broadcast(axes_of(classes, width))
     cells = classes.mapInArrow(_cells(shared, width, epsilon), "node long, many long, embedding array<double>, cells array<int>")
     key = [F.get("cells", F.lit(k)) for k in range(min(AXES, width))] + [F.col("node")]
-    ordered = cut(cells).repartitionByRange(partitions(spark), *key).sortWithinPartitions(*key)
-    placed = cut(ordered.select("node", "many", "embedding").mapInArrow(_intervals(shared, width, block), "interval long, node long, many long, embedding array<double>, lo array<double>, hi array<double>"))
-
-    boxes = placed.where("lo is not null").select("interval", "lo", "hi")
+    ordered = cut(cells.repartitionByRange(partitions(spark), *key).sortWithinPartitions(*key).select("node", "many", "embedding"))
+    sizes = {r["p"]: r["count"] for r in ordered.groupBy(F.spark_partition_id().alias("p")).count().collect()}  # one number a partition
+    begins = np.cumsum([0] + [sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)])
+    offsets = spark.sparkContext.broadcast([int(x) for x in begins])
+    placed = cut(ordered.mapInArrow(_intervals(shared, offsets, width, block), "interval long, node long, many long, embedding array<double>, lo array<double>, hi array<double>"))
+    release(ordered)
+
+    leading = range(min(AXES, width))
+    boxes = placed.where("lo is not null").groupBy("interval").agg(F.array(*[F.min(F.get("lo", F.lit(k))) for k in leading]).alias("lo"), F.array(*[F.max(F.get("hi", F.lit(k))) for k in leading]).alias("hi"))
+    boxes = cut(boxes)
     axes = range(min(LOOKUP, width))
     cell = lambda c, k: F.floor(F.get(c, F.lit(k)) / epsilon)
 
@@ -217,6 +210,7 @@ def links(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Dat
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("interval"))
     found = cut(placed.drop("lo", "hi").join(sides, "interval").groupBy("a", "b").applyInArrow(_join(shared, width, cosine), FOUND))
 
+    release(placed, boxes, pairs)
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
     named = components(edges).withColumnRenamed("component", "component_id")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from talkgrid.llm import fm_index, linededup, pii, quality, registry, simhash, substrings, toxicity, vectors
+from talkgrid.llm import decontaminate, fm_index, linededup, pii, quality, registry, simhash, substrings, toxicity, vectors
 from talkgrid.llm.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -187,7 +187,7 @@ def test_fm_index_finds_all():
     text[-1] = 0
     index = fm_index.FmIndex(text)
     patterns = rng.integers(1, 4, (50, 3))
-    sp, ep = index.search(patterns)
+    sp, ep = index.search(patterns.ravel(), 3 * np.arange(50), 3)
     for p, a, b in zip(patterns, sp, ep):
         want = [i for i in range(398) if (text[i : i + 3] == p).all()]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
@@ -229,3 +229,29 @@ def test_pipeline(spark, duck):
     last = corpus_pipeline.mix(spark, docs, SF).collect()
     assert {r.doc_id for r in last} <= set(after) and all(0 <= r.position <= 1 and r.copies == len(r.positions) for r in last)
     assert key((r.doc_id, r.taken) for r in corpus_pipeline.run(spark, SF).collect()) == key((r.doc_id, r.taken) for r in last)
+
+
+def test_benchmark_in_many_chunks_and_shards(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(f"i{k}", " ".join(words_of(rng, rng.randrange(0, 16), 6))) for k in range(40)]
+    texts = [" ".join(words_of(rng, rng.randrange(0, 80), 7)) for _ in range(60)] + [items[3][1], None]
+    windows = {}
+    for k, t in items:
+        w = t.split()
+        for s in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[s : s + 10]), set()).add(k)
+    want = {}
+    for d, t in enumerate(texts):
+        w, hit, had = (t or "").split(), set(), set()
+        for s in range(len(w)):
+            for win, own in windows.items():
+                if tuple(w[s : s + len(win)]) == win:
+                    hit |= set(range(s, s + len(win)))
+                    had |= own
+        want[d] = (len(w), len(hit), sorted(had), " ".join(x for i, x in enumerate(w) if i not in hit))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for chunk, shard in ((1 << 20, 8 << 20), (300, 100)):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+        found = {r.doc_id: (r.n_words, r.n_hit, r["items"], " ".join((r.text or "").split())) for r in decontaminate.find(docs, bench, chunk_bytes=chunk, cut=True).collect()}
+        assert found == want
