@@ -29,6 +29,22 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(_c(text), SPACE), lambda w: w != "")
 
 
+def word_offsets(text: Column | str) -> Column:
+    """The words of a text with the place of each one's first character: (word, offset)."""
+    empty = F.array().cast("array<struct<word:string,offset:int>>")
+    parts = F.split(F.regexp_replace(_c(text), SPACE, " "), " ")  # every space run becomes one, so lengths come from the text itself
+    gaps = F.regexp_extract_all(_c(text), F.lit(rf"({SPACE})"), F.lit(1))
+
+    def step(s: Column, x: Column) -> Column:
+        word, gap = x.getField("word"), F.coalesce(F.length(x.getField("gap")), F.lit(0))
+        at = s.getField("at")
+        found = F.when(word != "", F.array(F.struct(word.alias("word"), at.alias("offset")))).otherwise(empty)
+        return F.struct((at + F.length(word) + gap).alias("at"), F.concat(s.getField("out"), found).alias("out"))
+
+    zipped = F.zip_with(parts, gaps, lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s.getField("out"))
+
+
 def bare(word: Column | str) -> Column:
     """A word's letters and digits, in lower case."""
     return F.lower(F.regexp_replace(_c(word), OTHER, ""))
@@ -165,3 +181,72 @@ def word_distance(left: Column, right: Column) -> Column:
 
     both = let(F.struct(left.alias("l"), right.alias("r")), lambda s: s.withField("k", F.array_distinct(F.concat(s.getField("l"), s.getField("r")))))
     return let(both, distance)
+
+
+def token_parts(token: Column | str) -> Column:
+    """What stands before a word's letters and digits, these, and what follows, a possessive too: (prefix, core, suffix)."""
+    token = _c(token)
+    prefix = F.regexp_extract(token, rf"^({OTHER}*)", 1)
+
+    def cut(s: Column) -> Column:
+        core, rest = s.getField("core"), s.getField("rest")
+        own = F.length(core) - F.when((F.length(core) > 2) & core.rlike("['’][sS]$"), 2).otherwise(0)
+        return F.struct(s.getField("prefix").alias("prefix"), F.left(core, own).alias("core"), F.substring(rest, own + 1, F.length(rest)).alias("suffix"))
+
+    inside = F.regexp_extract(token, rf"^{OTHER}*((?:.*[\p{{L}}\p{{Nd}}])?)", 1)
+    whole = F.struct(prefix.alias("prefix"), inside.alias("core"), F.substring(token, F.length(prefix) + 1, F.length(token)).alias("rest"))
+    return let(whole, cut)
+
+
+def same_word(wanted: Column | str, actual: Column | str) -> Column:
+    """Equal, or a wanted word begins with a small letter whose capital begins the actual one."""
+    wanted, actual = _c(wanted), _c(actual)
+    small, large = F.left(wanted, F.lit(1)), F.left(actual, F.lit(1))
+    rest = lambda w: F.substring(w, F.lit(2), F.length(w))
+    return (wanted == actual) | (small.rlike(r"\p{Ll}") & large.rlike(r"\p{Lu}") & (F.lower(large) == small) & (rest(wanted) == rest(actual)))
+
+
+def words_around(text: Column | str, first: Column, stop: Column) -> Column:
+    """The whole words that a selection from first up to stop touches, without the marks around them: (start, words); null if
+    it touches none. A point at the very end is on the last character."""
+    solid = r"[^\p{Z}\s]"
+
+    def bounds(s: Column) -> Column:
+        n = F.length(s.getField("text"))
+        a = F.least(F.greatest(s.getField("first"), F.lit(0)), n)
+        b = F.least(F.greatest(s.getField("stop"), a), n)
+        last = (a == b) & (a == n) & (a > 0)
+        a, b = F.when(last, a - 1).otherwise(a), F.when(last, a - 1).otherwise(b)
+        return F.struct(s.getField("text").alias("text"), a.alias("a"), F.least(n, F.when(a == b, a + 1).otherwise(b)).alias("b"))
+
+    def chosen(s: Column) -> Column:
+        text = s.getField("text")
+        start = F.length(F.regexp_replace(F.left(text, s.getField("a")), f"{solid}+$", ""))
+        end = s.getField("b") + F.length(F.regexp_extract(F.substring(text, s.getField("b") + 1, F.length(text)), f"^({solid}*)", 1))
+        return F.struct(start.alias("start"), F.substring(text, start + 1, end - start).alias("part"))
+
+    def named(s: Column) -> Column:
+        parts = F.transform(words(s.getField("part")), token_parts)
+        cores = F.transform(parts, lambda x: x.getField("core"))
+        at = s.getField("start") + F.length(F.regexp_extract(s.getField("part"), f"^({SPACE})?", 0)) + F.length(F.get(parts, F.lit(0)).getField("prefix"))
+        return F.when(F.exists(cores, lambda c: c != ""), F.struct(at.alias("start"), F.array_join(cores, " ").alias("words")))
+
+    return let(let(let(F.struct(_c(text).alias("text"), first.alias("first"), stop.alias("stop")), bounds), chosen), named)
+
+
+def run_clock(seconds: Column | str) -> Column:
+    """m:ss, from an hour on h:mm:ss, of seconds rounded half to even."""
+    s = F.bround(F.greatest(F.lit(0.0), _c(seconds))).cast("long")
+    return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
+
+
+def headline(total: Column | str, audio: Column | str) -> Column:
+    """How long a run took, and for how long a recording."""
+    done = F.concat(F.lit("Done in "), run_clock(total))
+    return F.when(_c(audio) > 0, F.concat(done, F.lit(" for "), run_clock(audio), F.lit(" of audio."))).otherwise(F.concat(done, F.lit(".")))
+
+
+def described(total: Column | str, audio: Column | str, steps: Column, least: float = 0.5) -> Column:
+    """The headline and the steps (label, seconds) that took long enough to be named."""
+    named = F.transform(F.filter(steps, lambda x: x.getField("seconds") >= least), lambda x: F.concat_ws(" ", x.getField("label"), run_clock(x.getField("seconds"))))
+    return F.when(F.size(named) > 0, F.concat(headline(total, audio), F.lit(" "), F.array_join(named, " · "), F.lit("."))).otherwise(headline(total, audio))

@@ -73,9 +73,9 @@ def tidy(turns: DataFrame, gap: float = 0.75) -> DataFrame:
     return joined.groupBy("recording_id", "island", "speaker").agg(F.min("turn_ix").alias("turn_ix"), F.min_by("start_s", "turn_ix").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n")).drop("island")
 
 
-def fill_labels(words: DataFrame, by: str = "word_ix") -> DataFrame:
+def fill_labels(words: DataFrame, by: str = "word_ix", keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
     """Words without a label take the one before them, and at the start the first after them."""
-    w = Window.partitionBy("recording_id").orderBy(by)
+    w = Window.partitionBy(*keys).orderBy(by)
     ahead = F.last("label", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     behind = F.first("label", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     return words.withColumn("label", F.coalesce(ahead, behind))

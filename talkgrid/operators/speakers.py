@@ -79,7 +79,7 @@ def merge_to_count(turns: DataFrame, prints: DataFrame, wanted: int) -> DataFram
 
     left = turns.select("recording_id", "turn_ix", "speaker", "start_s", "end_s").groupBy("recording_id")
     schema = "recording_id bigint, turn_ix int, speaker int, start_s double, end_s double"
-    return left.cogroup(prints.select(F.col("recording_id").alias("recording_id"), "speaker", "embedding").groupBy("recording_id")).applyInPandas(merge, schema)
+    return left.cogroup(prints.select(*[F.col(c).alias(c) for c in ("recording_id", "speaker", "embedding")]).groupBy("recording_id")).applyInPandas(merge, schema)
 
 
 def _hardest_first(n: int, near: list[set[int]]) -> list[int]:
@@ -120,7 +120,7 @@ def group_tracks(voices: DataFrame, conflicts: DataFrame, wanted: int, threshold
         return rows[["recording_id", "track"]].assign(person=[order.index(p) for p in people])
 
     left = voices.select("recording_id", "track", "embedding").groupBy("recording_id")
-    return left.cogroup(conflicts.select(F.col("recording_id").alias("recording_id"), "a", "b").groupBy("recording_id")).applyInPandas(group, "recording_id bigint, track int, person int")
+    return left.cogroup(conflicts.select(*[F.col(c).alias(c) for c in ("recording_id", "a", "b")]).groupBy("recording_id")).applyInPandas(group, "recording_id bigint, track int, person int")
 
 
 def people_at_least(conflicts: DataFrame) -> DataFrame:

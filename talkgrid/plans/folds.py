@@ -10,7 +10,7 @@ from talkgrid.functions import text as t
 from talkgrid.operators import folds, frames, speakers
 from talkgrid.operators.intervals import interval_join
 from talkgrid.plans import sql
-from talkgrid.sources.tables import segments, texts, turns, voices
+from talkgrid.sources.tables import segments, spoken, texts, turns, voices
 from talkgrid.streaming.live import replay
 
 
@@ -68,7 +68,8 @@ def voice_pieces(spark, sf_dir):
 
 
 def cluster_voices(spark, sf_dir):
-    v = voices(spark, sf_dir).select((F.col("vec_id") % 20).alias("recording_id"), F.col("vec_id").alias("voice_ix"), "embedding")
+    """Forty vectors in a row are a recording's voices."""
+    v = voices(spark, sf_dir).select(F.floor(F.col("vec_id") / 40).alias("recording_id"), F.col("vec_id").alias("voice_ix"), "embedding")
     return folds.cluster_voices(v, threshold=0.9)
 
 
@@ -84,28 +85,8 @@ def link_tracks(spark, sf_dir):
     return folds.link_tracks(rows, roster)
 
 
-def _grid(spark, sf_dir):
-    """Score grids from texts: three frames for each of the first letters of a segment, the letter favoured in the middle one."""
-    s = segments(spark, sf_dir).where("seq = 0")
-    letters = F.slice(F.filter(F.split(t.letters("text"), ""), lambda c: (c >= "a") & (c <= "z")), 1, 40)
-    tokens = s.select("recording_id", F.posexplode(letters).alias("token_ix", "c")).select("recording_id", "token_ix", (F.ascii("c") - 96).alias("token"))
-    frames = tokens.select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "token_ix", "token")
-    score = lambda i: F.when((F.col("k") == 1) & (i == F.col("token")), 0.0).when((F.col("k") != 1) & (i == 0), 0.0).otherwise(-12.0)
-    return frames.select("recording_id", (F.col("token_ix") * 3 + F.col("k")).alias("frame"), F.transform(F.sequence(F.lit(0), F.lit(26)), score).alias("logp")), tokens
-
-
-def ctc_place(spark, sf_dir):
-    found = folds.place_tokens(*_grid(spark, sf_dir))
-    return found.select("recording_id", "token_ix", "first_frame", "last_frame", F.round("score", 6).alias("score"))
-
-
-def read_back(spark, sf_dir):
-    found = folds.read_back(_grid(spark, sf_dir)[0])
-    return found.select("recording_id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"))
-
-
 def _whole_grid(spark, sf_dir):
-    """Score grids as above for all letters of all segments. Texts are dealt by segment before they become grids, which then don't move."""
+    """Score grids from texts: three frames for each letter of a segment, the letter favoured in the middle one. Texts are dealt by segment before they become grids, which then don't move."""
     s = segments(spark, sf_dir).select("recording_id", "seq", "text").repartition("recording_id", "seq")
     letters = F.filter(F.split(t.letters("text"), ""), lambda c: (c >= "a") & (c <= "z"))
     tokens = s.select("recording_id", "seq", F.posexplode(letters).alias("token_ix", "c")).select("recording_id", "seq", "token_ix", (F.ascii("c") - 96).alias("token"))
@@ -114,6 +95,26 @@ def _whole_grid(spark, sf_dir):
     return frames.select("recording_id", "seq", (F.col("token_ix") * 3 + F.col("k")).alias("frame"), F.transform(F.sequence(F.lit(0), F.lit(26)), score).alias("logp")), tokens
 
 
+def _alignable(spark, sf_dir):
+    """The grids with sound in them that nobody wrote down: a noise of every frame's own that never outweighs the letters' scores; of
+    every ninth segment the last frames are missing, so that its letters don't fit."""
+    grid, tokens = _whole_grid(spark, sf_dir)
+    n = F.count("*").over(Window.partitionBy("recording_id", "seq"))
+    noisy = F.transform("logp", lambda x, i: x - F.pmod(F.col("frame") * 31 + i * 17 + F.col("seq"), F.lit(13)) / 16.0)
+    grid = grid.withColumn("_n", n).where("seq % 9 <> 8 OR frame < _n / 4").drop("_n").withColumn("logp", noisy)
+    return grid, tokens
+
+
+def ctc_place(spark, sf_dir):
+    found = folds.place_tokens(*_alignable(spark, sf_dir), keys=("recording_id", "seq"))
+    return found.select("recording_id", "seq", "token_ix", "first_frame", "last_frame", F.round("score", 6).alias("score"))
+
+
+def read_back(spark, sf_dir):
+    found = folds.read_back(_alignable(spark, sf_dir)[0], keys=("recording_id", "seq"))
+    return found.select("recording_id", "seq", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"))
+
+
 def ctc_place_all(spark, sf_dir):
     found = folds.place_tokens(*_whole_grid(spark, sf_dir), keys=("recording_id", "seq"))
     return found.select("recording_id", "seq", "token_ix", "first_frame", "last_frame", F.round("score", 6).alias("score"))
@@ -164,9 +165,9 @@ def distinct_spans(spark, sf_dir):
 
 
 def pair_speakers(spark, sf_dir):
-    """One side's labels matched to the other's by the frames that they share."""
-    t = turns(spark, sf_dir)
-    a, b = (frames.votes(t.where(F.col("turn_ix") % 2 == k), 6.0).select("recording_id", "frame", F.col("speaker").alias(n)) for k, n in ((0, "a"), (1, "b")))
+    """Who segments name, matched to who turns name by the frames that they share."""
+    sides = ((segments(spark, sf_dir), "a"), (spoken(spark, sf_dir), "b"))
+    a, b = (frames.votes(t, 0.5).select("recording_id", "frame", F.col("speaker").alias(n)) for t, n in sides)
     return speakers.pair_speakers(a.join(b, ["recording_id", "frame"]).groupBy("recording_id", "a", "b").agg(F.count("*").alias("frames")))
 
 
@@ -193,10 +194,12 @@ def group_tracks(spark, sf_dir):
 
 
 def merge_to_count(spark, sf_dir):
+    """Two people at most; every speaker but each fourth has a made-up voice."""
     t, _ = _conflicts(spark, sf_dir)
     t = t.select("recording_id", "turn_ix", F.col("track").alias("speaker"), "start_s", "end_s")
-    found = speakers.merge_to_count(t, t.select("recording_id", "speaker").where("speaker < 0").withColumn("embedding", F.array(F.lit(0.0))), 2)
-    return found.select("recording_id", "turn_ix", "speaker")
+    angle = F.col("speaker") * 1.3 + F.col("recording_id")
+    prints = t.select("recording_id", "speaker").distinct().where("(speaker + recording_id) % 4 <> 0").withColumn("embedding", F.array(F.cos(angle), F.sin(angle)))
+    return speakers.merge_to_count(t, prints, 2).select("recording_id", "turn_ix", "speaker")
 
 
 def finish_sentences(spark, sf_dir):
@@ -206,17 +209,61 @@ def finish_sentences(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (distinct_spans, pair_speakers, voted_turns, people_at_least, group_tracks, merge_to_count, finish_sentences, stitch_windows, trim_across, loop_tail, loop_ratio, word_changes, spelled_words, steady_words, voice_pieces, cluster_voices, link_tracks, ctc_place, read_back, ctc_place_all, read_back_all, place_heard, rename_by_rule, corrections, live_commit)}
 
-_GRID = rf"""WITH {sql.SEGMENTS}, c AS (SELECT recording_id, list_filter(string_split(lower(regexp_replace(text, '\P{{L}}', '', 'g')), ''), lambda x: x >= 'a' AND x <= 'z')[1:40] AS l FROM v_segments WHERE seq = 0),
-g AS (SELECT recording_id, i AS token_ix, ascii(l[i + 1]) - 96 AS token FROM (SELECT *, unnest(range(len(l))) AS i FROM c))"""
-
 _WHOLE_GRID = rf"""WITH {sql.SEGMENTS}, c AS (SELECT recording_id, seq, list_filter(string_split(lower(regexp_replace(text, '\P{{L}}', '', 'g')), ''), lambda x: x >= 'a' AND x <= 'z') AS l FROM v_segments),
 g AS (SELECT recording_id, seq, i AS token_ix, ascii(l[i + 1]) - 96 AS token FROM (SELECT *, unnest(range(len(l))) AS i FROM c))"""
 
+_SHARED = f"""WITH RECURSIVE {sql.SEGMENTS}, {sql.SPOKEN},
+fa AS (SELECT DISTINCT recording_id, speaker AS a, unnest(range(CAST(floor(start_s / 0.5::DOUBLE) AS BIGINT), CAST(ceil(end_s / 0.5::DOUBLE) AS BIGINT))) AS frame FROM v_segments),
+fb AS (SELECT DISTINCT recording_id, speaker AS b, unnest(range(CAST(floor(start_s / 0.5::DOUBLE) AS BIGINT), CAST(ceil(end_s / 0.5::DOUBLE) AS BIGINT))) AS frame FROM v_spoken),
+sh AS (SELECT recording_id, a, b, count(*) AS frames, row_number() OVER (PARTITION BY recording_id ORDER BY count(*) DESC, a, b) AS k FROM fa JOIN fb USING (recording_id, frame) GROUP BY recording_id, a, b)"""
+_CONFLICTS = f"""WITH RECURSIVE {sql.TURNS}, t AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY recording_id ORDER BY speaker) AS INTEGER) AS track FROM v_turns),
+c AS (SELECT DISTINCT x.recording_id, x.track AS a, y.track AS b FROM t x JOIN t y ON x.recording_id = y.recording_id AND x.track < y.track AND x.start_s < y.end_s AND x.end_s > y.start_s)"""
+
 ORACLE_SQL = {
+    "spelled_words": rf"""WITH w AS (SELECT DISTINCT unnest(list_filter(string_split_regex(text, '[\p{{Z}}\s]+'), lambda w: w <> '')) AS word FROM documents),
+l AS (SELECT word, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(word), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss'), 'ø', 'o'), 'đ', 'd'), 'ð', 'd'), 'þ', 'th'), 'ł', 'l'), 'ħ', 'h'), 'ı', 'i'), '’', chr(39)) AS x FROM w)
+SELECT word, regexp_replace(strip_accents(x), '[^a-z' || chr(39) || ']', '', 'g') AS spelled FROM l""",
+    "loop_tail": rf"""WITH d AS (SELECT doc_id, text, {sql.words('text')} AS w FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, text, w, list_transform(w, lambda x: {sql.bare('x')}) AS b FROM d),
+p AS (SELECT doc_id, e, n, b FROM (SELECT doc_id, b, unnest(range(greatest(0, len(b) - 4), len(b) + 1)) AS e FROM f WHERE len(w) >= 8), (SELECT unnest(range(1, 7)) AS n)
+  WHERE 4 * n <= e AND b[e - 2 * n + 1:e - n] = b[e - n + 1:e] AND b[e - 3 * n + 1:e - 2 * n] = b[e - n + 1:e] AND b[e - 4 * n + 1:e - 3 * n] = b[e - n + 1:e]),
+t AS (SELECT doc_id, e, n, coalesce(list_min(list_filter(range(1, e // n), lambda k: b[e - (k + 1) * n + 1:e - k * n] <> b[e - n + 1:e])), e // n) AS times FROM p),
+c AS (SELECT doc_id, min(e - times * n) AS cut FROM t WHERE times >= 4 GROUP BY doc_id),
+r AS (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN c.cut IS NULL THEN d.text ELSE array_to_string(list_concat(f.w[1:c.cut], ['…']), ' ') END AS t FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN c ON c.doc_id = d.doc_id)
+SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM r""",
+    "word_changes": rf"""WITH RECURSIVE {sql.SEGMENTS}, p AS (SELECT recording_id, seq, {sql.bare_words('text')} AS y, lag({sql.bare_words('text')}) OVER (PARTITION BY recording_id ORDER BY seq) AS x FROM v_segments),
+q AS (SELECT * FROM p WHERE x IS NOT NULL),
+r AS (SELECT recording_id, seq, x, y, 0::BIGINT AS i, list_transform(range(0, len(y) + 1), lambda j: 0::BIGINT) AS best FROM q UNION ALL
+  SELECT recording_id, seq, x, y, i + 1, list_transform(range(1, len(y) + 2), lambda j: greatest(best[j], list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND y[k - 1] = x[i + 1] THEN best[k - 1] + 1 ELSE 0 END)))) FROM r WHERE i < len(x))
+SELECT recording_id, seq, len(x) - best[len(y) + 1] AS lost, len(y) - best[len(y) + 1] AS added FROM r WHERE i = len(x)""",
+    "pair_speakers": f"""{_SHARED},
+g AS (SELECT recording_id, 0::BIGINT AS k, []::VARCHAR[] AS ua, []::VARCHAR[] AS ub, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::BIGINT AS frames FROM (SELECT DISTINCT recording_id FROM sh) UNION ALL
+  SELECT s.recording_id, s.k, CASE WHEN list_contains(ua, s.a) OR list_contains(ub, s.b) THEN ua ELSE list_append(ua, s.a) END, CASE WHEN list_contains(ua, s.a) OR list_contains(ub, s.b) THEN ub ELSE list_append(ub, s.b) END,
+    CASE WHEN NOT list_contains(ua, s.a) AND NOT list_contains(ub, s.b) THEN s.a END, s.b, s.frames FROM g JOIN sh s ON s.recording_id = g.recording_id AND s.k = g.k + 1)
+SELECT recording_id, a, b, frames FROM g WHERE a IS NOT NULL""",
+    "people_at_least": f"""{_CONFLICTS}, e AS (SELECT recording_id, a AS x, b AS y FROM c UNION ALL SELECT recording_id, b, a FROM c),
+h AS (SELECT recording_id, x, list(y) AS near, row_number() OVER (PARTITION BY recording_id ORDER BY count(*) DESC, x) AS k FROM e GROUP BY recording_id, x),
+g AS (SELECT recording_id, 0::BIGINT AS k, []::INTEGER[] AS who, []::BIGINT[] AS col FROM (SELECT DISTINCT recording_id FROM h) UNION ALL
+  SELECT h.recording_id, h.k, list_append(who, h.x), list_append(col, list_min(list_filter(range(0, len(who) + 1), lambda z: NOT list_contains(list_transform(list_filter(range(1, len(who) + 1), lambda i: list_contains(h.near, who[i])), lambda i: col[i]), z)))) FROM g JOIN h ON h.recording_id = g.recording_id AND h.k = g.k + 1)
+SELECT recording_id, CAST(max(list_max(col)) + 1 AS INTEGER) AS people FROM g WHERE k > 0 GROUP BY recording_id""",
+    "distinct_spans": f"""WITH RECURSIVE {sql.TURNS}, o AS (SELECT recording_id, turn_ix, start_s AS s, end_s AS e, row_number() OVER (PARTITION BY recording_id ORDER BY start_s - end_s, turn_ix) AS k FROM v_turns),
+g AS (SELECT recording_id, 0::BIGINT AS k, []::DOUBLE[] AS ks, []::DOUBLE[] AS ke, NULL::INTEGER AS ix FROM (SELECT DISTINCT recording_id FROM o) UNION ALL
+  SELECT o.recording_id, o.k, CASE WHEN z THEN ks ELSE list_append(ks, o.s) END, CASE WHEN z THEN ke ELSE list_append(ke, o.e) END, CASE WHEN NOT z THEN o.turn_ix END FROM (
+    SELECT g.*, o.s, o.e, o.turn_ix, o.k AS nk, len(list_filter(range(1, len(ks) + 1), lambda i: least(ke[i], o.e) - greatest(ks[i], o.s) > 0 AND least(ke[i], o.e) - greatest(ks[i], o.s) >= (o.e - o.s) * 0.75)) > 0 AS z FROM g JOIN o ON o.recording_id = g.recording_id AND o.k = g.k + 1) AS o(recording_id, k0, ks, ke, ix0, s, e, turn_ix, k, z))
+SELECT recording_id, ix AS span_ix FROM g WHERE ix IS NOT NULL""",
+    "voted_turns": f"""WITH RECURSIVE {sql.TURNS}, f AS (SELECT recording_id, speaker, unnest(range(CAST(floor(start_s / 6.0::DOUBLE) AS BIGINT), CAST(ceil(end_s / 6.0::DOUBLE) AS BIGINT))) AS frame FROM v_turns),
+v AS (SELECT recording_id, frame, speaker, count(*) AS n FROM f GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY recording_id, frame) AS top FROM v),
+t AS (SELECT recording_id, frame, list(speaker ORDER BY speaker) AS tied FROM m WHERE n = top GROUP BY recording_id, frame),
+i AS (SELECT *, frame - row_number() OVER (PARTITION BY recording_id ORDER BY frame) AS run, row_number() OVER (PARTITION BY recording_id, frame - rn ORDER BY frame) AS k FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY frame) AS rn FROM t)),
+g AS (SELECT recording_id, run, k, frame, tied[1] AS who FROM i WHERE k = 1 UNION ALL SELECT i.recording_id, i.run, i.k, i.frame, CASE WHEN list_contains(i.tied, g.who) THEN g.who ELSE i.tied[1] END FROM g JOIN i ON i.recording_id = g.recording_id AND i.run = g.run AND i.k = g.k + 1),
+s AS (SELECT *, sum(CASE WHEN lw = who AND lf = frame - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY frame) AS isl FROM (SELECT *, lag(who) OVER w AS lw, lag(frame) OVER w AS lf FROM g WINDOW w AS (PARTITION BY recording_id ORDER BY frame))),
+r AS (SELECT recording_id, isl, min(who) AS speaker, min(frame) * 6.0::DOUBLE AS start_s, (max(frame) + 1) * 6.0::DOUBLE AS end_s FROM s GROUP BY recording_id, isl HAVING count(*) > 1),
+q AS (SELECT *, min(start_s) OVER (PARTITION BY recording_id, speaker) AS first FROM r)
+SELECT recording_id, speaker, start_s, end_s, CAST(dense_rank() OVER (PARTITION BY recording_id ORDER BY first) - 1 AS INTEGER) AS number FROM q""",
     "rename_by_rule": f"WITH {sql.SEGMENTS} SELECT recording_id, seq, CASE WHEN (start_s + end_s) / 2 BETWEEN 5.0 AND 30.0 THEN 'Ben' WHEN speaker = 'user' THEN 'Ann' ELSE speaker END AS speaker FROM v_segments",
     # Every letter has its own favoured frame, with blanks around: it lies there and nowhere else.
-    "ctc_place": f"{_GRID} SELECT recording_id, CAST(token_ix AS INTEGER) AS token_ix, CAST(token_ix * 3 + 1 AS INTEGER) AS first_frame, CAST(token_ix * 3 + 1 AS INTEGER) AS last_frame, 0.0::DOUBLE AS score FROM g",
-    "read_back": f"{_GRID} SELECT recording_id, string_agg(CAST(token AS VARCHAR), ' ' ORDER BY token_ix) AS tokens FROM g GROUP BY recording_id",
+    "ctc_place": f"{_WHOLE_GRID} SELECT recording_id, seq, CAST(token_ix AS INTEGER) AS token_ix, CAST(token_ix * 3 + 1 AS INTEGER) AS first_frame, CAST(token_ix * 3 + 1 AS INTEGER) AS last_frame, -((token_ix * 3 + 1) * 31 + token * 17 + seq) % 13 / 16.0::DOUBLE AS score FROM g WHERE seq % 9 <> 8",
+    "read_back": f"{_WHOLE_GRID} SELECT recording_id, seq, string_agg(CAST(token AS VARCHAR), ' ' ORDER BY token_ix) AS tokens FROM (SELECT *, count(*) OVER (PARTITION BY recording_id, seq) AS n FROM g) WHERE seq % 9 <> 8 OR token_ix * 3 + 1 < 3 * n / 4.0 GROUP BY recording_id, seq",
     "ctc_place_all": f"{_WHOLE_GRID} SELECT recording_id, seq, CAST(token_ix AS INTEGER) AS token_ix, CAST(token_ix * 3 + 1 AS INTEGER) AS first_frame, CAST(token_ix * 3 + 1 AS INTEGER) AS last_frame, 0.0::DOUBLE AS score FROM g",
     "read_back_all": f"{_WHOLE_GRID} SELECT recording_id, seq, string_agg(CAST(token AS VARCHAR), ' ' ORDER BY token_ix) AS tokens FROM g GROUP BY recording_id, seq",
 }

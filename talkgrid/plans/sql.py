@@ -12,6 +12,9 @@ TURNS = """v_turns AS (
   SELECT user_id AS recording_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS turn_ix, event_type AS speaker,
          epoch_us(ts) / 1e6 / 3600 AS start_s, epoch_us(ts) / 1e6 / 3600 + value / 6.0::DOUBLE AS end_s FROM events)"""
 
+SPOKEN = """v_spoken AS (SELECT recording_id, CAST(seq AS INTEGER) AS turn_ix, speaker,
+  start_s + ((seq * 5 + recording_id) % 7 - 3) * 0.3::DOUBLE AS start_s, end_s + ((seq * 3 + recording_id) % 5 - 2) * 0.4::DOUBLE AS end_s FROM v_segments)"""
+
 VOICES = "v_voices AS (SELECT vec_id, label, embedding::DOUBLE[] AS embedding FROM embeddings)"
 
 
@@ -55,8 +58,8 @@ def shared(a: str, b: str) -> str:
     return f"greatest(0, least({a}.end_s, {b}.end_s) - greatest({a}.start_s, {b}.start_s))"
 
 
-#: Half of the turns as segments (items), the rest as turns to hold them against.
-ITEMS = "v_items AS (SELECT * FROM v_turns WHERE turn_ix % 2 = 0), v_others AS (SELECT * FROM v_turns WHERE turn_ix % 2 = 1)"
+#: Segments as items, and the turns to hold them against.
+ITEMS = "v_items AS (SELECT recording_id, CAST(seq AS INTEGER) AS turn_ix, speaker, start_s, end_s FROM v_segments), v_others AS (SELECT * FROM v_spoken)"
 
 
 def clock(s: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkgrid.operators import frames, intervals, sequence
 from talkgrid.plans import sql
-from talkgrid.sources.tables import turns
+from talkgrid.sources.tables import segments, spoken, turns
 
 #: An hour of time stamps is one unit, so a bucket of a day holds a turn or a few.
 DAY = 24.0
@@ -18,8 +18,9 @@ def _r(*columns: str) -> list:
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = turns(spark, sf_dir)
-    return t.where("turn_ix % 2 = 0"), t.where("turn_ix % 2 = 1")
+    """Segments, and the turns to hold them against."""
+    items = segments(spark, sf_dir).select("recording_id", F.col("seq").cast("int").alias("turn_ix"), "speaker", "start_s", "end_s")
+    return items, spoken(spark, sf_dir)
 
 
 def speaker_timeline(spark, sf_dir):
@@ -37,12 +38,12 @@ def crosstalk_spans(spark, sf_dir):
 
 def segment_turn_overlap(spark, sf_dir):
     items, others = _sides(spark, sf_dir)
-    return intervals.interval_join(items, others, bucket=DAY).select("recording_id", "turn_ix", F.col("r_turn_ix").alias("other_ix"), *_r("shared"))
+    return intervals.interval_join(items, others).select("recording_id", "turn_ix", F.col("r_turn_ix").alias("other_ix"), *_r("shared"))
 
 
 def best_overlap_speaker(spark, sf_dir):
     items, others = _sides(spark, sf_dir)
-    return intervals.best_overlap(items, others, "turn_ix", DAY).select("recording_id", "turn_ix", "best_speaker", *_r("shared"))
+    return intervals.best_overlap(items, others, "turn_ix").select("recording_id", "turn_ix", "best_speaker", *_r("shared"))
 
 
 def mark_overlaps(spark, sf_dir):
@@ -67,7 +68,7 @@ def clean_turns_topk(spark, sf_dir):
 def snap_candidates(spark, sf_dir):
     items, others = _sides(spark, sf_dir)
     points = others.select("recording_id", "turn_ix", F.col("start_s").alias("at_s"))
-    return intervals.latest_before(points, items, "turn_ix", 24.0, 6.0).select("recording_id", "turn_ix", *_r("at_s", "snap_s"))
+    return intervals.latest_before(points, items, "turn_ix").select("recording_id", "turn_ix", *_r("at_s", "snap_s"))
 
 
 def contested_coverage(spark, sf_dir):
@@ -116,7 +117,7 @@ def bridged_turns(spark, sf_dir):
 
 def frame_confusion(spark, sf_dir):
     items, others = _sides(spark, sf_dir)
-    return frames.confusion(frames.rounded_paint(items, 6.0), frames.rounded_paint(others, 6.0))
+    return frames.confusion(frames.rounded_paint(items, 0.1), frames.rounded_paint(others, 0.1))
 
 
 def majority_map(spark, sf_dir):
@@ -127,7 +128,7 @@ def majority_map(spark, sf_dir):
 
 
 _V = f"WITH {sql.TURNS}"
-_I = f"{_V}, {sql.ITEMS}"
+_I = f"WITH {sql.SEGMENTS}, {sql.SPOKEN}, {sql.ITEMS}"
 _PAINT = "painted AS (SELECT *, unnest(range(CAST(floor(start_s / 6.0::DOUBLE) AS BIGINT), CAST(ceil(end_s / 6.0::DOUBLE) AS BIGINT))) AS frame FROM v_turns)"
 _VOTES = f"{_PAINT}, v_votes AS (SELECT recording_id, frame, speaker, count(*) AS votes FROM painted GROUP BY ALL)"
 _CONTESTED = f"""{_VOTES}, v_most AS (SELECT *, max(votes) OVER (PARTITION BY recording_id, frame) AS most FROM v_votes),
@@ -141,7 +142,7 @@ def _runs(source: str, keys: str, name: str) -> str:
 
 def _half(name: str) -> str:
     # Half to even, as the paint rounds.
-    rounded = lambda x: f"CAST(round_even({x} / 6.0::DOUBLE, 0) AS BIGINT)"
+    rounded = lambda x: f"CAST(round_even({x} / 0.1::DOUBLE, 0) AS BIGINT)"
     return f"(SELECT recording_id, frame, CASE WHEN count(DISTINCT speaker) > 1 THEN '-2' ELSE min(speaker) END AS label FROM (SELECT *, unnest(range({rounded('start_s')}, {rounded('end_s')})) AS frame FROM {name}) GROUP BY ALL)"
 
 
@@ -180,7 +181,7 @@ SELECT recording_id, turn_ix, speaker AS voice, round(held, 6) AS held FROM t WH
 c AS (SELECT *, row_number() OVER (PARTITION BY recording_id, speaker ORDER BY end_s - start_s DESC, turn_ix) AS rank FROM v_turns a WHERE end_s - start_s >= 1.5
   AND NOT EXISTS (SELECT 1 FROM v_turns b WHERE a.recording_id = b.recording_id AND a.speaker <> b.speaker AND a.start_s < b.end_s AND a.end_s > b.start_s))
 SELECT recording_id, speaker, turn_ix, CAST(rank AS INTEGER) AS rank FROM c WHERE rank <= 5""",
-    "snap_candidates": f"{_I} SELECT o.recording_id, o.turn_ix, round(any_value(o.start_s), 6) AS at_s, round(max(i.start_s), 6) AS snap_s FROM v_others o LEFT JOIN v_items i ON i.recording_id = o.recording_id AND i.start_s BETWEEN o.start_s - 24.0::DOUBLE AND o.start_s + 6.0::DOUBLE GROUP BY o.recording_id, o.turn_ix",
+    "snap_candidates": f"{_I} SELECT o.recording_id, o.turn_ix, round(any_value(o.start_s), 6) AS at_s, round(max(i.start_s), 6) AS snap_s FROM v_others o LEFT JOIN v_items i ON i.recording_id = o.recording_id AND i.start_s BETWEEN o.start_s - 0.9::DOUBLE AND o.start_s + 0.2::DOUBLE GROUP BY o.recording_id, o.turn_ix",
     "contested_coverage": f"""{_V}, {sql.CROSSTALK},
 c AS (SELECT t.recording_id, t.turn_ix, sum(CASE WHEN x.start_s IS NULL THEN 0 ELSE {sql.shared("t", "x")} END) AS covered FROM v_turns t LEFT JOIN v_cross x ON x.recording_id = t.recording_id AND t.start_s < x.end_s AND t.end_s > x.start_s GROUP BY ALL)
 SELECT recording_id, turn_ix, round(covered, 6) AS covered, covered >= 0.75 AS crosstalk FROM c""",

@@ -44,6 +44,14 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recording_id, turn_ix, speaker, start_s, end_s: turns as a listener to the segments may have found them, off by up to a second."""
+    s = segments(spark, sf_dir)
+    late = ((F.col("seq") * 5 + F.col("recording_id")) % 7 - 3) * 0.3
+    longer = ((F.col("seq") * 3 + F.col("recording_id")) % 5 - 2) * 0.4
+    return s.select("recording_id", F.col("seq").cast("int").alias("turn_ix"), "speaker", (F.col("start_s") + late).alias("start_s"), (F.col("end_s") + longer).alias("end_s"))
+
+
 def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
 
