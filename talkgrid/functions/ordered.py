@@ -142,7 +142,94 @@ def word_changes(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["lost", "added"])
 
 
+def differences(a: list[str], b: list[str]) -> tuple[int, int, int, list[tuple[str, str]]]:
+    """Words replaced, left out and put in on a shortest way from a to b, and the stretches that differ, from the end on; of equal
+    ways, read from the end, equal words come before replaced ones, and these before those left out."""
+    d = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    d[:, 0], d[0, :] = np.arange(len(a) + 1), np.arange(len(b) + 1)
+    code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
+    y = np.array([code[w] for w in b], int)
+    step = np.arange(len(b) + 1)
+    for i in range(1, len(a) + 1):
+        best = np.minimum(d[i - 1, :-1] + (y != code[a[i - 1]]), d[i - 1, 1:] + 1)
+        # d[i, j] = min over k <= j of best[k] + (j - k)
+        d[i] = np.minimum.accumulate(np.append(i, best) - step) + step
+    counts, runs, own, other = [0, 0, 0], [], [], []
+    i, j = len(a), len(b)
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1] and d[i, j] == d[i - 1, j - 1]:
+            if own or other:
+                runs.append((" ".join(own[::-1]), " ".join(other[::-1])))
+                own, other = [], []
+            i, j = i - 1, j - 1
+            continue
+        kind = 0 if i and j and d[i, j] == d[i - 1, j - 1] + 1 else 1 if i and d[i, j] == d[i - 1, j] + 1 else 2
+        counts[kind] += 1
+        if kind != 2:
+            i -= 1
+            own.append(a[i])
+        if kind != 1:
+            j -= 1
+            other.append(b[j])
+    if own or other:
+        runs.append((" ".join(own[::-1]), " ".join(other[::-1])))
+    return *counts, runs
+
+
+_RUN = T.StructType([T.StructField("own", T.StringType()), T.StructField("other", T.StringType())])
+
+
+@F.pandas_udf(T.StructType([*[T.StructField(c, T.LongType()) for c in ("replaced", "missing", "added")], T.StructField("runs", T.ArrayType(_RUN))]))
+def word_edits(before: pd.Series, after: pd.Series) -> pd.DataFrame:
+    """Words replaced, missing and added from one text to another, and the stretches that differ, from the end on."""
+    rows = []
+    for a, b in zip(before, after):
+        *counts, runs = differences(*([w for w in map(bare, (t or "").split()) if w] for t in (a, b)))
+        rows.append((*counts, [{"own": x, "other": y} for x, y in runs]))
+    return pd.DataFrame(rows, columns=["replaced", "missing", "added", "runs"])
+
+
+@F.pandas_udf(T.StringType())
+def streamed_text(previous: pd.Series, text: pd.Series) -> pd.Series:
+    """A streamed text without the words that repeat the end of the one before it, nor those it says twice in a row."""
+    return pd.Series([trimmed_repeats(after_overlap(p or "", t or "")).strip() for p, t in zip(previous, text)], dtype=object)
+
+
+def leading_overlap(tail: list[str], head: list[str], most: int = 40) -> int:
+    """How many words of the head repeat the end of the tail."""
+    for n in range(min(most, len(tail), len(head)), 0, -1):
+        if tail[-n:] == head[:n]:
+            return n
+    return 0
+
+
+def after_overlap(previous: str, text: str) -> str:
+    words = text.split()
+    folded = [bare(w) for w in words]
+    n = leading_overlap([bare(w) for w in previous.split()], folded)
+    if not n:
+        return text
+    while n < len(words) and not folded[n]:
+        n += 1
+    return " ".join(words[n:])
+
+
+def alphabet(entries: dict[str, int]) -> tuple[dict[str, int], int]:
+    """The letters of a vocabulary, small, with their tokens, and the blank token: the one named so, else the padding, else 0."""
+    letters = {name.lower(): token for name, token in entries.items() if len(name) == 1}
+    if not letters:
+        raise ValueError("the vocabulary has no letters in it")
+    named = {name.lower(): token for name, token in entries.items() if len(name) > 1}
+    return letters, named.get("<blank>", named.get("<pad>", 0))
+
+
+def letter_tokens(words, letters: dict[str, int]):
+    """The tokens that spell a column of words in an alphabet, each word's as an array; letters that it lacks are left out."""
+    known = F.create_map(*[F.lit(x) for pair in letters.items() for x in pair])
+    return F.filter(F.transform(F.filter(F.split(spell(words), ""), lambda c: c != ""), lambda c: F.element_at(known, c)), lambda t: t.isNotNull())
+
+
 def register(spark) -> None:
     """Make the functions known to SQL."""
-    for f in (trim_repeats, trim_looped_tail, loop_ratio, spell, likeness, word_changes):
+    for f in (trim_repeats, trim_looped_tail, loop_ratio, spell, likeness, word_changes, word_edits):
         spark.udf.register(f.__name__, f)

@@ -29,6 +29,75 @@ def index_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Se
     return rows.where(F.col("rank") == F.least(F.col("n") - 1, F.floor(F.col("p") * F.col("n")))).select(*keys, "p", F.col(value).alias("value"))
 
 
+def sweep_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """For each share p the value at place floor(p (n - 1)), as sweeps of thresholds read it."""
+    rows = ranked(df, keys, value).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in shares])))
+    return rows.where(F.col("rank") == F.floor(F.col("p") * (F.col("n") - 1))).select(*keys, "p", F.col(value).alias("value"))
+
+
+def centred_within(df: DataFrame, keys: Sequence[str], value: str, limits: Sequence[float]) -> DataFrame:
+    """The lag, the value at place min(n - 1, n div 2), and the shares of values within each limit of it."""
+    bias = ranked(df, keys, value).where(F.col("rank") == F.least(F.col("n") - 1, F.floor(F.col("n") * 0.5))).select(*keys, F.col(value).alias("bias"))
+    rows = df.where(F.col(value).isNotNull()).join(bias, list(keys)).withColumn("_off", F.col(value) - F.col("bias"))
+    shares = [F.avg((F.abs("_off") <= limit).cast("double")).alias(f"within_{str(limit).replace('.', '_')}") for limit in limits]
+    return rows.groupBy(*keys).agg(F.first("bias").alias("bias"), *shares)
+
+
+def agreement(left: DataFrame, right: DataFrame, frames: DataFrame, several: str = "-2") -> DataFrame:
+    """By recording, how two labellings by frame (recording_id, frame, label; none where it is quiet) agree over all frames
+    (recording_id, frame, power): frames quiet to both, heard by one only, in which either hears several, that can be compared, and of
+    these the agreed ones, labels being paired one to one; and the level of the sound under each verdict."""
+    from talkgrid.functions.scores import level
+    from talkgrid.operators.speakers import pair_speakers
+
+    a, b = left.select("recording_id", "frame", F.col("label").alias("a")), right.select("recording_id", "frame", F.col("label").alias("b"))
+    rows = frames.join(a, ["recording_id", "frame"], "left").join(b, ["recording_id", "frame"], "left")
+    quiet_a, quiet_b = F.col("a").isNull(), F.col("b").isNull()
+    tangled = ~quiet_a & ~quiet_b & ((F.col("a") == several) | (F.col("b") == several))
+    comparable = ~quiet_a & ~quiet_b & ~tangled
+    verdicts = {"quiet": quiet_a & quiet_b, "only_left": ~quiet_a & quiet_b, "only_right": quiet_a & ~quiet_b, "tangled": tangled, "comparable": comparable}
+    classes = {"quiet": verdicts["quiet"], "left": verdicts["only_left"], "right": verdicts["only_right"], "speech": ~quiet_a & ~quiet_b}
+    counted = rows.groupBy("recording_id").agg(*[F.count_if(v).alias(k) for k, v in verdicts.items()], *[level(F.sum(F.when(v, F.col("power")).otherwise(0.0)), F.count_if(v)).alias(f"{k}_level") for k, v in classes.items()])
+    shared = rows.where(comparable).groupBy("recording_id", "a", "b").agg(F.count("*").alias("frames"))
+    agreed = pair_speakers(shared).groupBy("recording_id").agg(F.sum("frames").alias("agreed"))
+    return counted.join(agreed, "recording_id", "left").withColumn("agreed", F.coalesce("agreed", F.lit(0)))
+
+
+def threshold_sweep(voices: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """For each recording and threshold the number of speakers that clustering its voices (voice_ix, embedding, start_s, end_s) finds, and
+    the largest share of speech that one has."""
+    from talkgrid.operators.attribution import attach_short
+
+    found = None
+    for t in thresholds:
+        one = attach_short(voices, threshold=t).withColumn("threshold", F.lit(float(t)))
+        found = one if found is None else found.unionByName(one)
+    each = found.join(voices.select("recording_id", "voice_ix", (F.col("end_s") - F.col("start_s")).alias("_held")), ["recording_id", "voice_ix"])
+    each = each.groupBy("recording_id", "threshold", "speaker").agg(F.sum("_held").alias("_held"))
+    return each.groupBy("recording_id", "threshold").agg(F.count("*").alias("speakers"), F.try_divide(F.max("_held"), F.sum("_held")).alias("largest_share"))
+
+
+def times_real(audio_s: Column, elapsed_s: Column) -> Column:
+    """How many times faster than the recording plays it was worked through."""
+    return audio_s / F.greatest(F.lit(0.001), elapsed_s)
+
+
+def windows_in_all(completed: Column, position_s: Column, duration_s: Column) -> Column:
+    """How many windows there will have been, at the rate of those completed."""
+    each = F.greatest(F.greatest(position_s, F.lit(0.001)) / completed, F.lit(0.001))
+    more = F.greatest(F.ceil((duration_s - position_s) / each).cast("long"), F.lit(1))
+    return F.when(position_s >= duration_s, completed.cast("long")).otherwise(completed + more)
+
+
+def summed_vectors(voices: DataFrame, keys: Sequence[str], order: Sequence, most: int = 5) -> DataFrame:
+    """The sum of each group's first voices by order, as they are."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = voices.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
+    parts = rows.select(*keys, F.posexplode("embedding").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
+    return parts.groupBy(*keys).agg(F.transform(ordered, lambda s: s.getField("x")).alias("embedding"))
+
+
 def within(df: DataFrame, keys: Sequence[str], value: str, limits: Sequence[float]) -> DataFrame:
     """The shares of rows with an absolute value up to each limit."""
     shares = [F.avg((F.abs(value) <= limit).cast("double")).alias(f"within_{str(limit).replace('.', '_')}") for limit in limits]
@@ -89,6 +158,17 @@ def voice_pairs(voices: DataFrame, group: Column) -> DataFrame:
     return a.join(b, "_g").where("a < b").select(F.col("_g").alias("recording_id"), "a", "b", (F.col("label_a") == F.col("label_b")).alias("same"), cosine_distance(F.col("_a"), F.col("_b")).alias("distance"))
 
 
+def query_pairs(queries: DataFrame, voices: DataFrame, block_rows: int = 1000, slice_rows: int = 20_000) -> DataFrame:
+    """Distances of every query (vec_id, label, embedding) to all other voices. Queries are dealt in blocks and voices in slices; each block
+    meets each slice in a group of its own, so none grows with the tables."""
+    side = lambda df, x: df.select(F.col("vec_id").alias(x), F.col("label").alias(f"_l{x}"), unit(F.col("embedding")).alias(f"_u{x}"))
+    q, v = side(queries, "a"), side(voices, "b")
+    blocks, slices = max(1, -(-q.count() // block_rows)), max(1, -(-v.count() // slice_rows))
+    spread = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    pairs = spread(q, "_x", blocks, "_y", slices).join(spread(v, "_y", slices, "_x", blocks), ["_x", "_y"]).where("a <> b")
+    return pairs.select("a", "b", (F.col("_la") == F.col("_lb")).alias("same"), cosine_distance(F.col("_ua"), F.col("_ub")).alias("distance"))
+
+
 def best_threshold(pairs: DataFrame, first: float = 0.05, last: float = 1.5, step: float = 0.01) -> DataFrame:
     """For each threshold the balanced error of calling pairs below it the same; the least error, the first of equals, wins."""
     # Counts by distance bin come first, so the grid meets a few hundred rows and not all pairs.
@@ -164,10 +244,12 @@ def mean_vectors(voices: DataFrame, keys: Sequence[str], order: Sequence, most:
     return parts.groupBy(*keys).agg(unit(F.transform(ordered, lambda s: s.getField("x"))).alias("embedding"))
 
 
-def nearest_voice(pieces: DataFrame, means: DataFrame, keys: Sequence[str], gap_weight: float = 0.0) -> DataFrame:
-    """Each piece (vec_id, embedding) with the mean (label, embedding) of least distance among those of its group."""
+def nearest_voice(pieces: DataFrame, means: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Each piece (vec_id, embedding) with the mean (label, embedding) of least distance among those of its group, or without keys among
+    all. Without keys the means, one a label, are sent to every task; they must be few."""
     m = means.select(*keys, F.col("label").alias("voice"), F.col("embedding").alias("_m"))
-    rows = pieces.join(m, list(keys)).withColumn("distance", cosine_distance(unit(F.col("embedding")), F.col("_m")))
+    rows = pieces.join(m, list(keys)) if keys else pieces.crossJoin(F.broadcast(m))
+    rows = rows.withColumn("distance", cosine_distance(unit(F.col("embedding")), F.col("_m")))
     best = rows.groupBy(*keys, "vec_id").agg(F.min(F.struct("distance", "voice")).alias("best"))
     return best.select(*keys, "vec_id", F.col("best.voice").alias("voice"), F.col("best.distance").alias("distance"))
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrid.functions.ordered import bare, common_pairs, trimmed_repeats, without_repeats
+from talkgrid.functions.ordered import after_overlap, bare, common_pairs, trimmed_repeats, without_repeats
 from talkgrid.functions.text import blank, hallucinated, normalised
 from talkgrid.operators.sequence import push_forward
 
@@ -29,25 +29,6 @@ def filled(side: pd.DataFrame, *columns: str) -> pd.DataFrame:
     return side if len(side) else side.reindex(columns=list(columns))
 
 
-def leading_overlap(tail: list[str], head: list[str], most: int = 40) -> int:
-    """How many words of the head repeat the end of the tail."""
-    for n in range(min(most, len(tail), len(head)), 0, -1):
-        if tail[-n:] == head[:n]:
-            return n
-    return 0
-
-
-def _after_overlap(previous: str, text: str) -> str:
-    words = text.split()
-    folded = [bare(w) for w in words]
-    n = leading_overlap([bare(w) for w in previous.split()], folded)
-    if not n:
-        return text
-    while n < len(words) and not folded[n]:
-        n += 1
-    return " ".join(words[n:])
-
-
 STITCHED = "recording_id bigint, seq bigint, text string, start_s double, end_s double, speaker string"
 
 
@@ -65,7 +46,7 @@ def _stitch(rows: pd.DataFrame) -> pd.DataFrame:
             continue
         text, start, end = r.text, r.start_s, r.end_s
         if kept and start - kept[-1]["end_s"] <= SEAM:
-            text = _after_overlap(kept[-1]["text"], text)
+            text = after_overlap(kept[-1]["text"], text)
             if text != r.text and kept[-1]["end_s"] > start:
                 start, end = kept[-1]["end_s"], max(end, kept[-1]["end_s"])
         text = trimmed_repeats(text)
@@ -240,30 +221,52 @@ def link_tracks(spans: DataFrame, roster: DataFrame, least: float = 0.5) -> Data
     return ordered_fold(slots, ["window_ix", "slot"], fold, "recording_id bigint, window_ix int, slot int, track int")
 
 
-def two_sides(conflicts: DataFrame) -> DataFrame:
-    """Conflicts (recording_id, a, b) of tracks to two sides (recording_id, track, side), where that is possible."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(rows["a"].tolist(), rows["b"].tolist()):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        side: dict[int, int] = {}
-        for first in sorted(near):
+def two_sides(tracks: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Tracks (recording_id, track, start_s, end_s, seconds) to two sides (recording_id, track, side): those in conflict (recording_id, a, b)
+    take different ones, as far as that goes; of an odd circle the first colour found stays. Islands without a conflict between them
+    turn so that tracks that follow each other mostly differ. A recording without conflicts gives no rows."""
+
+    def separate(key, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        rows, pairs = filled(rows, "track", "start_s", "seconds").sort_values(["start_s", "track"], kind="stable"), filled(pairs, "a", "b")
+        order, seconds = rows["track"].tolist(), dict(zip(rows["track"], rows["seconds"]))
+        near: dict[int, set[int]] = {t: set() for t in order}
+        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+            if a in near and b in near and a != b:
+                near[a].add(b)
+                near[b].add(a)
+        if not any(near.values()):
+            return pd.DataFrame({"recording_id": [], "track": [], "side": []})
+        side, island, count = {}, {}, 0
+        for first in order:
             if first in side:
                 continue
-            side[first], todo = 0, [first]
-            while todo:
-                x = todo.pop()
-                for y in near[x]:
-                    if y not in side:
-                        side[y] = 1 - side[x]
-                        todo.append(y)
-                    elif side[y] == side[x]:
-                        return pd.DataFrame({"recording_id": [], "track": [], "side": []})
-        return pd.DataFrame({"recording_id": rows["recording_id"].iloc[0], "track": list(side), "side": list(side.values())})
-
-    return ordered_fold(conflicts, ["a", "b"], fold, "recording_id bigint, track int, side int")
+            side[first], island[first], todo = 0, count, [first]
+            for x in todo:
+                for y in sorted(near[x] - side.keys()):
+                    side[y], island[y] = 1 - side[x], count
+                    todo.append(y)
+            count += 1
+        votes = dict.fromkeys(range(count), 0.0)
+        for a, b in zip(order, order[1:]):
+            if island[a] != island[b]:
+                weight = min(seconds[a], seconds[b])
+                votes[island[b]] += weight if side[a] == side[b] else -weight
+        anchor = island[max(order, key=seconds.get)]
+        turned = [1 - side[t] if island[t] != anchor and votes[island[t]] > 0 else side[t] for t in order]
+        return pd.DataFrame({"recording_id": key[0], "track": order, "side": turned})
+
+    left = tracks.select("recording_id", "track", "start_s", "seconds").groupBy("recording_id")
+    right = conflicts.select(*[F.col(c).alias(c) for c in ("recording_id", "a", "b")]).groupBy("recording_id")
+    return left.cogroup(right).applyInPandas(separate, "recording_id bigint, track int, side int")
+
+
+def window_conflicts(spans: DataFrame, least: float = 0.35) -> DataFrame:
+    """Pairs of tracks (recording_id, a, b) that are both active, least seconds or more in a slot, in one window (recording_id, window_ix,
+    slot, track, start_s, end_s)."""
+    held = spans.where("track >= 0").groupBy("recording_id", "window_ix", "slot", "track").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("held"))
+    active = held.where(F.col("held") >= least).select("recording_id", "window_ix", "track").distinct()
+    other = active.select("recording_id", "window_ix", F.col("track").alias("b"))
+    return active.withColumnRenamed("track", "a").join(other, ["recording_id", "window_ix"]).where("a < b").select("recording_id", "a", "b").distinct()
 
 
 def align_tokens(grid: np.ndarray, tokens: list[int], blank_token: int = 0) -> list[tuple[int, int, float]] | None:
@@ -406,3 +409,18 @@ def _around(word: str) -> tuple[str, str, str]:
 
 def _same(core: str, wrong: str) -> bool:
     return core == wrong or (wrong == wrong.lower() and core == wrong.capitalize())
+
+
+def correction_places(segments: DataFrame, wrong: Sequence[str]) -> DataFrame:
+    """Where a correction of these words would be made: recording_id, seq and word_ix of each first word. Words count without the marks around
+    them, and may go on in the next segment; of matches that overlap, as words that repeat can, each counts."""
+    from pyspark.sql import Window
+
+    from talkgrid.functions.text import same_word, token_parts, words
+
+    rows = segments.select("recording_id", "seq", F.posexplode(words("text")).alias("word_ix", "word")).withColumn("_core", token_parts("word").getField("core"))
+    w = Window.partitionBy("recording_id").orderBy("seq", "word_ix")
+    hit = F.lit(True)
+    for k, x in enumerate(wrong):
+        hit = hit & same_word(F.lit(x), F.lead("_core", k).over(w))
+    return rows.withColumn("_hit", hit).where("_hit").select("recording_id", "seq", "word_ix")

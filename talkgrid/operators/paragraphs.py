@@ -98,13 +98,24 @@ def subtitles(segments: DataFrame) -> DataFrame:
 
 
 def by_speaker(segments: DataFrame) -> DataFrame:
-    """Stretches of one speaker: a heading line with the name, then the texts."""
+    """Stretches of one speaker: who, and the texts."""
     rows = segments.where(~blank("text"))
     before = F.lag("speaker").over(Window.partitionBy("recording_id").orderBy("seq"))
     rows = islands(rows.withColumn("_same", before.eqNullSafe(F.col("speaker"))), ["recording_id"], ["seq"], ~F.col("_same"))
     return rows.groupBy("recording_id", "island").agg(F.min("seq").alias("seq"), F.min_by("speaker", "seq").alias("speaker"), joined().alias("text")).drop("island")
 
 
+def readable(segments: DataFrame) -> DataFrame:
+    """A recording's text by speaker: a line with the name, if there is one, then what they say; an empty line between."""
+    line = F.concat(F.when(F.coalesce(F.trim("speaker"), F.lit("")) != "", F.concat("speaker", F.lit(":\n"))).otherwise(""), F.col("text"))
+    return _document(by_speaker(segments).withColumn("line", line), "seq", "\n\n")
+
+
+def at_time(paras: DataFrame, times: DataFrame) -> DataFrame:
+    """The paragraph in which each time (recording_id, at_s) lies: its start counts, its end doesn't."""
+    return times.join(paras, "recording_id").where((F.col("start_s") <= F.col("at_s")) & (F.col("at_s") < F.col("end_s")))
+
+
 def matching(numbered: DataFrame, query: str) -> DataFrame:
     """Where a query stands (case aside): segments that have it, else whole paragraphs that have it across a join."""
     q = query.lower()

@@ -11,10 +11,6 @@ from talkgrid.sources.tables import segments, turns, voices
 SHARES = (0.5, 0.9, 0.95)
 
 
-def _pairs(spark, sf_dir):
-    return evaluation.voice_pairs(voices(spark, sf_dir), F.pmod("vec_id", F.lit(50)))
-
-
 def _lengths(spark, sf_dir):
     return turns(spark, sf_dir).withColumn("length", F.col("end_s") - F.col("start_s"))
 
@@ -52,19 +48,26 @@ def top_movers(spark, sf_dir):
 
 
 def cosine_pairs(spark, sf_dir):
-    found = _pairs(spark, sf_dir)
+    """Every voice whose id is divisible by 100 against all others."""
+    v = voices(spark, sf_dir)
+    found = evaluation.query_pairs(v.where("vec_id % 100 = 0"), v)
+    return found.select("a", "b", "same", F.round("distance", 5).alias("distance"))
+
+
+def recording_pairs(spark, sf_dir):
+    """All pairs of a recording's voices; forty vectors in a row are a recording's."""
+    found = evaluation.voice_pairs(voices(spark, sf_dir), F.floor(F.col("vec_id") / 40))
     return found.select("recording_id", "a", "b", "same", F.round("distance", 5).alias("distance"))
 
 
 def same_diff_gap(spark, sf_dir):
-    found = _pairs(spark, sf_dir)
-    mean = lambda same: F.avg(F.when(F.col("same") == same, F.col("distance")))
-    return found.agg(F.round(mean(True), 5).alias("same"), F.round(mean(False), 5).alias("different"), F.round(mean(False) - mean(True), 5).alias("gap"))
+    """All pairs, from sums of unit vectors."""
+    return same_diff_gap_all(spark, sf_dir)
 
 
 def best_threshold(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
-    return evaluation.best_threshold(pairs).select(F.round("threshold", 6).alias("threshold"), F.round("error", 6).alias("error"))
+    """All pairs, from counts by distance."""
+    return best_threshold_all(spark, sf_dir)
 
 
 def same_diff_gap_all(spark, sf_dir):
@@ -84,8 +87,7 @@ def mean_voices(spark, sf_dir):
 
 def nearest_voice(spark, sf_dir):
     v = voices(spark, sf_dir)
-    means = evaluation.mean_vectors(v, ["label"], ["vec_id"]).withColumn("k", F.lit(1))
-    found = evaluation.nearest_voice(v.withColumn("k", F.lit(1)).select("k", "vec_id", "embedding"), means, ["k"])
+    found = evaluation.nearest_voice(v.select("vec_id", "embedding"), evaluation.mean_vectors(v, ["label"], ["vec_id"]))
     return found.select("vec_id", "voice", F.round("distance", 5).alias("distance"))
 
 
@@ -121,7 +123,7 @@ s AS (SELECT *, sum(greatest(0, length)) OVER (PARTITION BY recording_id ORDER B
 e AS (SELECT *, upto + max(start_s - (upto - greatest(0, length))) OVER (PARTITION BY recording_id ORDER BY turn_ix ROWS UNBOUNDED PRECEDING) AS stop FROM s),
 p AS (SELECT *, stop - greatest(0, length) AS ns FROM e), u AS (SELECT *, lead(ns) OVER (PARTITION BY recording_id ORDER BY turn_ix) AS nx FROM p),
 m AS (SELECT recording_id, turn_ix AS seq, start_s, end_s, ns, CASE WHEN nx IS NULL THEN stop ELSE greatest(ns, least(stop, nx)) END AS ne FROM u)"""
-_U = f"WITH {sql.VOICES}, n AS (SELECT vec_id, label, vec_id % 50 AS g, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y * y)))) AS u FROM v_voices)"
+_U = f"WITH {sql.VOICES}, n AS (SELECT vec_id, label, vec_id // 40 AS g, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y * y)))) AS u FROM v_voices)"
 _PAIRS = f"{_U}, pairs AS (SELECT a.g AS recording_id, a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, 1 - list_inner_product(a.u, b.u) AS distance FROM n a JOIN n b ON a.g = b.g AND a.vec_id < b.vec_id)"
 _ALL_PAIRS = f"{_U}, pairs AS (SELECT a.label = b.label AS same, 1 - list_inner_product(a.u, b.u) AS distance FROM n a JOIN n b ON a.vec_id < b.vec_id)"
 _MEANS = f"""{_U}, f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM n),
@@ -131,7 +133,7 @@ w AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM
 QUERIES = {
     f.__name__: f
     for f in (
-        upper_median, index_percentiles, share_within, drift_by_fifth, crowding_report, top_movers, cosine_pairs, same_diff_gap, best_threshold, same_diff_gap_all, best_threshold_all, mean_voices, nearest_voice, chunk_windows, waveform_peaks,
+        upper_median, index_percentiles, share_within, drift_by_fifth, crowding_report, top_movers, cosine_pairs, recording_pairs, same_diff_gap, best_threshold, same_diff_gap_all, best_threshold_all, mean_voices, nearest_voice, chunk_windows, waveform_peaks,
         count_distinct_speakers, session_activity,
     )
 }
@@ -144,11 +146,8 @@ ORACLE_SQL = {
     "crowding_report": f"""{_MOVED}, o AS (SELECT *, CASE WHEN lag(end_s) OVER w - start_s > 0.05 THEN 1 ELSE 0 END AS ob, CASE WHEN lag(ne) OVER w - ns > 0.05 THEN 1 ELSE 0 END AS oa FROM m WINDOW w AS (PARTITION BY recording_id ORDER BY seq))
 SELECT recording_id, CAST(sum(ob) AS BIGINT) AS overlaps_before, CAST(sum(oa) AS BIGINT) AS overlaps_after, count(*) FILTER (end_s - start_s > 0 AND ne - ns <= 0) AS swallowed, round(max(abs(ns - start_s)), 6) AS worst_shift FROM o GROUP BY recording_id""",
     "top_movers": f"{_MOVED}, r AS (SELECT recording_id, seq, ns - start_s AS shift, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY abs(ns - start_s) DESC, seq) AS INTEGER) AS rank FROM m) SELECT recording_id, seq, round(shift, 6) AS shift, rank FROM r WHERE rank <= 12",
-    "cosine_pairs": f"{_PAIRS} SELECT recording_id, a, b, same, round(distance, 5) AS distance FROM pairs",
-    "same_diff_gap": f"{_PAIRS} SELECT round(avg(distance) FILTER (same), 5) AS same, round(avg(distance) FILTER (NOT same), 5) AS different, round(avg(distance) FILTER (NOT same) - avg(distance) FILTER (same), 5) AS gap FROM pairs",
-    "best_threshold": f"""{_PAIRS}, t AS (SELECT k, round(0.05::DOUBLE + k * 0.01::DOUBLE, 6) AS threshold FROM (SELECT unnest(range(146)) AS k)),
-e AS (SELECT threshold, coalesce(count(*) FILTER (same AND NOT ceil((distance - 0.05::DOUBLE) / 0.01::DOUBLE) <= k) / nullif(count(*) FILTER (same), 0), 0) AS missed, coalesce(count(*) FILTER (NOT same AND ceil((distance - 0.05::DOUBLE) / 0.01::DOUBLE) <= k) / nullif(count(*) FILTER (NOT same), 0), 0) AS wrong FROM pairs, t GROUP BY threshold)
-SELECT round(threshold, 6) AS threshold, round((missed + wrong) / 2, 6) AS error FROM e ORDER BY (missed + wrong) / 2, threshold LIMIT 1""",
+    "cosine_pairs": f"{_U} SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, round(1 - list_inner_product(a.u, b.u), 5) AS distance FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0",
+    "recording_pairs": f"{_PAIRS} SELECT recording_id, a, b, same, round(distance, 5) AS distance FROM pairs",
     "same_diff_gap_all": f"{_ALL_PAIRS} SELECT round(avg(distance) FILTER (same), 5) AS same, round(avg(distance) FILTER (NOT same), 5) AS different, round(avg(distance) FILTER (NOT same) - avg(distance) FILTER (same), 5) AS gap FROM pairs",
     "best_threshold_all": f"""{_ALL_PAIRS}, t AS (SELECT k, round(0.05::DOUBLE + k * 0.01::DOUBLE, 6) AS threshold FROM (SELECT unnest(range(146)) AS k)),
 e AS (SELECT threshold, coalesce(count(*) FILTER (same AND NOT ceil((distance - 0.05::DOUBLE) / 0.01::DOUBLE) <= k) / nullif(count(*) FILTER (same), 0), 0) AS missed, coalesce(count(*) FILTER (NOT same AND ceil((distance - 0.05::DOUBLE) / 0.01::DOUBLE) <= k) / nullif(count(*) FILTER (NOT same), 0), 0) AS wrong FROM pairs, t GROUP BY threshold)
@@ -160,3 +159,4 @@ SELECT round(threshold, 6) AS threshold, round((missed + wrong) / 2, 6) AS error
     "count_distinct_speakers": f"WITH {sql.TURNS} SELECT recording_id, count(DISTINCT speaker) AS speakers FROM v_turns WHERE trim(speaker) <> '' GROUP BY recording_id",
     "session_activity": "WITH g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 DAYS AS new FROM events), i AS (SELECT *, sum(CASE WHEN new IS NULL OR new THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM i GROUP BY user_id, s",
 }
+ORACLE_SQL |= {name: ORACLE_SQL[f"{name}_all"] for name in ("same_diff_gap", "best_threshold")}

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkgrid.functions import text as t
+from talkgrid.functions.ordered import likeness, loop_ratio
 from talkgrid.operators import paragraphs as p
 from talkgrid.operators import sequence
 from talkgrid.plans import sql
@@ -131,12 +132,53 @@ def word_error_distance(spark, sf_dir):
 
 
 def neighbour_containment(spark, sf_dir):
-    """Segments whose folded text a neighbour at most two away contains."""
-    s = segments(spark, sf_dir).select("recording_id", "seq", t.normalised("text").alias("folded")).where("folded <> ''")
+    """Segments whose folded text a neighbour at most two away contains. After every segment its first sentence is said again."""
+    said = segments(spark, sf_dir).select("recording_id", (F.col("seq") * 2).alias("seq"), "text")
+    again = segments(spark, sf_dir).select("recording_id", (F.col("seq") * 2 + 1).alias("seq"), F.coalesce(F.get(t.sentences("text"), F.lit(0)), F.lit("")).alias("text"))
+    s = said.unionByName(again).select("recording_id", "seq", t.normalised("text").alias("folded")).where("folded <> ''")
     near = s.select("recording_id", F.col("folded").alias("other"), F.explode(F.array(*[F.col("seq") + d for d in (-2, -1, 1, 2)])).alias("seq"))
     return s.join(near, ["recording_id", "seq"]).where(F.col("other").contains(F.col("folded"))).select("recording_id", "seq").distinct()
 
 
+def same_thing(spark, sf_dir):
+    """Whether a text with a part of its words left out still says the same."""
+    s = segments(spark, sf_dir).withColumn("n", F.size(t.words("text")))
+    part = F.array_join(F.filter(t.words("text"), lambda w, i: (i * 7 + F.col("seq")) % 5 < 3 + F.col("seq") % 2), " ")
+    return s.select("recording_id", "seq", t.says_the_same(F.col("text"), part).alias("same"))
+
+
+def guesswork(spark, sf_dir):
+    """Segments that are unsure of themselves, or that compress too well to be speech. Every fourth says one phrase over and over."""
+    s = segments(spark, sf_dir)
+    s = s.withColumn("text", F.when(F.col("seq") % 4 == 3, F.repeat(F.lit("and so on and "), 30)).otherwise(F.col("text")))
+    loops = F.coalesce(loop_ratio("text") > 2.4, F.lit(False))
+    return s.select("recording_id", "seq", loops.alias("loops"), (loops | (F.col("avg_logprob") < -1) | (F.col("no_speech") > 0.6)).alias("guesswork"))
+
+
+def markdown_transcript(spark, sf_dir):
+    return p.markdown(p.paragraphs(segments(spark, sf_dir), longest=300))
+
+
+def subtitle_file(spark, sf_dir):
+    return p.subtitles(segments(spark, sf_dir))
+
+
+def word_likeness(spark, sf_dir):
+    """The share of each word's letters that the next word has in the same order."""
+    w = segments(spark, sf_dir).select("recording_id", "seq", F.posexplode(t.bare_words("text")).alias("i", "a"))
+    w = w.withColumn("b", F.lead("a").over(Window.partitionBy("recording_id", "seq").orderBy("i"))).where("b IS NOT NULL").select("a", "b").distinct()
+    return w.select("a", "b", F.round(likeness("a", "b"), 6).alias("share"))
+
+
+def placed_words(spark, sf_dir):
+    """Words of which every third has a time; the others lie between."""
+    w = segments(spark, sf_dir).select("recording_id", "seq", "start_s", F.posexplode(t.words("text")).alias("word_ix", "text"))
+    order = F.row_number().over(Window.partitionBy("recording_id").orderBy("seq", "word_ix"))
+    at = F.when((F.col("word_ix") + F.col("seq")) % 3 == 0, F.col("start_s") + F.col("word_ix") * 0.4 - (F.col("word_ix") % 4) * 0.5)
+    found = sequence.interpolate(w.withColumns({"k": order, "at_s": at}), by="k")
+    return found.select("recording_id", "seq", "word_ix", F.round("at_s", 6).alias("at_s"))
+
+
 _S = f"WITH RECURSIVE {sql.SEGMENTS}"
 _LINES = rf"""
 b AS (SELECT *, lag(speaker) OVER w AS ps, lag(end_s) OVER w AS pe, regexp_matches(lag(text) OVER w, '[.?!][\p{{Z}}\s]*$') AS ended, row_number() OVER w AS k, length({sql.stripped('text')}) + 1 AS n
@@ -168,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         paragraphs, plain_transcript, markdown_lines, srt_cues, speaker_stretches, full_text, match_spans, search_hits, flags, readings, normalise_text, tokens_per_doc, sentence_split, dialogue_marks,
-        char_share_split, trimmed_overlap, clock_format, decoder_order, carry_speaker, first_appearance_labels, word_error_distance, neighbour_containment,
+        char_share_split, trimmed_overlap, clock_format, decoder_order, carry_speaker, first_appearance_labels, word_error_distance, neighbour_containment, same_thing, guesswork, markdown_transcript, subtitle_file, word_likeness, placed_words,
     )
 }
 
@@ -223,5 +265,21 @@ k AS (SELECT recording_id, seq, x, y, 0 AS i, range(len(y) + 1) AS d FROM a
       SELECT recording_id, seq, x, y, i + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda j: [j]), lambda acc, e: list_append(acc, least(acc[-1] + 1, d[e[1] + 1] + 1, d[e[1]] + CASE WHEN x[i + 1] = y[e[1]] THEN 0 ELSE 1 END)), [CAST(i + 1 AS BIGINT)])
       FROM k WHERE i < len(x))
 SELECT recording_id, seq, d[-1] AS distance, len(x) AS words FROM k WHERE i = len(x)""",
-    "neighbour_containment": f"WITH {sql.SEGMENTS}, f AS (SELECT recording_id, seq, {sql.normalised('text')} AS folded FROM v_segments WHERE {sql.normalised('text')} <> '') SELECT DISTINCT a.recording_id, a.seq FROM f a JOIN f b ON a.recording_id = b.recording_id AND abs(a.seq - b.seq) BETWEEN 1 AND 2 AND contains(b.folded, a.folded)",
+    "neighbour_containment": f"""WITH {sql.SEGMENTS}, e AS (SELECT recording_id, seq * 2 AS seq, text FROM v_segments UNION ALL SELECT recording_id, seq * 2 + 1, coalesce({_SENTENCES}[1], '') FROM v_segments),
+f AS (SELECT recording_id, seq, {sql.normalised('text')} AS folded FROM e WHERE {sql.normalised('text')} <> '') SELECT DISTINCT a.recording_id, a.seq FROM f a JOIN f b ON a.recording_id = b.recording_id AND abs(a.seq - b.seq) BETWEEN 1 AND 2 AND contains(b.folded, a.folded)""",
+    "same_thing": f"""WITH {sql.SEGMENTS}, w AS (SELECT recording_id, seq, {sql.bare_words('text')} AS x, {sql.bare_words("array_to_string(list_transform(list_filter(list_zip(" + sql.words('text') + ", range(len(" + sql.words('text') + "))), lambda z: (z[2] * 7 + seq) % 5 < 3 + seq % 2), lambda z: z[1]), ' ')")} AS y FROM v_segments)
+SELECT recording_id, seq, len(x) = 0 OR len(list_filter(x, lambda v: list_contains(y, v))) >= len(x) * 0.7 AS same FROM w""",
+    "markdown_transcript": f"{_S}, {_LINES} SELECT recording_id, string_agg('**[' || {sql.clock('start_s')} || ']** ' || CASE WHEN coalesce(speaker, '') <> '' THEN '**' || speaker || '** ' ELSE '' END || text, chr(10) || chr(10) ORDER BY para_ix) AS text FROM para GROUP BY recording_id",
+    "word_likeness": f"""{_S}, w AS (SELECT recording_id, seq, k, b[k] AS a, b[k + 1] AS b FROM (SELECT *, unnest(range(1, len(b))) AS k FROM (SELECT recording_id, seq, {sql.bare_words('text')} AS b FROM v_segments))),
+d AS (SELECT DISTINCT a, b, regexp_extract_all(a, '\\p{{L}}') AS x, regexp_extract_all(b, '.') AS y FROM w),
+r AS (SELECT a, b, x, y, 0::BIGINT AS i, list_transform(range(0, len(y) + 1), lambda j: 0::BIGINT) AS best FROM d UNION ALL
+  SELECT a, b, x, y, i + 1, list_transform(range(1, len(y) + 2), lambda j: greatest(best[j], list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND y[k - 1] = x[i + 1] THEN best[k - 1] + 1 ELSE 0 END)))) FROM r WHERE i < len(x))
+SELECT a, b, round(CASE WHEN len(x) > 0 THEN best[len(y) + 1] / len(x) ELSE 0 END, 6) AS share FROM r WHERE i = len(x)""",
+    "placed_words": f"""WITH {sql.SEGMENTS}, w AS (SELECT recording_id, seq, start_s, k - 1 AS word_ix FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM (SELECT *, {sql.words('text')} AS x FROM v_segments))),
+n AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seq, word_ix) AS k, CASE WHEN (word_ix + seq) % 3 = 0 THEN start_s + word_ix * 0.4::DOUBLE - (word_ix % 4) * 0.5::DOUBLE END AS t FROM w),
+b AS (SELECT *, last_value(t IGNORE NULLS) OVER u AS ta, last_value(CASE WHEN t IS NOT NULL THEN k END IGNORE NULLS) OVER u AS ka, first_value(t IGNORE NULLS) OVER v AS tb, first_value(CASE WHEN t IS NOT NULL THEN k END IGNORE NULLS) OVER v AS kb FROM n
+  WINDOW u AS (PARTITION BY recording_id ORDER BY k ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY recording_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+p AS (SELECT *, coalesce(t, ta + (tb - ta) * (k - ka) / nullif(kb - ka, 0), ta, tb) AS x FROM b)
+SELECT recording_id, seq, CAST(word_ix AS INTEGER) AS word_ix, round(max(x) OVER (PARTITION BY recording_id ORDER BY k ROWS UNBOUNDED PRECEDING), 6) AS at_s FROM p""",
 }
+ORACLE_SQL["subtitle_file"] = f"SELECT recording_id, string_agg(line, chr(10) || chr(10) ORDER BY cue) AS text FROM ({ORACLE_SQL['srt_cues']}) GROUP BY recording_id"

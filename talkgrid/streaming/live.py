@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from talkgrid.operators.folds import leading_overlap, ordered_fold
-from talkgrid.functions.ordered import bare
+from talkgrid.operators.folds import ordered_fold
+from talkgrid.functions.ordered import bare, leading_overlap
 
 SETTLE = 8.0
 SLACK = 0.4

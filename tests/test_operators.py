@@ -163,9 +163,12 @@ def test_tracks_cross_over(spark):
 
 
 def test_two_sides(spark):
-    rows = [(1, 0, 1), (1, 1, 2), (2, 0, 1), (2, 1, 2), (2, 0, 2)]
-    found = folds.two_sides(spark.createDataFrame(rows, "recording_id bigint, a int, b int")).collect()
-    assert sorted((r.recording_id, r.track, r.side) for r in found) == [(1, 0, 0), (1, 1, 1), (1, 2, 0)]
+    conflicts = [(1, 0, 1), (1, 1, 2), (2, 0, 1), (2, 1, 2), (2, 0, 2), (3, 0, 1), (3, 2, 3)]
+    tracks = [(r, t, 10.0 * t, 10.0 * t + 9, 9.0 + t) for r, n in ((1, 3), (2, 3), (3, 4), (4, 2)) for t in range(n)]
+    # The islands of recording 3 follow each other at the tracks 1 and 2, which should differ.
+    tracks[6 + 2] = (3, 2, 20.0, 29.0, 11.0)
+    found = folds.two_sides(spark.createDataFrame(tracks, "recording_id bigint, track int, start_s double, end_s double, seconds double"), spark.createDataFrame(conflicts, "recording_id bigint, a int, b int")).collect()
+    assert sorted((r.recording_id, r.track, r.side) for r in found) == [(1, 0, 0), (1, 1, 1), (1, 2, 0), (2, 0, 0), (2, 1, 1), (2, 2, 1), (3, 0, 0), (3, 1, 1), (3, 2, 0), (3, 3, 1)]
 
 
 def grid(*favoured):
