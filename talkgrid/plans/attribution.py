@@ -107,7 +107,9 @@ pick AS (SELECT t.recording_id, t.seq, t.word_ix, w.speaker, row_number() OVER (
 own AS (SELECT tw.recording_id, tw.seq, tw.word_ix, tw.text, tw.off, tw.start_s, tw.end_s, p.speaker AS label FROM tw LEFT JOIN pick p ON p.k = 1 AND p.recording_id = tw.recording_id AND p.seq = tw.seq AND p.word_ix = tw.word_ix),
 lab AS (SELECT recording_id, seq, word_ix, text, off, start_s, end_s, coalesce(last_value(label IGNORE NULLS) OVER (PARTITION BY recording_id, seq ORDER BY word_ix ROWS UNBOUNDED PRECEDING), first_value(label IGNORE NULLS) OVER (PARTITION BY recording_id, seq ORDER BY word_ix ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS label FROM own)"""
 _FINISH = r"regexp_matches({0}, '[.!?…:;][^\p{{L}}\p{{Nd}}.!?…:;]*$')"
-_STEADY = f"""{_LABELS}, l0 AS (SELECT recording_id, seq, list(label ORDER BY word_ix) AS l, list(text ORDER BY word_ix) AS w FROM lab GROUP BY recording_id, seq),
+def steady(source: str) -> str:
+    """Common table expressions that steady the labels (label, by word_ix) of a source's segments; the last is steady."""
+    return f"""l0 AS (SELECT recording_id, seq, list(label ORDER BY word_ix) AS l, list(text ORDER BY word_ix) AS w FROM {source} GROUP BY recording_id, seq),
 st AS (SELECT recording_id, seq, 2 AS i, l, w FROM l0 UNION ALL
   SELECT recording_id, seq, i + 1, CASE WHEN l[i] <> l[i - 1] AND l[i - 1] = l[i + 1] THEN list_concat(l[1:i - 1], [l[i - 1]], l[i + 1:]) ELSE l END, w FROM st WHERE i < len(l)),
 s1 AS (SELECT recording_id, seq, w, CASE WHEN len(l) > 1 THEN list_concat([l[2]], l[2:]) ELSE l END AS l FROM st WHERE i = greatest(2, len(l))),
@@ -115,6 +117,9 @@ s2 AS (SELECT *, 1 + coalesce(list_max(list_filter(range(1, len(l)), lambda k: l
 s3 AS (SELECT recording_id, seq, CASE WHEN b > 1 AND len(l) - b + 1 <= 4 AND NOT {_FINISH.format('w[b - 1]')} AND {_FINISH.format('w[len(w)]')} THEN list_concat(l[1:b - 1], list_transform(l[b:], lambda x: l[b - 1])) ELSE l END AS l FROM s2),
 steady AS (SELECT recording_id, seq, k - 1 AS word_ix, l[k] AS label FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM s3))"""
 
+
+_STEADY = f"{_LABELS}, {steady('lab')}"
+
 ORACLE_SQL = {
     "word_offsets": f'{_S}, {_OFFSETS} SELECT recording_id, seq, CAST(word_ix AS INTEGER) AS word_ix, text, off AS "offset" FROM o',
     "snapped_turns": f"""{_S}, g AS (SELECT recording_id, start_s FROM v_segments QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY seq) > 1),

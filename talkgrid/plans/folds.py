@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from talkgrid.functions import text as t
 from talkgrid.operators import folds, frames, speakers
 from talkgrid.operators.intervals import interval_join
 from talkgrid.plans import sql
+from talkgrid.plans.attribution import steady
 from talkgrid.sources.tables import segments, spoken, texts, turns, voices
 from talkgrid.streaming.live import replay
 
@@ -219,7 +222,39 @@ sh AS (SELECT recording_id, a, b, count(*) AS frames, row_number() OVER (PARTITI
 _CONFLICTS = f"""WITH RECURSIVE {sql.TURNS}, t AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY recording_id ORDER BY speaker) AS INTEGER) AS track FROM v_turns),
 c AS (SELECT DISTINCT x.recording_id, x.track AS a, y.track AS b FROM t x JOIN t y ON x.recording_id = y.recording_id AND x.track < y.track AND x.start_s < y.end_s AND x.end_s > y.start_s)"""
 
+_MADE = f"""WITH RECURSIVE {sql.SEGMENTS}, x AS (SELECT *, {sql.words('text')} AS w FROM v_segments),
+made AS (SELECT recording_id, seq, k - 1 AS word_ix, w[k] AS text, CASE WHEN ((k - 1) * 7 + seq) % 11 = 0 THEN 'B' WHEN k - 1 < 12 THEN 'A' ELSE 'B' END AS label, start_s + (end_s - start_s) / len(w) * (k - 1) AS s, start_s + (end_s - start_s) / len(w) * k AS e FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM x)),
+{steady('made')}"""
+_AROUND = r"regexp_extract(w, '^([^\p{L}\p{Nd}]*)', 1)"
+_INSIDE = r"regexp_extract(w, '^[^\p{L}\p{Nd}]*((?:.*[\p{L}\p{Nd}])?)', 1)"
+
+#: The slot of each event type in window 0; SQL has no crc32.
+_SLOTS = " ".join(f"WHEN '{n}' THEN {crc32(n.encode()) % 5}" for n in ("click", "error", "purchase", "signup", "view"))
+
 ORACLE_SQL = {
+    "link_tracks": f"""WITH RECURSIVE {sql.TURNS}, k AS (SELECT recording_id, CASE speaker {_SLOTS} END AS s0, start_s AS s, end_s AS e, unnest([CAST(floor(start_s / 168.0::DOUBLE) AS INTEGER), CAST(floor(start_s / 168.0::DOUBLE) AS INTEGER) - 1]) AS w FROM v_turns),
+sp AS (SELECT recording_id, w - min(w) OVER (PARTITION BY recording_id) AS w, s0, s, e FROM k), sl AS (SELECT recording_id, w, (s0 + w) % 5 AS slot, s, e FROM sp),
+sh AS (SELECT a.recording_id, a.w, a.slot, b.slot AS nx, row_number() OVER (PARTITION BY a.recording_id, a.w ORDER BY sum(greatest(0, least(a.e, b.e) - greatest(a.s, b.s))) DESC, a.slot, b.slot) AS k FROM sl a JOIN sl b ON b.recording_id = a.recording_id AND b.w = a.w + 1
+  GROUP BY a.recording_id, a.w, a.slot, b.slot HAVING sum(greatest(0, least(a.e, b.e) - greatest(a.s, b.s))) >= 0.5),
+g AS (SELECT recording_id, w, 0::BIGINT AS k, []::INTEGER[] AS ua, []::INTEGER[] AS ub, NULL::INTEGER AS slot, NULL::INTEGER AS nx FROM (SELECT DISTINCT recording_id, w FROM sh) UNION ALL
+  SELECT h.recording_id, h.w, h.k, CASE WHEN list_contains(ua, h.slot) OR list_contains(ub, h.nx) THEN ua ELSE list_append(ua, h.slot) END, CASE WHEN list_contains(ua, h.slot) OR list_contains(ub, h.nx) THEN ub ELSE list_append(ub, h.nx) END,
+    CASE WHEN NOT list_contains(ua, h.slot) AND NOT list_contains(ub, h.nx) THEN h.slot END, h.nx FROM g JOIN sh h ON h.recording_id = g.recording_id AND h.w = g.w AND h.k = g.k + 1),
+m AS (SELECT recording_id, w, slot, nx FROM g WHERE slot IS NOT NULL),
+said AS (SELECT DISTINCT recording_id, w, slot FROM sl),
+head AS (SELECT s.*, row_number() OVER (PARTITION BY s.recording_id ORDER BY s.w, s.slot) - 1 AS track FROM said s WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.recording_id = s.recording_id AND m.w = s.w - 1 AND m.nx = s.slot)),
+c AS (SELECT recording_id, w, slot, track FROM head UNION ALL SELECT c.recording_id, c.w + 1, m.nx, c.track FROM c JOIN m ON m.recording_id = c.recording_id AND m.w = c.w AND m.slot = c.slot),
+r AS (SELECT recording_id, w, unnest(range(5)) AS slot FROM (SELECT DISTINCT recording_id, w FROM sl))
+SELECT r.recording_id, CAST(r.w AS INTEGER) AS window_ix, CAST(r.slot AS INTEGER) AS slot, CAST(coalesce(c.track, -1) AS INTEGER) AS track FROM r LEFT JOIN c ON c.recording_id = r.recording_id AND c.w = r.w AND c.slot = r.slot""",
+    "steady_words": f"{_MADE} SELECT m.recording_id, m.seq, CAST(m.word_ix AS INTEGER) AS word_ix, m.text, t.label FROM made m JOIN steady t ON t.recording_id = m.recording_id AND t.seq = m.seq AND t.word_ix = m.word_ix",
+    "voice_pieces": f"""{_MADE}, j AS (SELECT m.*, t.label AS who FROM made m JOIN steady t ON t.recording_id = m.recording_id AND t.seq = m.seq AND t.word_ix = m.word_ix),
+i AS (SELECT *, sum(CASE WHEN word_ix > 0 AND who = prev THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id, seq ORDER BY word_ix) AS island FROM (SELECT *, lag(who) OVER (PARTITION BY recording_id, seq ORDER BY word_ix) AS prev FROM j))
+SELECT recording_id, seq, CAST(island - 1 AS BIGINT) AS part, min(who) AS label, string_agg(text, ' ' ORDER BY word_ix) AS text, round(arg_min(s, word_ix), 6) AS start_s, round(arg_max(e, word_ix), 6) AS end_s FROM i GROUP BY recording_id, seq, island""",
+    "corrections": f"""WITH {sql.SEGMENTS}, x AS (SELECT recording_id, seq, {sql.words('text')} AS ws FROM v_segments), e AS (SELECT recording_id, seq, k, ws[k] AS w FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM x)),
+p AS (SELECT recording_id, seq, k, w, {_AROUND} AS pre, {_INSIDE} AS core FROM e),
+c AS (SELECT *, CASE WHEN length(core) > 2 AND (core LIKE '%''s' OR core LIKE '%’s') THEN left(core, length(core) - 2) ELSE core END AS own FROM p),
+n AS (SELECT recording_id, seq, k, CASE own WHEN 'the' THEN pre || 'teh' || substring(w, length(pre) + length(own) + 1) WHEN 'The' THEN pre || 'Teh' || substring(w, length(pre) + length(own) + 1)
+  WHEN 'in' THEN pre || 'inside of' || substring(w, length(pre) + length(own) + 1) WHEN 'In' THEN pre || 'Inside of' || substring(w, length(pre) + length(own) + 1) ELSE w END AS t FROM c)
+SELECT x.recording_id, x.seq, coalesce(string_agg(t, ' ' ORDER BY k), '') AS text FROM x LEFT JOIN n ON n.recording_id = x.recording_id AND n.seq = x.seq GROUP BY x.recording_id, x.seq""",
     "spelled_words": rf"""WITH w AS (SELECT DISTINCT unnest(list_filter(string_split_regex(text, '[\p{{Z}}\s]+'), lambda w: w <> '')) AS word FROM documents),
 l AS (SELECT word, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(word), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss'), 'ø', 'o'), 'đ', 'd'), 'ð', 'd'), 'þ', 'th'), 'ł', 'l'), 'ħ', 'h'), 'ı', 'i'), '’', chr(39)) AS x FROM w)
 SELECT word, regexp_replace(strip_accents(x), '[^a-z' || chr(39) || ']', '', 'g') AS spelled FROM l""",

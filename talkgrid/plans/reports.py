@@ -135,9 +135,12 @@ def spelled_tokens(spark, sf_dir):
 
 def window_conflicts(spark, sf_dir):
     """Speakers that talk in the same week, a quarter of an hour of each at least."""
-    week = F.floor(F.col("start_s") / (24.0 * 7)).cast("int")
-    spans = turns(spark, sf_dir).withColumns({"window_ix": week, "track": F.crc32(F.col("speaker").cast("binary")) % 97})
-    return folds.window_conflicts(spans.withColumn("slot", F.col("track")), 0.25)
+    rows = turns(spark, sf_dir).withColumn("track", F.dense_rank().over(Window.partitionBy("recording_id").orderBy("speaker")))
+    names = rows.select("recording_id", "track", "speaker").distinct()
+    found = folds.window_conflicts(rows.withColumns({"window_ix": F.floor(F.col("start_s") / (24.0 * 7)).cast("int"), "slot": F.col("track")}), 0.25)
+    for side in ("a", "b"):
+        found = found.withColumnRenamed(side, "track").join(names.withColumnRenamed("speaker", f"_{side}"), ["recording_id", "track"]).drop("track")
+    return found.select("recording_id", F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
 def two_sides(spark, sf_dir):
@@ -208,7 +211,10 @@ def _bare_core(w: str) -> str:
 
 _CORES = f"{_S}, c AS (SELECT recording_id, seq, k - 1 AS word_ix, {_bare_core('w[k]')} AS core FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM (SELECT recording_id, seq, {sql.words('text')} AS w FROM v_segments)))"
 
+_WEEKS = f"""WITH {sql.TURNS}, w AS (SELECT recording_id, CAST(floor(start_s / 168.0::DOUBLE) AS INTEGER) AS k, speaker, sum(end_s - start_s) AS held FROM v_turns GROUP BY ALL HAVING sum(end_s - start_s) >= 0.25)"""
+
 ORACLE_SQL = {
+    "window_conflicts": f"{_WEEKS} SELECT DISTINCT a.recording_id, a.speaker AS a, b.speaker AS b FROM w a JOIN w b ON a.recording_id = b.recording_id AND a.k = b.k AND a.speaker < b.speaker",
     "sliding_windows": f"{_D}, w AS (SELECT recording_id, d, unnest(range(CAST(ceil(d / 1.0::DOUBLE) AS BIGINT))) AS k FROM r WHERE d > 0) SELECT recording_id, CAST(k AS INTEGER) AS window_ix, round(k * 1.0::DOUBLE, 6) AS start_s, round(least(10.0::DOUBLE, d - k * 1.0::DOUBLE), 6) AS available_s FROM w WHERE least(10.0::DOUBLE, d - k * 1.0::DOUBLE) >= 2.5",
     "margin_windows": f"""{_S}, n AS (SELECT recording_id, start_s AS x, len({sql.words('text')}) AS n FROM v_segments), w AS (SELECT *, unnest(range(0, CAST(floor((x + 2) / 10) AS BIGINT) + 1)) AS k FROM n)
 SELECT recording_id, k AS window_ix, CAST(sum(n) AS BIGINT) AS read, CAST(sum(CASE WHEN floor(x / 10) = k THEN n ELSE 0 END) AS BIGINT) AS own FROM w WHERE x >= k * 10 - 2 AND x < (k + 1) * 10 + 2 GROUP BY recording_id, k""",
@@ -267,3 +273,11 @@ r AS (SELECT recording_id, seq, x, y, 0::BIGINT AS i, list_transform(range(0, le
   SELECT recording_id, seq, x, y, i + 1, list_transform(range(1, len(y) + 2), lambda j: j - 1 + list_min(list_transform(range(1, j + 1), lambda k: CASE WHEN k = 1 THEN i + 1 ELSE least(d[k - 1] + CASE WHEN y[k - 1] = x[i + 1] THEN 0 ELSE 1 END, d[k] + 1) END - (k - 1)))) FROM r WHERE i < len(x))
 SELECT recording_id, seq, d[len(y) + 1] AS edits, len(y) - len(x) AS longer FROM r WHERE i = len(x)""",
 }
+
+def _paragraphs_at() -> str:
+    from talkgrid.plans import texts
+
+    return texts.ORACLE_SQL["paragraphs"].rsplit(" SELECT recording_id, para_ix, speaker", 1)[0] + " SELECT s.recording_id, s.seq, para.para_ix FROM v_segments s JOIN para ON para.recording_id = s.recording_id AND para.start_s <= (s.start_s + s.end_s) / 2 AND (s.start_s + s.end_s) / 2 < para.end_s"
+
+
+ORACLE_SQL["paragraphs_at"] = _paragraphs_at()
