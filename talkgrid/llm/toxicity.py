@@ -1,13 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Positives are confirmed toxic documents, the unlabelled are documents whatever their label. Features
+Positives are confirmed toxic documents; the unlabelled are drawn from all documents of the labels table, whose labels are then
+hidden, so that the prior, the share of toxic ones among the labels, is that of the unlabelled too. Features
 are a document's lower-cased words and word beginnings of PREFIXES bytes, hashed into BUCKETS: whether
 one is there, and its rate, RATE_WORDS times its share of the words, 1 at most. Counts of documents that
-have it, and that have it at a rate of a half or more, choose for both sets the FEATURES buckets that
-tell them best apart; a logistic model on these minimises the class-prior-corrected risk
+have it, and that have it at a rate of a half or more, choose for both sets the FEATURES buckets, of those that LEAST documents
+have, that tell them best apart; a logistic model on these minimises the class-prior-corrected risk
     prior * P[l(f)] + max(0, U[l(-f)] - prior * P[l(-f)]),
 with l the logistic loss, so unlabelled toxic documents don't count as clean ones. Learning takes
-about MAX_POSITIVE and MAX_UNLABELLED documents at most, chosen by a hash of doc_id; scoring takes all.
+about MAX_POSITIVE and MAX_UNLABELLED labelled rows at most, chosen by a hash of doc_id; scoring takes all documents.
 
 Edges: null and empty texts get the model's intercept; without positives every score is 0; null
 labels teach nothing; repeated rows each get their score; an empty table gives no rows; other
@@ -21,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgrid.llm.tables import split_of, table
+from talkgrid.llm.tables import release, split_of, stored, table
 from talkgrid.llm.textbytes import ALNUM_WORDS, Words, mix, pieces, span_hashes
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
 FEATURES = 768
+LEAST = 3
 #: Bytes of text handled at once; every word gives several features.
 PIECE = 1 << 19
 RATE_WORDS = 40.0
@@ -89,7 +91,8 @@ def _chosen(features: np.ndarray):
 def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic model under the non-negative positive-unlabelled risk."""
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    xp, xu = x[positive], x[~positive]
+    k = int(positive.sum())
+    xp, xu = (x[:k], x[k:]) if positive[:k].all() else (x[positive], x[~positive])  # without a copy where positives come first
     w = np.zeros(x.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -117,28 +120,30 @@ def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, max_posi
     if not n["pos"]:
         return None
     prior = min(0.9, max(1e-3, n["pos"] / n["all"]))
-    here = docs.count()
     share = lambda most, of: F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(1, of)))
-    ids = known.where("toxic = 1").where(share(max_positive, n["pos"])).select("doc_id")  # about max_positive at most, so small enough to broadcast
-    positive = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
-    unlabelled = docs.where(share(max_unlabelled, here)).select(F.lit(False).alias("positive"), "text")
-    both = positive.unionByName(unlabelled)
+    kinds = F.concat(F.when((F.col("toxic") == 1) & share(max_positive, n["pos"]), F.array(F.lit(True))).otherwise(F.array()), F.when(share(max_unlabelled, n["all"]), F.array(F.lit(False))).otherwise(F.array()))
+    ids = known.select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)  # about max_positive and max_unlabelled at most, so small enough to broadcast
+    both = stored(docs.join(F.broadcast(ids), "doc_id").select(F.explode("kinds").alias("positive"), "text"))
     counts = both.mapInArrow(_counter, "bucket long, pos long, unl long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
     sizes = both.groupBy("positive").count().collect()
     n_pos, n_unl = (next((r["count"] for r in sizes if r["positive"] is k), 0) for k in (True, False))
     if not n_pos or not n_unl:
+        release(both)
         return None
     p, u = (F.col("pos") + 0.5) / (n_pos + 1), (F.col("unl") + 0.5) / (n_unl + 1)
     apart = (p - u) * (p - u) / (u * (1.0001 - u))
-    best = counts.where("pos + unl >= 3").orderBy(apart.desc(), "bucket").limit(features).select("bucket").collect()
+    best = counts.where(F.col("pos") + F.col("unl") >= LEAST).orderBy(apart.desc(), "bucket").limit(features).select("bucket").collect()
     chosen = np.unique(np.array([r["bucket"] for r in best], np.int64) % BUCKETS)
     rows = both.mapInArrow(_chosen(chosen), "positive boolean, features array<int>, rates array<float>").toArrow()
+    release(both)
+    positive = rows.column("positive").to_numpy()
+    place = np.argsort(np.argsort(~positive, kind="stable"))  # positives first
     x = np.zeros((rows.num_rows, 2 * len(chosen)), np.float32)
     lists = rows.column("features").combine_chunks()
-    row, feature = np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    row, feature = np.repeat(place, np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
     x[row, feature] = 1
     x[row, feature + len(chosen)] = rows.column("rates").combine_chunks().flatten().to_numpy()
-    w, bias = nnpu(x, rows.column("positive").to_numpy(), prior)
+    w, bias = nnpu(x, np.sort(positive)[::-1], prior)
     weights = np.zeros((2, BUCKETS))
     weights[:, chosen] = w.reshape(2, -1)
     return weights, bias
