@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgrid.llm.bittable import bit_table, holds
-from talkgrid.llm.tables import cut, partitions, release, stored, table
+from talkgrid.llm.tables import cut, packed, partitions, release, stored, table, unpacked
 from talkgrid.llm.textbytes import SPACE_WORDS, Words, mix, pieces, word_hashes
 
 #: Similarity as a fraction, 4/5.
@@ -541,10 +541,11 @@ def dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, **limits: i
     results = ("n_lines", "n_links", "n_removed")
     docs = docs.drop(*results)
     found = judged(docs.select("doc_id", "text"), similarity, **limits)
-    out = docs.join(found, (F.coalesce("doc_id", F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left")
-    out = out.select(*docs.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in results], "_gone")
+    rows = packed(docs, "doc_id", "text")
+    out = rows.join(found, (F.coalesce("doc_id", F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left")
+    out = out.select(*rows.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in results], "_gone")
     schema = T.StructType(out.schema.fields[:-1])
-    return out.mapInArrow(_cutter(schema.names), schema)
+    return unpacked(out.mapInArrow(_cutter(schema.names), schema), docs.columns, ("doc_id", "text"), *results)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

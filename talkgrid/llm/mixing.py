@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talkgrid.llm.tables import cut, table
+from talkgrid.llm.tables import cut, packed, table, unpacked
 
 MAX_REPEATS = 3
 #: Hex digits of the order key that name a bucket: 4096 buckets a source.
@@ -57,6 +57,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def assign(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """docs without text, with size, source_size, target, copies, taken, positions (of each copy, in 0..1) and the first position."""
     docs = docs.drop("size", "source_size", "target", "copies", "taken", "positions", "position")
+    columns, own = [c for c in docs.columns if c != "text"], (id_column, "source", "text")
+    docs = packed(docs, *own)
     docs = docs.withColumn("size", F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long"))
     docs = cut(docs.drop("text")).withColumn("_key", F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")))
     docs = docs.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
@@ -78,7 +80,8 @@ def assign(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     at = lambda k: F.least(F.lit(1.0), (F.col("_at") + k * F.col("source_size") + F.col("size") / 2.0) / F.col("target"))
     positions = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: _inverse_demand(at(k), F.col("slope")))
     out = out.withColumn("positions", F.when((F.col("copies") > 0) & (F.col("target") > 0), positions))
-    return out.withColumn("position", F.get("positions", F.lit(0))).drop("_key", "_bucket", "_from", "_at", "_passes", "slope")
+    out = out.withColumn("position", F.get("positions", F.lit(0)))
+    return unpacked(out, columns, own, "size", "source_size", "target", "copies", "taken", "positions", "position")
 
 
 def _inverse_demand(share: F.Column, slope: F.Column) -> F.Column:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgrid.llm.tables import stored, table
+from talkgrid.llm.tables import packed, stored, table, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("secret", "number", "address", "name", "street")
@@ -44,11 +44,16 @@ PLACES = "Calle|Avenida|Plaza|Paseo|Rue|Place|Chemin"
 GIVEN = "James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Anna|Maria|Peter|Hans|Klaus|Jürgen|Wolfgang|Ursula|Monika|Sabine|José|Juan|Carlos|Luis|Carmen|Ana|Isabel|Jean|Pierre|Michel|Marie|Sophie|Camille"
 SECRETS = "password|passwd|passphrase|pwd|secret|contraseña|passwort|kennwort|mot de passe"
 _RUN = r"(?:\G|(?<![A-Za-z0-9@._%+=/:-]))(?=[A-Za-z._%+=/:-]*+[0-9@])[A-Za-z0-9@._%+=/:-]{7,}+"
-_VALUE = rf"(?<=(?i:{SECRETS}) {{0,2}}(?:[:=]|is) {{0,2}}[\"']?)(?![\"'\s])[^\s\"']{{6,64}}+"
+_VALUE = rf"(?<=(?i:{SECRETS}) {{0,2}}[:=] {{0,2}}[\"']?)(?![\"'\s])[^\s\"']{{6,64}}+"
 _NAMED = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?"
 _HOUSE = rf"(?<![\p{{L}}\p{{N}}.])[0-9]{{1,5}} (?:\p{{Lu}}\p{{L}}++ ){{1,3}}?(?:{STREETS})(?![\p{{L}}\p{{N}}])|(?<!\p{{L}})(?:\p{{L}}*+(?<=\p{{L}}(?:{WAYS}))|(?:{PLACES})(?: \p{{L}}++){{1,4}}?,?) [0-9]{{1,4}}(?![\p{{L}}\p{{N}}])"
-CANDIDATE = f"{_VALUE}|{_RUN}|{_NAMED}|{_HOUSE}"
-HINT = rf"[0-9@]|(?i:{SECRETS})|(?:{TITLES})\.? \p{{Lu}}"
+#: Candidates: runs, which most texts with digits have, and the other forms, which few texts have.
+CANDIDATES = {"run": _RUN, "form": f"{_VALUE}|{_NAMED}|{_HOUSE}"}
+#: What a text with another form has, so written that most places fail at the first character.
+HINT = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:(?=[DFHMPS])(?:{TITLES})\.? \p{{Lu}}|(?=[pPsScCkKmM])(?i:{SECRETS}) {{0,2}}[:=]|[0-9]{{1,5}} \p{{Lu}}|(?=[ACPR])(?:{PLACES}) )"
+    rf"|(?=[sgwpa])(?:{WAYS}) [0-9]"
+)
 #: A text must have these to have a match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Matches whose places are summed up in one go.
@@ -117,7 +122,7 @@ def passes(kind: str, w: Column) -> Column:
 def form(w: Column, before: Column) -> Column:
     """The number of a candidate's form in FORMS."""
     return (
-        F.when(before.rlike(rf"(?i)({SECRETS}) {{0,2}}([:=]|is) {{0,2}}[\"']?$"), 4)
+        F.when(before.rlike(rf"(?i)({SECRETS}) {{0,2}}[:=] {{0,2}}[\"']?$"), 4)
         .when(w.rlike(rf"^(?:{TITLES})\.? \p{{Lu}}"), 2)
         .when(w.contains(" "), 3)
         .when(w.rlike("^[0-9]{9,}$"), 1)
@@ -137,7 +142,7 @@ def labelers(c: Column) -> dict[str, Column]:
         "issuer": vote(w.rlike(r"(?i)^(sk-|ghp_|akia|xox[bp]-|eyj|bearer)|@.*\.(com|org|net|edu|gov|io)$") | (number & w.rlike("^[3-6]"))),
         "words": vote(before.rlike(rf"(?i)(token|api[_ -]?key|key|bearer|phone|tel|mobile|call|e-?mail|account|iban|card|ssn|passport|contact|{SECRETS})[^A-Za-z0-9]{{0,6}}$")),
         "units": F.when(after.rlike(r"(?i)^ ?(%|km|kg|mb|gb|px|pages?|usd|eur|percent)") | before.rlike(r"(?i)(page|p\.|fig|figure|chapter|section|version|no\.|isbn|[$€£]) ?$"), -1).otherwise(0),
-        "turns": vote(turns >= 3, turns == 0),
+        "turns": F.when(c.getField("form") == 0, vote(turns >= 3, turns == 0)).otherwise(0),
         "checked": vote(F.when(number, luhn(w)).otherwise(False)),
         "listed": vote(w.rlike(rf"^(?:{TITLES})\.? \p{{Lu}}|[0-9] .*(?:{STREETS})$|^(?:{PLACES}) |(?:{WAYS}) [0-9]+$")),
         "given": vote(w.rlike(rf"(?<!\p{{L}})(?:{GIVEN})(?!\p{{L}})")),
@@ -145,8 +150,7 @@ def labelers(c: Column) -> dict[str, Column]:
 
 
 def features(c: Column) -> dict[str, Column]:
-    w, before, after = c.getField("w"), c.getField("before"), c.getField("after")
-    kind = form(w, before)
+    w, before, after, kind = c.getField("w"), c.getField("before"), c.getField("after"), c.getField("form")
     return {
         "at": w.contains("@"),
         "long": F.length(w) >= 16,
@@ -170,9 +174,9 @@ def spans_of(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     empty = F.lit(None).cast("struct<found:array<string>,pieces:array<struct<n:int,tail:string,head:string>>>")
     has = {k: text.contains(c) if c else text.rlike("[0-9]") for k, c in NEEDS.items()}
-    has["cand"] = text.rlike(HINT)
-    rows = docs.withColumns({f"_{k}": F.when(has[k], matches(text, p)).otherwise(empty) for k, p in {**PATTERNS, "cand": CANDIDATE}.items()}).drop("text")
-    rows = rows.withColumns({f"_{k}": F.coalesce(places(F.col(f"_{k}")), F.array().cast("array<struct<begin:int,end:int,w:string,before:string,after:string>>")) for k in (*KINDS, "cand")})
+    has |= {"run": text.rlike("[0-9@]"), "form": text.rlike(HINT)}
+    rows = docs.withColumns({f"_{k}": F.when(has[k], matches(text, p)).otherwise(empty) for k, p in {**PATTERNS, **CANDIDATES}.items()}).drop("text")
+    rows = rows.withColumns({f"_{k}": F.coalesce(places(F.col(f"_{k}")), F.array().cast("array<struct<begin:int,end:int,w:string,before:string,after:string>>")) for k in (*KINDS, *CANDIDATES)})
 
     def passing(kind: str) -> Column:
         good = F.filter(f"_{kind}", lambda s: passes(kind, s.getField("w")))
@@ -181,14 +185,15 @@ def spans_of(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({f"_{k}": passing(k) for k in KINDS})
     base = F.concat(*[f"_{k}" for k in KINDS])
     rows = rows.withColumn("_base", base)
-    apart = lambda c: ~F.exists("_base", lambda s: (s.getField("begin") < c.getField("end")) & (c.getField("begin") < s.getField("end")))
+    apart = lambda c, of="_base": ~F.exists(of, lambda s: (s.getField("begin") < c.getField("end")) & (c.getField("begin") < s.getField("end")))
+    rows = rows.withColumn("_cand", F.array_sort(F.concat(F.filter("_run", lambda c: apart(c, "_form")), "_form"))).drop(*[f"_{k}" for k in CANDIDATES])
 
     def described(c: Column) -> Column:
         v = F.struct(*[x.alias(n) for n, x in labelers(c).items()])
         x = F.struct(*[F.coalesce(x, F.lit(False)).cast("int").alias(n) for n, x in features(c).items()])
-        return F.struct(c.getField("begin").alias("begin"), c.getField("end").alias("end"), form(c.getField("w"), c.getField("before")).alias("form"), v.alias("v"), x.alias("x"))
+        return F.struct(c.getField("begin").alias("begin"), c.getField("end").alias("end"), c.getField("form").alias("form"), v.alias("v"), x.alias("x"))
 
-    return rows.withColumn("_cand", F.transform(F.filter("_cand", apart), described)).drop("_base")
+    return rows.withColumn("_cand", F.transform(F.transform(F.filter("_cand", lambda c: apart(c)), lambda c: c.withField("form", form(c.getField("w"), c.getField("before")))), described)).drop("_base")
 
 
 def _chance(odds: np.ndarray) -> np.ndarray:
@@ -237,7 +242,8 @@ def learn(rows: DataFrame) -> list[float] | None:
 def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without text, with spans: (kind, begin, end) of base kinds, then added ones, each in order of begin."""
     docs = docs.drop("spans")
-    rows = stored(spans_of(docs))
+    others = [c for c in docs.columns if c != "text"]
+    rows = stored(spans_of(packed(docs, "text")))
     model = learn(rows)
     named = lambda k: F.transform(f"_{k}", lambda s: F.struct(F.lit(k).alias("kind"), s.getField("begin").alias("begin"), s.getField("end").alias("end")))
     parts = [named(k) for k in KINDS]
@@ -255,8 +261,7 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         rows = rows.withColumn("_more", F.transform(F.filter("_cand", wanted), lambda c: F.struct(kind(c).alias("kind"), c.getField("begin").alias("begin"), c.getField("end").alias("end"))))
         of = lambda k: F.filter("_more", lambda s: s.getField("kind") == k)
         parts += [of(k) for k in ADDED]
-    others = [c for c in docs.columns if c != "text"]
-    return rows.select(*others, F.concat(*parts).alias("spans"))
+    return unpacked(rows.withColumn("spans", F.concat(*parts)), others, (), "spans")
 
 
 def written(spans: Column) -> Column:

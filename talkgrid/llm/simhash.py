@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgrid.llm.components import components, unite
-from talkgrid.llm.tables import cut, table
+from talkgrid.llm.tables import cut, packed, table, unpacked
 from talkgrid.llm.textbytes import SPACE_WORDS, Words, pieces
 
 SHINGLE = 3
@@ -159,8 +159,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     found = near_duplicates(docs, shingle, radius)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key"), F.col("fp").alias("_fp")).distinct()
-    rows = fingerprinted(docs, shingle, "_fp").withColumn("_key", key)
-    return rows.join(cut(stay), ["_key", "_fp"], "left_semi").dropDuplicates(["_key", "_fp"]).select(*docs.columns)
+    rows = fingerprinted(packed(docs, "doc_id", "text"), shingle, "_fp").withColumn("_key", key)
+    return unpacked(rows.join(cut(stay), ["_key", "_fp"], "left_semi").dropDuplicates(["_key", "_fp"]), docs.columns, ("doc_id", "text"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

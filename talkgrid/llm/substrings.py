@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from talkgrid.llm.bittable import bit_table, holds
 from talkgrid.llm.linededup import Recent, grouped
 from talkgrid.llm.simhash import spaced
-from talkgrid.llm.tables import release, stored, table
+from talkgrid.llm.tables import packed, release, stored, table, unpacked
 from talkgrid.llm.textbytes import SPACE_WORDS, Words, pieces, span_hashes, window_hashes
 
 WINDOW = 20
@@ -222,9 +222,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, **limit
     kept_sha256, which replace columns of those names. limits: table_bits and group of repeats(); they change the work, not the result."""
     docs = docs.drop(*RESULT.names)
     found = repeats(docs, window, **limits).withColumnsRenamed({"doc": "_doc", "row": "_row", "spans": "_spans"})
-    out = docs.join(found, (F.coalesce("doc_id", F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_doc", "_row")
-    schema = T.StructType([f for f in docs.schema.fields if keep_text or f.name != "text"] + RESULT.fields)
-    return out.mapInArrow(_cutter(schema.names, window), schema)
+    rows = packed(docs, "doc_id", "text")
+    out = rows.join(found, (F.coalesce("doc_id", F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_doc", "_row")
+    schema = T.StructType([f for f in rows.schema.fields if keep_text or f.name != "text"] + RESULT.fields)
+    columns = [c for c in docs.columns if keep_text or c != "text"]
+    return unpacked(out.mapInArrow(_cutter(schema.names, window), schema), columns, ("doc_id", "text"), *RESULT.names)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     return _noted(out, file.get() if file.isDefined() else None)
 
 
+def packed(df: DataFrame, *own: str) -> DataFrame:
+    """df with its own columns as they are and all others in one, _other, so that no name of theirs can clash with one of ours."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in own]
+    return df.select(*own, F.struct(*others, F.lit(0).alias("_end")).alias("_other"))
+
+
+def unpacked(df: DataFrame, columns: list[str], own: tuple[str, ...], *results: str) -> DataFrame:
+    """The given columns in their order, those of packed() that are not own from _other, and then the results."""
+    return df.select(*[F.col(c) if c in own else F.col("_other").getField(c).alias(c) for c in columns], *results)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

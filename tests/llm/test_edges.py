@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 
 from talkgrid.llm import decontaminate, language, linededup, mixing, pii, quality, simhash, substrings, toxicity, vectors
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, n_words string, spans string, n_lines string, size string, fp string"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, n_words string, spans string, n_lines string, size string, fp string, _doc string, _row string, _gone string, _key string, _fp string, _bucket string, _other string, _spans string"
 LONG = " ".join(f"word{i % 997}" for i in range(120_000))
 
 
 def docs(spark, *texts, ids=None):
     ids = ids if ids is not None else range(len(texts))
-    return spark.createDataFrame([(i, t, None, "s" if k % 2 else None, None, 0.5, "x", "x", "x", "x", "x") for k, (i, t) in enumerate(zip(ids, texts))], DOCS)
+    return spark.createDataFrame([(i, t, None, "s" if k % 2 else None, None, 0.5, *["x"] * 13) for k, (i, t) in enumerate(zip(ids, texts))], DOCS)
 
 
 @pytest.fixture(scope="module")
