@@ -10,7 +10,7 @@ are that anchor's extension, up to WINDOW words to either side. Anchors that occ
 (a fixed-size bit table of the repeated ones is broadcast; what it lets through in error is dropped
 later). Equal extensions are one class; within an anchor, classes are compared window by window
 for the earliest start of each, and windows removed join to maximal repeats over the documents.
-Anchors with more than GROUP classes are compared by aggregation over their windows instead.
+Anchors with more than GROUP classes are compared by aggregation over their windows instead, and never gathered.
 
 Edges: null texts have no words; texts under WINDOW words keep all; a null doc_id counts as the largest;
 rows with the same doc_id count as one document, and equal windows at the same start of it are not
@@ -115,32 +115,24 @@ def _occurrences(shared, window: int, seed: int):
     return job
 
 
-def _earliest(group: int):
-    """Classes sorted by anchor to (kind 0, cls, anchor, gone: a bit for each window that starts earlier elsewhere), or kind 1: classes of groups put off."""
+EARLIEST = "cls long, anchor long, gone int"
 
-    def job(batches):
-        schema = pa.schema([("kind", pa.int32()), ("cls", pa.int64()), ("gone", pa.int32()), ("anchor", pa.int64()), ("doc", pa.int64()), ("begin", pa.int32()), ("windows", pa.list_(pa.int64()))])
-        for rows, large in grouped(batches, ("key", "cls", "doc", "begin", "windows"), group):
-            m = len(rows["key"])
-            if large:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(rows["cls"]), pa.array(np.zeros(m, np.int32)), pa.array(rows["key"]), pa.array(rows["doc"]), pa.array(rows["begin"]), pa.array(list(rows["windows"]), schema.field("windows").type)], schema=schema)
-                continue
-            n = np.array([len(w) for w in rows["windows"]])
-            own = np.repeat(np.arange(m), n)
-            place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            hashed = np.concatenate(list(rows["windows"]))
-            anchor = rows["key"][own]
-            doc, start = rows["doc"][own], rows["begin"][own] + place
-            order = np.lexsort((start, doc, hashed, anchor))
-            head = np.append(True, (hashed[order][1:] != hashed[order][:-1]) | (anchor[order][1:] != anchor[order][:-1]))
-            first = order[head][np.cumsum(head) - 1]
-            gone = np.zeros(len(own), bool)
-            gone[order] = (doc[order] != doc[first]) | (start[order] != start[first])
-            bits = np.bincount(own, gone * (1 << place), m).astype(np.int32)
-            none = pa.nulls(m)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(rows["cls"]), pa.array(bits), pa.array(rows["key"]), *[none.cast(schema.field(c).type) for c in ("doc", "begin", "windows")]], schema=schema)
 
-    return job
+def _earliest(batches):
+    """Classes sorted by anchor to (cls, anchor, gone: a bit for each window that starts earlier elsewhere)."""
+    for rows, _ in grouped(batches, ("key", "cls", "doc", "begin", "windows"), 1 << 40):
+        m = len(rows["key"])
+        n = np.array([len(w) for w in rows["windows"]])
+        own = np.repeat(np.arange(m), n)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        hashed, anchor = np.concatenate(list(rows["windows"])), rows["key"][own]
+        doc, start = rows["doc"][own], rows["begin"][own] + place
+        order = np.lexsort((start, doc, hashed, anchor))
+        head = np.append(True, (hashed[order][1:] != hashed[order][:-1]) | (anchor[order][1:] != anchor[order][:-1]))
+        first = order[head][np.cumsum(head) - 1]
+        gone = np.zeros(len(own), bool)
+        gone[order] = (doc[order] != doc[first]) | (start[order] != start[first])
+        yield pa.RecordBatch.from_arrays([pa.array(rows["cls"]), pa.array(rows["key"]), pa.array(np.bincount(own, gone * (1 << place), m).astype(np.int32))], names=["cls", "anchor", "gone"])
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, table_bits: int = TABLE_BITS, group: int = GROUP) -> DataFrame:
@@ -154,16 +146,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, table_bits:
     # A class has one anchor, whose hash is of other words' hashes: together 128 bits.
     classes = found.groupBy("cls", "anchor").agg(F.min(F.struct("doc", "begin")).alias("at"), F.first("windows", ignorenulls=True).alias("windows"))
     classes = stored(classes.select("cls", F.col("anchor").alias("key"), "at.doc", "at.begin", "windows"))
-    compared = stored(classes.repartition("key").sortWithinPartitions("key").mapInArrow(_earliest(group), "kind int, cls long, gone int, anchor long, doc long, begin int, windows array<long>"))
-    late = compared.where("kind = 1").select("cls", "anchor", "doc", "begin", F.posexplode("windows").alias("place", "w"))
+    # Counts are combined before they move, so a hot anchor's classes never meet in one task.
+    hot = stored(classes.groupBy("key").count().where(F.col("count") > group).select("key"))
+    compared = classes.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").select("key", "cls", "doc", "begin", "windows").mapInArrow(_earliest, EARLIEST)
+    late = classes.join(hot, "key", "left_semi").select("cls", F.col("key").alias("anchor"), "doc", "begin", F.posexplode("windows").alias("place", "w"))
     late = late.withColumn("start", F.col("begin") + F.col("place"))
     # Stored, so that the joins below stand on plain shuffles: a window, or a class, of very many copies can be split.
     first = stored(late.groupBy("anchor", "w").agg(F.min(F.struct("doc", "start")).alias("first")))
     late = late.join(first, ["anchor", "w"]).withColumn("bit", F.when(F.struct("doc", "start") == F.col("first"), 0).otherwise(F.call_function("shiftleft", F.lit(1), F.col("place"))))
     late = late.groupBy("cls", "anchor").agg(F.bit_or("bit").alias("gone"))
-    gone = compared.where("kind = 0").select("cls", "anchor", "gone").unionByName(late)
+    gone = compared.unionByName(late)
     gone = stored(gone.join(classes.select("cls", F.col("key").alias("anchor"), F.col("doc").alias("_doc"), F.col("begin").alias("_begin")), ["cls", "anchor"]))
-    release(classes, compared, first)
+    release(classes, hot, first)
     every = F.call_function("shiftleft", F.lit(1), F.col("n")) - 1
     rows = found.select("doc", "row", "begin", "n", "cls", "anchor").join(gone, ["cls", "anchor"])
     bits = F.when((F.col("doc") == F.col("_doc")) & (F.col("begin") == F.col("_begin")), F.col("gone")).otherwise(every)
