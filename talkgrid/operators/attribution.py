@@ -174,7 +174,7 @@ def time_words(segments: DataFrame, blocks: DataFrame, rate: int, per_second: in
         times = np.array([start, end])
         if len(words) > 1 and end > start:
             sound = np.concatenate([np.asarray(s, float) for s in part["samples"] if s is not None] or [np.zeros(0)])
-            if not pd.isna(one["_a"]):
+            if not pd.isna(one["_size"]):
                 a = int(one["_a"] - part["block_ix"].min() * one["_size"])
                 sound = sound[a : a + int(one["_b"] - one["_a"])]
             count = max(2, len(sound) // frame)

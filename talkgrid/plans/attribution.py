@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from talkgrid.functions import text as t
+from talkgrid.operators import alignment, sequence
 from talkgrid.operators import attribution as a
-from talkgrid.operators import sequence
 from talkgrid.plans import sql
 from talkgrid.sources.tables import segments, spoken, voices
 
@@ -92,7 +93,26 @@ def loudness_words(spark, sf_dir):
     return a.time_words(s, blocks, 16).select("recording_id", "seq", "word_ix", "text", *_r("start_s", "end_s"))
 
 
-QUERIES = {f.__name__: f for f in (word_offsets, snapped_turns, split_segments, word_labels, worded_pieces, measured_words, nearest_stretch, nearest_reliable, attached_voices, loudness_words)}
+def aligned_words(spark, sf_dir):
+    """Whole recordings in made score grids, three frames of .05 s a letter, the letter favoured in the middle one; the segments' stamps run
+    ever later than that, and jump about."""
+    s = segments(spark, sf_dir)
+    letters = F.filter(F.split(t.letters("text"), ""), lambda c: (c >= "a") & (c <= "z"))
+    w = a.words_of(s).withColumn("tokens", F.transform(letters, lambda c: (F.ascii(c) - 96)))
+    by = Window.partitionBy("recording_id")
+    w = w.withColumn("first", F.sum(F.size("tokens")).over(by.orderBy("seq", "word_ix").rowsBetween(Window.unboundedPreceding, 0)) - F.size("tokens"))
+    each = Window.partitionBy("recording_id", "seq")
+    jump = ((F.col("seq") * 7) % 5 - 2) * 0.2
+    start, end = F.min("first").over(each) * 0.15 * 1.1 + jump, F.max(F.col("first") + F.size("tokens")).over(each) * 0.15 * 1.1 + jump
+    w = w.withColumns({"start_s": start, "end_s": end})
+    tokens = w.select("recording_id", "first", F.posexplode("tokens").alias("i", "token"))
+    grid = tokens.select("recording_id", "token", (F.col("first") + F.col("i")).alias("ix"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    score = lambda i: F.when((F.col("k") == 1) & (i == F.col("token")), 0.0).when((F.col("k") != 1) & (i == 0), 0.0).otherwise(-12.0)
+    grid = grid.select("recording_id", (F.col("ix") * 3 + F.col("k")).alias("frame"), F.transform(F.sequence(F.lit(0), F.lit(26)), score).alias("logp"))
+    return alignment.align_recordings(grid, w, 0.05).select("recording_id", "seq", "word_ix", *_r("start_s", "end_s"))
+
+
+QUERIES = {f.__name__: f for f in (aligned_words, word_offsets, snapped_turns, split_segments, word_labels, worded_pieces, measured_words, nearest_stretch, nearest_reliable, attached_voices, loudness_words)}
 
 _S = f"WITH RECURSIVE {sql.SEGMENTS}, {sql.SPOKEN}"
 _OFFSETS = rf"""x AS (SELECT recording_id, seq, text, regexp_extract_all(text, '[^\p{{Z}}\s]+') AS w, regexp_extract_all(text, '[\p{{Z}}\s]+') AS g, regexp_matches(text, '^[\p{{Z}}\s]') AS f FROM v_segments),
@@ -121,6 +141,11 @@ steady AS (SELECT recording_id, seq, k - 1 AS word_ix, l[k] AS label FROM (SELEC
 _STEADY = f"{_LABELS}, {steady('lab')}"
 
 ORACLE_SQL = {
+    "aligned_words": rf"""{_S}, {_OFFSETS}, n AS (SELECT recording_id, seq, word_ix, len(list_filter(string_split(lower(regexp_replace(text, '\P{{L}}', '', 'g')), ''), lambda x: x >= 'a' AND x <= 'z')) AS n FROM o),
+g AS (SELECT *, sum(n) OVER (PARTITION BY recording_id ORDER BY seq, word_ix) - n AS f, sum(n) OVER (PARTITION BY recording_id, seq) AS m FROM n),
+b AS (SELECT *, last_value(CASE WHEN n > 0 THEN f + n END IGNORE NULLS) OVER (PARTITION BY recording_id, seq ORDER BY word_ix ROWS UNBOUNDED PRECEDING) AS past, min(f) OVER (PARTITION BY recording_id, seq) AS head FROM g WHERE m > 0)
+SELECT recording_id, seq, CAST(word_ix AS INTEGER) AS word_ix, round(CASE WHEN n > 0 THEN (f * 3 + 1) * 0.05::DOUBLE WHEN past IS NULL THEN (head * 3 + 1) * 0.05::DOUBLE ELSE ((past - 1) * 3 + 2) * 0.05::DOUBLE END, 6) AS start_s,
+  round(CASE WHEN n > 0 THEN ((f + n - 1) * 3 + 2) * 0.05::DOUBLE WHEN past IS NULL THEN (head * 3 + 1) * 0.05::DOUBLE ELSE ((past - 1) * 3 + 2) * 0.05::DOUBLE END, 6) AS end_s FROM b""",
     "word_offsets": f'{_S}, {_OFFSETS} SELECT recording_id, seq, CAST(word_ix AS INTEGER) AS word_ix, text, off AS "offset" FROM o',
     "snapped_turns": f"""{_S}, g AS (SELECT recording_id, start_s FROM v_segments QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY seq) > 1),
 p AS (SELECT recording_id, turn_ix, speaker, start_s, end_s, (SELECT max(g.start_s) FROM g WHERE g.recording_id = t.recording_id AND g.start_s BETWEEN t.start_s - 0.9 AND t.start_s + 0.2) AS snap, row_number() OVER (PARTITION BY recording_id ORDER BY turn_ix) AS k FROM v_spoken t),

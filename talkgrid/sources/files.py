@@ -121,3 +121,15 @@ def read_vocabulary(spark: SparkSession, path: str, added: str | None = None) ->
     parts = [spark.read.text(p, wholetext=True).select(F.explode(F.from_json("value", "map<string,int>")).alias("token", "id"), F.lit(k).alias("_k")) for k, p in enumerate([path, *([added] if added else [])])]
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return both.groupBy("token").agg(F.max_by("id", "_k").alias("id"))
+
+
+def read_raw_floats(spark: SparkSession, path: str) -> DataFrame:
+    """Files of single-precision numbers as they stand in memory, little end first: path, values; bytes left over at the end are not read."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def parse(batches):
+        for batch in batches:
+            batch["values"] = [np.frombuffer(c, "<f4", len(c) // 4) for c in batch["content"]]
+            yield batch[["path", "values"]]
+
+    return rows.mapInPandas(parse, "path string, values array<float>")
