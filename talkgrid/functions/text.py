@@ -221,7 +221,7 @@ def words_around(text: Column | str, first: Column, stop: Column) -> Column:
 
     def chosen(s: Column) -> Column:
         text = s.getField("text")
-        start = F.length(F.regexp_replace(F.left(text, s.getField("a")), f"{solid}+$", ""))
+        start = F.length(F.regexp_replace(F.left(text, s.getField("a")), f"{solid}+\\z", ""))
         end = s.getField("b") + F.length(F.regexp_extract(F.substring(text, s.getField("b") + 1, F.length(text)), f"^({solid}*)", 1))
         return F.struct(start.alias("start"), F.substring(text, start + 1, end - start).alias("part"))
 

