@@ -263,7 +263,8 @@ f AS (SELECT doc_id, text, w, list_transform(w, lambda x: {sql.bare('x')}) AS b
 z AS (SELECT doc_id, len(b) AS m, b[greatest(1, len(b) - 27):] AS y FROM f WHERE len(w) >= 8),
 q AS (SELECT doc_id, m, y, e - m + len(y) AS e, n FROM (SELECT *, unnest(range(greatest(0, m - 4), m + 1)) AS e FROM z), (SELECT unnest(range(1, 7)) AS n) WHERE 4 * n <= e),
 p AS (SELECT q.doc_id, e + m - len(y) AS e, n FROM q WHERE y[e - 2 * n + 1:e - n] = y[e - n + 1:e] AND y[e - 3 * n + 1:e - 2 * n] = y[e - n + 1:e] AND y[e - 4 * n + 1:e - 3 * n] = y[e - n + 1:e]),
-t AS (SELECT p.doc_id, e, n, coalesce(list_min(list_filter(range(1, e // n), lambda k: b[e - (k + 1) * n + 1:e - k * n] <> b[e - n + 1:e])), e // n) AS times FROM p JOIN f ON f.doc_id = p.doc_id),
+u AS (SELECT p.doc_id, e, n, unnest(b[1:e - n]) AS x, unnest(b[n + 1:e]) AS y, unnest(range(1, e - n + 1)) AS i FROM p JOIN f ON f.doc_id = p.doc_id),
+t AS (SELECT doc_id, e, n, 1 + (e - n - coalesce(max(i) FILTER (x <> y), 0)) // n AS times FROM u GROUP BY doc_id, e, n),
 c AS (SELECT doc_id, min(e - times * n) AS cut FROM t WHERE times >= 4 GROUP BY doc_id),
 r AS (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN c.cut IS NULL THEN d.text ELSE array_to_string(list_concat(f.w[1:c.cut], ['…']), ' ') END AS t FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN c ON c.doc_id = d.doc_id)
 SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM r""",
