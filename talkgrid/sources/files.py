@@ -9,7 +9,7 @@ import zipfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Newest archive version that is read.
@@ -71,7 +71,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     manifest = json.loads(z.read("manifest.json"))
                     if manifest.get("version", 0) > VERSION:
                         raise ValueError(f"{p}: version {manifest['version']} is newer than {VERSION}")
-                    rows.append((p, manifest.get("name"), z.read("transcript.json").decode("utf-8")))
+                    rows.append((p, manifest.get("sourceName", manifest.get("name")), z.read("transcript.json").decode("utf-8")))
             yield pd.DataFrame(rows, columns=["path", "name", "json"])
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(scrb|lscribe|zip)$"))
@@ -83,22 +83,76 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def archives(segments: DataFrame) -> DataFrame:
-    """One archive a recording as bytes: recording_id and content. Null members are left out, as in the files that are read."""
-    w = Window.partitionBy("recording_id").orderBy("seq")
-    s = F.struct("seq", F.struct("text", F.col("start_s").alias("startSeconds"), F.col("end_s").alias("endSeconds"), F.col("avg_logprob").alias("averageLogProbability"), F.col("no_speech").alias("noSpeechProbability"), "speaker").alias("s"))
+#: Loudest sample of the sound in archives, which differs from that of other files.
+FULL_SCALE = 32767
+
+
+def probe_archives(spark: SparkSession, path: str) -> DataFrame:
+    """path and is_archive, of all files under a path: whether it is a zip file with a manifest and sound. No entry is unpacked."""
+
+    def look(content: bytes) -> bool:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                return {"manifest.json", "audio.wav"} <= set(z.namelist())
+        except zipfile.BadZipFile:
+            return False
+
+    def probe(batches):
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "is_archive": [look(c) for c in batch["content"]]})
+
+    return _files(spark, path, "*").mapInPandas(probe, "path string, is_archive boolean")
+
+
+def read_archive_audio(spark: SparkSession, path: str) -> DataFrame:
+    """path, sample_rate and samples of the archives under a path that have sound."""
+
+    def unpack(batches):
+        for batch in batches:
+            rows = []
+            for p, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    if "audio.wav" in z.namelist():
+                        rate, samples = samples_of(z.read("audio.wav"))
+                        rows.append((p, rate, (samples * (32768 / FULL_SCALE)).astype(np.float32)))
+            yield pd.DataFrame(rows, columns=["path", "sample_rate", "samples"])
+
+    found = _files(spark, path, "*").where(F.lower("path").rlike(r"\.(scrb|lscribe|zip)$"))
+    return found.mapInPandas(unpack, "path string, sample_rate int, samples array<float>")
+
+
+def wav_of(rate: int, samples: np.ndarray) -> bytes:
+    """A RIFF file of 16 bit samples."""
+    data = np.clip(np.asarray(samples, float) * FULL_SCALE, -32768, FULL_SCALE).astype("<i2").tobytes()
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(data)) + data
+
+
+def archives(segments: DataFrame, audio: DataFrame | None = None, saved_utc: str | None = None) -> DataFrame:
+    """One archive a recording as bytes: recording_id and content. It has a manifest, the segments (null members are left out), a readable
+    text, and from audio (recording_id, sample_rate, samples) the sound, which is not compressed."""
+    from talkgrid.operators.paragraphs import readable
+
+    members = ["text", F.col("start_s").alias("startSeconds"), F.col("end_s").alias("endSeconds"), F.col("avg_logprob").alias("averageLogProbability"), F.col("no_speech").alias("noSpeechProbability"), "speaker"]
+    s = F.struct("seq", F.struct(*members, *(["overlapped"] if "overlapped" in segments.columns else [])).alias("s"))
     ordered = F.transform(F.array_sort(F.collect_list(s)), lambda x: x.getField("s"))
     speakers = F.count_distinct(F.when(F.trim("speaker") != "", F.col("speaker")))
-    rows = segments.withColumn("_n", F.row_number().over(w)).groupBy("recording_id").agg(F.to_json(ordered).alias("json"), speakers.alias("speakers"), F.max("end_s").alias("duration"), F.count("*").alias("n"))
+    rows = segments.groupBy("recording_id").agg(F.to_json(ordered).alias("json"), speakers.alias("speakers"), F.max("end_s").alias("duration"), F.count("*").alias("n"))
+    rows = rows.join(readable(segments), "recording_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.join(audio.select("recording_id", "sample_rate", "samples"), "recording_id", "left") if audio is not None else rows.withColumns({"sample_rate": F.lit(None).cast("int"), "samples": F.lit(None).cast("array<float>")})
 
     def pack(batches):
         for batch in batches:
             contents = []
             for r in batch.itertuples(index=False):
+                rate = None if r.samples is None else int(r.sample_rate)
+                manifest = {"version": VERSION, "sourceName": str(r.recording_id), "savedUtc": saved_utc, "durationSeconds": len(r.samples) / rate if rate else r.duration, "sampleRate": rate, "segmentCount": int(r.n), "speakerCount": int(r.speakers)}
                 out = io.BytesIO()
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("manifest.json", json.dumps({"version": VERSION, "name": str(r.recording_id), "durationSeconds": r.duration, "segments": int(r.n), "speakers": int(r.speakers)}))
+                    z.writestr("manifest.json", json.dumps({k: v for k, v in manifest.items() if v is not None}, indent=2))
                     z.writestr("transcript.json", r.json)
+                    z.writestr("transcript.txt", r.text)
+                    if rate:
+                        z.writestr("audio.wav", wav_of(rate, r.samples), zipfile.ZIP_STORED)
                 contents.append(out.getvalue())
             yield pd.DataFrame({"recording_id": batch["recording_id"], "content": contents})
 

@@ -1,4 +1,6 @@
+import json
 import struct
+import zipfile
 
 import numpy as np
 import pytest
@@ -34,6 +36,24 @@ def test_archives_come_back(spark, tmp_path):
     assert [(r.name, r.seq, r.text, r.start_s, r.end_s, r.avg_logprob, r.no_speech, r.speaker, r.overlapped) for r in found] == [("7", *r[1:], False) for r in rows]
 
 
+def test_archives_with_sound_and_marks(spark, tmp_path):
+    rows = [(7, 0, "Hello.", 0.0, 1.5, 0.0, 0.0, "Ann", True), (7, 1, "Yes?", 1.5, 2.0, 0.0, 0.1, "Bob", False), (8, 0, "Quiet.", 0.0, 1.0, 0.0, 0.0, None, False)]
+    s = spark.createDataFrame(rows, "recording_id bigint, seq bigint, text string, start_s double, end_s double, avg_logprob double, no_speech double, speaker string, overlapped boolean")
+    sound = spark.createDataFrame([(7, 8000, [0.0, 0.5, -1.0, 1.0])], "recording_id bigint, sample_rate int, samples array<float>")
+    for r in files.archives(s, sound, "2026-01-01T00:00:00Z").collect():
+        (tmp_path / f"{r.recording_id}.scrb").write_bytes(r.content)
+    (tmp_path / "no.zip").write_bytes(b"not a zip")
+    assert {r.path.rsplit("/", 1)[1]: r.is_archive for r in files.probe_archives(spark, str(tmp_path)).collect()} == {"7.scrb": True, "8.scrb": False, "no.zip": False}
+    (tmp_path / "no.zip").unlink()
+    assert sorted((r.name, r.seq, r.overlapped) for r in files.read_archives(spark, str(tmp_path)).collect()) == [("7", 0, True), ("7", 1, False), ("8", 0, False)]
+    heard = files.read_archive_audio(spark, str(tmp_path)).collect()
+    assert [r.sample_rate for r in heard] == [8000] and np.allclose(heard[0].samples, [0, 0.5, -1, 1], atol=1e-4)
+    with zipfile.ZipFile(tmp_path / "7.scrb") as z:
+        assert z.read("transcript.txt").decode() == "Ann:\nHello.\n\nBob:\nYes?"
+        assert json.loads(z.read("manifest.json")) == {"version": 1, "sourceName": "7", "savedUtc": "2026-01-01T00:00:00Z", "durationSeconds": 4 / 8000, "sampleRate": 8000, "segmentCount": 2, "speakerCount": 2}
+        assert z.getinfo("audio.wav").compress_type == zipfile.ZIP_STORED
+
+
 def test_tab_separated_segments(spark, tmp_path):
     s = spark.createDataFrame([(0.0, 1.25, 'say "hi"'), (1.25, 2.0, "tab\there")], "start_s double, end_s double, text string")
     files.write_segments(s, str(tmp_path / "out"))
