@@ -10,6 +10,7 @@ from talkgrid.functions import text as t
 from talkgrid.operators import evaluation, folds, frames, paragraphs, windows
 from talkgrid.plans import sql
 from talkgrid.sources.tables import segments, spoken, turns, voices
+from talkgrid.streaming import live
 
 STEP = 0.1
 #: A made alphabet: a blank, letters from 5 on, and an apostrophe.
@@ -170,6 +171,20 @@ def streamed_text(spark, sf_dir):
     return s.select("recording_id", "seq", ordered.streamed_text("previous", "doubled").alias("trimmed"))
 
 
+def due_passes(spark, sf_dir):
+    """Segments as blocks of sound, a thousand samples a second and twenty of them a letter."""
+    blocks = segments(spark, sf_dir).select("recording_id", F.col("seq").alias("block_ix"), (F.length("text") * 20 + 100).alias("n"))
+    return live.due_passes(blocks, 1000, every=5.0).select("recording_id", "block_ix", *_r("now_s", "window_start_s", "content_s"))
+
+
+def streamed_windows(spark, sf_dir):
+    """Windows of a segment and the last five words of the one before."""
+    before = F.lag("text").over(Window.partitionBy("recording_id").orderBy("seq"))
+    s = segments(spark, sf_dir).withColumn("previous", F.coalesce(before, F.lit("")))
+    tail = F.array_join(F.slice(t.words("previous"), F.greatest(F.lit(1), F.size(t.words("previous")) - 4), 5), " ")
+    return live.streamed(s.select("recording_id", F.col("seq").alias("window_ix"), F.concat_ws(" ", tail, "text").alias("text")))
+
+
 def word_edits(spark, sf_dir):
     before = F.lag("text").over(Window.partitionBy("recording_id").orderBy("seq"))
     rows = segments(spark, sf_dir).withColumn("previous", before).where("previous IS NOT NULL")
@@ -181,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sliding_windows, margin_windows, adaptive_windows, credible_anchors, anchor_scales, frame_agreement, sweep_percentiles, share_without_lag, threshold_sweep, summed_voices, run_times, selected_words, token_cores,
-        correction_places, correction_pairs, spelled_tokens, window_conflicts, two_sides, readable_text, paragraphs_at, streamed_text, word_edits,
+        correction_places, correction_pairs, spelled_tokens, window_conflicts, two_sides, readable_text, paragraphs_at, streamed_text, word_edits, due_passes, streamed_windows,
     )
 }
 
@@ -214,6 +229,9 @@ _CORES = f"{_S}, c AS (SELECT recording_id, seq, k - 1 AS word_ix, {_bare_core('
 _WEEKS = f"""WITH {sql.TURNS}, w AS (SELECT recording_id, CAST(floor(start_s / 168.0::DOUBLE) AS INTEGER) AS k, speaker, sum(end_s - start_s) AS held FROM v_turns GROUP BY ALL HAVING sum(end_s - start_s) >= 0.25)"""
 
 ORACLE_SQL = {
+    "due_passes": f"""{_S}, h AS (SELECT recording_id, seq, sum(length(text) * 20 + 100) OVER (PARTITION BY recording_id ORDER BY seq) AS upto, row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS k FROM v_segments),
+g AS (SELECT recording_id, 0::BIGINT AS k, 0::HUGEINT AS last, false AS due FROM (SELECT DISTINCT recording_id FROM h) UNION ALL SELECT h.recording_id, h.k, CASE WHEN h.upto - g.last >= 5000 THEN h.upto ELSE g.last END, h.upto - g.last >= 5000 FROM g JOIN h ON h.recording_id = g.recording_id AND h.k = g.k + 1)
+SELECT h.recording_id, h.seq AS block_ix, round(upto / 1000.0::DOUBLE, 6) AS now_s, round(greatest(0, upto - 30000) / 1000.0::DOUBLE, 6) AS window_start_s, round((upto - greatest(0, upto - 30000)) / 1000.0::DOUBLE, 6) AS content_s FROM h JOIN g ON g.recording_id = h.recording_id AND g.k = h.k WHERE g.due""",
     "window_conflicts": f"{_WEEKS} SELECT DISTINCT a.recording_id, a.speaker AS a, b.speaker AS b FROM w a JOIN w b ON a.recording_id = b.recording_id AND a.k = b.k AND a.speaker < b.speaker",
     "sliding_windows": f"{_D}, w AS (SELECT recording_id, d, unnest(range(CAST(ceil(d / 1.0::DOUBLE) AS BIGINT))) AS k FROM r WHERE d > 0) SELECT recording_id, CAST(k AS INTEGER) AS window_ix, round(k * 1.0::DOUBLE, 6) AS start_s, round(least(10.0::DOUBLE, d - k * 1.0::DOUBLE), 6) AS available_s FROM w WHERE least(10.0::DOUBLE, d - k * 1.0::DOUBLE) >= 2.5",
     "margin_windows": f"""{_S}, n AS (SELECT recording_id, start_s AS x, len({sql.words('text')}) AS n FROM v_segments), w AS (SELECT *, unnest(range(0, CAST(floor((x + 2) / 10) AS BIGINT) + 1)) AS k FROM n)

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from talkgrid.operators.folds import ordered_fold
-from talkgrid.functions.ordered import bare, leading_overlap
+from talkgrid.functions.ordered import after_overlap, bare, leading_overlap, trimmed_repeats
 
 SETTLE = 8.0
 SLACK = 0.4
@@ -115,3 +116,36 @@ def replay(passes: DataFrame) -> DataFrame:
 
 def committed(updates: DataFrame) -> DataFrame:
     return updates.where("kind = 'committed'").drop("kind")
+
+
+def due_passes(blocks: DataFrame, rate: int, every: float = 1.0, keep: float = 30.0) -> DataFrame:
+    """The passes that blocks of sound (recording_id, block_ix, n samples) set off: one as soon as every seconds have come since the last.
+    Each has now_s, what has been heard by then, and the last keep seconds of it as its window (window_start_s, content_s)."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        heard = rows["n"].cumsum().to_numpy()
+        due, last = [], 0
+        for i, upto in enumerate(heard.tolist()):
+            if upto - last >= every * rate:
+                due.append(i)
+                last = upto
+        now = heard[due]
+        start = np.maximum(0, now - int(keep * rate))
+        return rows.loc[due, ["recording_id", "block_ix"]].assign(now_s=now / rate, window_start_s=start / rate, content_s=(now - start) / rate)
+
+    return ordered_fold(blocks.select("recording_id", "block_ix", "n"), ["block_ix"], fold, "recording_id bigint, block_ix bigint, now_s double, window_start_s double, content_s double")
+
+
+def streamed(windows: DataFrame) -> DataFrame:
+    """Texts of windows (recording_id, window_ix, text) as they are shown while more come: without the words that repeat the end of what was shown
+    last, nor those said twice in a row; windows of which nothing is left are not shown."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        shown, kept = "", []
+        for i, text in enumerate(rows["text"].fillna("")):
+            if now := trimmed_repeats(after_overlap(shown, text)).strip():
+                shown = now
+                kept.append((i, now))
+        return rows.iloc[[i for i, _ in kept]][["recording_id", "window_ix"]].assign(text=[t for _, t in kept])
+
+    return ordered_fold(windows.select("recording_id", "window_ix", "text"), ["window_ix"], fold, "recording_id bigint, window_ix bigint, text string")

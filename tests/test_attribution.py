@@ -12,6 +12,7 @@ from talkgrid.functions import ordered
 from talkgrid.operators import alignment, attribution, evaluation, folds
 from talkgrid.sources import files
 from talkgrid.sources.tables import table
+from talkgrid.streaming import live
 
 SF = "/root/testdata/sf0.001"
 
@@ -156,3 +157,9 @@ def test_raw_floats(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"")
     found = {r.path.rsplit("/", 1)[1]: r["values"] for r in files.read_raw_floats(spark, str(tmp_path)).collect()}
     assert found == {"a.bin": [float(v) for v in x]}
+
+
+def test_streamed_windows_follow_what_was_shown(spark):
+    rows = [(1, 0, "so we begin with the plan"), (1, 1, "with the plan, and then we go"), (1, 2, "and then we go"), (1, 3, "we go home now"), (2, 0, " "), (2, 1, None), (2, 2, "alone")]
+    found = live.streamed(spark.createDataFrame(rows, "recording_id bigint, window_ix bigint, text string")).collect()
+    assert sorted((r.recording_id, r.window_ix, r.text) for r in found) == [(1, 0, "so we begin with the plan"), (1, 1, "and then we go"), (1, 3, "home now"), (2, 2, "alone")]
