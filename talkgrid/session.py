@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,7 +24,9 @@ def ship(spark: SparkSession) -> SparkSession:
         with zipfile.ZipFile(data, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, f"{root.name}/{p.relative_to(root)}")
-        path = os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), "talkgrid_src.zip")
+        folder = tempfile.mkdtemp(prefix="spark-ship-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, "talkgrid_src.zip")
         Path(path).write_bytes(data.getvalue())
         context.addPyFile(path)
         _shipped.add(context.applicationId)
