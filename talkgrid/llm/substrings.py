@@ -148,7 +148,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, table_bits:
     classes = stored(classes.select("cls", F.col("anchor").alias("key"), "at.doc", "at.begin", "windows"))
     # Counts are combined before they move, so a hot anchor's classes never meet in one task.
     hot = stored(classes.groupBy("key").count().where(F.col("count") > group).select("key"))
-    compared = classes.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").select("key", "cls", "doc", "begin", "windows").mapInArrow(_earliest, EARLIEST)
+    # Stored, as it is small and the windows that were moved for it can go.
+    compared = stored(classes.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").select("key", "cls", "doc", "begin", "windows").mapInArrow(_earliest, EARLIEST))
     late = classes.join(hot, "key", "left_semi").select("cls", F.col("key").alias("anchor"), "doc", "begin", F.posexplode("windows").alias("place", "w"))
     late = late.withColumn("start", F.col("begin") + F.col("place"))
     # Stored, so that the joins below stand on plain shuffles: a window, or a class, of very many copies can be split.
@@ -157,7 +158,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, table_bits:
     late = late.groupBy("cls", "anchor").agg(F.bit_or("bit").alias("gone"))
     gone = compared.unionByName(late)
     gone = stored(gone.join(classes.select("cls", F.col("key").alias("anchor"), F.col("doc").alias("_doc"), F.col("begin").alias("_begin")), ["cls", "anchor"]))
-    release(classes, hot, first)
+    release(classes, hot, compared, first)
     every = F.call_function("shiftleft", F.lit(1), F.col("n")) - 1
     rows = found.select("doc", "row", "begin", "n", "cls", "anchor").join(gone, ["cls", "anchor"])
     bits = F.when((F.col("doc") == F.col("_doc")) & (F.col("begin") == F.col("_begin")), F.col("gone")).otherwise(every)
