@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkgrid.llm import decontaminate, language, linededup, mixing, pii, quality, simhash, substrings, toxicity, vectors
+from talkgrid.llm import decontaminate, hardnegatives, language, linededup, mixing, neighbours, pii, quality, repair, simhash, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_language": language.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8,
     "op9_line_dedup": linededup.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_neighbours": neighbours.op11,
+    "op12_hard_negatives": hardnegatives.op12,
+    "op13_repair": repair.op13,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op7_decontaminate": decontaminate.SQL,
     "op8_mixing": mixing.SQL,
     "op9_line_dedup": linededup.SQL,
+    "op12_hard_negatives": hardnegatives.SQL,
+    "op13_repair": repair.SQL,
 }
