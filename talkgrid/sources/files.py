@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Newest archive version that is read.
+#: Newest archive version that is read; the ending that archives are saved with, and those that are opened.
 VERSION = 1
+EXTENSION, OPENED = ".scrb", (".scrb", ".lscribe", ".zip")
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
