@@ -17,37 +17,33 @@ SLOWEST_SPRINT, SPRINT_FACTOR, SMALLEST_SCALE = 25.0, 2.5, 0.5
 def place_within(grid: np.ndarray, tokens: np.ndarray, centres: np.ndarray, half: int, blank: int = 0) -> np.ndarray | None:
     """First and last frame of each token on the best path through a frame by token grid whose state at each frame is at most half away
     from the centre; the corridor never moves back. States are blanks with the tokens between them. None where no path gets through."""
-    frames, states = len(grid), 2 * len(tokens) + 1
-    if not frames or not len(tokens) or half < 2 or states > 2 * frames + 1:
+    if not (len(grid) and len(tokens)):
         return None
-    width = min(states, 2 * half + 1)
-    low = np.maximum.accumulate(np.clip(centres - half, 0, states - width))
-    if low[0] > 1 or low[-1] + width < states - 1:
-        return None
-    letter = np.full(states + width, blank)
-    letter[1:states:2] = tokens
-    hop = np.zeros(states + width, bool)
-    hop[3:states:2] = tokens[1:] != tokens[:-1]
-    best = np.full(width, -np.inf)
-    for s in (0, 1):
-        if low[0] <= s < low[0] + width:
-            best[s - low[0]] = grid[0, letter[s]]
-    came = np.zeros((frames, width), np.int8)
+    ladder = np.full(2 * len(tokens) + 1, blank)
+    ladder[1::2] = tokens
+    hop = np.r_[False, False, ladder[2:] != ladder[:-2]]  # a blank between two different tokens may be left out
+    width = min(len(ladder), 2 * half + 1)
+    low = np.maximum.accumulate(np.clip(centres - half, 0, len(ladder) - width))
+    opening = np.full(len(ladder), -np.inf)
+    opening[:2] = grid[0, ladder[:2]]
+    best = opening[low[0] : low[0] + width]
+    came = np.zeros((len(grid), width), np.int8)
     padded = np.full(2 * width + 2, -np.inf)
-    for t in range(1, frames):
+    for t in range(1, len(grid)):
         slide = min(int(low[t] - low[t - 1]), width)
         padded[2 : width + 2] = best
         stay, step, two = (padded[2 - back + slide : 2 - back + slide + width] for back in (0, 1, 2))
         at = slice(low[t], low[t] + width)
         options = np.stack([stay, step, np.where(hop[at], two, -np.inf)])
         came[t] = options.argmax(axis=0)
-        best = options.max(axis=0) + grid[t, letter[at]]
-    ends = [s for s in (states - 1, states - 2) if low[-1] <= s < low[-1] + width]
-    s = max(ends, key=lambda s: best[s - low[-1]])
-    if not np.isfinite(best[s - low[-1]]):
+        best = options.max(axis=0) + grid[t, ladder[at]]
+    closing = np.full(len(ladder), -np.inf)
+    closing[low[-1] : low[-1] + width] = best
+    s = len(ladder) - 1 - int(closing[-1] < closing[-2])
+    if not np.isfinite(closing[s]):
         return None
-    path = np.empty(frames, np.int64)
-    for t in range(frames - 1, -1, -1):
+    path = np.empty(len(grid), np.int64)
+    for t in range(len(grid) - 1, -1, -1):
         path[t] = s
         s -= int(came[t, s - low[t]])
     heard = np.flatnonzero(path % 2 == 1)

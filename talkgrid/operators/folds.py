@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkgrid.functions.ordered import after_overlap, bare, common_pairs, trimmed_repeats, without_repeats
@@ -223,41 +223,39 @@ def link_tracks(spans: DataFrame, roster: DataFrame, least: float = 0.5) -> Data
 
 def two_sides(tracks: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Tracks (recording_id, track, start_s, end_s, seconds) to two sides (recording_id, track, side): those in conflict (recording_id, a, b)
-    take different ones, as far as that goes; of an odd circle the first colour found stays. Islands without a conflict between them
-    turn so that tracks that follow each other mostly differ. A recording without conflicts gives no rows."""
-
-    def separate(key, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        rows, pairs = filled(rows, "track", "start_s", "seconds").sort_values(["start_s", "track"], kind="stable"), filled(pairs, "a", "b")
-        order, seconds = rows["track"].tolist(), dict(zip(rows["track"], rows["seconds"]))
-        near: dict[int, set[int]] = {t: set() for t in order}
-        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
-            if a in near and b in near and a != b:
-                near[a].add(b)
-                near[b].add(a)
-        if not any(near.values()):
-            return pd.DataFrame({"recording_id": [], "track": [], "side": []})
-        side, island, count = {}, {}, 0
-        for first in order:
-            if first in side:
-                continue
-            side[first], island[first], todo = 0, count, [first]
-            for x in todo:
-                for y in sorted(near[x] - side.keys()):
-                    side[y], island[y] = 1 - side[x], count
-                    todo.append(y)
-            count += 1
-        votes = dict.fromkeys(range(count), 0.0)
-        for a, b in zip(order, order[1:]):
-            if island[a] != island[b]:
-                weight = min(seconds[a], seconds[b])
-                votes[island[b]] += weight if side[a] == side[b] else -weight
-        anchor = island[max(order, key=seconds.get)]
-        turned = [1 - side[t] if island[t] != anchor and votes[island[t]] > 0 else side[t] for t in order]
-        return pd.DataFrame({"recording_id": key[0], "track": order, "side": turned})
-
-    left = tracks.select("recording_id", "track", "start_s", "seconds").groupBy("recording_id")
+    take different ones, as far as that goes. In an island of conflicts a track's side is how many conflicts, odd or even, it is away from the island's earliest track.
+    Islands turn against that of the longest track where tracks that follow each other would otherwise be of one side for more seconds than
+    not, a pair counting by its shorter track. A recording without conflicts gives no rows."""
+    columns = ["track", "start_s", "seconds"]
+
+    def islands(key, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        rows, pairs = filled(rows, *columns).sort_values(["start_s", "track"], kind="stable"), filled(pairs, "a", "b")
+        rank = pd.Index(rows["track"])
+        near = np.zeros((len(rank), len(rank)), bool)
+        a, b = rank.get_indexer(pairs["a"]), rank.get_indexer(pairs["b"])
+        known = (a >= 0) & (b >= 0) & (a != b)
+        near[a[known], b[known]] = near[b[known], a[known]] = True
+        if not near.any():
+            return pd.DataFrame(columns=["recording_id", *columns, "island", "odd"])
+        island, away = np.full(len(rank), -1), np.zeros(len(rank), np.int64)
+        for k in np.arange(len(rank)):
+            ring, step = (np.arange(len(rank)) == k) & (island < 0), 0
+            while ring.any():  # tracks that are one conflict further from the island's first
+                island[ring], away[ring] = k, step
+                ring, step = near[ring].any(axis=0) & (island < 0), step + 1
+        return rows[columns].assign(recording_id=key[0], island=island, odd=away % 2)
+
+    left = tracks.select("recording_id", *columns).groupBy("recording_id")
     right = conflicts.select(*[F.col(c).alias(c) for c in ("recording_id", "a", "b")]).groupBy("recording_id")
-    return left.cogroup(right).applyInPandas(separate, "recording_id bigint, track int, side int")
+    found = left.cogroup(right).applyInPandas(islands, "recording_id bigint, track int, start_s double, seconds double, island int, odd int")
+    follows, whole = Window.partitionBy("recording_id").orderBy("start_s", "track"), Window.partitionBy("recording_id", "island")
+    last = F.lag(F.struct("island", "odd", "seconds")).over(follows)
+    alike = F.when(last["island"] != F.col("island"), F.least("seconds", last["seconds"]) * F.when(last["odd"] == F.col("odd"), 1).otherwise(-1))
+    place = F.row_number().over(follows)
+    found = found.withColumns({"alike": alike, "place": place})
+    longest = F.max(F.struct("seconds", -F.col("place"), "island")).over(Window.partitionBy("recording_id"))
+    turns = (longest["island"] != F.col("island")) & (F.coalesce(F.sum("alike").over(whole), F.lit(0.0)) > 0)
+    return found.select("recording_id", "track", F.when(turns, 1 - F.col("odd")).otherwise(F.col("odd")).alias("side"))
 
 
 def window_conflicts(spans: DataFrame, least: float = 0.35) -> DataFrame:
@@ -414,8 +412,6 @@ def _same(core: str, wrong: str) -> bool:
 def correction_places(segments: DataFrame, wrong: Sequence[str]) -> DataFrame:
     """Where a correction of these words would be made: recording_id, seq and word_ix of each first word. Words count without the marks around
     them, and may go on in the next segment; of matches that overlap, as words that repeat can, each counts."""
-    from pyspark.sql import Window
-
     from talkgrid.functions.text import same_word, token_parts, words
 
     rows = segments.select("recording_id", "seq", F.posexplode(words("text")).alias("word_ix", "word")).withColumn("_core", token_parts("word").getField("core"))

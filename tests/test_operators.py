@@ -171,6 +171,40 @@ def test_two_sides(spark):
     assert sorted((r.recording_id, r.track, r.side) for r in found) == [(1, 0, 0), (1, 1, 1), (1, 2, 0), (2, 0, 0), (2, 1, 1), (2, 2, 1), (3, 0, 0), (3, 1, 1), (3, 2, 0), (3, 3, 1)]
 
 
+def plain_sides(tracks, conflicts):
+    """Sides of one recording: walk outwards from each earliest track, then let every island vote."""
+    tracks = sorted(tracks, key=lambda t: (t[1], t[0]))
+    near = {t: {b if a == t else a for a, b in conflicts if t in (a, b)} for t, *_ in tracks}
+    away, home = {}, {}
+    for t, *_ in tracks:
+        edge, step = {t} - home.keys(), 0
+        while edge:
+            home |= dict.fromkeys(edge, t)
+            away |= dict.fromkeys(edge, step)
+            edge, step = {y for x in edge for y in near[x]} - home.keys(), step + 1
+    side = {t: away[t] % 2 for t in away}
+    longest = max(tracks, key=lambda t: t[3])[0]
+    turned = dict(side)
+    for island in set(home.values()) - {home[longest]}:
+        votes = sum(min(a[3], b[3]) * (1 if side[a[0]] == side[b[0]] else -1) for a, b in zip(tracks, tracks[1:]) if home[b[0]] == island != home[a[0]])
+        turned |= {t: 1 - side[t] for t in side if home[t] == island and votes > 0}
+    return turned if conflicts else {}
+
+
+def test_two_sides_of_random_conflicts(spark):
+    rng = np.random.default_rng(1)
+    tracks, conflicts, want = [], [], {}
+    for r in range(40):
+        n = int(rng.integers(1, 14))
+        own = [(t, float(rng.integers(0, 30)), 0.0, float(rng.integers(1, 9))) for t in range(n)]
+        pairs = sorted({tuple(sorted(map(int, rng.choice(n, 2, replace=False)))) for _ in range(int(rng.integers(0, n)))}) if n > 1 else []
+        tracks += [(r, t, s, s + 1, d) for t, s, _, d in own]
+        conflicts += [(r, *p) for p in pairs]
+        want |= {(r, t): side for t, side in plain_sides(own, pairs).items()}
+    found = folds.two_sides(spark.createDataFrame(tracks, "recording_id bigint, track int, start_s double, end_s double, seconds double"), spark.createDataFrame(conflicts, "recording_id bigint, a int, b int")).collect()
+    assert {(x.recording_id, x.track): x.side for x in found} == want
+
+
 def grid(*favoured):
     out = np.full((len(favoured), 4), -12.0)
     out[np.arange(len(favoured)), favoured] = 0
