@@ -108,8 +108,7 @@ def _first_by_hash(rows: DataFrame, limit: F.Column) -> DataFrame:
 
 def indexes(found: DataFrame, codes: int, small: int) -> dict[int, Index]:
     """An index for each length of the vectors, without cells and budgets yet. To the driver go a row for each length and the samples."""
-    largest = F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double"))))
-    norm = largest * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + (v / largest) * (v / largest)))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
     stats = found.groupBy("width").agg(F.count("*").alias("n"), F.max(F.least(norm, F.lit(1e308))).alias("norm")).collect()
     fitted = [r["width"] for r in stats if r["n"] >= small]
     limit = F.least(F.lit(SAMPLE), F.greatest(F.lit(small), F.lit(SAMPLE_NUMBERS) / F.col("width")))
