@@ -31,17 +31,18 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b) of long ids: (node, component) of every node of an edge between different
     nodes, component being the smallest node that it reaches.
 
     Each round's rows are checkpointed, so lineage stays short and lost executors cost little. Minima
     are checkpointed on their own: the joins with them then stand on plain shuffles, which adaptive
-    execution splits when a hub has very many links.
+    execution splits when a hub has very many links. Rounds go on until one changes nothing; their number grows with the logarithm of
+    a component's diameter.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m")).where("m < a"))
         # A node with no smaller neighbour keeps its links to the larger ones.

@@ -49,11 +49,13 @@ _NAMED = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p
 _HOUSE = rf"(?<![\p{{L}}\p{{N}}.])[0-9]{{1,5}} (?:\p{{Lu}}\p{{L}}++ ){{1,3}}?(?:{STREETS})(?![\p{{L}}\p{{N}}])|(?<!\p{{L}})(?:\p{{L}}*+(?<=\p{{L}}(?:{WAYS}))|(?:{PLACES})(?: \p{{L}}++){{1,4}}?,?) [0-9]{{1,4}}(?![\p{{L}}\p{{N}}])"
 #: Candidates: runs, which most texts with digits have, and the other forms, which few texts have.
 CANDIDATES = {"run": _RUN, "form": f"{_VALUE}|{_NAMED}|{_HOUSE}"}
-#: What a text with another form has, so written that most places fail at the first character.
-HINT = (
-    rf"(?<![\p{{L}}\p{{N}}])(?:(?=[DFHMPS])(?:{TITLES})\.? \p{{Lu}}|(?=[pPsScCkKmM])(?i:{SECRETS}) {{0,2}}[:=]|[0-9]{{1,5}} \p{{Lu}}|(?=[ACPR])(?:{PLACES}) )"
-    rf"|(?=[sgwpa])(?:{WAYS}) [0-9]"
-)
+#: What a text with another form has: each as wide as its pattern's begin, so written that most places fail at the first character.
+HINTS = {
+    "value": rf"(?=[pPsScCkKmM])(?i:{SECRETS}) {{0,2}}[:=]",
+    "named": rf"(?<![\p{{L}}\p{{N}}])(?=[DFHMPS])(?:{TITLES})\.? \p{{Lu}}",
+    "house": rf"(?<![\p{{L}}\p{{N}}.])[0-9]{{1,5}} \p{{Lu}}|(?=[sgwpa])(?:{WAYS}) [0-9]|(?<!\p{{L}})(?=[ACPR])(?:{PLACES}) \p{{L}}",
+}
+HINT = "|".join(HINTS.values())
 #: A text must have these to have a match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Matches whose places are summed up in one go.

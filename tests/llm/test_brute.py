@@ -9,9 +9,11 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from talkgrid.llm import decontaminate, fm_index, linededup, pii, quality, registry, simhash, substrings, toxicity, vectors
+from talkgrid.llm.components import components
 from talkgrid.llm.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -112,6 +114,14 @@ def reached(ids, linked):
         low = new
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(3)
+    edges = [(k, k + 1) for k in range(200)] + [(5000 + k, 5000 + rng.randrange(k)) for k in range(1, 100)]
+    rng.shuffle(edges)
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert found == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(5000, 5100), 5000)}
+
+
 def test_simhash_buckets_in_blocks(spark):
     rng = random.Random(2)
     centre = rng.getrandbits(64)
@@ -171,6 +181,25 @@ def test_secrets_are_added(spark):
     assert all(not found[d] for d in range(30, 60))
 
 
+def test_texts_without_a_hint_have_no_candidates(spark):
+    rng = random.Random(9)
+    bits = ["dbpassword", "Password", "MOT DE PASSE", ":", "=", " ", "  ", " ", "correcthorse", '"', "7", "12", "Calle", "xCalle", "9Calle", "Mayor", "Hauptstraße", "weg", "Mr", "Dr.", "xMr", "Smith", "smith", "é", ",", "."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    parts = {"value": pii._VALUE, "named": pii._NAMED, "house": pii._HOUSE}
+    for kind, pattern in parts.items():
+        both = rows.select(F.col("text").rlike(pii.HINTS[kind]).alias("hint"), F.col("text").rlike(pattern).alias("found"))
+        counts = {(r.hint, r.found): r["count"] for r in both.groupBy("hint", "found").count().collect()}
+        assert counts.get((False, True), 0) == 0 and counts[True, True] > 10, (kind, counts)
+
+
+def test_a_span_does_not_depend_on_what_stands_elsewhere(spark):
+    alone = ["set dbpassword: correcthorse now", "Mr. Peter Miller spoke", "at 9Calle Mayor 3 today"]
+    docs = [(k, t) for k, t in enumerate(alone)] + [(10 + k, f"{t}, says Dr. Smith of 12 Long Street") for k, t in enumerate(alone)] + [(100 + k, f"passphrase = {k}abcdef{k}") for k in range(40)]
+    found = {r.doc_id: {(s.begin, s.end) for s in r.spans if s.end <= len(alone[r.doc_id % 10])} for r in pii.find(spark.createDataFrame(docs, "doc_id bigint, text string")).where("doc_id < 20").collect()}
+    assert all(found[k] == found[10 + k] for k in range(3)) and found[0] == {(16, 28)}
+
+
 def test_added_spans_by_kind(spark):
     """Planted data of each kind among plain texts: how much of it is found, and what else."""
     rng = random.Random(3)
