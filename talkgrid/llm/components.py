@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrid.llm.tables import cut, release
+from talkgrid.llm.tables import cut, release, written
 
 
 def roots(parent: np.ndarray) -> np.ndarray:
@@ -38,9 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
     Each round's rows are checkpointed, so lineage stays short and lost executors cost little. Minima
     are checkpointed on their own: the joins with them then stand on plain shuffles, which adaptive
     execution splits when a hub has very many links. Rounds go on until one changes nothing; their number grows with the logarithm of
-    a component's diameter.
+    a component's diameter. The edges of a round are a written table, whose size Spark knows: a checkpoint keeps an estimate of its plan's
+    size, which multiplies in each join and after ten rounds is a number of millions of digits.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -51,7 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
         nearest = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(nearest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(nearest.select("a", F.col("m").alias("b"))).distinct()
-        old, e = (e, least, large, nearest), cut(small)
+        old, e = (e, least, large, nearest), written(small)
         release(*old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

@@ -57,18 +57,23 @@ def split_of(column: str, parts: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows read back from Parquet files in the shared folder; they go by release(), or when the driver's Python ends."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return _noted(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows read back from Parquet files in the shared folder; they go by release(), or when the driver's Python ends.
+    """written(), and a call of the collectors.
 
     Spark removes the shuffle files of a finished job once the driver's collector has found its plan
     unused, which by itself may take long: a call of the collector keeps the disk that a chain of steps takes low.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = written(df)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return _noted(spark.read.schema(df.schema).parquet(path), path)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 _files: dict[str, SparkSession] = {}

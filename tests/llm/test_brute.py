@@ -116,10 +116,10 @@ def reached(ids, linked):
 
 def test_components_of_long_chains(spark):
     rng = random.Random(3)
-    edges = [(k, k + 1) for k in range(200)] + [(5000 + k, 5000 + rng.randrange(k)) for k in range(1, 100)]
+    edges = [(k, k + 1) for k in range(3000)] + [(5000 + k, 5000 + rng.randrange(k)) for k in range(1, 400)]
     rng.shuffle(edges)
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert found == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(5000, 5100), 5000)}
+    assert found == {**dict.fromkeys(range(3001), 0), **dict.fromkeys(range(5000, 5400), 5000)}
 
 
 def test_simhash_buckets_in_blocks(spark):
