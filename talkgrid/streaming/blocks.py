@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from talkgrid.operators.folds import ordered_fold
-from talkgrid.streaming.stateful import floats, in_order
+from talkgrid.streaming.stateful import by_value, floats, in_order
 
 FORMAT = "talk_blocks"
 BLOCKS = "recording string, block_ix bigint, at_s double, samples array<float>, final boolean"
@@ -207,7 +207,8 @@ def _schema(blocks: DataFrame, key: str) -> str:
 def buffered(blocks: DataFrame, rate: int, every: float = 1.0, keep: float = 30.0, key: str = "recording_id") -> DataFrame:
     """The passes of a stream of blocks (key, block_ix, samples, final). Its query must be started within stateful.rocks()."""
     needed = blocks.select(key, "block_ix", "samples", "final")
-    return needed.groupBy(key).transformWithStateInPandas(_Buffer(key, rate, every, keep), _schema(blocks, key), "Append", "None")
+    with by_value(__name__):
+        return needed.groupBy(key).transformWithStateInPandas(_Buffer(key, rate, every, keep), _schema(blocks, key), "Append", "None")
 
 
 def passes_of(blocks: DataFrame, rate: int, every: float = 1.0, keep: float = 30.0, key: str = "recording_id") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from talkgrid.operators.folds import ordered_fold
-from talkgrid.streaming.stateful import floats, in_order
+from talkgrid.streaming.stateful import by_value, floats, in_order
 
 # Fixed values of the model that reads the memory.
 SPEAKERS, CHUNK, STORE, QUEUE, LEAVING = 8, 340, 264, 40, 300
@@ -158,7 +158,8 @@ def remembered(frames: DataFrame, silence: list[float], key: str = "recording_id
     """For a stream of frames (key, frame, embedding, probs, final), after each chunk the numbers of the frames remembered, SILENCE between them.
     Frames of a recording come in order; repeats are ignored. Its query must be started within stateful.rocks()."""
     needed = frames.select(key, "frame", "embedding", "probs", "final")
-    return needed.groupBy(key).transformWithStateInPandas(_Remember(key, silence), _schema(frames, key), "Append", "None")
+    with by_value(__name__):
+        return needed.groupBy(key).transformWithStateInPandas(_Remember(key, silence), _schema(frames, key), "Append", "None")
 
 
 def remembered_of(frames: DataFrame, silence: list[float], key: str = "recording_id") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from talkgrid.sources.shared import new_folder
@@ -25,6 +27,20 @@ def rocks(spark: SparkSession):
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
+@contextmanager
+def by_value(*modules: str):
+    """Functions and classes of these modules, and of this one, are sent as they are. What reads a stream's state beside the driver gets none of the
+    files that executors get, so it could not import them."""
+    found = [sys.modules[m] for m in (__name__, *modules)]
+    for m in found:
+        cloudpickle.register_pickle_by_value(m)
+    try:
+        yield
+    finally:
+        for m in found:
+            cloudpickle.unregister_pickle_by_value(m)
+
+
 def drained(stream: DataFrame, kind: str) -> DataFrame:
     """What a stream gives for all that its source has now, as a table in the shared folder; Spark commits each batch to it once."""
     spark = stream.sparkSession

@@ -1,5 +1,7 @@
 """Streams with state: the same as the batch however they are cut and restarted, bounded, and held back where they must be."""
 
+import subprocess
+import sys
 import time
 from pathlib import Path
 
@@ -11,6 +13,7 @@ from talkgrid.streaming import blocks, memory
 from talkgrid.streaming.stateful import rocks
 
 RATE = 50
+ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def files_of(spark, frame, key, cuts, folder):
@@ -273,3 +276,19 @@ def test_a_stream_waits_for_the_one_it_follows(spark, tmp_path):
     finally:
         scan.stop()
     assert max(seen) == 300 and max(gaps) <= 60
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {root!r})
+from talkgrid import plans
+from talkgrid.session import local, ship
+
+spark = ship(local(2, 2))
+print("rows", *[plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() for name in ("heard_windows", "speaker_memory", "archive_round_trip")])
+"""
+
+
+def test_streams_run_from_any_folder(tmp_path):
+    done = subprocess.run([sys.executable, "-c", ELSEWHERE.format(root=ROOT)], capture_output=True, text=True, timeout=300, cwd=tmp_path)
+    assert "rows " in done.stdout and " 0" not in done.stdout, done.stderr[-3000:]
