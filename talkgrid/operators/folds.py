@@ -191,11 +191,12 @@ def link_tracks(spans: DataFrame, roster: DataFrame, least: float = 0.5) -> Data
     there = here.select("recording_id", (F.col("window_ix") - 1).alias("window_ix"), F.col("slot").alias("next_slot"), F.col("start_s").alias("_s"), F.col("end_s").alias("_e"))
     shared = F.greatest(F.lit(0.0), F.least("end_s", "_e") - F.greatest("start_s", "_s"))
     pairs = here.join(there, ["recording_id", "window_ix"]).groupBy("recording_id", "window_ix", "slot", "next_slot").agg(F.sum(shared).alias("shared")).where(F.col("shared") >= least)
-    pairs = pairs.groupBy("recording_id").agg(F.collect_list(F.struct("window_ix", "shared", "slot", "next_slot")).alias("pairs"))
     said = here.select("recording_id", "window_ix", "slot").distinct().withColumn("said", F.lit(True))
-    slots = roster.join(said, ["recording_id", "window_ix", "slot"], "left").join(pairs, "recording_id", "left")
+    slots = roster.join(said, ["recording_id", "window_ix", "slot"], "left")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def link(key, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = filled(rows, "recording_id", "window_ix", "slot", "said").sort_values(["window_ix", "slot"], kind="stable")
+        found = filled(found, "window_ix", "shared", "slot", "next_slot").sort_values(["window_ix", "shared", "slot", "next_slot"], ascending=[True, False, True, True])
         parent = {k: k for k in zip(rows["window_ix"], rows["slot"])}
 
         def root(k):
@@ -205,9 +206,8 @@ def link_tracks(spans: DataFrame, roster: DataFrame, least: float = 0.5) -> Data
             return k
 
         taken: set = set()
-        found = rows["pairs"].iloc[0]
-        for p in sorted(found if found is not None else [], key=lambda p: (p["window_ix"], -p["shared"], p["slot"], p["next_slot"])):
-            a, b = (p["window_ix"], p["slot"]), (p["window_ix"] + 1, p["next_slot"])
+        for w, slot, following in zip(found["window_ix"], found["slot"], found["next_slot"]):
+            a, b = (w, slot), (w + 1, following)
             if (a, 0) not in taken and (b, 1) not in taken:
                 taken |= {(a, 0), (b, 1)}
                 ra, rb = root(a), root(b)
@@ -218,7 +218,8 @@ def link_tracks(spans: DataFrame, roster: DataFrame, least: float = 0.5) -> Data
             tracks.append(numbers.setdefault(root((w, s)), len(numbers)) if said is True or said == 1.0 else -1)
         return rows[["recording_id", "window_ix", "slot"]].assign(track=tracks)
 
-    return ordered_fold(slots, ["window_ix", "slot"], fold, "recording_id bigint, window_ix int, slot int, track int")
+    right = pairs.toDF(*pairs.columns).groupBy("recording_id")
+    return slots.groupBy("recording_id").cogroup(right).applyInPandas(link, "recording_id bigint, window_ix int, slot int, track int")
 
 
 def two_sides(tracks: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -363,37 +364,7 @@ def rename(segments: DataFrame, rules: DataFrame) -> DataFrame:
     return segments.join(best, ["recording_id", "seq"], "left").withColumn("speaker", F.coalesce("_name", "speaker")).drop("_name")
 
 
-def correct(segments: DataFrame, rules: DataFrame) -> DataFrame:
-    """Whole-word corrections in order (ord, wrong array<string>, right array<string>), also where the wrong words cross
-    segments; punctuation around the words stays. rules are a short list, sent along with every recording."""
-    listed = rules.agg(F.array_sort(F.collect_list(F.struct("ord", "wrong", "right"))).alias("rules"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        words = [(i, w) for i, t in enumerate(rows["text"].fillna("")) for w in t.split()]
-        for rule in rows["rules"].iloc[0]:
-            wrong, right = list(rule["wrong"]), list(rule["right"])
-            if not wrong or wrong == right:
-                continue
-            k = 0
-            while k + len(wrong) <= len(words):
-                parts = [_around(w) for _, w in words[k : k + len(wrong)]]
-                if all(_same(core, x) for (_, core, _), x in zip(parts, wrong)):
-                    new = [x.capitalize() if i == 0 and parts[0][1] != wrong[0] else x for i, x in enumerate(right)] or [""]
-                    new[0], new[-1] = parts[0][0] + new[0], new[-1] + parts[-1][2]
-                    owners = [words[min(k + i, k + len(wrong) - 1)][0] for i in range(len(new))]
-                    words[k : k + len(wrong)] = [(o, w) for o, w in zip(owners, new) if w]
-                    k += len(new)
-                else:
-                    k += 1
-        texts: dict[int, list[str]] = {}
-        for i, w in words:
-            texts.setdefault(i, []).append(w)
-        return rows.assign(text=[" ".join(texts.get(i, [])) for i in range(len(rows))])[["recording_id", "seq", "text"]]
-
-    return ordered_fold(segments.select("recording_id", "seq", "text").join(F.broadcast(listed)), ["seq"], fold, "recording_id bigint, seq bigint, text string")
-
-
-def _around(word: str) -> tuple[str, str, str]:
+def around(word: str) -> tuple[str, str, str]:
     """What stands before a word's letters and digits, these, and what follows (a possessive too)."""
     inside = [i for i, c in enumerate(word) if c.isalpha() or c.isdecimal()]
     if not inside:
@@ -405,10 +376,6 @@ def _around(word: str) -> tuple[str, str, str]:
     return word[:a], word[a:b], word[b:]
 
 
-def _same(core: str, wrong: str) -> bool:
-    return core == wrong or (wrong == wrong.lower() and core == wrong.capitalize())
-
-
 def correction_places(segments: DataFrame, wrong: Sequence[str]) -> DataFrame:
     """Where a correction of these words would be made: recording_id, seq and word_ix of each first word. Words count without the marks around
     them, and may go on in the next segment; of matches that overlap, as words that repeat can, each counts."""

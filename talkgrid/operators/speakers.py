@@ -96,12 +96,16 @@ def _graph(voices: pd.DataFrame, conflicts: pd.DataFrame) -> list[set[int]]:
     return near
 
 
-def group_tracks(voices: DataFrame, conflicts: DataFrame, wanted: int, threshold: float = 0.65) -> DataFrame:
-    """People for tracks (recording_id, track, embedding), such that tracks in conflict (recording_id, a, b) differ where that is
+def group_tracks(voices: DataFrame, conflicts: DataFrame, wanted: int | None, threshold: float = 0.65) -> DataFrame:
+    """People for tracks (recording_id, track, embedding, and without a number for all recordings, wanted), such that tracks in conflict (recording_id, a, b) differ where that is
     possible: those with most conflicts first, each to the nearest person allowed, or to a new one if that is far."""
 
+    own = ["recording_id", "track", "embedding", "wanted"]
+    voices = voices if wanted is None else voices.withColumn("wanted", F.lit(wanted))
+
     def group(key, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        rows, pairs = filled(rows, "recording_id", "track", "embedding").sort_values("track").reset_index(drop=True), filled(pairs, "a", "b")
+        wanted = int(rows["wanted"].iloc[0]) if len(rows) else 0
+        rows, pairs = filled(rows, *own).sort_values("track").reset_index(drop=True), filled(pairs, "a", "b")
         near, x = _graph(rows, pairs), [np.array(e, float) for e in rows["embedding"]]
         people, members = [-1] * len(rows), [[] for _ in range(wanted)]
         for t in _hardest_first(len(rows), near):
@@ -119,7 +123,7 @@ def group_tracks(voices: DataFrame, conflicts: DataFrame, wanted: int, threshold
         order = sorted((p for p in range(wanted) if members[p]), key=lambda p: -len(members[p]))
         return rows[["recording_id", "track"]].assign(person=[order.index(p) for p in people])
 
-    left = voices.select("recording_id", "track", "embedding").groupBy("recording_id")
+    left = voices.select(*own).groupBy("recording_id")
     return left.cogroup(conflicts.select(*[F.col(c).alias(c) for c in ("recording_id", "a", "b")]).groupBy("recording_id")).applyInPandas(group, "recording_id bigint, track int, person int")
 
 

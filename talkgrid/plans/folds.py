@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from talkgrid.functions import ordered
 from talkgrid.functions import text as t
 from talkgrid.operators import folds, frames, speakers
+from talkgrid.operators.corrections import corrected
 from talkgrid.operators.intervals import interval_join
 from talkgrid.plans import sql
 from talkgrid.plans.attribution import steady
@@ -148,7 +149,7 @@ def rename_by_rule(spark, sf_dir):
 
 def corrections(spark, sf_dir):
     rules = spark.createDataFrame([(0, ["the"], ["teh"]), (1, ["in"], ["inside", "of"])], "ord int, wrong array<string>, right array<string>")
-    return folds.correct(segments(spark, sf_dir), rules)
+    return corrected(segments(spark, sf_dir), rules)
 
 
 def live_commit(spark, sf_dir):

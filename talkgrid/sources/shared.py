@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
 
@@ -33,6 +33,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """As a written table, read back: later steps don't do it again, and a lost executor costs little."""
+    path = f"{folder}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @atexit.register
 def _remove_all() -> None:
     while _made:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from talkgrid.operators import evaluation, folds, frames, intervals, paragraphs, sequence
+from talkgrid.operators import corrections, evaluation, folds, frames, intervals, paragraphs, sequence
 
 SEGMENT = "recording_id bigint, seq bigint, text string, start_s double, end_s double, avg_logprob double, no_speech double, speaker string"
 TURN = "recording_id bigint, turn_ix int, speaker string, start_s double, end_s double"
@@ -230,7 +230,7 @@ def test_heard_words_give_times(spark):
 def test_corrections_cross_segments_and_keep_marks(spark):
     s = segments(spark, ("I use meta", 0, 1, None), ("base, daily. Metabase's fine.", 1, 2, None))
     rules = spark.createDataFrame([(0, ["meta", "base"], ["Metabase"]), (1, ["Metabase"], ["Superset"])], "ord int, wrong array<string>, right array<string>")
-    assert [r.text for r in folds.correct(s, rules).orderBy("seq").collect()] == ["I use Superset,", "daily. Superset's fine."]
+    assert [r.text for r in corrections.corrected(s, rules).orderBy("seq").collect()] == ["I use Superset,", "daily. Superset's fine."]
 
 
 def test_frames(spark):
