@@ -57,7 +57,8 @@ class Phrases:
         item = np.array([-1 if x is None else number[str(x)] for x in item_ids], np.int32)
         size = np.diff(first)
         self.starts: dict[int, np.ndarray] = {}
-        self.items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.base: dict[int, int] = {}  # the number of the first window of so many words
+        bounds, owners = [], []  # of each window where the items that have it begin, and these
         for n in np.unique(np.minimum(size[size > 0], window)).tolist():
             of = np.flatnonzero((size == n) | ((size > n) & (n == window)))
             many = size[of] - n + 1
@@ -72,7 +73,10 @@ class Phrases:
             for j in range(n):  # of one hash, but not of the same words: a window of its own
                 new |= self.text[at + j] != self.text[same + j]
             self.starts[n] = at[new]
-            self.items[n] = (np.append(np.flatnonzero(new), len(at)), owner)
+            self.base[n] = sum(map(len, bounds))
+            bounds.append(np.flatnonzero(new) + sum(map(len, owners)))
+            owners.append(owner)
+        self.bounds, self.owner = np.concatenate([*bounds, [sum(map(len, owners))]]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *owners])
         self.shortest = min(self.starts, default=0)
         bits = max(20, int(8 * len(self.vocab)).bit_length())
         self.known = np.zeros(1 << bits, bool)
@@ -109,13 +113,13 @@ class Phrases:
         text[at] = symbols[origin[at]]
         return text, origin
 
-    def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each occurrence in the runs the place and the length; and pairs (place, number of the item's name)."""
+    def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each occurrence in the runs the place, the length and the number of the window."""
         none = np.zeros(0, np.int64)
         if not len(text):
-            return none, none, none, none
+            return none, none, none
         index = FmIndex(text)
-        places, lengths, at, items = [none], [none], [none], [none]
+        places, lengths, windows = [none], [none], [none]
         for n, starts in self.starts.items():
             sp, ep = index.search(self.text, starts, n)
             found = np.flatnonzero(ep > sp)
@@ -123,12 +127,17 @@ class Phrases:
             place = index.locate(np.repeat(sp[found] - (np.cumsum(many) - many), many) + np.arange(int(many.sum())))
             places.append(place)
             lengths.append(np.full(len(place), n))
-            bounds, owner = self.items[n]
-            window = np.repeat(found, many)
-            own = bounds[window + 1] - bounds[window]
-            at.append(np.repeat(place, own))
-            items.append(owner[np.repeat(bounds[window] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))])
-        return tuple(np.concatenate(x) for x in (places, lengths, at, items))
+            windows.append(self.base[n] + np.repeat(found, many))
+        return tuple(np.concatenate(x) for x in (places, lengths, windows))
+
+    def items_in(self, doc: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and the items that have windows in them, each pair once and in order: a window counts once in a document before its items are looked up."""
+        doc, window = np.divmod(np.unique(doc.astype(np.int64) * len(self.bounds) + window), len(self.bounds))
+        many = self.bounds[window + 1] - self.bounds[window]
+        at = np.repeat(self.bounds[window] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        doc, item, most = np.repeat(doc, many), self.owner[at], max(1, len(self.names))
+        named = item >= 0
+        return np.divmod(np.unique(doc[named] * most + item[named]), most)
 
 
 def _item_words(batches):
@@ -194,15 +203,15 @@ def _finder(phrases, schema: pa.Schema, names: list[str], again: bool, cut: bool
             rows = np.cumsum([0] + [s[0].num_rows for s in shard])
             doc = np.concatenate([s[3] + r for s, r in zip(shard, rows)])
             word = np.concatenate([s[4] for s in shard])
-            place, length, at, item = own.occurrences(np.concatenate([s[2] for s in shard]))
+            place, length, window = own.occurrences(np.concatenate([s[2] for s in shard]))
             d, w, e = doc[place], word[place], word[place] + length
-            item_of = np.unique(np.stack([doc[at][item >= 0], item[item >= 0]]), axis=1) if len(item) else np.zeros((2, 0), np.int64)
+            with_item, item = own.items_in(d, window)
             for k, (piece, counts, *_) in enumerate(shard):
                 n, low, high = piece.num_rows, rows[k], rows[k + 1]
                 here = (d >= low) & (d < high)
                 dd, ww, ee = d[here] - low, w[here], e[here]
-                mine = item_of[:, (item_of[0] >= low) & (item_of[0] < high)]
-                items = _lists(mine[0] - low, n, pa.array([own.names[i] for i in mine[1].tolist()], pa.string()), schema.field("items").type)
+                mine = slice(*np.searchsorted(with_item, (low, high)))
+                items = _lists(with_item[mine] - low, n, pa.array([own.names[i] for i in item[mine].tolist()], pa.string()), schema.field("items").type)
                 if again:
                     old = piece.column("spans")
                     flat = old.flatten()

@@ -332,3 +332,20 @@ def test_benchmark_in_many_chunks_and_shards(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
         found = {r.doc_id: (r.n_words, r.n_hit, r["items"], " ".join((r.text or "").split())) for r in decontaminate.find(docs, bench, chunk_bytes=chunk, cut=True).collect()}
         assert found == want
+
+
+def test_items_that_share_windows_and_texts_that_repeat_them(spark):
+    """Many items with one window, and a document that has it many times: pairs of document and window count once."""
+    shared = "one two three four five six seven eight nine ten"
+    items = [(f"i{k:04}", f"{shared} x{k}" if k % 2 else shared) for k in range(600)]
+    texts = [f"{shared} " * 2000, "nothing of it", f"{shared} x5 and {shared} x7"]
+    rows = decontaminate.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")).orderBy("doc_id").collect()
+    names = [i for i, _ in items]
+    assert [(r.n_words, r.n_hit) for r in rows] == [(20_000, 20_000), (3, 0), (23, 22)]
+    assert rows[0]["items"] == names and rows[1]["items"] == [] and rows[2]["items"] == names
+    nameless = spark.createDataFrame([(None, "nothing of it"), ("a", "of it")], "item_id string, text string")
+    rows = decontaminate.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), nameless).orderBy("doc_id").collect()
+    assert [(r.n_hit, r["items"]) for r in rows] == [(0, []), (3, ["a"]), (0, [])]
+    own = decontaminate.Phrases(["a", "b"], np.array([7, 8, 9, 7, 8, 9], np.uint64), np.array([0, 3, 6]), 3)
+    doc, item = own.items_in(np.zeros(100_000, np.int64), np.zeros(100_000, np.int64))
+    assert doc.tolist() == [0, 0] and item.tolist() == [0, 1]
