@@ -93,9 +93,9 @@ def loudness_words(spark, sf_dir):
     return a.time_words(s, blocks, 16).select("recording_id", "seq", "word_ix", "text", *_r("start_s", "end_s"))
 
 
-def aligned_words(spark, sf_dir):
+def _recorded(spark, sf_dir):
     """Whole recordings in made score grids, three frames of .05 s a letter, the letter favoured in the middle one; the segments' stamps run
-    ever later than that, and jump about."""
+    ever later than that, and jump about. The grid, and the words with their tokens."""
     s = segments(spark, sf_dir)
     letters = F.filter(F.split(t.letters("text"), ""), lambda c: (c >= "a") & (c <= "z"))
     w = a.words_of(s).withColumn("tokens", F.transform(letters, lambda c: (F.ascii(c) - 96)))
@@ -109,7 +109,11 @@ def aligned_words(spark, sf_dir):
     grid = tokens.select("recording_id", "token", (F.col("first") + F.col("i")).alias("ix"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     score = lambda i: F.when((F.col("k") == 1) & (i == F.col("token")), 0.0).when((F.col("k") != 1) & (i == 0), 0.0).otherwise(-12.0)
     grid = grid.select("recording_id", (F.col("ix") * 3 + F.col("k")).alias("frame"), F.transform(F.sequence(F.lit(0), F.lit(26)), score).alias("logp"))
-    return alignment.align_recordings(grid, w, 0.05).select("recording_id", "seq", "word_ix", *_r("start_s", "end_s"))
+    return grid, w
+
+
+def aligned_words(spark, sf_dir):
+    return alignment.align_recordings(*_recorded(spark, sf_dir), 0.05).select("recording_id", "seq", "word_ix", *_r("start_s", "end_s"))
 
 
 QUERIES = {f.__name__: f for f in (aligned_words, word_offsets, snapped_turns, split_segments, word_labels, worded_pieces, measured_words, nearest_stretch, nearest_reliable, attached_voices, loudness_words)}

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talkgrid.plans import sql
+from talkgrid.plans import attribution, sql
 from talkgrid.sources import archive_source, files
 from talkgrid.sources.shared import new_folder
 from talkgrid.sources.tables import segments
-from talkgrid.streaming import blocks, memory
+from talkgrid.streaming import blocks, memory, retiming
 from talkgrid.streaming.stateful import drained
 
 #: Letters of a second.
@@ -67,9 +67,29 @@ def speaker_memory(spark, sf_dir):
     return found.select("recording_id", "step", F.size("frames").alias("n"), F.array_join(F.transform("frames", lambda f: f.cast("string")), " ").alias("frames"))
 
 
-QUERIES = {f.__name__: f for f in (archive_round_trip, heard_windows, speaker_memory)}
+def progressive_words(spark, sf_dir):
+    """Grids that arrive a minute at a time, and words placed ever anew behind their end: in the end they lie where they do in whole grids."""
+    folder = new_folder(spark, "retimed")
+    grid, words = attribution._recorded(spark, sf_dir)
+    words.select("recording_id", "seq", "word_ix", "tokens", "start_s", "end_s").write.parquet(f"{folder}/words")
+    words = spark.read.parquet(f"{folder}/words")
+    last = F.max("frame").over(Window.partitionBy("recording_id"))
+    rows = grid.select("recording_id", F.col("frame").cast("bigint").alias("frame"), "logp", (F.col("frame") == last).alias("final"), F.floor(F.col("frame") * 0.05 / 60).alias("minute"))
+    # A file for each minute, in order of time: the source takes them by their dates.
+    minutes = [r["minute"] for r in rows.select("minute").distinct().orderBy("minute").collect()]  # as many as the longest recording has
+    path = f"{folder}/scan"
+    for minute in minutes:
+        rows.where(F.col("minute") == minute).drop("minute").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.drop("minute").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = stream.writeStream.foreachBatch(retiming.Retimer(words, f"{folder}/made", 0.05)).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return retiming.retimed(spark, f"{folder}/made").select("recording_id", "seq", "word_ix", *[F.round(c, 6).alias(c) for c in ("start_s", "end_s")])
+
+
+QUERIES = {f.__name__: f for f in (archive_round_trip, heard_windows, speaker_memory, progressive_words)}
 
 ORACLE_SQL = {
+    "progressive_words": attribution.ORACLE_SQL["aligned_words"],
     "archive_round_trip": f"WITH {sql.SEGMENTS} SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY seq) - 1 AS INTEGER) AS seq, text, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, round(avg_logprob, 6) AS avg_logprob, round(no_speech, 6) AS no_speech, speaker FROM v_segments",
     "heard_windows": f"""WITH l AS (SELECT conv_id AS recording_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS k, unicode(text[i]) AS x FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM conversations)),
 w AS (SELECT *, sum(x) OVER (PARTITION BY recording_id ORDER BY k ROWS BETWEEN 449 PRECEDING AND CURRENT ROW) AS total, count(*) OVER (PARTITION BY recording_id) AS n FROM l)

@@ -1,5 +1,6 @@
 """Streams with state: the same as the batch however they are cut and restarted, bounded, and held back where they must be."""
 
+import itertools
 import subprocess
 import sys
 import time
@@ -9,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talkgrid.streaming import blocks, memory
+from talkgrid.operators import alignment
+from talkgrid.streaming import blocks, memory, retiming
 from talkgrid.streaming.stateful import rocks
 
 RATE = 50
@@ -278,6 +280,86 @@ def test_a_stream_waits_for_the_one_it_follows(spark, tmp_path):
     assert max(seen) == 300 and max(gaps) <= 60
 
 
+LETTERS = 8
+
+
+def scanned(spark):
+    """Grids of recordings of some minutes with their words, a frame a tenth of a second, and how much of them each batch brings."""
+    rng = np.random.default_rng(7)
+    frames, words = [], []
+    for r, minutes in ((0, 1.0), (1, 2.5), (2, 3.0)):
+        n, at, seq, rows = int(minutes * 600), 0, 0, []
+        while at < n - 60:
+            own = [rng.integers(1, LETTERS, int(rng.integers(1, 5))).tolist() for _ in range(int(rng.integers(1, 6)))]
+            size = 3 * sum(map(len, own))
+            if at + size > n - 5:
+                break
+            rows += [x for t in itertools.chain(*own) for x in (0, t, 0)]
+            stray = float(rng.choice([0, 0.4, -0.4]))
+            words += [(r, seq, k, w, max(0.0, at / 10 + stray), (at + size) / 10 + stray) for k, w in enumerate(own)]
+            pause = int(rng.integers(0, 30))
+            rows += [0] * pause
+            at, seq = at + size + pause, seq + 1
+        grid = rng.normal(size=(len(rows), LETTERS))
+        grid[np.arange(len(rows)), rows] += 4
+        grid -= np.log(np.exp(grid).sum(axis=1, keepdims=True))
+        frames += [(r, k, row.tolist(), k == len(rows) - 1, k // 190) for k, row in enumerate(grid)]
+    f = spark.createDataFrame(frames, "recording_id bigint, frame bigint, logp array<double>, final boolean, part int").cache()
+    return f, spark.createDataFrame(words, "recording_id bigint, seq bigint, word_ix int, tokens array<int>, start_s double, end_s double").cache()
+
+
+def times_of(df):
+    return {(x.recording_id, x.seq, x.word_ix): (round(x.start_s, 6), round(x.end_s, 6)) for x in df.collect()}
+
+
+def test_words_are_timed_behind_a_growing_scan(spark, tmp_path):
+    frames, words = scanned(spark)
+    parts = 10
+    seen = {}
+
+    class Watched(retiming.Retimer):
+        def __call__(self, rows, batch):
+            super().__call__(rows, batch)
+            if batch not in seen:
+                seen[batch] = times_of(retiming.retimed(spark, self.folder))
+                if batch == 4:
+                    raise RuntimeError("lost after all was written")
+
+    def follow(upto, times=1):
+        source = tmp_path / "in"
+        source.mkdir(exist_ok=True)
+        for k in upto:
+            frames.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{tmp_path}/part-{k}")
+            for f in Path(f"{tmp_path}/part-{k}").glob("*.parquet"):
+                f.rename(source / f"{k}-{f.name}")
+        stream = spark.readStream.schema(frames.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        query = stream.writeStream.foreachBatch(Watched(words, f"{tmp_path}/made", 0.1)).option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    for k in range(parts):
+        try:
+            follow([k])
+        except Exception as e:
+            assert k == 4 and "lost after" in str(e)
+            follow([])  # the batch runs again
+            assert times_of(retiming.retimed(spark, f"{tmp_path}/made")) == seen[4]
+    stamps = {(w.recording_id, w.seq): w.end_s for w in words.collect()}
+    for batch, times in seen.items():
+        for r in range(3):
+            ends = frames.where((F.col("recording_id") == r) & (F.col("part") <= batch)).agg(F.max("frame"), F.max("final")).first()
+            timed = {k[1] for k in times if k[0] == r}
+            assert ends[1] or all(stamps[r, seq] <= (ends[0] + 1) * 0.1 - 45 for seq in timed)
+    assert any(times and len(times) < words.count() for times in seen.values())
+    grid = frames.drop("part", "final")
+    final = times_of(retiming.retimed(spark, f"{tmp_path}/made"))
+    assert final == times_of(alignment.align_recordings(grid, words, 0.1)) and len(final) == words.count()
+    for log in (tmp_path / "log" / "commits").iterdir():  # as if the last batch had not been noted as done
+        if log.name.strip(".").split(".")[0] == str(max(seen)):
+            log.unlink()
+    follow([])
+    assert times_of(retiming.retimed(spark, f"{tmp_path}/made")) == final
+
+
 ELSEWHERE = """
 import sys
 sys.path.insert(0, {root!r})
