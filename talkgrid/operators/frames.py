@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrid.operators.intervals import islands
+from talkgrid.operators.intervals import islands, union
 
 
 def painted(turns: DataFrame, step: float) -> DataFrame:
@@ -60,3 +60,30 @@ def confusion(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = left.select("recording_id", "frame", F.col("label").alias("a")), right.select("recording_id", "frame", F.col("label").alias("b"))
     both = a.join(b, ["recording_id", "frame"], "full")
     return both.groupBy(F.coalesce("a", F.lit("quiet")).alias("a"), F.coalesce("b", F.lit("quiet")).alias("b")).agg(F.count("*").alias("frames"))
+
+
+def swept_confusion(left: DataFrame, right: DataFrame, step: float) -> DataFrame:
+    """confusion() of two sides painted by rounded_paint(), from the turns' borders alone: between two borders nothing changes, so there is a row a border instead of a frame."""
+    first, last = F.bround(F.col("start_s") / step).cast("long"), F.bround(F.col("end_s") / step).cast("long")
+
+    def borders(turns: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        spans = turns.where("speaker IS NOT NULL").select("recording_id", "speaker", first.alias("start_s"), last.alias("end_s")).where("end_s > start_s")
+        spans = union(spans, ["recording_id", "speaker"])  # of one speaker no two overlap
+        number = F.dense_rank().over(Window.partitionBy("recording_id").orderBy("speaker"))
+        spans = spans.withColumn("_id", number)
+        ends = F.explode(F.array(F.struct(F.col("start_s").alias("at"), F.lit(1).alias("n")), F.struct(F.col("end_s").alias("at"), F.lit(-1).alias("n"))))
+        rows = spans.select("recording_id", "_id", ends.alias("e")).groupBy("recording_id", F.col("e.at").alias("at")).agg(F.sum("e.n").alias(f"{side}_n"), F.sum(F.col("e.n") * F.col("_id")).alias(f"{side}_id"))
+        return rows, spans.select("recording_id", F.col("_id").alias(f"{side}_id"), F.col("speaker").alias(side)).distinct()
+
+    (a, a_names), (b, b_names) = borders(left, "a"), borders(right, "b")
+    none = [F.lit(0).cast("long").alias(c) for c in ("n", "id")]
+    both = a.select("*", *[x.alias(f"b_{c}") for x, c in zip(none, ("n", "id"))]).unionByName(b.select("*", *[x.alias(f"a_{c}") for x, c in zip(none, ("n", "id"))]))
+    both = both.groupBy("recording_id", "at").agg(*[F.sum(c).alias(c) for c in ("a_n", "a_id", "b_n", "b_id")])
+    w = Window.partitionBy("recording_id").orderBy("at")
+    active = both.select("recording_id", (F.lead("at").over(w) - F.col("at")).alias("frames"), *[F.sum(c).over(w).alias(c) for c in ("a_n", "a_id", "b_n", "b_id")])
+    active = active.where("frames > 0 AND a_n + b_n > 0")
+    known = [F.when(F.col(f"{s}_n") == 0, 0).when(F.col(f"{s}_n") > 1, -2).otherwise(F.col(f"{s}_id")).alias(f"{s}_id") for s in "ab"]
+    counts = active.select("recording_id", "frames", *known).groupBy("recording_id", "a_id", "b_id").agg(F.sum("frames").alias("frames"))
+    named = counts.join(a_names, ["recording_id", "a_id"], "left").join(b_names, ["recording_id", "b_id"], "left")
+    label = lambda s: F.when(F.col(f"{s}_id") == 0, "quiet").when(F.col(f"{s}_id") == -2, "-2").otherwise(F.col(s)).alias(s)
+    return named.groupBy(label("a"), label("b")).agg(F.sum("frames").alias("frames"))

@@ -118,7 +118,7 @@ def bridged_turns(spark, sf_dir):
 
 def frame_confusion(spark, sf_dir):
     items, others = _sides(spark, sf_dir)
-    return frames.confusion(frames.rounded_paint(items, 0.1), frames.rounded_paint(others, 0.1))
+    return frames.swept_confusion(items, others, 0.1)
 
 
 def majority_map(spark, sf_dir):

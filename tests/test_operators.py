@@ -233,6 +233,13 @@ def test_corrections_cross_segments_and_keep_marks(spark):
     assert [r.text for r in corrections.corrected(s, rules).orderBy("seq").collect()] == ["I use Superset,", "daily. Superset's fine."]
 
 
+def test_confusion_from_borders_is_that_of_frames(spark):
+    rng = np.random.default_rng(3)
+    sides = [spark.createDataFrame([(int(rng.integers(4)), "xyz"[int(rng.integers(3))], s := float(rng.integers(0, 60)) / 4, s + float(rng.integers(0, 12)) / 4) for _ in range(60)], "recording_id bigint, speaker string, start_s double, end_s double") for _ in range(2)]
+    want = frames.confusion(*[frames.rounded_paint(s, 0.5) for s in sides]).collect()
+    assert sorted(map(tuple, frames.swept_confusion(*sides, 0.5).collect())) == sorted(map(tuple, want)) and len(want) > 12
+
+
 def test_frames(spark):
     t = turns(spark, ("a", 0, 1.05), ("b", 0.95, 2), ("a", 2.2, 2.4))
     assert sorted(r.frame for r in frames.votes(t, 0.5).where("speaker = 'a'").collect()) == [0, 1, 2, 4]
