@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkgrid.functions import ordered
 from talkgrid.functions import text as t
-from talkgrid.operators import evaluation, folds, frames, paragraphs, windows
+from talkgrid.operators import diagnostics, evaluation, folds, frames, paragraphs, windows
 from talkgrid.plans import sql
 from talkgrid.sources.tables import segments, spoken, turns, voices
 from talkgrid.streaming import live
@@ -192,9 +192,20 @@ def word_edits(spark, sf_dir):
     return rows.select("recording_id", "seq", (F.col("c.replaced") + F.col("c.missing") + F.col("c.added")).alias("edits"), (F.col("c.added") - F.col("c.missing")).alias("longer"))
 
 
+def shown_spans(spark, sf_dir):
+    """Of three segments in a row one has measured words, one heard ones, and one none but an estimate."""
+    from talkgrid.plans.attribution import _timed
+
+    words = _timed(spark, sf_dir)
+    late = words.withColumns({"start_s": F.col("start_s") + 0.5, "end_s": F.col("end_s") + 0.5})
+    found = diagnostics.shown_spans(segments(spark, sf_dir), words.where("seq % 3 = 0"), late.where("seq % 3 <> 2"), words.withColumn("end_s", F.col("end_s") + 1))
+    return found.select("recording_id", "seq", "kind", "head", *_r("start_s", "end_s", "words_from", "words_to"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        shown_spans,
         sliding_windows, margin_windows, adaptive_windows, credible_anchors, anchor_scales, frame_agreement, sweep_percentiles, share_without_lag, threshold_sweep, summed_voices, run_times, selected_words, token_cores,
         correction_places, correction_pairs, spelled_tokens, window_conflicts, two_sides, readable_text, paragraphs_at, streamed_text, word_edits, due_passes, streamed_windows,
     )
@@ -228,7 +239,16 @@ _CORES = f"{_S}, c AS (SELECT recording_id, seq, k - 1 AS word_ix, {_bare_core('
 
 _WEEKS = f"""WITH {sql.TURNS}, w AS (SELECT recording_id, CAST(floor(start_s / 168.0::DOUBLE) AS INTEGER) AS k, speaker, sum(end_s - start_s) AS held FROM v_turns GROUP BY ALL HAVING sum(end_s - start_s) >= 0.25)"""
 
+def _shown_spans() -> str:
+    from talkgrid.plans.attribution import _TIMED
+
+    return f"""{_TIMED}, sp AS (SELECT recording_id, seq, arg_min(start_s, word_ix) AS f, arg_max(end_s, word_ix) AS t FROM tw GROUP BY recording_id, seq)
+SELECT s.recording_id, s.seq, CASE WHEN sp.seq IS NULL THEN NULL WHEN s.seq % 3 = 0 THEN 'measured' WHEN s.seq % 3 = 1 THEN 'heard' ELSE 'estimate' END AS kind, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 37) || '…' END AS head, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s,
+  round(f + CASE WHEN s.seq % 3 = 1 THEN 0.5 ELSE 0 END, 6) AS words_from, round(t + CASE s.seq % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.5 ELSE 1 END, 6) AS words_to FROM v_segments s LEFT JOIN sp ON sp.recording_id = s.recording_id AND sp.seq = s.seq"""
+
+
 ORACLE_SQL = {
+    "shown_spans": _shown_spans(),
     "due_passes": f"""{_S}, h AS (SELECT recording_id, seq, sum(length(text) * 20 + 100) OVER (PARTITION BY recording_id ORDER BY seq) AS upto, row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS k FROM v_segments),
 g AS (SELECT recording_id, 0::BIGINT AS k, 0::HUGEINT AS last, false AS due FROM (SELECT DISTINCT recording_id FROM h) UNION ALL SELECT h.recording_id, h.k, CASE WHEN h.upto - g.last >= 5000 THEN h.upto ELSE g.last END, h.upto - g.last >= 5000 FROM g JOIN h ON h.recording_id = g.recording_id AND h.k = g.k + 1)
 SELECT h.recording_id, h.seq AS block_ix, round(upto / 1000.0::DOUBLE, 6) AS now_s, round(greatest(0, upto - 30000) / 1000.0::DOUBLE, 6) AS window_start_s, round((upto - greatest(0, upto - 30000)) / 1000.0::DOUBLE, 6) AS content_s FROM h JOIN g ON g.recording_id = h.recording_id AND g.k = h.k WHERE g.due""",

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from talkgrid.operators import corrections, folds, tracking
+from talkgrid.operators import corrections, diagnostics, folds, tracking
 from talkgrid.operators.folds import around
 
 SEGMENTS = "recording_id bigint, seq bigint, text string, start_s double, end_s double"
@@ -259,3 +259,19 @@ def test_voices_like_an_example(spark):
         want |= {(r, k): bool(k in mine and clear) for k in range(9)}
     found = folds.split_by_example(spark.createDataFrame(rows, "recording_id bigint, voice_ix bigint, embedding array<double>, example boolean"))
     assert {(x.recording_id, x.voice_ix): x.same for x in found.collect()} == want and {True, False} == set(want.values())
+
+
+def test_reports_of_a_run(spark, tmp_path):
+    s = spark.createDataFrame([(1, 0, "one two", 0.0, 1.0), (1, 1, "x" * 50, 1.0, 2.0), (1, 2, "", 2.0, 2.5), (2, 0, "three", 0.0, 1.0)], SEGMENTS)
+    kind = "recording_id bigint, seq bigint, word_ix int, start_s double, end_s double"
+    measured = spark.createDataFrame([(1, 0, 1, 0.5, 0.9), (1, 0, 0, 0.1, 0.4)], kind)
+    heard = spark.createDataFrame([(1, 0, 0, 7.0, 8.0), (2, 0, 0, 0.25, 0.75)], kind)
+    estimated = spark.createDataFrame([(1, 1, 0, 1.0, 2.0)], kind)
+    spans = diagnostics.shown_spans(s, measured, heard, estimated)
+    assert [(x.seq, x.kind, x.words_from, x.words_to, len(x.head)) for x in spans.where("recording_id = 1").orderBy("seq").collect()] == [(0, "measured", 0.1, 0.9, 7), (1, "estimate", 1.0, 2.0, 38), (2, None, None, None, 0)]
+    diagnostics.write_lines(diagnostics.span_lines(spans), f"{tmp_path}/spans")
+    lines = [x.value for x in spark.read.text(f"{tmp_path}/spans/recording_id=1").collect()]
+    assert lines[:2] == ["measured 1 of 3 segments", 'measured 0.00-1.00 words 0.10-0.90 "one two"'] and lines[3] == 'ESTIMATE 2.00-2.50 words none ""'
+    updates = spark.createDataFrame([(1, 0, "provisional", " so", 0.0, 1.0), (1, 1, "committed", "so it ", 0.0, 1.0), (1, 1, "committed", "is", 1.0, 2.0), (1, 3, "committed", "done", 2.0, 3.0)], "recording_id bigint, pass_ix int, kind string, text string, start_s double, end_s double")
+    log = diagnostics.session_log(updates).orderBy("pass_ix").collect()
+    assert [(x.pass_ix, x.provisional, x.new, x.committed) for x in log] == [(0, " so", "", ""), (1, "", "so it is", "so it is"), (3, "", "done", "so it is done")]
