@@ -275,3 +275,25 @@ def test_reports_of_a_run(spark, tmp_path):
     updates = spark.createDataFrame([(1, 0, "provisional", " so", 0.0, 1.0), (1, 1, "committed", "so it ", 0.0, 1.0), (1, 1, "committed", "is", 1.0, 2.0), (1, 3, "committed", "done", 2.0, 3.0)], "recording_id bigint, pass_ix int, kind string, text string, start_s double, end_s double")
     log = diagnostics.session_log(updates).orderBy("pass_ix").collect()
     assert [(x.pass_ix, x.provisional, x.new, x.committed) for x in log] == [(0, " so", "", ""), (1, "", "so it is", "so it is"), (3, "", "done", "so it is done")]
+
+
+def test_renaming_by_voice(spark):
+    """Recording 1: two voices under one name; 2: one voice; 3: no other paragraph of that name."""
+    rng = np.random.default_rng(1)
+    who = {1: "ababab", 2: "aaaaaa", 3: "a"}
+    paras, segments, voices = [], [], []
+    for r, letters in who.items():
+        for k, x in enumerate(letters):
+            paras.append((r, k, "S", k * 10.0, k * 10.0 + 8))
+            segments += [(r, 2 * k + j, "S", k * 10.0 + 4 * j, k * 10.0 + 4 * j + 3.5) for j in (0, 1)]
+            voices += [(r, k * 10.0 + j, k * 10.0 + j + 1, (np.eye(3)[int(x == "b")] + rng.normal(size=3) * 0.1).tolist()) for j in range(8)]
+        paras.append((r, 9, "T", 90.0, 99.0))
+        segments.append((r, 99, "T", 91.0, 95.0))
+    kind = "start_s double, end_s double"
+    found = tracking.rename_by_voice(
+        spark.createDataFrame(segments, f"recording_id bigint, seq bigint, speaker string, {kind}"), spark.createDataFrame(paras, f"recording_id bigint, para_ix int, speaker string, {kind}"),
+        spark.createDataFrame(voices, f"recording_id bigint, {kind}, embedding array<double>"), spark.createDataFrame([(r, 1.0, 5.0, "Ann") for r in who], f"recording_id bigint, {kind}, name string"),
+    ).collect()
+    named = {(x.recording_id, x.seq) for x in found if x.speaker == "Ann"}
+    assert named == {(1, s) for s in (0, 1, 4, 5, 8, 9)} | {(2, 0), (2, 1), (3, 0), (3, 1)}
+    assert len(found) == len(segments) and all(x.speaker == "T" for x in found if x.seq == 99)
