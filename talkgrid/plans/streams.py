@@ -68,14 +68,14 @@ def speaker_memory(spark, sf_dir):
 
 
 def progressive_words(spark, sf_dir):
-    """Grids that arrive a minute at a time, and words placed ever anew behind their end: in the end they lie where they do in whole grids."""
+    """Grids that arrive five minutes at a time, and words placed ever anew behind their end: in the end they lie where they do in whole grids."""
     folder = new_folder(spark, "retimed")
     grid, words = attribution._recorded(spark, sf_dir)
     words.select("recording_id", "seq", "word_ix", "tokens", "start_s", "end_s").write.parquet(f"{folder}/words")
     words = spark.read.parquet(f"{folder}/words")
     last = F.max("frame").over(Window.partitionBy("recording_id"))
-    rows = grid.select("recording_id", F.col("frame").cast("bigint").alias("frame"), "logp", (F.col("frame") == last).alias("final"), F.floor(F.col("frame") * 0.05 / 60).alias("minute"))
-    # A file for each minute, in order of time: the source takes them by their dates.
+    rows = grid.select("recording_id", F.col("frame").cast("bigint").alias("frame"), "logp", (F.col("frame") == last).alias("final"), F.floor(F.col("frame") * 0.05 / 300).alias("minute"))
+    # A file for each five minutes, in order of time: the source takes them by their dates.
     minutes = [r["minute"] for r in rows.select("minute").distinct().orderBy("minute").collect()]  # as many as the longest recording has
     path = f"{folder}/scan"
     for minute in minutes:
