@@ -8,7 +8,8 @@ at a document's place in its source's stream gives its training position.
 A source's stream is its documents in hash order, over and over. Whole passes are taken in full; the
 last, partial pass takes a document while its middle lies within what is left, so the words taken
 differ from the target by less than one document. Prefix sums run in two levels (per hash bucket,
-then within a bucket), so a source with a third of all rows is spread over many tasks.
+then within a bucket), so a source with a third of all rows is spread over many tasks; the number of buckets grows with the rows. Rows without
+an id are hashed by their text. What is windowed in one task is a row a source, and for each source a row a bucket.
 
 Edges: a null text has size 0; a null source is a source of its own, last; sources of no words have
 target 0; repeated rows each count, in a stable order; an empty table gives no rows; other columns are carried through by
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from talkgrid.llm.tables import cut, packed, table, unpacked
 
 MAX_REPEATS = 3
-#: Hex digits of the order key that name a bucket: 4096 buckets a source.
-BUCKET_DIGITS = 3
+#: Rows that a bucket may hold on average if all are of one source; at least LEAST_DIGITS hex digits of the order key name a bucket.
+BUCKET_ROWS = 1 << 16
+LEAST_DIGITS = 3
 #: Slopes of the schedules, by the source's place, repeating: later, flat, earlier.
 SLOPES = (0.8, 0.0, -0.8)
 
@@ -54,14 +56,24 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return each.select("source", "source_size", target.alias("target"), slope.alias("slope"))
 
 
-def assign(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def bucket_digits(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Hex digits that name enough buckets for so many rows."""
+    digits = LEAST_DIGITS
+    while bucket_rows * 16**digits < rows:
+        digits += 1
+    return digits
+
+
+def assign(docs: DataFrame, id_column: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs without text, with size, source_size, target, copies, taken, positions (of each copy, in 0..1) and the first position."""
+    digits = bucket_digits(docs.count(), bucket_rows)
     docs = docs.drop("size", "source_size", "target", "copies", "taken", "positions", "position")
     columns, own = [c for c in docs.columns if c != "text"], (id_column, "source", "text")
     docs = packed(docs, *own)
     docs = docs.withColumn("size", F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long"))
-    docs = cut(docs.drop("text")).withColumn("_key", F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")))
-    docs = docs.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    named = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit(" "), F.col("text")), F.lit(""))
+    docs = cut(docs.withColumn("_key", F.md5(named.cast("binary"))).drop("text"))
+    docs = docs.withColumn("_bucket", F.substring("_key", 1, digits))
     buckets = docs.groupBy("source", "_bucket").agg(F.sum("size").alias("size"))
     ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("_from", F.coalesce(F.sum("size").over(ahead), F.lit(0))).drop("size")
@@ -105,7 +117,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_for(documents: str) -> str:
     """The mix of a table or subquery with doc_id, source and text."""
     return rf"""
-WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM {documents}),
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size, md5(coalesce(CAST(doc_id AS VARCHAR), ' ' || text, '')) AS k FROM {documents}),
 e AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM e),
 w AS (SELECT *, CAST((place - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS cap FROM p),

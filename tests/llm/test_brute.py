@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talkgrid.llm import decontaminate, fm_index, linededup, pii, quality, registry, simhash, substrings, toxicity, vectors
+from talkgrid.llm import decontaminate, fm_index, linededup, mixing, pii, quality, registry, simhash, substrings, toxicity, vectors
 from talkgrid.llm.components import components
 from talkgrid.llm.tables import table
 
@@ -90,6 +90,42 @@ def test_substrings_in_blocks(spark):
         assert {r.doc_id: r.text for r in substrings.dedup(docs, **limits).collect()} == want
 
 
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    """Vectors of several lengths, wider than the axes too, in small blocks, against all pairs; none of one length meets one of another."""
+    monkeypatch.setattr(vectors, "AXIS_WIDTH", 6)
+    rng = np.random.default_rng(4)
+    rows = []
+    for width, n in ((3, 40), (9, 60), (20, 30), (5000, 2)):
+        centres = rng.normal(size=(6, width))
+        rows += [centres[k % 6] + rng.normal(size=width) * 0.12 for k in range(n)]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    unit = [v / np.sqrt(v @ v) for v in rows]
+    linked = lambda i, j: i != j and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95
+    want = {i: (sum(linked(i, j) for j in range(len(rows))), c) for i, c in reached(list(range(len(rows))), linked).items()}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    assert max(n for n, _ in want.values()) > 5
+    for block in (7, 4096):
+        assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.links(df, block=block).collect()} == want
+
+
+def test_mix_in_more_buckets(spark, duck):
+    """More buckets change nothing, and rows without an id are spread by their texts; against SQL."""
+    rng = random.Random(6)
+    rows = [(i if i % 3 else None, " ".join(words_of(rng, rng.randrange(0, 30), 50)), f"s{i % 4}" if i % 5 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert mixing.bucket_digits(10) == 3 and mixing.bucket_digits(10**11) == 6
+    own = duck.cursor()
+    own.register("mixed_rows", docs.toPandas().astype({"doc_id": "Int64"}))
+    columns = "doc_id, size, source_size, target, taken, copies, round(position, 6)"
+    want = sorted(own.execute(f"SELECT {columns} FROM ({mixing.sql_for('mixed_rows')})").fetchall(), key=str)
+    for bucket_rows in (1 << 16, 0.001):
+        found = mixing.assign(docs, bucket_rows=bucket_rows)
+        got = found.selectExpr("doc_id", "size", "source_size", "target", "taken", "copies", "round(position, 6)").collect()
+        assert sorted((tuple(r) for r in got), key=str) == want
+    keys = mixing.assign(docs.where("doc_id is null")).select("positions").distinct().count()
+    assert keys > 30
+
+
 def fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     if not w:
