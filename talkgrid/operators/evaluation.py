@@ -244,11 +244,24 @@ def mean_vectors(voices: DataFrame, keys: Sequence[str], order: Sequence, most:
     return parts.groupBy(*keys).agg(unit(F.transform(ordered, lambda s: s.getField("x"))).alias("embedding"))
 
 
-def nearest_voice(pieces: DataFrame, means: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+#: Means that are sent to every task at most; more are met in blocks.
+FEW = 1 << 12
+
+
+def nearest_voice(pieces: DataFrame, means: DataFrame, keys: Sequence[str] = (), few: int = FEW) -> DataFrame:
     """Each piece (vec_id, embedding) with the mean (label, embedding) of least distance among those of its group, or without keys among
-    all. Without keys the means, one a label, are sent to every task; they must be few."""
+    all. Without keys the means, one a label, are counted: up to few are sent to every task, more are dealt in blocks of about few,
+    and each part of the pieces meets each block."""
     m = means.select(*keys, F.col("label").alias("voice"), F.col("embedding").alias("_m"))
-    rows = pieces.join(m, list(keys)) if keys else pieces.crossJoin(F.broadcast(m))
+    if keys:
+        rows = pieces.join(m, list(keys))
+    elif (n := m.count()) <= few:
+        rows = pieces.withColumn("_block", F.lit(0)).join(F.broadcast(m.withColumn("_block", F.lit(0))), "_block")
+    else:
+        blocks, parts = -(-n // few), int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = m.withColumn("_block", F.pmod(F.xxhash64("voice"), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        own = pieces.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        rows = own.join(dealt, ["_part", "_block"])
     rows = rows.withColumn("distance", cosine_distance(unit(F.col("embedding")), F.col("_m")))
     best = rows.groupBy(*keys, "vec_id").agg(F.min(F.struct("distance", "voice")).alias("best"))
     return best.select(*keys, "vec_id", F.col("best.voice").alias("voice"), F.col("best.distance").alias("distance"))

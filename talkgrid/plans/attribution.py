@@ -84,11 +84,11 @@ def attached_voices(spark, sf_dir):
 
 
 def loudness_words(spark, sf_dir):
-    """Words of two phrases over vectors read as four seconds of sound, in blocks of 16 samples."""
+    """Words of two phrases over vectors read as seconds of sound, a block of 16 samples each; the second phrase lasts to the end."""
     v = voices(spark, sf_dir)
-    blocks = v.select(F.col("vec_id").alias("recording_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    blocks = blocks.select("recording_id", F.col("k").cast("long").alias("block_ix"), F.slice("embedding", F.col("k") * 16 + 1, 16).alias("samples"))
-    said = F.array(F.struct(F.lit(0).alias("seq"), F.lit("Well, let us begin the meeting now").alias("text"), F.lit(0.5).alias("s"), F.lit(2.75).alias("e")), F.struct(F.lit(1).alias("seq"), F.lit("  a second  one").alias("text"), F.lit(2.75).alias("s"), F.lit(4.0).alias("e")))
+    blocks = v.select(F.col("vec_id").alias("recording_id"), "embedding", F.explode(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 16) - 1)).alias("k"))
+    blocks = blocks.select("recording_id", F.col("k").cast("long").alias("block_ix"), F.slice("embedding", F.col("k").cast("int") * 16 + 1, 16).alias("samples"))
+    said = F.array(F.struct(F.lit(0).alias("seq"), F.lit("Well, let us begin the meeting now").alias("text"), F.lit(0.5).alias("s"), F.lit(2.75).alias("e")), F.struct(F.lit(1).alias("seq"), F.lit("  a second  one").alias("text"), F.lit(2.75).alias("s"), (F.size("embedding") / 16.0).alias("e")))
     s = v.select(F.col("vec_id").alias("recording_id"), F.explode(said).alias("x")).select("recording_id", F.col("x.seq").cast("long").alias("seq"), "x.text", F.col("x.s").alias("start_s"), F.col("x.e").alias("end_s"))
     return a.time_words(s, blocks, 16).select("recording_id", "seq", "word_ix", "text", *_r("start_s", "end_s"))
 
@@ -182,7 +182,7 @@ SELECT recording_id, turn_ix, seq AS "group" FROM d WHERE k = 1""",
     "nearest_reliable": f"""WITH {sql.VOICES}, n AS (SELECT vec_id, vec_id // 40 AS r, (vec_id % 40) * 2.0::DOUBLE AS s, (vec_id % 40) * 2.0::DOUBLE + CASE WHEN vec_id % 3 = 0 THEN 0.5 ELSE 1.5 END AS e, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y * y)))) AS u FROM v_voices),
 d AS (SELECT a.r, a.vec_id, b.vec_id AS o, 1 - list_inner_product(a.u, b.u) AS d, 1 - list_inner_product(a.u, b.u) + 0.02 * greatest(0, b.s - a.e, a.s - b.e) AS score FROM n a JOIN n b ON a.r = b.r AND a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0)
 SELECT r AS recording_id, vec_id AS voice_ix, arg_min(o, (score, o)) AS nearest, round(min(score), 5) AS score, min(d) > 0.6 * 1.25 AS stranger FROM d GROUP BY r, vec_id""",
-    "loudness_words": f"""WITH {sql.VOICES}, s AS (SELECT vec_id, embedding AS e, unnest([{{'seq': 0, 'w': ['Well,', 'let', 'us', 'begin', 'the', 'meeting', 'now'], 's': 0.5::DOUBLE, 'e': 2.75::DOUBLE}}, {{'seq': 1, 'w': ['a', 'second', 'one'], 's': 2.75::DOUBLE, 'e': 4.0::DOUBLE}}]) AS x FROM v_voices),
+    "loudness_words": f"""WITH {sql.VOICES}, s AS (SELECT vec_id, embedding AS e, unnest([{{'seq': 0, 'w': ['Well,', 'let', 'us', 'begin', 'the', 'meeting', 'now'], 's': 0.5::DOUBLE, 'e': 2.75::DOUBLE}}, {{'seq': 1, 'w': ['a', 'second', 'one'], 's': 2.75::DOUBLE, 'e': len(embedding)::DOUBLE / 16}}]) AS x FROM v_voices),
 c AS (SELECT vec_id, x.seq AS seq, x.w AS w, x.s AS s, x.e AS e, list_transform(e[CAST(floor(x.s * 16) AS INTEGER) + 1:CAST(floor(x.e * 16) AS INTEGER)], lambda y: greatest(abs(y), 0.002)) AS r FROM s),
 u AS (SELECT *, list_transform(range(0, len(r) + 1), lambda i: coalesce(list_sum(r[1:i]), 0)) AS curve, list_transform(range(0, len(w) + 1), lambda i: coalesce(list_sum(list_transform(w[1:i], lambda y: length(y))), 0)) AS cum FROM c),
 p AS (SELECT *, list_transform(cum, lambda q: s + (e - s) * (list_position(list_transform(curve, lambda z: z >= q / cum[len(cum)] * curve[len(curve)]), true) - 1) / len(r)) AS tm FROM u)

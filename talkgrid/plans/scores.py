@@ -42,7 +42,7 @@ def likeliest_language(spark, sf_dir):
 
 def _active_frames(spark, sf_dir):
     """Every seven numbers of a vector are the class scores of a frame."""
-    rows = voices(spark, sf_dir).select(F.col("vec_id").alias("recording_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("frame"))
+    rows = voices(spark, sf_dir).where(F.size("embedding") >= 7).select(F.col("vec_id").alias("recording_id"), "embedding", F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / 7).cast("int") - 1)).alias("frame"))
     return rows.select("recording_id", "frame", s.active(F.slice("embedding", F.col("frame") * 7 + 1, 7), SETS).alias("speakers"))
 
 
@@ -73,7 +73,7 @@ QUERIES = {f.__name__: f for f in (log_probabilities, token_confidence, activity
 _V = f"WITH {sql.VOICES}, m AS (SELECT vec_id, label, embedding AS e, list_max(embedding) AS top FROM v_voices)"
 _P = f"{_V}, p AS (SELECT vec_id, list_transform(e, lambda x: x - top - ln(list_sum(list_transform(e, lambda y: exp(y - top))))) AS p FROM m)"
 _EACH = "(SELECT *, unnest(range(len({0}))) AS i FROM {1})"
-_ACTIVE = f"""{_V}, f AS (SELECT vec_id AS recording_id, k AS frame, e[k * 7 + 1:k * 7 + 7] AS c FROM (SELECT *, unnest(range(9)) AS k FROM m)),
+_ACTIVE = f"""{_V}, f AS (SELECT vec_id AS recording_id, k AS frame, e[k * 7 + 1:k * 7 + 7] AS c FROM (SELECT *, unnest(range(len(e) // 7)) AS k FROM m)),
 a AS (SELECT recording_id, frame, CASE list_position(c, list_max(c)) WHEN 1 THEN []::INT[] WHEN 2 THEN [0] WHEN 3 THEN [1] WHEN 4 THEN [2] WHEN 5 THEN [0, 1] WHEN 6 THEN [0, 2] ELSE [1, 2] END AS speakers FROM f)"""
 
 ORACLE_SQL = {

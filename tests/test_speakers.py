@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from talkgrid.operators import speakers
+from talkgrid.operators import evaluation, speakers
 
 TURN = "recording_id bigint, turn_ix int, speaker int, start_s double, end_s double"
 
@@ -61,3 +63,15 @@ def test_sentences_are_finished(spark, parts, wanted):
     for r in speakers.finish_sentences(words).orderBy("seq", "word_ix").collect():
         found.setdefault((r.seq, r.speaker), []).append(r.text)
     assert [(who, " ".join(w)) for (_, who), w in found.items()] == wanted
+
+
+def test_nearest_voice_in_blocks(spark):
+    """More means than are sent to every task give the same as all in one."""
+    rng = random.Random(4)
+    some = lambda n: [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(n)]
+    pieces = spark.createDataFrame(some(60), "vec_id bigint, embedding array<double>")
+    means = spark.createDataFrame(some(11), "label int, embedding array<double>")
+    at_once = sorted(map(tuple, evaluation.nearest_voice(pieces, means).collect()))
+    assert len(at_once) == 60 and len({v for _, v, _ in at_once}) > 3
+    for few in (10, 3, 1):
+        assert sorted(map(tuple, evaluation.nearest_voice(pieces, means, few=few).collect())) == at_once
