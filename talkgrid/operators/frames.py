@@ -24,7 +24,7 @@ def rounded_paint(turns: DataFrame, step: float) -> DataFrame:
     """One label a frame, frames from start / step to end / step rounded half to even; frames of several speakers are -2."""
     first, last = F.bround(F.col("start_s") / step).cast("long"), F.bround(F.col("end_s") / step).cast("long") - 1
     rows = turns.where(last >= first).withColumn("frame", F.explode(F.sequence(first, last)))
-    return rows.groupBy("recording_id", "frame").agg(F.when(F.count_distinct("speaker") > 1, "-2").otherwise(F.min("speaker")).alias("label"))
+    return rows.groupBy("recording_id", "frame").agg(F.when(F.min("speaker") != F.max("speaker"), "-2").otherwise(F.min("speaker")).alias("label"))
 
 
 def runs(frames: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from talkgrid.functions import ordered
 from talkgrid.functions import text as t
 from talkgrid.operators import diagnostics, evaluation, folds, frames, paragraphs, windows
 from talkgrid.plans import sql
-from talkgrid.sources.tables import segments, spoken, turns, voices
+from talkgrid.sources.tables import dealt, segments, spoken, turns, voices
 from talkgrid.streaming import live
 
 STEP = 0.1
@@ -58,8 +58,9 @@ def anchor_scales(spark, sf_dir):
 
 def frame_agreement(spark, sf_dir):
     """Who segments name against who turns name, by frames of a tenth of a second, with a made level of sound."""
-    left, right = frames.rounded_paint(segments(spark, sf_dir), STEP), frames.rounded_paint(spoken(spark, sf_dir), STEP)
-    every = _recordings(spark, sf_dir).select("recording_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("duration_s") / STEP) - 1)).alias("frame"))
+    heard = lambda s: dealt(s.select("recording_id", "speaker", "start_s", "end_s"), "recording_id")
+    left, right = frames.rounded_paint(heard(segments(spark, sf_dir)), STEP), frames.rounded_paint(heard(spoken(spark, sf_dir)), STEP)
+    every = dealt(_recordings(spark, sf_dir), "recording_id").select("recording_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("duration_s") / STEP) - 1)).alias("frame"))
     loud = (F.pmod(F.col("frame") * 37 + F.col("recording_id"), F.lit(101)) + 1) / 128.0
     found = evaluation.agreement(left, right, every.withColumn("power", loud * loud))
     return found.select("recording_id", "quiet", "only_left", "only_right", "tangled", "comparable", "agreed", *[F.round(c, 5).alias(c) for c in ("quiet_level", "left_level", "right_level", "speech_level")])

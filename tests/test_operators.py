@@ -265,3 +265,16 @@ def test_a_turn_that_ends_before_it_begins_is_nobodys_best(spark):
     turns = spark.createDataFrame([(1, 0, "a", 0.0, 5.0), (1, 1, "b", 11.0, 10.5), (1, 2, "c", 21.0, 23.0)], "recording_id bigint, turn_ix int, speaker string, start_s double, end_s double")
     found = intervals.best_overlap(items, turns, "seq").orderBy("seq").collect()
     assert [(r.best_speaker, r.shared) for r in found] == [("a", None), ("c", 1.0)]
+
+
+def test_agreement_does_not_broadcast_frames(spark):
+    """Painted frames are far more than the rows they come from, which is all that Spark's estimate knows."""
+    turns = spark.createDataFrame([(1, "a", 0.0, 2.0), (1, "b", 3.0, 4.0)], "recording_id bigint, speaker string, start_s double, end_s double")
+    every = spark.range(50).selectExpr("1L AS recording_id", "id AS frame", "1.0D AS power")
+    side = frames.rounded_paint(turns, 0.1)
+    found = evaluation.agreement(side, side.where("frame < 35"), every)
+    assert "BroadcastHashJoin" not in found.select("quiet", "comparable")._jdf.queryExecution().executedPlan().toString().split("agreed")[0]
+    r = found.first()
+    assert (r.quiet, r.only_left, r.only_right, r.comparable, r.agreed) == (20, 5, 0, 25, 25)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # that of the agreed frames by recording
