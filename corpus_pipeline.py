@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgrid.llm import decontaminate, linededup, mixing, nearcopies, toxicity
-from talkgrid.llm.tables import stored, table
+from talkgrid.llm import decontaminate, linededup, mixing, nearcopies, simhash, toxicity
+from talkgrid.llm.tables import cut, stored, table
 from talkgrid.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,9 +36,10 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: similarity 0.8 or more of 5-word shingles, checked exactly."""
+    """One document of each group of near-duplicates stays: first of those whose SimHash fingerprints link, as in op3_simhash, then of what is
+    left with a similarity of 0.8 or more of 5-word shingles, checked exactly, which fingerprints at that radius miss."""
     ship(spark)
-    return nearcopies.one_of_each(docs).select(*COLUMNS)
+    return nearcopies.one_of_each(cut(simhash.one_of_each(docs.select(*COLUMNS)))).select(*COLUMNS)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,17 @@ def test_benchmark_passages_go_and_others_stay(spark):
     left = {r.doc_id: r for r in pipeline.remove_benchmark(spark, docs, SF).collect()}
     assert left[1].text == texts[1] and all(len(left[i].text.split()) < len(texts[i].split()) for i in (0, 2)) and len(left[2].text.strip(" .,;:!?")) < 3
     assert left[0].text.split()[:5] == texts[0].split()[:5] and left[0].n_chars == len(left[0].text)
+
+
+def test_near_dedup_links_by_fingerprint(spark, monkeypatch):
+    """Two texts whose fingerprints differ in few bits are one, though their shingles have less than 0.8 in common; so are long near copies."""
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    close = [w if k % 60 else f"x{k}" for k, w in enumerate(words)]  # 0.85 or so of 5-word shingles
+    texts = [" ".join(words), " ".join(close), " ".join(f"y{rng.randrange(10**6)}" for _ in range(30)), "a b c a b c a b c a b c", "a b c a b c a b c a b c a b c d"]
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    prints = {r.doc_id: r.component_id for r in pipeline.simhash.near_duplicates(docs).collect()}
+    left = {r.doc_id for r in pipeline.remove_near_duplicates(spark, docs, SF).collect()}
+    assert left <= {i for i, c in prints.items() if i == c} and {0, 2, 3} <= left and 1 not in left
+    alone = {r.doc_id for r in pipeline.nearcopies.one_of_each(docs).collect()}
+    assert prints[4] == 3 and 4 in alone and 4 not in left
