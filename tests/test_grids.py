@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkgrid.operators import alignment, placement
 from talkgrid.plans import grids
+from talkgrid.streaming import retiming
 
 STEP, KINDS = 0.02, 9
 
@@ -68,3 +69,16 @@ def test_rows_of_many_frames_are_read_and_aligned_as_frames_are(spark, said):
     read = lambda df: sorted((x.recording_id, x.seq, list(x.heard)) for x in placement.read_spans(placement.likeliest_tokens(df), spans, STEP).collect())
     assert read(rows) == read(frames) != []
     assert rowed(alignment.align_recordings(rows, words, STEP)) == rowed(alignment.align_recordings(frames, words, STEP)) != []
+
+
+def test_a_scan_in_rows_of_many_frames_is_timed_as_whole_grids_are(spark, said, tmp_path):
+    words, _ = said
+    rows = grids.rows_of(words, TABLE, number, row=50)
+    timed = retiming.Retimer(words, str(tmp_path), STEP)
+    for batch in range(3):
+        timed(rows.where(F.floor(F.col("frame") / 300) == batch if batch < 2 else F.col("frame") >= 600), batch)
+    found = rowed(retiming.retimed(spark, str(tmp_path)))
+    assert found == rowed(alignment.align_recordings(rows, words, STEP)) != []
+    frontier = {r.recording_id: r.far for r in spark.read.parquet(f"{tmp_path}/passes").groupBy("recording_id").agg(F.max("frontier_s").alias("far")).collect()}
+    length = {r.recording_id: r.n * 3 * STEP for r in words.groupBy("recording_id").agg(F.sum(F.size("tokens")).alias("n")).collect()}
+    assert {k: round(v, 6) for k, v in frontier.items()} == {k: round(v, 6) for k, v in length.items()}
