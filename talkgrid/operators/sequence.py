@@ -5,6 +5,8 @@ The rules that look like loops have closed forms: running minima, running maxima
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +18,18 @@ def _order(key: str = "recording_id", by: str = "seq"):
     return Window.partitionBy(key).orderBy(by)
 
 
+def _backwards(keys: Sequence[str], by: str):
+    """A row and all after it, as a running window from the end: frames that begin at the row itself are summed up anew for each row."""
+    return Window.partitionBy(*keys).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def decoder_order(segments: DataFrame, window_start: F.Column, window_end: F.Column) -> DataFrame:
     """Clip what runs past the window, then pull starts back so that none is after the next one's; lengths stay."""
     length = F.greatest(F.lit(0.0), F.col("end_s") - F.col("start_s"))
     moved = F.greatest(window_start, F.least(F.col("start_s"), window_end - length))
     start = F.when((F.col("end_s") > window_end) & (F.col("start_s") >= window_end), moved).otherwise(F.col("start_s"))
     clipped = segments.withColumns({"_s": start, "_e": F.least("end_s", window_end)})
-    later = F.min("_s").over(_order().rowsBetween(0, Window.unboundedFollowing))
+    later = F.min("_s").over(_backwards(["recording_id"], "seq"))
     clipped = clipped.withColumn("_n", later)
     end = F.when(F.col("_n") < F.col("_s"), F.col("_n") + F.greatest(F.lit(0.0), F.col("_e") - F.col("_s"))).otherwise(F.col("_e"))
     return clipped.withColumns({"start_s": F.col("_n"), "end_s": end}).drop("_s", "_e", "_n")
@@ -77,7 +84,7 @@ def fill_labels(words: DataFrame, by: str = "word_ix", keys: tuple[str, ...] = (
     """Words without a label take the one before them, and at the start the first after them."""
     w = Window.partitionBy(*keys).orderBy(by)
     ahead = F.last("label", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.first("label", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    behind = F.last("label", ignorenulls=True).over(_backwards(keys, by))
     return words.withColumn("label", F.coalesce(ahead, behind))
 
 
@@ -86,7 +93,7 @@ def interpolate(words: DataFrame, by: str = "word_ix") -> DataFrame:
     w = Window.partitionBy("recording_id").orderBy(by)
     known = F.when(F.col("at_s").isNotNull(), F.struct(F.col(by).alias("i"), F.col("at_s").alias("t")))
     a = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    b = F.last(known, ignorenulls=True).over(_backwards(["recording_id"], by))
     out = words.withColumns({"_a": a, "_b": b})
     between = F.col("_a.t") + (F.col("_b.t") - F.col("_a.t")) * F.try_divide(F.col(by) - F.col("_a.i"), F.col("_b.i") - F.col("_a.i"))
     out = out.withColumn("at_s", F.coalesce("at_s", between, "_a.t", "_b.t")).drop("_a", "_b")
