@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from talkgrid.functions import text as t
-from talkgrid.operators import evaluation, sequence
+from talkgrid.operators import attribution, evaluation, folds, sequence
 
 
 def within(seconds, work):
@@ -57,3 +57,28 @@ def test_pairs_of_vectors_of_several_lengths(spark):
     for size in (2, 100):
         found = evaluation.query_pairs(v.where("vec_id % 2 = 0"), v, size, size).collect()
         assert {(r.a, r.b): (r.same, None if r.distance is None else round(r.distance, 9)) for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_many_small_groups_cost_no_table_each(spark):
+    """The words of sixty thousand segments; a table a segment took milliseconds for each."""
+    n = 60_000
+    rows = spark.range(n * 4).select((F.col("id") / 4 / 6).cast("long").alias("recording_id"), ((F.col("id") / 4).cast("long") % 6).alias("seq"), (F.col("id") % 4).cast("int").alias("word_ix"))
+    rows = rows.withColumns({"text": F.concat(F.lit("w"), "word_ix"), "label": F.when(F.col("word_ix") == 2, "B").otherwise("A")}).localCheckpoint()
+    found = within(25, lambda: folds.steady_words(rows).agg(F.count("*").alias("n"), F.sum((F.col("label") == "A").cast("int")).alias("a")).first())
+    assert (found.n, found.a) == (n * 4, n * 4)
+
+
+def test_sound_of_segments_beside_others_of_no_sound(spark):
+    v = [(r, [float((r * i) % 7 - 3) for i in range(64)]) for r in range(1, 5)]
+    blocks = spark.createDataFrame([(r, k, x[k * 16 : k * 16 + 16]) for r, x in v for k in range(4)], "recording_id bigint, block_ix bigint, samples array<double>")
+    segments = spark.createDataFrame([(r, s, "one three, fifteen", 0.5 + s, 1.75 + 2 * s) for r in range(1, 6) for s in range(2)] + [(1, 2, None, 0.0, 1.0), (1, 3, "x", 2.0, 1.0)], "recording_id bigint, seq bigint, text string, start_s double, end_s double")
+    found = {(x.recording_id, x.seq, x.word_ix): (x.start_s, x.end_s) for x in attribution.time_words(segments, blocks, 16).collect()}
+    assert len(found) == 31 and found[1, 3, 0] == (2.0, 2.0)
+    for (r, s, k), (start, end) in found.items():
+        a, b = int((0.5 + s) * 16), min(64, int((1.75 + 2 * s) * 16))
+        sound = np.abs(dict(v).get(r, [0.0] * 64))[a:b] if r < 5 else np.zeros(0)
+        if s > 1 or r == 5:
+            continue
+        curve, weight = np.append(0, np.cumsum(np.maximum(sound, 0.002))), np.cumsum([0, 3, 6, 7])
+        at = (0.5 + s) + (1.25 + s) * np.searchsorted(curve, weight / 16 * curve[-1]) / len(sound)
+        assert np.allclose((start, end), at[k : k + 2])
