@@ -7,11 +7,11 @@ Spans are (recording_id, window_ix, slot, start_s, end_s); tracked spans have a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkgrid.operators.folds import average_linkage, link_tracks, split_by_example, two_sides, window_conflicts
+from talkgrid.operators.folds import average_linkage, gathered, link_tracks, split_by_example, two_sides, window_conflicts
 from talkgrid.operators.intervals import interval_join, union
 from talkgrid.operators.speakers import group_tracks, people_at_least, voted_turns
 from talkgrid.sources.shared import kept, new_folder
@@ -55,11 +55,12 @@ def split_tracks(tracked: DataFrame, voices: DataFrame, threshold: float = THRES
     stretches = union(spoken.select(*key, "start_s", "end_s"), key).where(F.col("end_s") - F.col("start_s") >= SHORTEST)
     stretches = stretches.withColumn("_n", F.row_number().over(longest)).where(F.col("_n") <= STRETCHES)
 
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("start_s", kind="stable")
-        return rows[[*key, "start_s", "end_s"]].assign(voice=average_linkage(np.array(rows["embedding"].tolist(), float), threshold))
+    def cluster(rows: pa.StructArray) -> dict[str, list]:
+        voice = average_linkage(np.array(rows.field("embedding").to_pylist(), float), threshold)
+        return {"start_s": rows.field("start_s").to_pylist(), "end_s": rows.field("end_s").to_pylist(), "voice": voice.tolist()}
 
-    heard = with_voices(stretches, voices, "track").groupBy(*key).applyInPandas(cluster, "recording_id bigint, track int, start_s double, end_s double, voice int")
+    heard = gathered(with_voices(stretches, voices, "track"), key, ["start_s"], ["end_s", "embedding"], cluster, "recording_id bigint, track int, start_s double, end_s double, voice int")
+    heard = kept(heard, new_folder(tracked.sparkSession, "stretches"), "heard")  # asked for twice
     held = heard.groupBy(*key, "voice").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("held")).groupBy(*key).agg(F.sort_array(F.collect_list("held"), asc=False).alias("held"))
     impure = held.where(F.get("held", F.lit(1)) >= CONVINCING).select(*key)
     pieces = spoken.join(impure, key, "left_semi").groupBy(*key, "window_ix", "slot").agg(((F.min("start_s") + F.max("end_s")) / 2).alias("_at"))
@@ -88,7 +89,7 @@ def merge_tracks(tracked: DataFrame, voices: DataFrame, wanted: DataFrame, thres
     known = track_voices(tracked.join(asked, "recording_id", "left_semi"), voices).join(asked, "recording_id")
     enough = F.count("*").over(Window.partitionBy("recording_id")) > F.col("wanted")
     known = known.withColumn("_enough", enough).where("_enough").drop("_enough")
-    people = group_tracks(known, window_conflicts(tracked), None, threshold)
+    people = kept(group_tracks(known, window_conflicts(tracked), None, threshold), new_folder(tracked.sparkSession, "people"), "people")  # asked for twice
     tracks = tracked.where("track >= 0").select("recording_id", "track").distinct().join(people.select("recording_id").distinct(), "recording_id", "left_semi")
     named = tracks.join(people, ["recording_id", "track"], "left")
     whole = Window.partitionBy("recording_id")
