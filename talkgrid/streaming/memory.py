@@ -29,6 +29,8 @@ LOG_2 = float(np.log(2))
 
 #: The number of a frame of silence.
 SILENCE = -1
+#: The number that comes after all frames.
+ENDED = 2**62
 
 
 def worth(p: np.ndarray) -> np.ndarray:
@@ -97,29 +99,40 @@ STEPS = "{key}, step bigint, frames array<bigint>"
 
 @dataclass
 class Listener:
-    """A memory that gathers frames to chunks, and the context after each."""
+    """A memory that gathers frames to chunks, and the context after each. A row has one frame or some in a row, frame being the first: their vectors and their
+    SPEAKERS probabilities stand one after the other, and final is said of the last. Nothing is heard of a recording behind its end."""
 
     memory: Memory
     step: int = 0
     last: int = -1
-    waiting: list = field(default_factory=list)
+    waiting: list = field(default_factory=list)  # numbers, vectors and probabilities of frames in a row
 
-    def hear(self, rows: pd.DataFrame) -> list[tuple[int, list[int]]]:
+    @property
+    def ended(self) -> bool:
+        return self.last == ENDED
+
+    def hear(self, rows: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
         steps = []
-        for frame, vector, p, final in zip(rows["frame"], rows["embedding"], rows["probs"], rows["final"]):
-            if frame <= self.last:
+        for frame, vectors, p, final in zip(rows["frame"], rows["embedding"], rows["probs"], rows["final"]):
+            p = floats(p).reshape(-1, SPEAKERS)
+            own = (int(frame) + np.arange(len(p)), floats(vectors).reshape(len(p), -1), p)
+            heard = min(len(p), max(0, self.last + 1 - int(frame)))
+            if heard == len(p):
                 continue
-            self.last = int(frame)
-            self.waiting.append((self.last, floats(vector), floats(p)))
-            if len(self.waiting) == CHUNK or final:
-                self.memory.take(np.array([w[0] for w in self.waiting]), np.stack([w[1] for w in self.waiting]), np.stack([w[2] for w in self.waiting]))
-                steps.append((self.step, self.memory.context().tolist()))
-                self.step, self.waiting = self.step + 1, []
+            self.last = int(frame) + len(p) - 1
+            self.waiting.append(tuple(x[heard:] for x in own))
+            while (n := sum(len(w[0]) for w in self.waiting)) >= CHUNK or (final and n):
+                line = tuple(np.concatenate(x) for x in zip(*self.waiting))
+                self.memory.take(*(x[:CHUNK] for x in line))
+                steps.append((self.step, self.memory.context()))
+                self.step, self.waiting = self.step + 1, [tuple(x[CHUNK:] for x in line)] if n > CHUNK else []
+            if final:
+                self.last = ENDED
         return steps
 
 
 class _Remember(StatefulProcessor):
-    """Frames stored, queued and waiting are entries of three lists; a value has the rest."""
+    """Frames stored, queued and waiting are entries of three lists; a value has the rest, which is all that is kept of a recording that has ended."""
 
     ENTRY = "frame long, embedding array<float>, probs array<float>"
 
@@ -132,17 +145,24 @@ class _Remember(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         listener = Listener(Memory(np.asarray(self.silence, np.float32)))
-        if self.place.exists():
+        begun = self.place.exists()
+        if begun:
             step, last, selected = self.place.get()
+            if last == ENDED:
+                return
             entries = {name: [(int(f), floats(v), floats(p)) for f, v, p in state.get()] for name, state in self.lists.items()}
             arrays = {name: (np.array([e[0] for e in own]), np.stack([e[1] for e in own]), np.stack([e[2] for e in own])) if own else None for name, own in entries.items()}
-            listener = Listener(Memory(listener.memory.silence, arrays["stored"], arrays["queued"], bool(selected)), int(step), int(last), entries["waiting"])
+            waiting = [arrays["waiting"]] if arrays["waiting"] else []
+            listener = Listener(Memory(listener.memory.silence, arrays["stored"], arrays["queued"], bool(selected)), int(step), int(last), waiting)
         steps = listener.hear(in_order(rows, "frame"))
         self.place.update((listener.step, listener.last, listener.memory.selected))
-        for name, own in (("stored", listener.memory.stored), ("queued", listener.memory.queued), ("waiting", listener.waiting)):
-            entries = own if name == "waiting" else [] if own is None else zip(*own)
-            entries = [(int(f), v.tolist(), p.tolist()) for f, v, p in entries]
-            self.lists[name].put(entries) if entries else self.lists[name].clear()
+        if listener.ended:
+            for state in self.lists.values() if begun else ():
+                state.clear()
+        else:
+            for name, own in (("stored", [listener.memory.stored]), ("queued", [listener.memory.queued]), ("waiting", listener.waiting)):
+                entries = [(int(f), v.tolist(), p.tolist()) for part in own if part is not None for f, v, p in zip(*part)]
+                self.lists[name].put(entries) if entries else self.lists[name].clear()
         if steps:
             yield pd.DataFrame([(key[0], *s) for s in steps], columns=[self.key, "step", "frames"])
 
@@ -155,7 +175,7 @@ def _schema(frames: DataFrame, key: str) -> str:
 
 
 def remembered(frames: DataFrame, silence: list[float], key: str = "recording_id") -> DataFrame:
-    """For a stream of frames (key, frame, embedding, probs, final), after each chunk the numbers of the frames remembered, SILENCE between them.
+    """For a stream of frames (key, frame, embedding, probs, final; a row may have frames in a row, see Listener), after each chunk the numbers of the frames remembered, SILENCE between them.
     Frames of a recording come in order; repeats are ignored. Its query must be started within stateful.rocks()."""
     needed = frames.select(key, "frame", "embedding", "probs", "final")
     with by_value(__name__):

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkgrid.operators import alignment
+from talkgrid.plans import streams
 from talkgrid.streaming import blocks, memory, retiming
 from talkgrid.streaming.stateful import rocks
 
@@ -165,6 +166,26 @@ def test_streamed_memory_equals_the_batch(spark, spoken, cuts, tmp_path):
     assert contexts(streamed(spark, frames, "frame", cuts, lambda s: memory.remembered(s, [-1.0]), tmp_path)) == want
 
 
+@pytest.mark.parametrize("cuts", [(0, 5000), (0, 100, 341, 342, 1500, 5000)])
+def test_rows_of_many_frames_are_heard_as_single_ones(spark, spoken, cuts, tmp_path):
+    """A frame a row cost more than what is done with it. Rows of uneven length, some of whose frames come again, and nothing behind an end."""
+    frames, want = spoken
+    rows = []
+    for (k,), own in frames.toPandas().sort_values("frame").groupby(["recording_id"]):
+        probs, last = own["probs"].tolist(), len(own)
+        for a, b in [*[(a, min(last, a + 37 + a % 11)) for a in range(0, last, 37)], (max(0, last - 5), last)]:
+            rows.append((k, a, [float(f) for f in range(a, b)], [float(x) for p in probs[a:b] for x in p], b == last))
+        rows.append((k, last + 10, [0.0] * 400, [0.75] * 3200, True))
+    many = spark.createDataFrame(rows, frames.schema)
+    assert contexts(memory.remembered_of(many, [-1.0])) == want
+    assert contexts(streamed(spark, many, "frame", cuts, lambda s: memory.remembered(s, [-1.0]), tmp_path)) == want
+
+
+def test_frames_of_a_segment_are_a_row(spark):
+    frames = streams._frames(spark, "/root/testdata/sf0.001")
+    assert frames.count() <= 130 and frames.selectExpr("sum(size(embedding))").first()[0] > 20_000
+
+
 def take_all(p, chunks=(340,)):
     m, at = memory.Memory(np.array([-1.0], np.float32)), 0
     for n in chunks:
