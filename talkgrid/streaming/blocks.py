@@ -6,7 +6,7 @@ With the option `frontier` the source admits no more than aheadSeconds of a reco
 a quick stream waits for a slow one instead of running away from it.
 
 buffered() keeps the last seconds of each recording in state. A pass is due as soon as enough sound has come since the last one, and at the end; it carries
-the window's samples. Blocks of a recording come in order; one that is not newer than the last is a repeat and is ignored.
+the window's samples. Blocks of a recording come in order; one that is not newer than the last is a repeat and is ignored, as is all that comes behind the end.
 """
 
 from __future__ import annotations
@@ -144,6 +144,9 @@ def frontier(folder: str) -> dict[str, float]:
     return notes
 
 
+#: The number that comes after all blocks.
+ENDED = 2**62
+
 PASSES = "{key}, block_ix bigint, now_s double, window_start_s double, content_s double, final boolean, samples array<float>"
 
 
@@ -161,7 +164,7 @@ class Ear:
         if block_ix <= self.last:
             return None
         size = int(keep * rate)
-        self.last, self.heard, self.since = block_ix, self.heard + len(samples), self.since + len(samples)
+        self.last, self.heard, self.since = ENDED if final else block_ix, self.heard + len(samples), self.since + len(samples)
         joined = np.concatenate([self.window, samples])
         self.window = joined[max(0, len(joined) - size) :]
         if not final and self.since < every * rate or not len(self.window):
@@ -170,8 +173,16 @@ class Ear:
         return block_ix, self.heard / rate, (self.heard - len(self.window)) / rate, len(self.window) / rate, final, self.window
 
 
+def _each(rows: pd.DataFrame) -> Iterator[tuple]:
+    """Blocks one by one: where samples are a list of lists, a row has blocks in a row, block_ix being the first and final said of the last."""
+    for b, samples, final in zip(rows["block_ix"], rows["samples"], rows["final"]):
+        own = samples if samples is not None and len(samples) and (samples[0] is None or np.ndim(samples[0])) else [samples]
+        for k, s in enumerate(own):
+            yield int(b) + k, s, bool(final) and k == len(own) - 1
+
+
 def _hear_all(ear: Ear, rows: pd.DataFrame, rate: int, every: float, keep: float) -> pd.DataFrame:
-    passes = [p for b, s, f in zip(rows["block_ix"], rows["samples"], rows["final"]) if (p := ear.hear(int(b), floats(s), bool(f), rate, every, keep))]
+    passes = [p for b, s, f in _each(rows) if (p := ear.hear(b, floats(s), f, rate, every, keep))]
     return pd.DataFrame(passes, columns=["block_ix", "now_s", "window_start_s", "content_s", "final", "samples"])
 
 
@@ -185,12 +196,19 @@ class _Buffer(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ear = Ear()
-        if self.clock.exists():
-            ear = Ear(*(int(v) for v in self.clock.get()), np.concatenate([np.zeros(0, np.float32), *[floats(s) for (s,) in self.window.get()]]))
+        begun = self.clock.exists()
+        if begun:
+            clock = self.clock.get()
+            if clock[2] == ENDED:
+                return
+            ear = Ear(*(int(v) for v in clock), np.concatenate([np.zeros(0, np.float32), *[floats(s) for (s,) in self.window.get()]]))
         passes = _hear_all(ear, in_order(rows, "block_ix"), *self.how)
         self.clock.update((ear.heard, ear.since, ear.last))
         step = max(1, self.how[0])  # a second an entry
-        if len(ear.window):
+        if ear.last == ENDED:  # all that is kept of a recording that has ended is its clock
+            if begun:
+                self.window.clear()
+        elif len(ear.window):
             self.window.put([(ear.window[a : a + step].tolist(),) for a in range(0, len(ear.window), step)])
         if len(passes):
             passes.insert(0, self.key, key[0])
@@ -205,7 +223,7 @@ def _schema(blocks: DataFrame, key: str) -> str:
 
 
 def buffered(blocks: DataFrame, rate: int, every: float = 1.0, keep: float = 30.0, key: str = "recording_id") -> DataFrame:
-    """The passes of a stream of blocks (key, block_ix, samples, final). Its query must be started within stateful.rocks()."""
+    """The passes of a stream of blocks (key, block_ix, samples, final; a row may have blocks in a row, see _each). Its query must be started within stateful.rocks()."""
     needed = blocks.select(key, "block_ix", "samples", "final")
     with by_value(__name__):
         return needed.groupBy(key).transformWithStateInPandas(_Buffer(key, rate, every, keep), _schema(blocks, key), "Append", "None")

@@ -79,6 +79,20 @@ def test_streamed_passes_equal_the_batch(spark, sound, cuts, tmp_path):
     assert passes_by_key(found) == plain_passes(sound, 1.0, 6.0)
 
 
+@pytest.mark.parametrize("cuts", [(0, 100), (0, 7, 8, 33, 100)])
+def test_rows_of_many_blocks_are_heard_as_single_ones(spark, sound, cuts, tmp_path):
+    """A second a row was cut from all of a recording's letters. Rows of uneven length, some of whose blocks come again, and sound behind an end."""
+    rows = []
+    for (k,), own in sound.toPandas().sort_values("block_ix").groupby(["recording_id"]):
+        samples, last, ends = [[float(x) for x in s] for s in own["samples"]], len(own), bool(own["final"].iloc[-1])
+        rows += [(k, a, samples[a : a + 7 + a % 3], ends and a + 7 + a % 3 >= last) for a in range(0, last, 7)]
+        rows += [(k, last + 3, [[1.0] * 200], True)] if ends else []
+    many = spark.createDataFrame(rows, "recording_id bigint, block_ix bigint, samples array<array<float>>, final boolean")
+    assert passes_by_key(blocks.passes_of(many, RATE, 1.0, 6.0)) == plain_passes(sound, 1.0, 6.0)
+    found = streamed(spark, many, "block_ix", cuts, lambda s: blocks.buffered(s, RATE, 1.0, 6.0), tmp_path)
+    assert passes_by_key(found) == plain_passes(sound, 1.0, 6.0)
+
+
 def test_repeated_blocks_are_ignored(spark, sound, tmp_path):
     """A source that delivers blocks again: they come once more in a later batch."""
     late = sound.where("block_ix BETWEEN 3 AND 6").withColumn("at", F.lit(2))
