@@ -65,8 +65,9 @@ class _Words:
 
     def here(self, wrong: list[str], right: list[str], at: float, start: np.ndarray, end: np.ndarray, heard: np.ndarray) -> None:
         best = (np.inf, -1)
+        near = set(np.flatnonzero((start - REACH <= at) & (at <= end + REACH)).tolist())
         for k, (_, begin, _, line) in enumerate(self.all):
-            if start[line] - REACH <= at <= end[line] + REACH and self.match(k, wrong):
+            if line in near and self.match(k, wrong):
                 best = min(best, (abs(start[line] + (end[line] - start[line]) * begin / max(1, heard[line]) - at), k))
         if best[1] >= 0:
             self.put(best[1], wrong, right)
@@ -103,11 +104,12 @@ def corrected_words(segments: DataFrame, rules: DataFrame) -> DataFrame:
                 words.everywhere(wrong, right)
             else:
                 words.here(wrong, right, rule["at_s"], start, end, heard)
-        seqs, places, out = rows["seq"].tolist(), [0] * len(rows), []
-        for text, a, b, line in words.all:
-            out.append((key[0], seqs[line], places[line], text, a, b, int(heard[line])))
-            places[line] += 1
-        return pd.DataFrame(out, columns=["recording_id", "seq", "piece_ix", "text", "from_word", "to_word", "heard_words"])
+        line = np.array([w[3] for w in words.all], np.int64)
+        order = np.argsort(line, kind="stable")
+        place = np.empty(len(line), np.int64)
+        place[order] = np.arange(len(line)) - np.searchsorted(line[order], line[order])
+        text, begin, stop = ([w[k] for w in words.all] for k in range(3))
+        return pd.DataFrame({"recording_id": key[0], "seq": rows["seq"].to_numpy()[line], "piece_ix": place, "text": pd.Series(text, dtype=object), "from_word": begin, "to_word": stop, "heard_words": heard[line]})
 
     left = segments.select("recording_id", "seq", "text", "start_s", "end_s").groupBy("recording_id")
     right = listed.where("recording_id IS NOT NULL").toDF("recording_id", "rule").groupBy("recording_id")
@@ -125,16 +127,19 @@ def retimed(pieces: DataFrame, words: DataFrame, segments: DataFrame) -> DataFra
     """corrected_words() with times and offsets in the corrected text: taken, at the fraction that they stand for, from the words as heard (recording_id, seq, word_ix, start_s,
     end_s), or shares of the segment's span where there aren't as many of these as the segment has words."""
     key = ["recording_id", "seq"]
-    timed = words.groupBy(*key).agg(F.count("*").alias("_timed"))
-    rows = pieces.join(segments.select(*key, F.col("start_s").alias("_s"), F.col("end_s").alias("_e")), key).join(timed, key, "left")
+    # A segment's words meet its pieces in one row: tables of words would be sent and sorted once for each end.
+    timed = words.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("word_ix", "start_s", "end_s"))).alias("_words"))
+    timed = timed.withColumn("_plain", F.transform("_words", lambda x: x["word_ix"].cast("int")) == F.sequence(F.lit(0), F.size("_words") - 1))
+    spans = segments.select(*key, F.col("start_s").alias("_s"), F.col("end_s").alias("_e")).join(timed, key, "left")
+    rows = pieces.join(spans, key)
     last = F.col("heard_words") - 1
     rows = rows.withColumn("_a", F.least(F.floor("from_word"), last).cast("int")).withColumn("_b", F.greatest(F.lit(0), F.least(F.ceil("to_word") - 1, last)).cast("int"))
-    side = lambda n: words.select(*key, F.col("word_ix").alias(f"_{n}"), F.col("start_s").alias(f"_{n}s"), F.col("end_s").alias(f"_{n}e"))
-    rows = rows.join(side("a"), [*key, "_a"], "left").join(side("b"), [*key, "_b"], "left")
+    word = lambda n: F.when(F.col("_plain"), F.get("_words", F.col(n))).otherwise(F.get(F.filter("_words", lambda x: x["word_ix"] == F.col(n)), F.lit(0)))
+    first, final = word("_a"), word("_b")
     even = lambda x: F.col("_s") + (F.col("_e") - F.col("_s")) * F.col(x) / F.greatest(F.lit(1), F.col("heard_words"))
-    known = F.coalesce(F.col("_timed") == F.col("heard_words"), F.lit(False))
-    start = F.when(known, F.col("_as") + (F.col("from_word") - F.floor("from_word")) * (F.col("_ae") - F.col("_as"))).otherwise(even("from_word"))
-    end = F.when(known, F.col("_bs") + (F.col("to_word") - F.col("_b")) * (F.col("_be") - F.col("_bs"))).otherwise(even("to_word"))
+    known = F.coalesce(F.size("_words") == F.col("heard_words"), F.lit(False))
+    start = F.when(known, first["start_s"] + (F.col("from_word") - F.floor("from_word")) * (first["end_s"] - first["start_s"])).otherwise(even("from_word"))
+    end = F.when(known, final["start_s"] + (F.col("to_word") - F.col("_b")) * (final["end_s"] - final["start_s"])).otherwise(even("to_word"))
     before = Window.partitionBy(*key).orderBy("piece_ix").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")
     return rows.select(*key, "piece_ix", "text", offset.alias("offset"), start.alias("start_s"), F.greatest(start, end).alias("end_s"))

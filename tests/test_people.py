@@ -98,6 +98,16 @@ def test_corrected_words_take_the_times_of_those_heard(spark):
     ]
 
 
+def test_words_heard_meet_their_segment_once(spark):
+    """Words as rows were sent and sorted three times. A segment that lacks its first word, but has as many as it should, finds the others by their numbers."""
+    s = spark.createDataFrame([(1, 0, "one two three", 0.0, 3.0), (1, 1, "four", 3.0, 4.0)], SEGMENTS)
+    words = spark.createDataFrame([(1, 0, k, k * 2.0, k * 2.0 + 1) for k in (3, 1, 2)], "recording_id bigint, seq bigint, word_ix int, start_s double, end_s double")
+    rules = spark.createDataFrame([(0, ["x"], ["y"])], "ord int, wrong array<string>, right array<string>")
+    found = corrections.retimed(corrections.corrected_words(s, rules), words, s)
+    assert [(x.text, x.start_s, x.end_s) for x in found.orderBy("seq", "piece_ix").collect()] == [("one", None, None), ("two", 2.0, 3.0), ("three", 4.0, 5.0), ("four", 3.0, 4.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def unit(v):
     return v / np.linalg.norm(v) if np.linalg.norm(v) else v
 
