@@ -132,18 +132,21 @@ COMPARABLE = 1.0
 def rename_by_voice(segments: DataFrame, paragraphs: DataFrame, voices: DataFrame, asks: DataFrame, apart: float = 0.5) -> DataFrame:
     """Segments (recording_id, seq, speaker, start_s, end_s) with speakers renamed: asks (recording_id, start_s, end_s, name, one a recording) point into a paragraph
     (recording_id, para_ix, speaker, start_s, end_s), and all others of its speaker that sound like it get the name too. Where they don't divide into two voices only that paragraph does."""
+    folder = new_folder(segments.sparkSession, "renamed")
     a = asks.select("recording_id", F.col("start_s").alias("_from"), F.col("end_s").alias("_to"), "name")
-    p = paragraphs.select("recording_id", "para_ix", F.col("speaker").alias("_who"), "start_s", "end_s")
+    p = kept(paragraphs.select("recording_id", "para_ix", F.col("speaker").alias("_who"), "start_s", "end_s"), folder, "paragraphs")  # asked for three times
     covers = (F.col("start_s") <= F.col("_from")) & (F.col("end_s") >= F.col("_to"))
     meant = p.join(a, "recording_id").where(covers).groupBy("recording_id", "name").agg(F.min(F.struct("para_ix", "_who")).alias("x"))
-    meant = meant.select("recording_id", "name", F.col("x.para_ix").alias("_example"), F.col("x._who").alias("_old"))
+    meant = kept(meant.select("recording_id", "name", F.col("x.para_ix").alias("_example"), F.col("x._who").alias("_old")), folder, "meant")  # so is this
     same = p.join(meant, "recording_id").where(F.col("_who").eqNullSafe(F.col("_old"))).withColumn("example", F.col("para_ix") == F.col("_example"))
     same = same.where(F.col("example") | (F.col("end_s") - F.col("start_s") >= COMPARABLE))
     heard = with_voices(same, voices, "para_ix", "example").select("recording_id", F.col("para_ix").cast("bigint").alias("voice_ix"), "example", "embedding")
     known = F.max("example").over(Window.partitionBy("recording_id")) & (F.count("*").over(Window.partitionBy("recording_id")) > 1)
     joined = split_by_example(heard.withColumn("_known", known).where("_known").drop("_known"), apart).where("same").select("recording_id", F.col("voice_ix").alias("para_ix"))
     chosen = joined.unionByName(meant.select("recording_id", F.col("_example").alias("para_ix"))).distinct()
-    named = p.join(chosen, ["recording_id", "para_ix"]).join(meant.select("recording_id", "name"), "recording_id").select("recording_id", F.col("start_s").alias("_s"), F.col("end_s").alias("_e"), "name")
+    named = p.join(chosen, ["recording_id", "para_ix"]).join(meant.select("recording_id", "name"), "recording_id")
+    # A recording's stretches meet its segments in one row, so that segments are asked for once.
+    stretches = named.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", "name"))).alias("_named"))
     middle = (F.col("start_s") + F.col("end_s")) / 2
-    new = segments.join(named, "recording_id").where(middle.between(F.col("_s"), F.col("_e"))).select("recording_id", "seq", "name").distinct()
-    return segments.join(new, ["recording_id", "seq"], "left").withColumn("speaker", F.coalesce("name", "speaker")).drop("name")
+    own = F.get(F.filter("_named", lambda x: middle.between(x["start_s"], x["end_s"])), F.lit(0))["name"]
+    return segments.join(stretches, "recording_id", "left").withColumn("speaker", F.coalesce(own, F.col("speaker"))).select(*segments.columns)

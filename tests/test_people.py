@@ -307,3 +307,24 @@ def test_renaming_by_voice(spark):
     named = {(x.recording_id, x.seq) for x in found if x.speaker == "Ann"}
     assert named == {(1, s) for s in (0, 1, 4, 5, 8, 9)} | {(2, 0), (2, 1), (3, 0), (3, 1)}
     assert len(found) == len(segments) and all(x.speaker == "T" for x in found if x.seq == 99)
+
+
+def test_renaming_asks_for_paragraphs_and_segments_once(spark):
+    read = {name: spark.sparkContext.accumulator(0) for name in ("segments", "paragraphs")}
+
+    def counted(name, df):
+        def count(batches):
+            for batch in batches:
+                read[name].add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(count, df.schema)
+
+    kind = "start_s double, end_s double"
+    paras = spark.createDataFrame([(r, k, "S", k * 10.0, k * 10.0 + 8) for r in (1, 2) for k in range(4)], f"recording_id bigint, para_ix int, speaker string, {kind}")
+    segments = spark.createDataFrame([(r, k, "S", k * 10.0, k * 10.0 + 8) for r in (1, 2, 3) for k in range(4)], f"recording_id bigint, seq bigint, speaker string, {kind}")
+    voices = spark.createDataFrame([(r, k * 10.0 + 1, k * 10.0 + 3, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for r in (1, 2) for k in range(4)], f"recording_id bigint, {kind}, embedding array<double>")
+    asks = spark.createDataFrame([(1, 10.0, 18.0, "Ann")], f"recording_id bigint, {kind}, name string")
+    found = tracking.rename_by_voice(counted("segments", segments), counted("paragraphs", paras), voices, asks)
+    assert sorted((x.recording_id, x.seq, x.speaker) for x in found.collect()) == [(r, k, "Ann" if r == 1 and k % 2 else "S") for r in (1, 2, 3) for k in range(4)]
+    assert (read["segments"].value, read["paragraphs"].value) == (12, 8)
