@@ -64,23 +64,27 @@ def trimmed_tail(text: str, repeats: int = 4, ignored: int = 4, phrase: int = 6)
 
 
 def common_pairs(a: list, b: list) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, in order; of equals the left side moves first."""
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    y = np.array([code[w] for w in b], int)
+    """Index pairs of a longest common subsequence, in order; of equals the left side moves first. A row of the table of lengths is a number, of which
+    bit k is 0 where what is common to the two ends grows with the k-th last of b."""
+    places: dict = {}
+    for k, x in enumerate(reversed(b)):
+        places[x] = places.get(x, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    rows = [full] * (len(a) + 1)
     for i in range(len(a) - 1, -1, -1):
-        # best[i, j] = max(best[i + 1, j], best[i, j + 1], match + best[i + 1, j + 1])
-        step = np.maximum(best[i + 1, :-1], np.where(y == code[a[i]], best[i + 1, 1:] + 1, 0)) if len(b) else best[i, :-1]
-        best[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
-    pairs, i, j = [], 0, 0
+        row = rows[i + 1]
+        hit = row & places.get(a[i], 0)
+        rows[i] = ((row + hit) | (row - hit)) & full
+    pairs, i, j, ends = [], 0, 0, full
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
+            i, j, ends = i + 1, j + 1, ends >> 1
+        # What is common without a[i] is as long as what is common without b[j], or longer.
+        elif (rows[i + 1] & ends).bit_count() <= (rows[i] & ends >> 1).bit_count() + 1:
             i += 1
         else:
-            j += 1
+            j, ends = j + 1, ends >> 1
     return pairs
 
 

@@ -68,6 +68,23 @@ def test_many_small_groups_cost_no_table_each(spark):
     assert (found.n, found.a) == (n * 4, n * 4)
 
 
+def test_many_short_recordings_are_placed_with_few_calls(spark):
+    """Words heard in forty thousand recordings; two tables and a table of lengths for each took milliseconds."""
+    n, said = 40_000, " ".join(f"word{k}" for k in range(40))
+    segments = spark.range(n).select(F.col("id").alias("recording_id"), F.lit(0).cast("long").alias("seq"), F.lit(said).alias("text"), F.lit(0.0).alias("start_s"), F.lit(40.0).alias("end_s"))
+    heard = segments.select("recording_id", F.posexplode(F.split("text", " ")).alias("word_ix", "text")).where("word_ix % 3 <> 1").withColumn("at_s", F.col("word_ix") + 0.5)
+    segments, heard = segments.localCheckpoint(), heard.localCheckpoint()
+    found = within(30, lambda: folds.place_heard(segments, heard).agg(F.count("*").alias("n"), F.sum(F.abs(F.col("start_s") - F.least("word_ix", F.lit(39)) - 0.5)).alias("off")).first())
+    assert found.n == n * 40 and found.off < 1e-6 * n
+
+
+def test_heard_words_and_segments_with_nulls(spark):
+    segments = spark.createDataFrame([(1, 0, "a b c", 0.0, 3.0), (1, 1, None, 3.0, 4.0), (1, 2, "d", None, None), (2, 0, "e", 0.0, 1.0), (3, 0, "", 0.0, 1.0)], "recording_id bigint, seq bigint, text string, start_s double, end_s double")
+    heard = spark.createDataFrame([(1, 0, "A", 0.5), (1, 1, "C!", 2.5), (1, 2, "b", None), (3, 0, "x", 0.5), (9, 0, "y", 0.5)], "recording_id bigint, word_ix int, text string, at_s double")
+    found = sorted(tuple(x) for x in folds.place_heard(segments, heard).collect())
+    assert found == [(1, 0, 0, "a", 0.5, 1.5), (1, 0, 1, "b", 1.5, 2.5), (1, 0, 2, "c", 2.5, 3.0)]
+
+
 def test_sound_of_segments_beside_others_of_no_sound(spark):
     v = [(r, [float((r * i) % 7 - 3) for i in range(64)]) for r in range(1, 5)]
     blocks = spark.createDataFrame([(r, k, x[k * 16 : k * 16 + 16]) for r, x in v for k in range(4)], "recording_id bigint, block_ix bigint, samples array<double>")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,26 @@ def test_common_pairs():
     assert ordered.common_pairs([], ["a"]) == []
 
 
+def test_common_pairs_are_those_of_the_plain_table():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        a, b = (rng.integers(0, 1 + int(rng.integers(1, 6)), rng.integers(0, 20)).tolist() for _ in range(2))
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i, j] = best[i + 1, j + 1] + 1 if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
+        want, i, j = [], 0, 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                want.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1, j] >= best[i, j + 1]:
+                i += 1
+            else:
+                j += 1
+        assert ordered.common_pairs(a, b) == want
+
+
 @pytest.mark.parametrize(("word", "letters"), [("Élan", "elan"), ("Straße", "strasse"), ("don’t", "don't"), ("Ærø", "aero"), ("42", "")])
 def test_spelling(word, letters):
     assert ordered.spelled(word) == letters
