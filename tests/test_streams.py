@@ -409,3 +409,13 @@ print("rows", *[plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() for
 def test_streams_run_from_any_folder(tmp_path):
     done = subprocess.run([sys.executable, "-c", ELSEWHERE.format(root=ROOT)], capture_output=True, text=True, timeout=300, cwd=tmp_path)
     assert "rows " in done.stdout and " 0" not in done.stdout, done.stderr[-3000:]
+
+
+def test_stored_grids_fit_the_reader(spark):
+    """A column's reader takes so many rows at once, with eight bytes and two levels of four for each score: with rows of 750 frames it needed 1.3 GB."""
+    from talkgrid.plans import streams
+
+    rows = int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))
+    grid, _ = streams._arriving(spark, "/root/testdata/sf0.001")
+    scores = grid.agg(F.max(F.size(F.flatten("logp"))).alias("n"), F.sum(F.size("logp")).alias("frames")).first()
+    assert scores.frames > 80_000 and rows * scores.n * 16 < 100e6
