@@ -99,3 +99,17 @@ def test_sound_of_segments_beside_others_of_no_sound(spark):
         curve, weight = np.append(0, np.cumsum(np.maximum(sound, 0.002))), np.cumsum([0, 3, 6, 7])
         at = (0.5 + s) + (1.25 + s) * np.searchsorted(curve, weight / 16 * curve[-1]) / len(sound)
         assert np.allclose((start, end), at[k : k + 2])
+
+
+def test_windows_of_long_segments_put_their_letters_together_once(spark):
+    """Sixteen segments of three thousand words; their letters were put together anew for each frame."""
+    from talkgrid.plans import grids
+
+    n = 3000
+    words = spark.range(16 * n).select((F.col("id") / n).cast("long").alias("recording_id"), F.lit(0).cast("long").alias("seq"), (F.col("id") % n).cast("int").alias("word_ix"))
+    words = words.withColumns({"tokens": F.array(*[(F.col("word_ix") + k) % 3 + 1 for k in range(5)]).cast("array<int>"), "first": F.col("word_ix").cast("long") * 5}).localCheckpoint()
+    spans = spark.range(16).select(F.col("id").alias("recording_id"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("first"), F.lit(15 * n).cast("long").alias("count"))
+    table = [[float(i == k) for i in range(4)] for k in range(4)]
+    made = grids.windows_of(words, spans, table, lambda token, ix: token)
+    found = within(12, lambda: made.agg(F.sum(F.size("logp")).alias("n"), F.sum(F.get(F.get("logp", F.lit(1)), F.lit(1))).alias("hit")).first())
+    assert (found.n, found.hit) == (16 * 15 * n, 16)

@@ -92,3 +92,61 @@ def test_grids_of_segments_are_neither_sent_nor_sorted(spark):
         after = plan[: plan.index("RepartitionByExpression")]
         assert "logp" in after or "tokens" in after
         assert "Window" not in after and "Aggregate" not in after and "Sort" not in after and "CoGroup" not in after
+
+
+class Counted(np.ndarray):
+    """A grid that counts the scores that are looked up in it."""
+
+    looked = 0
+
+    def take(self, indices, axis=None, **how):
+        Counted.looked += len(self) * len(indices)
+        return np.asarray(self).take(indices, axis=axis, **how)
+
+
+def heard_as(letters, kinds, rng):
+    label = np.zeros(3 * len(letters), int)
+    label[1::3] = letters
+    grid = -12.0 - rng.integers(0, 13, (len(label), kinds)) / 16
+    grid[np.arange(len(label)), label] += 12
+    return grid
+
+
+def looked_up(grid, tokens):
+    """How many states a frame are filled, and whether they hold the best path."""
+    Counted.looked = 0
+    found = trellis.best_states(grid.view(Counted), tokens, np.zeros(len(grid), int), 2 * len(tokens) + 1, 0)
+    assert found.tolist() == plain_states(grid.tolist(), tokens.tolist(), [0] * len(grid), 2 * len(tokens) + 1)
+    return Counted.looked / len(grid)
+
+
+def test_a_text_between_others_is_sought_near_its_letters():
+    """Letters of other segments to either side, as in the window around a segment: every frame took all 601 states."""
+    rng = np.random.default_rng(10)
+    tokens = rng.integers(1, 7, 300)
+    grid = heard_as(np.concatenate([rng.integers(7, 13, 40), tokens, rng.integers(7, 13, 20)]), 13, rng)
+    assert looked_up(grid, tokens) < 400
+
+
+def test_a_line_that_is_written_twice_is_sought_near_it():
+    """All 1,041 states were filled for each frame to the end; after the line nothing is in doubt."""
+    rng = np.random.default_rng(11)
+    before, line, after = rng.integers(1, 27, 100), rng.integers(1, 27, 40), rng.integers(1, 27, 340)
+    grid = heard_as(np.concatenate([before, line, after]), 27, rng)
+    assert looked_up(grid, np.concatenate([before, line, line, after])) < 250
+
+
+def test_heard_beside_the_text_and_scores_without_bounds():
+    """Runs that no token has, labels as likely, and scores of minus infinity bear on no path."""
+    rng = np.random.default_rng(12)
+    for k in range(60):
+        tokens = rng.integers(1, 4, 30)
+        heard = [np.concatenate([tokens, rng.integers(1, 4, 90)]), np.delete(tokens, slice(5, 12)), np.repeat(tokens, 1 + (np.arange(30) % 7 == 0))][k % 3]
+        grid = heard_as(heard, 4, rng) + (rng.integers(-2, 3, (3 * len(heard), 4)) if k % 2 else 0)
+        if k % 5 == 0:
+            grid[rng.random(grid.shape) < 0.03] = -np.inf
+        states = 61
+        width = states if k % 4 else 31
+        low = np.linspace(0, states - width, len(grid)).astype(int)
+        want, found = plain_states(grid.tolist(), tokens.tolist(), low, width), trellis.best_states(grid, tokens, low, width, 0)
+        assert (None if found is None else found.tolist()) == want
