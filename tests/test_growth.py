@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from talkgrid.functions import text as t
-from talkgrid.operators import attribution, evaluation, folds, sequence
+from talkgrid.operators import alignment, attribution, evaluation, folds, sequence
 
 
 def within(seconds, work):
@@ -113,3 +114,16 @@ def test_windows_of_long_segments_put_their_letters_together_once(spark):
     made = grids.windows_of(words, spans, table, lambda token, ix: token)
     found = within(12, lambda: made.agg(F.sum(F.size("logp")).alias("n"), F.sum(F.get(F.get("logp", F.lit(1)), F.lit(1))).alias("hit")).first())
     assert (found.n, found.hit) == (16 * 15 * n, 16)
+
+
+def test_short_recordings_are_aligned_without_tables_of_segments():
+    """Six hundred recordings of forty words; grouping their words in tables took twenty milliseconds for each."""
+    tokens = np.arange(120) % 3 + 1
+    grid = np.full((360, 4), -12.0)
+    label = np.zeros(360, int)
+    label[1::3] = tokens
+    grid[np.arange(360), label] = 0.0
+    rows = [(k // 8, k % 8, tokens[3 * k : 3 * k + 3].tolist(), k // 8 * 1.44, k // 8 * 1.44 + 1.44) for k in range(40)]
+    own = pd.DataFrame(rows, columns=["seq", "word_ix", "tokens", "start_s", "end_s"])
+    found = within(3, lambda: [alignment.word_times(own, grid, 0.06) for _ in range(600)])
+    assert np.allclose(found[0]["start_s"], (np.arange(40) * 9 + 1) * 0.06) and np.allclose(found[-1]["end_s"], (np.arange(40) * 9 + 8) * 0.06)
